@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textlode.core.session import table
-from textlode.llm import bpe
+from textlode.llm import bpe, mojibake
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,3 +27,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 @query()
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
+
+
+@query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.find_garbled(table(spark, d, "documents")).select("doc_id")
+
+
+@query()
+def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repair_garbled(table(spark, d, "documents"))
