@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textlode.core.session import table
-from textlode.llm import bpe, mojibake
+from textlode.llm import bpe, mojibake, quantiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,3 +38,25 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair_garbled(table(spark, d, "documents"))
+
+
+_P6_SQL = """
+WITH v AS (SELECT provider, model_id, duration_ms AS v FROM model_calls WHERE duration_ms IS NOT NULL AND NOT isnan(duration_ms)),
+r AS (SELECT *, row_number() OVER (PARTITION BY provider, model_id ORDER BY v) AS k, count(*) OVER (PARTITION BY provider, model_id) AS n FROM v),
+q AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]::DOUBLE[]) AS q)
+SELECT provider, model_id, q, n, v AS value FROM r, q WHERE k = greatest(1, CAST(ceil(q * n) AS BIGINT))
+"""
+
+
+@query(_P6_SQL)
+def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.percentiles(table(spark, d, "model_calls"), ["provider", "model_id"], "duration_ms")
+
+
+@query()
+def p6_from_days(spark: SparkSession, d: str) -> DataFrame:
+    """Each day of calls summarised by itself, the days put together afterwards."""
+    calls = table(spark, d, "model_calls").withColumn("day", F.to_date("called_at"))
+    days = quantiles.summarize(calls, ["provider", "model_id", "day"], "duration_ms")
+    merged = quantiles.merge_summaries(days, ["provider", "model_id"])
+    return quantiles.summary_percentiles(merged, ["provider", "model_id"])
