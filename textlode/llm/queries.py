@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.core.session import table
-from textlode.llm import bpe, mojibake, quantiles
+from textlode.llm import bpe, mojibake, quantiles, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +60,29 @@ def p6_from_days(spark: SparkSession, d: str) -> DataFrame:
     days = quantiles.summarize(calls, ["provider", "model_id", "day"], "duration_ms")
     merged = quantiles.merge_summaries(days, ["provider", "model_id"])
     return quantiles.summary_percentiles(merged, ["provider", "model_id"])
+
+
+_P2_SQL = """
+WITH RECURSIVE r AS (
+  SELECT DISTINCT extraction_id AS id, document_id AS doc, lower(trim(label)) AS lab, start_pos AS st, end_pos AS en, lower(upper(text)) AS lt,
+    CASE WHEN alignment_status IN ('exact', 'match_exact') THEN 3 WHEN alignment_status IN ('lesser', 'match_lesser', 'match_greater') THEN 2 ELSE 1 END AS rank,
+    coalesce(alignment_score, 0) AS score, coalesce(confidence, 0) AS conf, pass
+  FROM extractions),
+e AS (
+  SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.doc = b.doc AND a.lab = b.lab AND a.id <> b.id
+  AND ((a.st >= 0 AND a.st = b.st AND a.en = b.en) OR ((a.st < 0 OR b.st < 0) AND a.lt = b.lt))),
+reach AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.id),
+g AS (SELECT id, min(root) AS first_id FROM reach GROUP BY id),
+k AS (SELECT first_id, r.id, row_number() OVER (PARTITION BY first_id ORDER BY rank DESC, score DESC, conf DESC, pass, r.id) AS n FROM g JOIN r ON r.id = g.id)
+SELECT first_id, id AS survivor_id FROM k WHERE n = 1
+"""
+
+
+@query(_P2_SQL)
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.best_records(table(spark, d, "extractions"))
+
+
+@query()
+def p2_merged(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.merged_records(table(spark, d, "extractions"))
