@@ -41,16 +41,21 @@ def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 _P6_SQL = """
-WITH v AS (SELECT provider, model_id, duration_ms AS v FROM model_calls WHERE duration_ms IS NOT NULL AND NOT isnan(duration_ms)),
-r AS (SELECT *, row_number() OVER (PARTITION BY provider, model_id ORDER BY v) AS k, count(*) OVER (PARTITION BY provider, model_id) AS n FROM v),
+WITH c AS (SELECT provider, model_id, CAST(called_at AS DATE) AS day, duration_ms AS v FROM model_calls WHERE duration_ms IS NOT NULL AND NOT isnan(duration_ms)),
+v AS (SELECT 'all' AS scope, provider, model_id, NULL::DATE AS day, v FROM c UNION ALL SELECT 'day', provider, model_id, day, v FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY scope, provider, model_id, day ORDER BY v) AS k, count(*) OVER (PARTITION BY scope, provider, model_id, day) AS n FROM v),
 q AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]::DOUBLE[]) AS q)
-SELECT provider, model_id, q, n, v AS value FROM r, q WHERE k = greatest(1, CAST(ceil(q * n) AS BIGINT))
+SELECT scope, provider, model_id, day, q, n, v AS value FROM r, q WHERE k = greatest(1, CAST(ceil(q * n) AS BIGINT))
 """
 
 
 @query(_P6_SQL)
 def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.percentiles(table(spark, d, "model_calls"), ["provider", "model_id"], "duration_ms")
+    """Exact percentiles of each model over all its calls (scope all) and over those of each day (scope day)."""
+    calls = table(spark, d, "model_calls").select("provider", "model_id", F.to_date("called_at").alias("_day"), "duration_ms")
+    scopes = F.array(F.struct(F.lit("all").alias("scope"), F.lit(None).cast("date").alias("day")), F.struct(F.lit("day").alias("scope"), F.col("_day").alias("day")))
+    rows = calls.select("provider", "model_id", "duration_ms", F.inline(scopes))
+    return quantiles.percentiles(rows, ["scope", "provider", "model_id", "day"], "duration_ms")
 
 
 @query()
