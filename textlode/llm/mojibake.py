@@ -33,8 +33,8 @@ WRONG_DECODERS = ("latin", "cp1250", "cp1251", "cp1253", "cp437", "cp850", "cp86
 # Lead characters that letters of real text never stand behind, so that one two-byte sequence suffices.
 SURE_LEADS = {"cp437": None, "cp866": None, "koi8_r": None, "cp850": "\N{BOX DRAWINGS LIGHT DOWN AND HORIZONTAL}\N{BOX DRAWINGS LIGHT VERTICAL AND RIGHT}\N{BOX DRAWINGS LIGHT HORIZONTAL}\N{BOX DRAWINGS LIGHT VERTICAL AND HORIZONTAL}", "mac_roman": "\N{NOT SIGN}\N{SQUARE ROOT}\N{LATIN SMALL LETTER F WITH HOOK}\N{ALMOST EQUAL TO}\N{INCREMENT}"}
 # Code points that restored text is made of (no rare letters, which come from chance pairs).
-PLAUSIBLE_TWO = "\xa0-\xffĀ-ſƠơƯưƒˆ˜̣̀́̃̉Ά-ώЁЄІЇА-ёєіїҐґא-ת،؛؟ء-ْ٠-٩پچڈڑژکگںھہۃیےۓ۔"
-PLAUSIBLE_MORE = "ऀ-ൿก-๛က-႟ა-ჿሀ-፿Ẁ-ỹ -⁯⁰-ₜ₠-₿℀-⅏←-⋿⌀-⏿─-➿⬀-⯿　-ヿ㐀-鿿가-힣-ﬀ-ﬆ️﻿-￯�\U0001f100-\U0001faff\U00020000-\U0003ffff"
+PLAUSIBLE_TWO = "\xa0-\xffĀ-ſƠơƯưƒˆ˜\N{COMBINING GRAVE ACCENT}\N{COMBINING ACUTE ACCENT}\N{COMBINING TILDE}\N{COMBINING HOOK ABOVE}\N{COMBINING DOT BELOW}Ά-ώЁЄІЇА-ёєіїҐґא-ת،؛؟ء-\N{ARABIC SUKUN}٠-٩پچڈڑژکگںھہۃیےۓ۔"
+PLAUSIBLE_MORE = "\N{DEVANAGARI SIGN INVERTED CANDRABINDU}-ൿก-๛က-႟ა-ჿሀ-፿Ẁ-ỹ\N{EN QUAD}-\N{NOMINAL DIGIT SHAPES}⁰-ₜ₠-₿℀-⅏←-⋿⌀-⏿─-➿⬀-⯿\N{IDEOGRAPHIC SPACE}-ヿ㐀-鿿가-힣\uf000-\uf8ffﬀ-ﬆ\N{VARIATION SELECTOR-16}\N{ZERO WIDTH NO-BREAK SPACE}-￯\N{REPLACEMENT CHARACTER}\U0001f100-\U0001faff\U00020000-\U0003ffff"
 
 
 @lru_cache(maxsize=None)
@@ -145,7 +145,7 @@ SINGLE_BYTE = {
     "iso8859_5": "А-яЁё",
     "mac_cyrillic": "А-яЁё",
     "cp1253": "Ά-ώ",
-    "cp1256": "،؛؟ء-ْپچگکیہںے",
+    "cp1256": "،؛؟ء-\N{ARABIC SUKUN}پچگکیہںے",
     "tis_620": "ก-๛",
     "cp1250": "Ą-ž\xd3\xf3\xc0-\xff",
     "iso8859_2": "Ą-ž\xd3\xf3\xc0-\xff",
@@ -160,7 +160,7 @@ _LETTERS = {k: re.compile(f"[{v}]") for k, v in SINGLE_BYTE.items()}
 _LOW = "a-z\xdf-\xf6\xf8-\xff"
 # Shapes that no real text has. Each is tried only if the text holds a character that it needs.
 _SHAPES: dict[str, re.Pattern[str]] = {
-    "lost": re.compile("[�\x80-\x84\x86-\x9f]"),
+    "lost": re.compile("[\N{REPLACEMENT CHARACTER}\x80-\x84\x86-\x9f]"),
     "graphic": re.compile(r"[^\W\d_][─-■]|[─-■][^\W\d_]|[─-▓]{2}[\xa0-\xff]|ΓÇ|α[╕╣]"),
     "letters": re.compile("[\xc0-\xd6\xd8-\xf6\xf8-\xff]{4,}|(?:[\xa1-\xff][!-~]?){6,}"),
     "inner_capital": re.compile(f"[{_LOW}][\xc0-\xd6\xd8-\xdeŠŽŸŒ][{_LOW}]"),
@@ -168,10 +168,10 @@ _SHAPES: dict[str, re.Pattern[str]] = {
     "alphabets": re.compile("[A-Za-z][Гб-дж-нпт-фц-яα-θπ-φΘΣΦΩ]|[Гб-дж-нпт-фц-яΘΣΦΩ][a-z]"),
     "inverted": re.compile("[а-яё][А-ЯЁ]{3}"),
     "odd_cyrillic": re.compile("[А-я][ЂЃЈ-Џђѓј-џҐ][А-я]|[ЂЃЉ-ЌЏђѓљ-ќџЎҐ]{2}|[ЂЃЇЉ-ЌЏЎҐ][\xa6-\xbf‘-…]|[\xa6-\xbf‘-…][ЂЃЇЉ-ЌЏЎҐ]"),
-    "kana": re.compile("(?:[‚ƒ][!-\xff–-™Œ-ƒ]){3}|[｡-ﾟ]{2}[^｡-ﾟ\\s　-ヿ]"),
+    "kana": re.compile("(?:[‚ƒ][!-\xff–-™Œ-ƒ]){3}|[｡-ﾟ]{2}[^｡-ﾟ\\s\N{IDEOGRAPHIC SPACE}-ヿ]"),
 }
 _NEEDS: dict[str, re.Pattern[str]] = {
-    "lost": re.compile("[�\x80-\x9f]"),
+    "lost": re.compile("[\N{REPLACEMENT CHARACTER}\x80-\x9f]"),
     "graphic": re.compile("[─-■Γα]"),
     "letters": re.compile("[\xa1-\xff]"),
     "inner_capital": re.compile("[\xc0-\xdeŒ-Ž]"),

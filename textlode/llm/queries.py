@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.core.session import table
-from textlode.llm import bpe, mojibake, quantiles, survivors
+from textlode.llm import bpe, mojibake, pieces, quantiles, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,3 +91,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p2_merged(spark: SparkSession, d: str) -> DataFrame:
     return survivors.merged_records(table(spark, d, "extractions"))
+
+
+@query(
+    """
+SELECT DISTINCT d.id AS document_id FROM input_docs d JOIN chunk_options o
+ON o.profile = CASE WHEN regexp_matches(d.metadata['chunkProfile'], '[^ ]') THEN d.metadata['chunkProfile'] ELSE 'default' END
+WHERE length(regexp_replace(d.text, '^[\\t\\n\\x0b\\f\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+|[\\t\\n\\x0b\\f\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+$', '', 'g')) > o.max_char_buffer
+"""
+)
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that come out in more than one piece."""
+    cut = pieces.cut_documents(table(spark, d, "input_docs"), table(spark, d, "chunk_options"), oversized_only=True)
+    return cut.filter("piece_no = 1").select(F.col("id").alias("document_id")).distinct()
+
+
+@query()
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "input_docs").dropDuplicates(["id"])
+    return pieces.cut_documents(docs, table(spark, d, "chunk_options"))
