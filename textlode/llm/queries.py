@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.core.session import table
-from textlode.llm import bpe, mojibake, pieces, quantiles, survivors
+from textlode.llm import bpe, lookalikes, mojibake, pieces, quantiles, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,3 +110,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "input_docs").dropDuplicates(["id"])
     return pieces.cut_documents(docs, table(spark, d, "chunk_options"))
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.find_lookalikes(table(spark, d, "extractions"), table(spark, d, "resolve_inputs"))
+
+
+@query()
+def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Both text columns in one form, spelt by the vocabulary of all of them."""
+    e = table(spark, d, "extractions").select(F.lit("extractions").alias("source_table"), F.col("extraction_id").alias("record_id"), "text").distinct()
+    r = table(spark, d, "resolve_inputs").select(F.lit("resolve_inputs").alias("source_table"), F.col("resolve_id").alias("record_id"), F.col("source_text").alias("text")).distinct()
+    both = e.unionByName(r).withColumn("record", F.struct("source_table", "record_id"))
+    out = lookalikes.canonical_texts(both, "record", "text", lookalikes.vocabulary(both, "text"))
+    return out.select("record.source_table", "record.record_id", "text", "canonical")
