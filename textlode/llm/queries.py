@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.core.session import table
-from textlode.llm import bpe, lookalikes, mojibake, pieces, quantiles, survivors
+from textlode.llm import bpe, lookalikes, mojibake, pieces, quantiles, sentences, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,3 +125,11 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     both = e.unionByName(r).withColumn("record", F.struct("source_table", "record_id"))
     out = lookalikes.canonical_texts(both, "record", "text", lookalikes.vocabulary(both, "text"))
     return out.select("record.source_table", "record.record_id", "text", "canonical")
+
+
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every distinct document, by a model fitted to all texts."""
+    docs = table(spark, d, "input_docs").select("id", "text").filter("text is not null").dropDuplicates(["id"])
+    units = sentences.split_documents(docs, sentences.fit(docs))
+    return units.select(F.col("id").alias("document_id"), "start_pos", "end_pos")
