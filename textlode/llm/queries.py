@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.core.session import table
-from textlode.llm import bpe, lookalikes, mojibake, pieces, quantiles, sentences, survivors
+from textlode.llm import bpe, lookalikes, mixing, mojibake, pieces, quantiles, sentences, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,3 +133,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "input_docs").select("id", "text").filter("text is not null").dropDuplicates(["id"])
     units = sentences.split_documents(docs, sentences.fit(docs))
     return units.select(F.col("id").alias("document_id"), "start_pos", "end_pos")
+
+
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    return mixing.mix_sources(mixing.token_sizes(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+@query()
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of a document in each mix."""
+    return _mixture(spark, d).rows
+
+
+@query()
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that each mix reached."""
+    return _mixture(spark, d).shares
