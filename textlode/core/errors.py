@@ -6,21 +6,21 @@ from __future__ import annotations
 class LodeError(Exception):
     """Base of all errors of the package; ``code`` is stable."""
 
-    code = "LODE_ERROR"
+    code = "lode_error"
 
 
 class InferenceError(LodeError):
-    code = "INFERENCE_ERROR"
+    code = "inference_error"
 
 
 class InferenceConfigError(InferenceError):
-    code = "INFERENCE_CONFIG_ERROR"
+    code = "inference_config_error"
 
 
 class InferenceRuntimeError(InferenceError):
     """A model call failed for good. Keeps the first cause and the provider."""
 
-    code = "INFERENCE_RUNTIME_ERROR"
+    code = "inference_runtime_error"
 
     def __init__(self, message: str, original: BaseException | None = None, provider: str | None = None):
         super().__init__(message)
@@ -28,33 +28,33 @@ class InferenceRuntimeError(InferenceError):
 
 
 class InferenceOutputError(InferenceError):
-    code = "INFERENCE_OUTPUT_ERROR"
+    code = "inference_output_error"
 
 
 class InvalidDocumentError(LodeError):
-    code = "INVALID_DOCUMENT_ERROR"
+    code = "invalid_document_error"
 
 
 class InternalError(LodeError):
-    code = "INTERNAL_ERROR"
+    code = "internal_error"
 
 
 class ProviderError(LodeError):
-    code = "PROVIDER_ERROR"
+    code = "provider_error"
 
 
 class SchemaError(LodeError):
-    code = "SCHEMA_ERROR"
+    code = "schema_error"
 
 
 class FormatError(LodeError):
-    code = "FORMAT_ERROR"
+    code = "format_error"
 
 
 class FormatParseError(FormatError):
     """A model output that can't be read; ``original_input`` is that output."""
 
-    code = "FORMAT_PARSE_ERROR"
+    code = "format_parse_error"
 
     def __init__(self, message: str, original_input: str = ""):
         super().__init__(message)
@@ -62,27 +62,27 @@ class FormatParseError(FormatError):
 
 
 class TokenizerError(LodeError):
-    code = "TOKENIZER_ERROR"
+    code = "base_tokenizer_error"
 
 
 class InvalidTokenIntervalError(TokenizerError):
-    code = "INVALID_TOKEN_INTERVAL_ERROR"
+    code = "invalid_token_interval_error"
 
 
 class SentenceRangeError(TokenizerError):
-    code = "SENTENCE_RANGE_ERROR"
+    code = "sentence_range_error"
 
 
 class TokenUtilError(LodeError):
-    code = "TOKEN_UTIL_ERROR"
+    code = "token_util_error"
 
 
 class PromptTemplateError(LodeError):
-    code = "PROMPT_TEMPLATE_ERROR"
+    code = "prompt_template_error"
 
 
 class PromptValidationError(LodeError):
-    code = "PROMPT_VALIDATION_ERROR"
+    code = "prompt_validation_error"
 
     def __init__(self, message: str, report: object = None):
         super().__init__(message)
@@ -90,9 +90,9 @@ class PromptValidationError(LodeError):
 
 
 class PromptAlignmentError(PromptValidationError):
-    code = "PROMPT_ALIGNMENT_ERROR"
+    code = "prompt_alignment_error"
 
 
 def error_code(e: BaseException) -> str:
-    """The stable code of an exception, UNKNOWN_ERROR for foreign ones."""
-    return getattr(e, "code", "UNKNOWN_ERROR") if isinstance(e, LodeError) else "UNKNOWN_ERROR"
+    """The stable code of an exception, unknown_error for foreign ones."""
+    return getattr(e, "code", "unknown_error") if isinstance(e, LodeError) else "unknown_error"

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from textlode.core.session import table
+from textlode.control import registry
+from textlode.core import jstext
+from textlode.core.session import shared_dir, table
+from textlode.operators import align, candidates, merge, model, prompts, tokens, viz
+from textlode.plans import pipeline
+from textlode.sources import jsonl
 from textlode.sources.strict_rows import check_answers, check_lines, split_rows
+from textlode.streaming import extract as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,3 +47,492 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(answers.select(F.lit("resolve_inputs").alias("source_table"), F.col("resolve_id").alias("record_id")))
         .distinct()
     )
+
+
+# Tokens and sentences
+
+
+_WS = r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+
+
+@query(
+    r"""
+SELECT lower(coalesce(lang, 'none')) AS lang, count(*) AS n_docs,
+  CAST(coalesce(sum(len(regexp_extract_all(text, '[\p{L}\p{M}]+'))), 0) AS BIGINT) AS n_words, CAST(coalesce(sum(len(regexp_extract_all(text, '\p{N}+'))), 0) AS BIGINT) AS n_numbers
+FROM documents GROUP BY 1
+"""
+)
+def q_token_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    counts = tokens.token_counts("text")
+    docs = table(spark, d, "documents").select(F.lower(F.coalesce("lang", F.lit("none"))).alias("lang"), counts["n_words"].cast("bigint").alias("w"), counts["n_numbers"].cast("bigint").alias("n"))
+    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("w"), F.lit(0)).alias("n_words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_numbers"))
+
+
+def _distinct_docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "input_docs").dropDuplicates(["id"])
+
+
+def _tokenized(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that the test data give tokens for."""
+    given = table(spark, d, "tokenized_texts").filter("tokens is not null").select(F.col("document_id").alias("id")).distinct()
+    return _distinct_docs(spark, d).join(given, "id", "left_semi").select(F.col("id").alias("document_id"), "text")
+
+
+_TOKENS_SQL = """
+t AS (SELECT DISTINCT document_id, tokens FROM tokenized_texts WHERE tokens IS NOT NULL),
+k AS (SELECT document_id, unnest(tokens) AS x FROM t)"""
+
+
+@query(f"WITH {_TOKENS_SQL} SELECT document_id, x.idx AS idx, x.token_type AS token_type, x.start_pos AS start_pos, x.end_pos AS end_pos, x.after_newline AS after_newline FROM k")
+def q_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.tokens_of(_tokenized(spark, d), "document_id")
+
+
+_SENTENCES_SQL = (
+    "WITH "
+    + _TOKENS_SQL
+    + r""",
+w AS (SELECT k.document_id, x.idx AS i, x.token_type AS ty, x.start_pos AS a, x.end_pos AS b, x.after_newline AS nl, substr(d.text, x.start_pos + 1, x.end_pos - x.start_pos) AS tok
+  FROM k JOIN (SELECT DISTINCT id, text FROM input_docs) d ON d.id = k.document_id),
+f AS (SELECT *, lag(tok) OVER o AS prev, lead(nl) OVER o AS nnl, substr(lead(tok) OVER o, 1, 1) AS nc, ty = 2 AND tok IN ('"', '''', '”', '’', '»', ')', ']', '}') AS closer, lead(i) OVER o IS NULL AS last
+  FROM w WINDOW o AS (PARTITION BY document_id ORDER BY i)),
+g AS (SELECT *, ty = 2 AND right(tok, 1) IN ('.', '?', '!', '。', '！', '？', '।') AND coalesce(prev, '') || tok NOT IN ('Mr.', 'Mrs.', 'Ms.', 'Dr.', 'Prof.', 'St.') AS stop,
+  coalesce(nnl, false) AND NOT (lower(nc) = nc AND upper(nc) <> nc) AS brk FROM f),
+h AS (SELECT *, sum(CASE WHEN closer THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY i) AS island FROM g),
+e AS (SELECT *, bool_or(stop) OVER (PARTITION BY document_id, island) AS stopped, max(i) OVER (PARTITION BY document_id, island) AS island_end FROM h),
+c AS (SELECT document_id, i, CASE WHEN stopped THEN i = island_end ELSE brk END OR last AS ends, a, b FROM e),
+n AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM c)
+SELECT document_id, CAST(s AS INTEGER) AS sentence_no, min(i) AS start_tok, max(i) + 1 AS end_tok, min(a) AS start_pos, max(b) AS end_pos FROM n GROUP BY document_id, s
+"""
+)
+
+
+@query(_SENTENCES_SQL)
+def q_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.sentences_of(_tokenized(spark, d), "document_id")
+
+
+@query()
+def q_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all documents under the budget of their profile."""
+    budget = table(spark, d, "chunk_options").select(F.col("profile").alias("_p"), "max_char_buffer")
+    docs = _distinct_docs(spark, d).withColumn("_profile", F.coalesce(F.try_element_at("metadata", F.lit("chunkProfile")), F.lit("default")))
+    docs = docs.join(F.broadcast(budget), F.col("_profile") == F.col("_p"), "left")
+    return tokens.chunks_of(docs, "id", F.coalesce("max_char_buffer", F.lit(1000)))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT DISTINCT id, text FROM input_docs) WHERE text IS NOT NULL")
+def q_tiling(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles join to their text again: counts the documents for which they do."""
+    docs = _distinct_docs(spark, d).filter("text is not null").withColumn("again", F.array_join(tokens.token_tiles("text"), ""))
+    return docs.filter("again = text").agg(F.count("*").alias("n_docs"), F.sum(F.length("again")).cast("bigint").alias("chars"))
+
+
+# Contexts and prompts
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "resolve_inputs").dropDuplicates(["resolve_id"])
+
+
+_CHUNK_SQL = "r AS (SELECT DISTINCT resolve_id, document_id, chunk_index, char_offset, source_text, model_output FROM resolve_inputs)"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+
+
+def _blank(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, '[^{_WS}]') THEN {x} END"
+
+
+@query(
+    f"""
+WITH {_CHUNK_SQL}, l AS (SELECT *, {_trim("right(lag(source_text) OVER (PARTITION BY document_id ORDER BY chunk_index), 200)")} AS tail FROM r),
+m AS (SELECT id, any_value(metadata['additionalContext']) AS own FROM input_docs GROUP BY id),
+c AS (SELECT resolve_id, {_blank("own")} AS own, CASE WHEN length(tail) > 0 THEN 'Previous chunk context:' || chr(10) || tail END AS prev FROM l LEFT JOIN m ON m.id = l.document_id)
+SELECT resolve_id, CASE WHEN own IS NULL THEN prev WHEN prev IS NULL THEN own ELSE own || chr(10) || chr(10) || prev END AS chunk_context FROM c
+"""
+)
+def q_context_window(spark: SparkSession, d: str) -> DataFrame:
+    return _with_context(spark, d).select("resolve_id", "chunk_context")
+
+
+def _with_context(spark: SparkSession, d: str) -> DataFrame:
+    own = _distinct_docs(spark, d).select(F.col("id").alias("_id"), F.try_element_at("metadata", F.lit("additionalContext")).alias("_own"))
+    chunks = _chunks(spark, d).join(own, F.col("document_id") == F.col("_id"), "left").drop("_id")
+    return tokens.with_context(chunks, "document_id", "chunk_index", "source_text", 200, F.col("_own"))
+
+
+_PROMPTS = prompts.PromptOptions(description="Find people and drugs.", schema=(("person", "a name"), ("medication", None)), questions=("Who?", " What? "))
+_HEAD = "You are an information extraction assistant.\nTask:\nFind people and drugs.\n\nContext:\n"
+_TAIL = '\n\nExtraction schema:\n1. person: a name\n2. medication\n\nQuestions:\n1. Who?\n2. What?\n\nInput text:\n'
+_END = '\n\nReturn JSON only in this shape:\n{"extractions":[{"text":"","label":"","confidence":0.0}]}'
+
+
+@query(
+    f"""
+WITH {_CHUNK_SQL}, m AS (SELECT id, any_value(metadata['additionalContext']) AS own FROM input_docs GROUP BY id)
+SELECT resolve_id, '{_HEAD}' || coalesce({_trim(_blank("own"))}, 'No additional context provided.') || '{_TAIL}' || {_trim("source_text")} || '{_END}' AS prompt
+FROM r LEFT JOIN m ON m.id = r.document_id WHERE source_text IS NOT NULL
+"""
+)
+def q_prompts(spark: SparkSession, d: str) -> DataFrame:
+    own = _distinct_docs(spark, d).select(F.col("id").alias("_id"), F.try_element_at("metadata", F.lit("additionalContext")).alias("_own"))
+    chunks = _chunks(spark, d).filter("source_text is not null").join(own, F.col("document_id") == F.col("_id"), "left")
+    return chunks.select("resolve_id", prompts.prompt(F.col("source_text"), tokens.compose_context(F.col("_own")), _PROMPTS).alias("prompt"))
+
+
+@query(
+    f"""
+WITH {_CHUNK_SQL} SELECT resolve_id, 'Answer the question using only the provided context.' || chr(10) || 'If the answer is unknown, use an empty answer and confidence 0.' || chr(10) || 'Question:' || chr(10) || 'Who was seen?'
+|| chr(10) || chr(10) || 'Context:' || chr(10) || {_trim("source_text")} || chr(10) || chr(10) || 'Return YAML in this shape:' || chr(10) || 'answer: <short answer>' || chr(10) || 'confidence: <0..1>' || chr(10) || 'evidence: <quoted phrase from context>' AS prompt FROM r WHERE source_text IS NOT NULL
+"""
+)
+def q_qa_prompts(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _chunks(spark, d).filter("source_text is not null")
+    return chunks.select("resolve_id", prompts.qa_prompt(" Who was seen? ", F.col("source_text"), "yaml").alias("prompt"))
+
+
+@query(
+    f"""
+WITH {_CHUNK_SQL} SELECT resolve_id, CAST(length({_trim("source_text")}) = 0 AS INTEGER) AS is_empty, CAST(length({_trim("source_text")}) > 400 AS INTEGER) AS too_long,
+CAST(NOT regexp_matches(source_text, '(?i)json') AS INTEGER) AS no_json FROM r WHERE source_text IS NOT NULL
+"""
+)
+def q_prompt_lint(spark: SparkSession, d: str) -> DataFrame:
+    codes = _chunks(spark, d).filter("source_text is not null").withColumn("issues", prompts.lint(F.col("source_text"), 400))
+    has = lambda c: F.array_contains("issues", c).cast("int")
+    return codes.select("resolve_id", has("empty-prompt").alias("is_empty"), has("too-long").alias("too_long"), has("missing-json-instruction").alias("no_json"))
+
+
+# Answers and alignment
+
+
+@query()
+def q_parse_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The records of all answers, aligned to their chunk; failing answers with their error."""
+    return candidates.resolve_answers(_chunks(spark, d), ["resolve_id"], resolver=candidates.Resolver(index_suffix=None))
+
+
+@query(
+    """
+WITH e AS (SELECT DISTINCT extraction_id, resolve_id, text FROM extractions), r AS (SELECT DISTINCT resolve_id, source_text FROM resolve_inputs),
+p AS (SELECT extraction_id, text, strpos(source_text, text) - 1 AS a, source_text FROM e JOIN r USING (resolve_id) WHERE length(trim(text)) > 0)
+SELECT extraction_id, 'exact' AS status, CAST(a AS INTEGER) AS start_pos, CAST(a + length(text) AS INTEGER) AS end_pos FROM p WHERE a >= 0
+"""
+)
+def q_align_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Extractions that stand in their chunk character for character."""
+    rows = _extraction_sources(spark, d).filter(F.contains("source_text", "text") & (F.length(F.trim("text")) > 0))
+    out = rows.select("extraction_id", align.exact_span(F.col("source_text"), F.col("text")).alias("a"))
+    return out.select("extraction_id", "a.status", F.col("a.start").alias("start_pos"), F.col("a.end").alias("end_pos"))
+
+
+def _extraction_sources(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "extractions").select("extraction_id", "resolve_id", "text").dropDuplicates(["extraction_id"])
+    r = _chunks(spark, d).select("resolve_id", "source_text")
+    return e.join(r, "resolve_id")
+
+
+@query()
+def q_align(spark: SparkSession, d: str) -> DataFrame:
+    """All steps of the alignment for all extractions."""
+    out = align.align_columns(_extraction_sources(spark, d), "source_text", "text")
+    return out.select("extraction_id", "alignment.status", F.col("alignment.start").alias("start_pos"), F.col("alignment.end").alias("end_pos"), "alignment.score")
+
+
+_SPANS = "SELECT DISTINCT extraction_id, document_id, label, text, start_pos, end_pos, confidence, alignment_status, pass FROM extractions"
+
+
+def _status(x: str = "alignment_status") -> str:
+    return f"CASE WHEN {x} IN ('exact', 'match_exact') THEN 'exact' WHEN {x} IN ('lesser', 'match_lesser', 'match_greater') THEN 'lesser' ELSE 'fuzzy' END"
+
+
+@query(f"SELECT {_status()} AS alignment_status, pass, count(*) AS n FROM ({_SPANS}) GROUP BY 1, 2")
+def q_status_by_pass(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "extractions").dropDuplicates(["extraction_id"])
+    return e.groupBy(merge.normalize_status("alignment_status").alias("alignment_status"), "pass").agg(F.count("*").alias("n"))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "extractions").dropDuplicates(["extraction_id"])
+    e = e.withColumn("alignment_status", merge.normalize_status("alignment_status"))
+    return e.select("extraction_id", *merge.KEY, "pass", "confidence", "alignment_status", "alignment_score")
+
+
+_RANKED = f"""
+n AS (SELECT *, {_status()} AS st FROM ({_SPANS})),
+k AS (SELECT *, row_number() OVER (PARTITION BY document_id, label, start_pos, end_pos, text ORDER BY CASE st WHEN 'exact' THEN 3 WHEN 'lesser' THEN 2 ELSE 1 END DESC, coalesce(confidence, 0) DESC, pass, extraction_id) AS rn FROM n)"""
+
+
+@query(f"WITH {_RANKED} SELECT extraction_id FROM k WHERE rn = 1")
+def q_dedup_prefer(spark: SparkSession, d: str) -> DataFrame:
+    return merge.dedup(_records(spark, d), "extraction_id").select("extraction_id")
+
+
+def _merge_sql(passes: int) -> str:
+    rank = "CASE st WHEN 'exact' THEN 3 WHEN 'lesser' THEN 2 ELSE 1 END DESC, coalesce(confidence, 0) DESC, pass, extraction_id"
+    best = f"SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY document_id, label, start_pos, end_pos, text ORDER BY {rank}) AS rn FROM {{}}) WHERE rn = 1"
+    steps = [f"n AS (SELECT *, {_status()} AS st FROM ({_SPANS}))", f"k0 AS ({best.format('(SELECT * FROM n WHERE pass = 0)')})"]
+    for p in range(1, passes):
+        fresh = f"""(SELECT * FROM n WHERE pass = {p} AND NOT (start_pos >= 0 AND end_pos > start_pos AND EXISTS (SELECT 1 FROM k{p - 1} k WHERE k.document_id = n.document_id
+ AND k.start_pos >= 0 AND k.end_pos > k.start_pos AND k.start_pos < n.end_pos AND n.start_pos < k.end_pos)))"""
+        steps.append(f"k{p} AS ({best.format(f'(SELECT * FROM k{p - 1} UNION ALL SELECT * FROM {fresh})')})")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT extraction_id FROM k{passes - 1}"
+
+
+@query(_merge_sql(4))
+def q_merge_passes(spark: SparkSession, d: str) -> DataFrame:
+    return merge.merge_passes(_records(spark, d), "extraction_id", range(4)).select("extraction_id")
+
+
+@query(
+    f"""WITH {_RANKED}, x AS (SELECT * FROM k WHERE rn = 1)
+SELECT d.id AS document_id, CAST(count(x.extraction_id) AS INTEGER) AS n, string_agg(x.text, '|' ORDER BY x.start_pos, x.end_pos, x.extraction_id) AS texts
+FROM (SELECT DISTINCT id FROM input_docs) d LEFT JOIN x ON x.document_id = d.id GROUP BY d.id"""
+)
+def q_by_document(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with its extractions in order, those without any too."""
+    docs = _distinct_docs(spark, d).select(F.col("id").alias("document_id"))
+    kept = merge.dedup(_records(spark, d), "extraction_id").withColumn("label", F.lit("x"))  # label order differs between engines
+    out = merge.by_document(docs, kept, "extraction_id")
+    texts = F.array_join(F.transform("extractions", lambda x: x["text"]), "|")
+    return out.select("document_id", F.size("extractions").alias("n"), F.when(F.size("extractions") > 0, texts).alias("texts"))
+
+
+# Sources and sinks
+
+
+@query(
+    r"""
+WITH l AS (SELECT DISTINCT row_id, file_name, rtrim(line, chr(13)) AS line FROM csv_rows),
+p AS (SELECT row_id, header_cols, id_key, text_key, string_split(line, coalesce(delimiter, ',')) AS f FROM l JOIN csv_sources USING (file_name) WHERE NOT contains(line, '"') AND regexp_matches(line, '[^\s]')),
+q AS (SELECT row_id, list_position(header_cols, id_key) AS i, list_position(header_cols, text_key) AS t, f FROM p)
+SELECT row_id, f[i] AS id FROM q WHERE len(f) >= greatest(i, t) AND NOT regexp_matches(array_to_string(f, ' '), '[\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}\x{feff}]$')
+"""
+)
+def q_csv_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of dataset rows. The SQL splits lines without quotes only, so the others are left out after the operator has read them."""
+    lines = table(spark, d, "csv_rows").dropDuplicates(["row_id"])
+    source = table(spark, d, "csv_sources").withColumnRenamed("file_name", "_f")
+    rows = lines.join(F.broadcast(source), F.col("file_name") == F.col("_f"))
+    quoted = rows.filter(F.contains("line", F.lit('"')) | F.col("line").rlike("[\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{3000}\\x{feff}]\\r?$")).select(F.col("row_id").alias("_q"))
+    out = jsonl.dataset_rows(rows, F.col("header_cols"), F.col("delimiter"), F.col("id_key"), F.col("text_key"), ["row_id"])
+    return out.join(quoted, F.col("row_id") == F.col("_q"), "left_anti").select("row_id", "id")
+
+
+@query(
+    f"""
+WITH e AS (SELECT DISTINCT extraction_id, document_id, label, text, start_pos, end_pos, alignment_status, alignment_score, pass FROM extractions)
+SELECT document_id, label, text, start_pos AS start, end_pos AS "end", {_status()} AS alignment_status, coalesce(alignment_score, 0) AS alignment_score, coalesce(pass, 0) AS pass, count(*) AS n
+FROM e WHERE document_id IN (SELECT id FROM input_docs) GROUP BY ALL
+"""
+)
+def q_jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Annotated documents written as JSON Lines and loaded again."""
+    docs = _distinct_docs(spark, d).select(F.col("id").alias("document_id"), "text")
+    records = jsonl.annotated_records(docs, table(spark, d, "extractions").dropDuplicates(["extraction_id"]))
+    path = f"{shared_dir(spark).rstrip('/')}/textlode/jsonl-{uuid.uuid4().hex}"
+    jsonl.save_annotated(records, path)
+    back = jsonl.load_annotated(spark, path).filter("label is not null")
+    return back.groupBy("document_id", "label", "text", "start", "end", "alignment_status", "alignment_score", "pass").agg(F.count("*").alias("n"))
+
+
+_HOST = r"(?i)^https?://([A-Za-z0-9.-]+)(/[^\s]*)?$"
+
+
+@query(
+    rf"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\S*[:/]\S*')) AS word FROM documents WHERE text IS NOT NULL)
+SELECT word, regexp_matches(word, '{_HOST}') AND (contains(regexp_extract(word, '{_HOST}', 1), '.')) AS is_url FROM w WHERE regexp_matches(word, '^[!-~]+$') AND regexp_matches(word, '^https?://')
+"""
+)
+def q_is_url(spark: SparkSession, d: str) -> DataFrame:
+    """Words of documents that begin like an address, and whether they are one."""
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\S*[:/]\S*"), F.lit(0))).alias("word")).distinct()
+    return words.filter(F.col("word").rlike(r"\A[!-~]+\z") & F.col("word").rlike(r"\Ahttps?://")).select("word", jsonl.is_url("word").alias("is_url"))
+
+
+@query("SELECT id, count(*) AS n FROM input_docs GROUP BY id HAVING count(*) > 1")
+def q_duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "input_docs").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query(
+    """
+WITH e AS (SELECT DISTINCT extraction_id, raw FROM extractions WHERE raw IS NOT NULL)
+SELECT extraction_id, list_sort(list_filter(json_keys(raw), lambda k: k NOT IN ('text', 'label', 'start', 'end', 'confidence'))) AS keys FROM e WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'
+"""
+)
+def q_raw_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """The keys of raw records that are attributes."""
+    e = table(spark, d, "extractions").dropDuplicates(["extraction_id"]).withColumn("a", jsonl.attributes_json(F.col("raw")))
+    return e.filter("a is not null").select("extraction_id", F.array_sort(F.coalesce(F.json_object_keys("a"), F.array().cast("array<string>"))).alias("keys"))
+
+
+# Model calls
+
+
+@query(r"SELECT call_id, left(regexp_replace(regexp_replace(error_message, '(?i)(api[_-]?key\s*[:=]\s*)([^\s,;]+)', '\1[REDACTED]', 'g'), '(?i)(authorization\s*[:=]\s*bearer\s+)([^\s,;]+)', '\1[REDACTED]', 'g'), 600) AS message, regexp_matches(error_message, '(?i)deprecated|not found|temporar|unavailable|rate limit|overload') AS retriable FROM (SELECT DISTINCT call_id, error_message FROM model_calls) WHERE error_message IS NOT NULL")
+def q_call_errors(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "model_calls").filter("error_message is not null").select("call_id", "error_message").distinct()
+    return calls.select("call_id", prompts.redact(F.col("error_message")).alias("message"), F.col("error_message").rlike(model.RETRIABLE_SQL).alias("retriable"))
+
+
+@query(
+    """
+WITH c AS (SELECT DISTINCT call_id, document_id, provider, model_id, attempt, fallback_used, success FROM model_calls)
+SELECT provider, model_id, count(*) AS n_calls, CAST(sum(CAST(success AS INTEGER)) AS BIGINT) AS n_ok, CAST(sum(CAST(fallback_used AS INTEGER)) AS BIGINT) AS n_fallback, max(attempt) AS max_attempt, count(DISTINCT document_id) AS n_docs FROM c GROUP BY 1, 2
+"""
+)
+def q_model_events(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "model_calls").select("call_id", "document_id", "provider", "model_id", "attempt", "fallback_used", "success").distinct()
+    return c.groupBy("provider", "model_id").agg(
+        F.count("*").alias("n_calls"), F.sum(F.col("success").cast("int")).alias("n_ok"), F.sum(F.col("fallback_used").cast("int")).alias("n_fallback"),
+        F.max("attempt").alias("max_attempt"), F.countDistinct("document_id").alias("n_docs"),
+    )
+
+
+@query(
+    f"""
+WITH {_CHUNK_SQL} SELECT resolve_id, CASE WHEN length(p) <= 160 THEN p ELSE left(p, 157) || '...' END AS preview, CAST(length(source_text) AS INTEGER) AS chars
+FROM (SELECT *, {_trim(f"regexp_replace(source_text, '[{_WS}]+', ' ', 'g')")} AS p FROM r WHERE source_text IS NOT NULL)
+"""
+)
+def q_debug_preview(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).filter("source_text is not null").select("resolve_id", prompts.debug_preview(F.col("source_text")).alias("preview"), F.length("source_text").alias("chars"))
+
+
+@query(
+    """
+WITH r AS (SELECT DISTINCT resolve_id, source_text FROM resolve_inputs)
+SELECT resolve_id, row_number() OVER o AS completed_chunks, count(*) OVER () AS total_chunks, CAST(sum(coalesce(length(source_text), 0)) OVER o AS BIGINT) AS processed_chars, CAST(sum(coalesce(length(source_text), 0)) OVER () AS BIGINT) AS total_chars
+FROM r WINDOW o AS (ORDER BY resolve_id ROWS UNBOUNDED PRECEDING)
+"""
+)
+def q_progress_running(spark: SparkSession, d: str) -> DataFrame:
+    out = viz.running_progress(_chunks(spark, d).select("resolve_id", "source_text"), ["resolve_id"], "source_text")
+    return out.select("resolve_id", F.col("completed_chunks").cast("bigint").alias("completed_chunks"), "total_chunks", F.col("processed_chars").cast("bigint").alias("processed_chars"), "total_chars")
+
+
+@query("WITH r AS (SELECT DISTINCT resolve_id FROM resolve_inputs) SELECT resolve_id, CAST((row_number() OVER (ORDER BY resolve_id) - 1) // 10 AS BIGINT) AS batch_no FROM r")
+def q_batches(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.batches_of(_chunks(spark, d).select("resolve_id"), 10, ["resolve_id"]).select("resolve_id", "batch_no")
+
+
+@query(
+    """
+WITH d AS (SELECT DISTINCT id, text FROM input_docs WHERE text IS NOT NULL)
+SELECT id, n.n AS attempt, n.n > 1 AS fallback_used, n.n = CASE WHEN length(text) % 2 = 1 THEN 2 ELSE 1 END AS success FROM d, (SELECT unnest([1, 2]) AS n) n WHERE n.n <= CASE WHEN length(text) % 2 = 1 THEN 2 ELSE 1 END
+"""
+)
+def q_fallback_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a chain whose first model is unavailable for texts of odd length."""
+    docs = _distinct_docs(spark, d).filter("text is not null").select("id", F.col("text").alias("prompt"))
+    chain = model.Chain([model.Model("flaky", "a", _odd_fails), model.Model("steady", "b", _echo)])
+    return model.call_events(model.generate(docs, chain), "id").select("id", "attempt", "fallback_used", "success")
+
+
+def _odd_fails(p: str, settings: object) -> str:
+    if len(p) % 2:
+        raise model.ModelError("busy", 503)
+    return p
+
+
+def _echo(p: str, settings: object) -> str:
+    return p
+
+
+_ALIASES = [("fast", "fast-2"), ("fast-2", "fast-3"), ("fast-3", "fast-4"), ("best", "fast"), ("a", "b"), ("b", "a"), ("solo", "solo-1"), ("best-eu", "best")]
+
+
+@query(
+    f"""
+WITH RECURSIVE t(alias, target) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _ALIASES)}),
+w AS (SELECT alias, target, 1 AS hops FROM t UNION ALL SELECT w.alias, t.target, hops + 1 FROM w JOIN t ON t.alias = w.target WHERE hops < 17),
+e AS (SELECT w.alias, w.target, hops FROM w WHERE target NOT IN (SELECT alias FROM t) AND hops <= 16)
+SELECT t.alias, e.target, e.hops FROM t LEFT JOIN e ON e.alias = t.alias
+"""
+)
+def q_alias_resolution(spark: SparkSession, d: str) -> DataFrame:
+    return registry.resolve_aliases(spark.createDataFrame(_ALIASES, "alias string, target string"))
+
+
+# Pages
+
+
+@query(
+    """
+WITH l AS (SELECT DISTINCT lower(trim(coalesce(label, 'unknown'))) AS label FROM extractions)
+SELECT label, (['#D2E3FC', '#C8E6C9', '#FEF0C3', '#F9DEDC', '#FFDDBE', '#EADDFF', '#C4E9E4', '#FCE4EC', '#E8EAED', '#DDE8E8'])[CAST((row_number() OVER (ORDER BY label) - 1) % 10 + 1 AS BIGINT)] AS color FROM l
+"""
+)
+def q_label_colors(spark: SparkSession, d: str) -> DataFrame:
+    return viz.label_colors(table(spark, d, "extractions").select(F.lower(F.trim(F.coalesce("label", F.lit("unknown")))).alias("label")))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM documents WHERE text IS NOT NULL")
+def q_html_escape(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", viz.escape_html("text").alias("html"))
+
+
+@query()
+def q_highlight_html(spark: SparkSession, d: str) -> DataFrame:
+    docs = _distinct_docs(spark, d).select(F.col("id").alias("document_id"), "text")
+    return viz.pages(merge.by_document(docs, merge.dedup(_records(spark, d), "extraction_id"), "extraction_id"))
+
+
+@query("SELECT doc_id, CAST(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10ffff}]')) AS INTEGER) AS n FROM documents WHERE text IS NOT NULL")
+def q_utf16_length(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", jstext.utf16_length("text").alias("n"))
+
+
+# The pipeline
+
+
+def _pipeline_docs(spark: SparkSession, d: str) -> DataFrame:
+    return _distinct_docs(spark, d).select(F.col("id").alias("document_id"), "text", "metadata")
+
+
+@query()
+def q_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pipeline over all documents with the rule model, in two passes."""
+    return pipeline.extract(_pipeline_docs(spark, d), options=pipeline.PipelineOptions(passes=2, context_window_chars=100))
+
+
+_DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"
+
+
+@query(
+    rf"""
+WITH d AS (SELECT DISTINCT id, text FROM input_docs WHERE text IS NOT NULL)
+SELECT id AS document_id, unnest(regexp_extract_all(text, '{_DATE}')) AS text FROM d
+"""
+)
+def q_extract_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates that the pipeline finds: as many of each as the document holds."""
+    chain = model.Chain([model.Model("rules", "dates", model.RuleModel((("date", _DATE),)))])
+    found = pipeline.extract(_pipeline_docs(spark, d), chain, pipeline.PipelineOptions(max_char_buffer=1_000_000, resolver=candidates.Resolver()))
+    # records of one chunk align to the first place of their text; each distinct date counts as often as it stands there
+    dates = found.select("document_id", "text").distinct().join(_pipeline_docs(spark, d).select(F.col("document_id").alias("_d"), F.col("text").alias("_t")), F.col("document_id") == F.col("_d"))
+    times = F.size(F.filter(F.regexp_extract_all("_t", F.lit(_DATE), F.lit(0)), lambda x: x == F.col("text")))
+    return dates.select("document_id", F.explode(F.array_repeat("text", times)).alias("text"))
+
+
+@query()
+def q_stream_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The pipeline over a stream of the documents."""
+    base = f"{shared_dir(spark).rstrip('/')}/textlode/stream-{uuid.uuid4().hex}"
+    source = table(spark, d, "input_docs").select(F.col("id").alias("document_id"), "text")
+    source.dropDuplicates(["document_id"]).write.parquet(f"{base}/in")
+    docs = stream.stream_documents(spark, f"{base}/in", "document_id string, text string")
+    stream.extract_stream(docs, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+@query("WITH e AS (SELECT DISTINCT extraction_id, document_id, lower(trim(label)) AS label FROM extractions), n AS (SELECT document_id, label, count(*) AS n FROM e GROUP BY 1, 2) SELECT label, document_id, n FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, document_id) AS k FROM n) WHERE k <= 3")
+def q_topk_label(spark: SparkSession, d: str) -> DataFrame:
+    """The three documents with most extractions of each label."""
+    n = table(spark, d, "extractions").select("extraction_id", "document_id", F.lower(F.trim("label")).alias("label")).distinct().groupBy("document_id", "label").agg(F.count("*").alias("n"))
+    return n.withColumn("k", F.row_number().over(W.partitionBy("label").orderBy(F.desc("n"), "document_id"))).filter("k <= 3").select("label", "document_id", "n")
