@@ -94,7 +94,7 @@ def check_lines(lines: DataFrame, sources: DataFrame) -> DataFrame:
         F.array(
             F.when(F.col("_file").isNull(), F.lit("unknown_file")),
             F.when(F.col("_file").isNotNull() & ~F.col("_sound"), F.lit("broken_quoting")),
-            F.when(F.col("_sound") & ~F.col("_fits"), F.lit("column_count")),
+            F.when(F.col("_file").isNotNull() & F.col("_sound") & ~F.col("_fits"), F.lit("column_count")),
             rule(~has("id") | not_blank(v["id"]), "bad_value:id"),
             rule(~has("start_pos") | v["start_pos"].rlike(digits), "bad_value:start_pos"),
             rule(~has("end_pos") | v["end_pos"].rlike(digits), "bad_value:end_pos"),
