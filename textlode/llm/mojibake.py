@@ -90,12 +90,23 @@ class SpanAutomaton:
         m = byte_of(self.wrong)
         return bytes(m[c] for c in span).decode("utf-8")
 
-    def spans(self, text: str) -> Iterator[tuple[int, int, str]]:
+    def spans(self, text: str, sure: bool = False) -> Iterator[tuple[int, int, str]]:
+        """(start, end, decoded) of the credible spans; once a text is ``sure`` to have come through this decoder, of all that decode to plausible text."""
         for s in self.pattern.finditer(text):
             d = self.decode(s[0])
-            if self._credible(text, s.start(), s[0], d):
+            if self._credible(text, s.start(), s[0], d) or sure and self._likely(text, s.start(), s[0], d):
                 yield s.start(), s.end(), d
 
+    def _likely(self, text: str, at: int, span: str, decoded: str) -> bool:
+        if not _PLAUSIBLE.fullmatch(decoded):
+            return False
+        before = text[at - 1 : at]
+        if self.wrong in ("cp866", "koi8_r"):
+            return bool(_BOX.search(span))
+        if self.wrong in ("cp1251", "cp1253"):
+            return not ("\N{GREEK CAPITAL LETTER ALPHA}" <= before <= "ӿ") or span[1] not in _CLOSERS
+        return not (before.isupper() and span[0].isupper() and span[1] in _CLOSERS)
+
     def _credible(self, text: str, at: int, span: str, decoded: str) -> bool:
         if self.wrong in ("cp866", "koi8_r") and not _BOX.search(span):
             return False  # their trail and three-byte lead characters are plain Cyrillic letters
@@ -187,14 +198,16 @@ def _outside_ascii(text: str) -> str:
     return "".join(sorted(c for c in set(text) if c > "\x7f"))
 
 
-def utf8_spans(text: str, held: str | None = None) -> tuple[str | None, list[tuple[int, int, str]]]:
-    """The wrong decoder whose credible UTF-8 spans cover most of a text, and those spans."""
+def utf8_spans(text: str, held: str | None = None, all_spans: bool = False) -> tuple[str | None, list[tuple[int, int, str]]]:
+    """The wrong decoder whose credible UTF-8 spans cover most of a text, and those spans; with ``all_spans`` its likely ones too."""
     have = set(_outside_ascii(text) if held is None else held)
     best: tuple[int, str | None, list[tuple[int, int, str]]] = (0, None, [])
     for a in automata():
         if have.isdisjoint(a.leads) or have.isdisjoint(a.trails):
             continue
         spans = list(a.spans(text))
+        if spans and all_spans:
+            spans = list(a.spans(text, sure=True))
         size = sum(e - s for s, e, _ in spans)
         if size > best[0]:
             best = (size, a.wrong, spans)
@@ -255,7 +268,10 @@ def _readings(part: str) -> Iterator[tuple[tuple[str, str], str, float]]:
             except UnicodeDecodeError:
                 continue
             pairs = b"".join(runs)
-            yield (wrong, true), d, 2.4 * len(re.findall(common, pairs)) / max(1, len(pairs)) - len(shapes(d))
+            kana = sum("\N{HIRAGANA LETTER SMALL A}" <= c <= "\N{HIRAGANA LETTER N}" for c in d) > 0.2 * len(d)
+            # the common characters of Korean lie within those of Chinese, so that equal hits speak for Korean
+            weight = 2.4 + 0.3 * (true == "euc_kr") + 0.6 * kana
+            yield (wrong, true), d, weight * len(re.findall(common, pairs)) / max(1, len(pairs)) - len(shapes(d))
 
 
 def _legacy(text: str) -> str:
@@ -301,9 +317,12 @@ def repair(text: str | None) -> str | None:
     if not text or text.isascii():
         return text
     for _ in range(MAX_ROUNDS):
-        wrong, spans = utf8_spans(text)
-        if not spans or (sum(e - b for b, e, _ in spans) < 0.2 * sum(c > "\x7f" for c in text) and "letters" in shapes(text)):
+        wrong, spans = utf8_spans(text, all_spans=True)
+        if not spans:
             break
+        covered = sum(e - b for b, e, _ in spans) / sum(c > "\x7f" for c in text)
+        if covered < (0.2 if wrong == "latin" else 0.6) and "letters" in shapes(text):
+            break  # chance spans within text of another encoding
         out, at = [], 0
         for s, e, d in spans:
             out += [text[at:s], d]
