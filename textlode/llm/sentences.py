@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 
 from textlode.core.jstext import WS_CHARS
 
-#: Slots that words are hashed into. It bounds the model to SLOTS * 30 numbers.
-SLOTS = 1 << 15
+#: Slots that words are hashed into. It bounds the model to five numbers a slot, 10 MB in all.
+SLOTS = 1 << 18
 ROUNDS = 80
+LONGEST_ABBREVIATION = 8
 
 # Characters that end sentences, close them, and open them.
 STOPS = ".!?…。！？।॥۔؟።፧．｡"
@@ -56,12 +57,15 @@ _THAI = regex.compile(r"(?<=[\u0e01-\u0e3a\u0e40-\u0e4e])(?:(?![\r\n])" + _WS +
 _MARKER = regex.compile(r"(?:[-*•·▪‣◦○●■□–—](?:[ \t\xa0]+)(?=[\p{Lu}\p{Lo}\p{N}])|[-*•·▪‣◦○●■□][ \t\xa0]+|\p{N}{1,2}[.)](?:[ \t\xa0]+)|\p{L}\)[ \t\xa0]+|\([\p{L}\p{N}]{1,3}\)[ \t\xa0]+)")
 _WORD = regex.compile(r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{N}\s]")
 # read backwards from the gap
-_LEFT = regex.compile(r"(?r)(?:(?:\p{L}\.)+\p{L}|°[CF]|[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{N}\s])")
+_LEFT = regex.compile(r"(?r)(?:(?:\p{L}\.)+\p{L}|°[CF]|[\p{L}\p{M}\p{Cf}]+|\p{N}+|[^\p{L}\p{N}\s])")
 _RIGHT = regex.compile(r"[\p{L}\p{M}]+|\p{N}+")
 _SKIP = regex.compile(rf"(?:[{regex.escape(OPENERS)}–—―-]|{_WS})*")
+# a string without a blank that no word of any language is, to the end of its line
+_UNBROKEN = regex.compile(r"[!-~]{60,}[ \t\xa0]*(?=[\r\n]|$)")
 _SIGNS_ONLY = regex.compile(r"[^\p{L}\p{N}\r\n]*(?:ツ[^\p{L}\p{N}\r\n]*)?(?=[\r\n]|$)")
 
 
+_HIDDEN = regex.compile(r"[\p{Cf}\N{VARIATION SELECTOR-16}]")
 _BEFORE_NUMBER = regex.compile(r"(?r)([\p{L}\p{M}]+|[^\p{L}\p{N}\s.])[.\s]*")
 
 
@@ -153,7 +157,7 @@ def _left_of(text: str, at: int) -> str:
         # a number is known by what stands before it: the day of a month, a page, a year
         b = _BEFORE_NUMBER.match(text, max(0, m.start() - 40), m.start())
         return "#" + (b[1].lower() if b else "")
-    return w.lower()
+    return _HIDDEN.sub("", w).lower()
 
 
 def gaps(text: str) -> list[Gap]:
@@ -186,7 +190,7 @@ def gaps(text: str) -> list[Gap]:
             k += 1
         m = _MARKER.match(text, k)
         end = m.end() if m else -1
-        if m and m[0][0].isdigit() and not m[0].startswith("1"):
+        if m and m[0][0].isdigit() and m[0][:2] not in ("1.", "1)"):
             # a number that a wrapped sentence goes on with is no marker: markers stand behind a stop or another marker
             before = text[:start].rstrip(WS_CHARS) if start < 200 else text[start - 200 : start].rstrip(WS_CHARS)
             if before and before[-1] not in STOPS + CLOSERS:
@@ -211,7 +215,7 @@ def gaps(text: str) -> list[Gap]:
             g.fixed = 0.0
         elif marker_end(b) >= 0:
             g.fixed = 1.0
-        elif right == LOWER or text[a - 1] in ",;–—(" or text[a - 1] == ":" and text[b] in OPENERS:
+        elif right == LOWER or text[a - 1] in ",;–—(" or text[a - 1] in CLOSERS and text[a - 2 : a - 1] == "," or text[a - 1] == ":" and text[b] in OPENERS:
             g.fixed = 0.0
         elif marker_end(line_start(a)) >= 0:
             g.fixed = 1.0
@@ -255,7 +259,9 @@ def gaps(text: str) -> list[Gap]:
             g.fixed = 1.0
         elif inside(at):
             g.fixed = 0.0
-        elif kind != NOTHING and kind == LINE and marker_end(after) >= 0:
+        elif kind == LINE and marker_end(after) >= 0:
+            g.fixed = 1.0
+        elif kind in (SPACE, LINE) and _UNBROKEN.match(text, after):
             g.fixed = 1.0
         if g.fixed is None or g.fixed == 1.0:
             own = closing.get(end)
@@ -336,7 +342,7 @@ class Model:
     def fit(cls, stops: list[tuple[int, int, int, int]], starts: list[tuple[int, int, int]], ends: list[tuple[int, int, int]]) -> Model:
         """Expectation maximisation from counts: stops (slot, kind, class, n), starts (slot, 0 inside | 1 first, n), ends (slot, 0 inside | 1 at a line's end, n)."""
         m = cls.prior()
-        prior, weight = m.lam.copy(), 2.0
+        prior, weight = m.lam.copy(), 12.0
         a = np.array([x for x in stops if x[2] != LOWER and x[1] != NOTHING], np.int64).reshape(-1, 4)
         if len(a):
             # a small letter behind decides by itself; elsewhere the kind of gap tells, as no line ends behind an abbreviation
@@ -378,11 +384,13 @@ class Model:
             o += 1.0 if g.tokens <= 4 else -1.0 if g.tokens <= 6 else -3.0  # headings are short
             return 1 / (1 + math.exp(-o))
         lam = self.lam[slot(g.left)]
+        if len(g.left) > LONGEST_ABBREVIATION and g.left.count(".") == 1 and g.left[0] != "#":
+            lam = max(lam, 0.97)  # a long word is no abbreviation, whatever shares its slot
         kind = SPACE if g.kind == NOTHING else g.kind
         o = math.log(lam / (1 - lam)) + math.log(self.gap[1, kind] / self.gap[0, kind])
         if g.word and not g.quoted:
             # a word behind an abbreviation at a wrapped line counts as a first word too, so it's no sign for a boundary there
-            o += max(min(self.start[slot(g.word)], 0.0 if lam < 0.1 else 1.5), -3.0 if g.left[:1] == "#" else -2.0)
+            o += max(min(self.start[slot(g.word)], 0.0 if lam < 0.1 else 1.5), -3.0 if g.left[:1] == "#" else -1.0 if lam > 0.8 else -2.0)
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, o))))
 
 
@@ -459,10 +467,11 @@ def _counts(text: str, stops: dict, starts: dict, ends: dict) -> None:
         elif m.start() not in after_stop:
             starts[slot(w), 0] += 1
         e = m.end()
+        key = slot(_left_of(text, e) if w[0].isnumeric() else w.lower())
         if e in at_line_end:
-            ends[slot(w.lower()), 1] += 1
+            ends[key, 1] += 1
         elif e < len(text):
-            ends[slot(w.lower()), 0] += 1
+            ends[key, 0] += 1
 
 
 def count_events(df: DataFrame, text: str = "text") -> DataFrame:
