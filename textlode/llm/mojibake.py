@@ -126,7 +126,8 @@ class SpanAutomaton:
         if self.wrong == "cp1251":
             return span[1] not in _CLOSERS and not ("Ѐ" <= before <= "ӿ")
         lone = {"cp1250": "ÂĂÄĹ", "cp1253": "ΒΓ"}[self.wrong]
-        return span[0] in lone and span[1] not in _CLOSERS and not before.isupper() and not (span[1].isalpha() and span[1].isupper() and not before)
+        inside = text[at + 2 : at + 3].islower() and span in ("\N{LATIN CAPITAL LETTER A WITH BREVE}\N{LEFT SINGLE QUOTATION MARK}", "\N{GREEK CAPITAL LETTER GAMMA}\N{LEFT SINGLE QUOTATION MARK}")
+        return inside or span[0] in lone and (span[1] not in _CLOSERS or span[0] == "\N{LATIN CAPITAL LETTER L WITH ACUTE}" and before.islower()) and not (span[1].isalpha() and span[1].isupper() and not before)
 
 
 _BOX = re.compile("[─-■]")
@@ -174,8 +175,8 @@ _SHAPES: dict[str, re.Pattern[str]] = {
     "lost": re.compile("[\N{REPLACEMENT CHARACTER}\x80-\x84\x86-\x9f]"),
     "graphic": re.compile(r"[^\W\d_][─-■]|[─-■][^\W\d_]|[─-▓]{2}[\xa0-\xff]|ΓÇ|α[╕╣]"),
     "letters": re.compile("[\xc0-\xd6\xd8-\xf6\xf8-\xff]{4,}|(?:[\xa1-\xff][!-~]?){6,}"),
-    "inner_capital": re.compile(f"[{_LOW}][\xc0-\xd6\xd8-\xdeŠŽŸŒ][{_LOW}]"),
-    "inner_sign": re.compile(f"[{_LOW}][\xa1-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7ƒˆ˜ˇ˘˙˚˛˝‚„†-•‰‹™€∂∆∏∑√∞∫≈≠≡≤≥⌐⌠⌡ⁿ◊ﬁﬂ]+[a-z]"),
+    "inner_capital": re.compile(f"(?<!\\w)[A-Z][\xc0-\xcf\xd1-\xd6\xd9-\xdd][a-z]{{2}}|(?<!\\w)\xd0[a-z]|[\xc0-\xd6\xd8-\xde]{{2}}[A-Z][a-z]|[A-Za-z][ŽœŠ][‘’“”]|[A-Z][ŸŽ][a-z]|(?<!\\w)œ[bcdfgjklmnpqtvwxyz]|[{_LOW}][†‡][\xc0-\xde]|[{_LOW}][\xc0-\xd6\xd8-\xdeŠŽŸŒ][{_LOW}]"),
+    "inner_sign": re.compile(f"[A-Z][\xa7\xa8\xb1\xb3\xb6\xb8\xf7€][a-z\xe0-\xff]|(?<!\\w)[\xa4-\xa6][a-z]{{2}}|[{_LOW}][\xa1-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7ƒˆ˜ˇ˘˙˚˛˝‚„†-•‰‹™€∂∆∏∑√∞∫≈≠≡≤≥⌐⌠⌡ⁿ◊ﬁﬂ]+[a-z]"),
     "alphabets": re.compile("[A-Za-z][Гб-дж-нпт-фц-яα-θπ-φΘΣΦΩ]|[Гб-дж-нпт-фц-яΘΣΦΩ][a-z]"),
     "inverted": re.compile("[а-яё][А-ЯЁ]{3}"),
     "odd_cyrillic": re.compile("[А-я][ЂЃЈ-Џђѓј-џҐ][А-я]|[ЂЃЉ-ЌЏђѓљ-ќџЎҐ]{2}|[ЂЃЇЉ-ЌЏЎҐ][\xa6-\xbf‘-…]|[\xa6-\xbf‘-…][ЂЃЇЉ-ЌЏЎҐ]"),
