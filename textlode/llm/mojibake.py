@@ -126,7 +126,8 @@ class SpanAutomaton:
         if self.wrong == "cp1251":
             return span[1] not in _CLOSERS and not ("Ѐ" <= before <= "ӿ")
         lone = {"cp1250": "ÂĂÄĹ", "cp1253": "ΒΓ"}[self.wrong]
-        inside = text[at + 2 : at + 3].islower() and span in ("\N{LATIN CAPITAL LETTER A WITH BREVE}\N{LEFT SINGLE QUOTATION MARK}", "\N{GREEK CAPITAL LETTER GAMMA}\N{LEFT SINGLE QUOTATION MARK}")
+        after = text[at + 2 : at + 3]
+        inside = span[0] in "ĂΓ" and after.islower() and (before.isalpha() or span[1] == "\N{LEFT SINGLE QUOTATION MARK}")
         return inside or span[0] in lone and (span[1] not in _CLOSERS or span[0] == "\N{LATIN CAPITAL LETTER L WITH ACUTE}" and before.islower()) and not (span[1].isalpha() and span[1].isupper() and not before)
 
 
