@@ -340,14 +340,13 @@ class Model:
         return cls(lam, gap, np.zeros(SLOTS), np.full(SLOTS, 0.3), np.zeros(SLOTS))
 
     @classmethod
-    def fit(cls, stops: list[tuple[int, int, int, int]], starts: list[tuple[int, int, int]], ends: list[tuple[int, int, int]]) -> Model:
-        """Expectation maximisation from counts: stops (slot, kind, class, n), starts (slot, 0 inside | 1 first, n), ends (slot, 0 inside | 1 at a line's end, n)."""
+    def fit(cls, stops: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Model:
+        """Expectation maximisation from rows of counts: stops (slot, kind, n), starts (slot, 0 inside | 1 first, n), ends (slot, 0 inside | 1 at a line's end, n)."""
         m = cls.prior()
         prior, weight = m.lam.copy(), np.where(np.arange(SLOTS) % 2, 4.0, 12.0)
-        a = np.array([x for x in stops if x[2] != LOWER and x[1] != NOTHING], np.int64).reshape(-1, 4)
-        if len(a):
+        if len(stops):
             # a small letter behind decides by itself; elsewhere the kind of gap tells, as no line ends behind an abbreviation
-            s, k, n = a[:, 0], a[:, 1], a[:, 3].astype(float)
+            s, k, n = stops[:, 0], stops[:, 1], stops[:, 2].astype(float)
             for _ in range(ROUNDS):
                 p1 = m.lam[s] * m.gap[1, k]
                 p0 = (1 - m.lam[s]) * m.gap[0, k]
@@ -355,15 +354,15 @@ class Model:
                 total, yes = np.bincount(s, n, SLOTS), np.bincount(s, q, SLOTS)
                 m.lam = np.clip((yes + prior * weight) / (total + weight), 1e-4, 1 - 1e-4)
                 m.gap[1] = (np.bincount(k, q, 4) + 50 * cls.prior().gap[1]) / (q.sum() + 50)
-        if starts:
-            a = np.array(starts, np.int64)
+        if len(starts):
+            a = starts
             first = np.bincount(a[:, 0], np.where(a[:, 1] == 1, a[:, 2], 0), SLOTS)
             inner = np.bincount(a[:, 0], np.where(a[:, 1] == 0, a[:, 2], 0), SLOTS)
             f, i = (first + 0.5) / (first.sum() + SLOTS / 2), (inner + 0.5) / (inner.sum() + SLOTS / 2)
             seen = first + inner
             m.start = np.where(seen >= 2, np.clip(np.log(f) - np.log(i), -3, 3), 0.0)
-        if ends:
-            a = np.array(ends, np.int64)
+        if len(ends):
+            a = ends
             at_end = np.bincount(a[:, 0], np.where(a[:, 1] == 1, a[:, 2], 0), SLOTS)
             inner = np.bincount(a[:, 0], np.where(a[:, 1] == 0, a[:, 2], 0), SLOTS)
             total = at_end + inner
@@ -452,8 +451,8 @@ def _counts(text: str, stops: dict, starts: dict, ends: dict) -> None:
     at_line_end: set[int] = set()
     for g in found:
         if g.stop:
-            if g.kind != NOTHING and g.fixed != 0.0 or g.fixed == 0.0 and g.right == LOWER:
-                stops[slot(g.left), g.kind, g.right] += 1
+            if g.kind != NOTHING and g.fixed != 0.0 and g.right != LOWER:
+                stops[slot(g.left), g.kind] += 1
             if g.fixed == 1.0 or g.kind in (LINE, PARAGRAPH):
                 first.add(_right_of(text, g.at)[2])
         else:
@@ -476,7 +475,7 @@ def _counts(text: str, stops: dict, starts: dict, ends: dict) -> None:
 
 
 def count_events(df: DataFrame, text: str = "text") -> DataFrame:
-    """(tab, slot, kind, cls, n): the counts over all texts that the model is fitted to; at most SLOTS * 32 rows."""
+    """(tab, slot, kind, n): the counts over all texts that the model is fitted to; at most SLOTS * 7 rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stops: dict = defaultdict(int)
@@ -487,20 +486,20 @@ def count_events(df: DataFrame, text: str = "text") -> DataFrame:
                 t = t.as_py()
                 if t:
                     _counts(t, stops, starts, ends)
-        rows = [(0, s, k, r, n) for (s, k, r), n in stops.items()] + [(1, s, k, 0, n) for (s, k), n in starts.items()] + [(2, s, k, 0, n) for (s, k), n in ends.items()]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns[:4]] + [pa.array(columns[4], pa.int64())], names=["tab", "slot", "kind", "cls", "n"])
+        rows = [(tab, s, k, n) for tab, counts in enumerate((stops, starts, ends)) for (s, k), n in counts.items()]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns[:3]] + [pa.array(columns[3], pa.int64())], names=["tab", "slot", "kind", "n"])
 
-    counted = df.select(text).mapInArrow(run, "tab int, slot int, kind int, cls int, n bigint")
-    return counted.groupBy("tab", "slot", "kind", "cls").agg(F.sum("n").alias("n"))
+    counted = df.select(text).mapInArrow(run, "tab int, slot int, kind int, n bigint")
+    return counted.groupBy("tab", "slot", "kind").agg(F.sum("n").alias("n"))
 
 
 def fit(df: DataFrame, text: str = "text") -> Model:
-    """The model of a corpus. What comes to the driver is bounded by SLOTS, not by the corpus."""
-    rows = count_events(df, text).collect()
-    return Model.fit(
-        [(r.slot, r.kind, r.cls, r.n) for r in rows if r.tab == 0], [(r.slot, r.kind, r.n) for r in rows if r.tab == 1], [(r.slot, r.kind, r.n) for r in rows if r.tab == 2]
-    )
+    """The model of a corpus. What comes to the driver, as one Arrow table, is bounded by SLOTS and not by the corpus."""
+    t = count_events(df, text).toArrow()
+    tab, *rest = (t.column(c).to_numpy() for c in ("tab", "slot", "kind", "n"))
+    rows = np.stack([c.astype(np.int64) for c in rest], axis=1) if len(tab) else np.zeros((0, 3), np.int64)
+    return Model.fit(*(rows[tab == k] for k in range(3)))
 
 
 def split_documents(df: DataFrame, model: Model, key: str = "id", text: str = "text") -> DataFrame:
