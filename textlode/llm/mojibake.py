@@ -222,11 +222,22 @@ def shapes(text: str, held: str | None = None) -> list[str]:
     return [k for k, need in _NEEDS.items() if need.search(have) and _SHAPES[k].search(text)]
 
 
+_PLAIN_RUN = re.compile(r"[\x00-\x7f]{8,}")
+
+
+def _condensed(text: str) -> str:
+    """A text with its long ASCII runs cut to the three characters at either end, which is as far as any rule looks."""
+    if len(text.encode("utf-8", "surrogatepass")) > 1.4 * len(text):
+        return text
+    return _PLAIN_RUN.sub(lambda m: f"{m[0][:3]}\n{m[0][-3:]}", text)
+
+
 def diagnose(text: str | None) -> str | None:
     """Why a text counts as garbled (``utf-8 read as cp850``, or a shape), or None. Null and empty texts are sound."""
     if not text or text.isascii():
         return None
     held = _outside_ascii(text)
+    text = _condensed(text)
     wrong, spans = utf8_spans(text, held)
     if spans:
         return f"utf-8 read as {wrong}"
