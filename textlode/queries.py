@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from textlode.control import registry
 from textlode.core import jstext
 from textlode.core.session import shared_dir, table
-from textlode.operators import align, candidates, merge, model, prompts, tokens, viz
+from textlode.operators import align, candidates, formats, merge, model, prompts, tokens, viz
 from textlode.plans import pipeline
 from textlode.sources import jsonl
 from textlode.sources.strict_rows import check_answers, check_lines, split_rows
@@ -536,3 +536,66 @@ def q_topk_label(spark: SparkSession, d: str) -> DataFrame:
     """The three documents with most extractions of each label."""
     n = table(spark, d, "extractions").select("extraction_id", "document_id", F.lower(F.trim("label")).alias("label")).distinct().groupBy("document_id", "label").agg(F.count("*").alias("n"))
     return n.withColumn("k", F.row_number().over(W.partitionBy("label").orderBy(F.desc("n"), "document_id"))).filter("k <= 3").select("label", "document_id", "n")
+
+
+# Answers made from the tables of known content
+
+
+@query("SELECT c_custkey, c_name AS text, 'customer' AS label, 0.5::DOUBLE AS confidence, 0 AS start_pos, CAST(length(c_name) AS INTEGER) AS end_pos, 'exact' AS alignment_status FROM customer")
+def q_parse_yaml(spark: SparkSession, d: str) -> DataFrame:
+    """Fenced YAML answers."""
+    body = F.concat(F.lit("Result:\n```yaml\n# found\nextractions:\n  - text: "), F.col("c_name"), F.lit("\n    label: customer\n    confidence: 0.5\n```"))
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("source_text"), body.alias("model_output"))
+    out = candidates.resolve_answers(rows, ["c_custkey"], resolver=candidates.Resolver(formats.FormatHandler("yaml")))
+    return out.filter("parse_error is null").select("c_custkey", "text", "label", "confidence", "start_pos", "end_pos", "alignment_status")
+
+
+@query(
+    """
+WITH n AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS seq FROM nation)
+SELECT n_regionkey, CAST(seq AS INTEGER) AS seq, n_name AS text, 'nation' AS label, CAST(n_nationkey AS VARCHAR) AS key FROM n
+"""
+)
+def q_parse_class_based(spark: SparkSession, d: str) -> DataFrame:
+    """Class-based answers whose index keys give another order than they stand in."""
+    record = F.struct(F.col("n_name").alias("nation"), F.col("n_nationkey").alias("nation_index"), F.struct(F.col("n_nationkey").cast("string").alias("key")).alias("nation_attributes"))
+    rows = table(spark, d, "nation").groupBy("n_regionkey").agg(F.to_json(F.sort_array(F.collect_list(record), asc=False)).alias("model_output"), F.concat_ws(" ", F.collect_list("n_name")).alias("source_text"))
+    out = candidates.resolve_answers(rows, ["n_regionkey"], resolver=candidates.Resolver(index_suffix="_index"))
+    return out.select("n_regionkey", "seq", "text", "label", F.get_json_object("raw", "$.attributes.key").alias("key"))
+
+
+@query("SELECT p_partkey, CASE WHEN contains(p_name, ' ') THEN 'lesser' ELSE 'exact' END AS status, 0 AS start_pos, CAST(length(p_name) AS INTEGER) AS end_pos FROM part")
+def q_align_lesser(spark: SparkSession, d: str) -> DataFrame:
+    """Names written with other separators and case."""
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("s"), F.upper(F.replace("p_name", F.lit(" "), F.lit("-_"))).alias("x"))
+    out = align.align_columns(rows, "s", "x")
+    return out.select("p_partkey", "alignment.status", F.col("alignment.start").alias("start_pos"), F.col("alignment.end").alias("end_pos"))
+
+
+@query(
+    """
+WITH s AS (SELECT p_partkey, p_name || ' of ' || p_brand AS s FROM part), w AS (SELECT p_partkey, s, len(regexp_extract_all(s, '[A-Za-z0-9]+')) AS n FROM s)
+SELECT p_partkey, CASE WHEN n >= 3 THEN 0 ELSE -1 END AS start_pos, CASE WHEN n >= 3 THEN CAST(length(s) AS INTEGER) ELSE -1 END AS end_pos, CASE WHEN n >= 3 THEN n / (n + 1) ELSE 0 END AS score FROM w
+"""
+)
+def q_align_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """Names with a word too many, found by shared words."""
+    s = F.concat("p_name", F.lit(" of "), "p_brand")
+    rows = table(spark, d, "part").select("p_partkey", s.alias("s"), F.concat(F.lit("zzz "), s).alias("x"))
+    out = align.align_columns(rows, "s", "x")
+    return out.select("p_partkey", F.col("alignment.start").alias("start_pos"), F.col("alignment.end").alias("end_pos"), "alignment.score")
+
+
+@query(
+    """
+WITH e AS (SELECT DISTINCT extraction_id, resolve_id, text, label FROM extractions), r AS (SELECT DISTINCT resolve_id, source_text FROM resolve_inputs)
+SELECT lower(trim(label)) AS label, count(*) AS n_failed FROM e JOIN r USING (resolve_id)
+WHERE NOT contains(upper(source_text), upper(text)) AND length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) = 0 AND length(trim(text)) > 0 GROUP BY 1
+"""
+)
+def q_example_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Extractions as examples of their chunk: those without a Latin letter or digit that fail to align, by label."""
+    e = table(spark, d, "extractions").select("extraction_id", "resolve_id", "text", "label").dropDuplicates(["extraction_id"])
+    rows = e.join(_chunks(spark, d).select("resolve_id", "source_text"), "resolve_id").filter(~F.col("text").rlike("[A-Za-z0-9]"))
+    out = align.align_columns(rows, "source_text", "text").filter("alignment.start < 0")
+    return out.groupBy(F.lower(F.trim("label")).alias("label")).agg(F.count("*").alias("n_failed"))
