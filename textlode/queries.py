@@ -313,13 +313,22 @@ SELECT row_id, f[i] AS id FROM q WHERE len(f) >= greatest(i, t) AND NOT regexp_m
 """
 )
 def q_csv_dataset(spark: SparkSession, d: str) -> DataFrame:
-    """Ids of dataset rows. The SQL splits lines without quotes only, so the others are left out after the operator has read them."""
+    """The part of q_csv_dataset_all that the SQL can split: ids of lines without quotes."""
+    rows = _csv_lines(spark, d)
+    quoted = rows.filter(F.contains("line", F.lit('"')) | F.col("line").rlike("[\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{3000}\\x{feff}]\\r?$")).select(F.col("row_id").alias("_q"))
+    return q_csv_dataset_all(spark, d).join(quoted, F.col("row_id") == F.col("_q"), "left_anti").select("row_id", "id")
+
+
+@query()
+def q_csv_dataset_all(spark: SparkSession, d: str) -> DataFrame:
+    """Id and text of every dataset row, those of quoted fields too."""
+    return jsonl.dataset_rows(_csv_lines(spark, d), F.col("header_cols"), F.col("delimiter"), F.col("id_key"), F.col("text_key"), ["row_id"])
+
+
+def _csv_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "csv_rows").dropDuplicates(["row_id"])
     source = table(spark, d, "csv_sources").withColumnRenamed("file_name", "_f")
-    rows = lines.join(F.broadcast(source), F.col("file_name") == F.col("_f"))
-    quoted = rows.filter(F.contains("line", F.lit('"')) | F.col("line").rlike("[\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{3000}\\x{feff}]\\r?$")).select(F.col("row_id").alias("_q"))
-    out = jsonl.dataset_rows(rows, F.col("header_cols"), F.col("delimiter"), F.col("id_key"), F.col("text_key"), ["row_id"])
-    return out.join(quoted, F.col("row_id") == F.col("_q"), "left_anti").select("row_id", "id")
+    return lines.join(F.broadcast(source), F.col("file_name") == F.col("_f"))
 
 
 @query(
