@@ -1,3 +1,5 @@
+import unicodedata
+
 import __spark_entry__
 from textlode.core.session import table
 
@@ -41,3 +43,50 @@ def test_all_lines_of_the_test_data(spark):
     got = sorted((r.row_id, (r.id, r.text)) for r in run(spark, "q_csv_dataset_all").collect())
     assert got == sorted((k, v) for k, v in slow.items() if v)
     assert {r.row_id for r in run(spark, "q_csv_dataset").collect()} < {k for k, _ in got}
+
+
+def kind(c):
+    k = unicodedata.category(c)[0]
+    return "blank" if c in "\ufeff" or c.isspace() and c not in "\x1c\x1d\x1e\x1f\x85" else {"L": "word", "M": "word", "N": "number"}.get(k, c)
+
+
+def slow_tokens(text):
+    """(type, start, end, after_newline), read character by character."""
+    out, blank = [], ""
+    for k, c in enumerate(text):
+        if kind(c) == "blank":
+            blank += c
+        elif out and not blank and kind(c) == kind(text[k - 1]):
+            out[-1][2] += 1
+        else:
+            out.append([{"word": 0, "number": 1}.get(kind(c), 2), k, k + 1, bool(out) and ("\n" in blank or "\r" in blank)])
+        blank = blank if kind(c) == "blank" else ""
+    return [tuple(x) for x in out]
+
+
+def grouped(rows, *columns):
+    out = {}
+    for r in rows:
+        out.setdefault(r.document_id, []).append(tuple(r[c] for c in columns))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_tokens_of_all_documents(spark):
+    texts = {r.id: r.text for r in table(spark, SMALL, "input_docs").collect()}
+    got = grouped(run(spark, "q_tokens_all").collect(), "idx", "token_type", "start_pos", "end_pos", "after_newline")
+    assert got == {k: [(n, *x) for n, x in enumerate(slow_tokens(t))] for k, t in texts.items() if t and t.strip("\ufeff \n\t\r\xa0\u3000")}
+    given = {r.document_id: [tuple(x) for x in r.tokens] for r in table(spark, SMALL, "tokenized_texts").filter("size(tokens) > 0").collect()}
+    assert given and {k: got[k] for k in given} == given and len(got) > 2 * len(given)
+
+
+def test_sentences_of_all_documents(spark):
+    tokens = grouped(run(spark, "q_tokens_all").collect(), "idx", "start_pos", "end_pos")
+    got = grouped(run(spark, "q_sentences_all").collect(), "sentence_no", "start_tok", "end_tok", "start_pos", "end_pos")
+    assert got.keys() == tokens.keys()
+    for k, rows in got.items():
+        own = tokens[k]
+        assert [r[0] for r in rows] == list(range(len(rows)))
+        assert [r[1] for r in rows] == [0, *(r[2] for r in rows[:-1])] and rows[-1][2] == len(own)
+        assert all((a, b) == (own[i][1], own[j - 1][2]) for _, i, j, a, b in rows)
+    part = grouped(run(spark, "q_sentences").collect(), "sentence_no", "start_tok", "end_tok", "start_pos", "end_pos")
+    assert part and {k: got[k] for k in part} == part

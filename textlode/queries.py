@@ -72,10 +72,14 @@ def _distinct_docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "input_docs").dropDuplicates(["id"])
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return _distinct_docs(spark, d).select(F.col("id").alias("document_id"), "text")
+
+
 def _tokenized(spark: SparkSession, d: str) -> DataFrame:
     """The documents that the test data give tokens for."""
-    given = table(spark, d, "tokenized_texts").filter("tokens is not null").select(F.col("document_id").alias("id")).distinct()
-    return _distinct_docs(spark, d).join(given, "id", "left_semi").select(F.col("id").alias("document_id"), "text")
+    given = table(spark, d, "tokenized_texts").filter("tokens is not null").select("document_id").distinct()
+    return _texts(spark, d).join(given, "document_id", "left_semi")
 
 
 _TOKENS_SQL = """
@@ -85,9 +89,16 @@ k AS (SELECT document_id, unnest(tokens) AS x FROM t)"""
 
 @query(f"WITH {_TOKENS_SQL} SELECT document_id, x.idx AS idx, x.token_type AS token_type, x.start_pos AS start_pos, x.end_pos AS end_pos, x.after_newline AS after_newline FROM k")
 def q_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The part of q_tokens_all that the test data give tokens for."""
     return tokens.tokens_of(_tokenized(spark, d), "document_id")
 
 
+@query()
+def q_tokens_all(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of all documents."""
+    return tokens.tokens_of(_texts(spark, d), "document_id")
+
+
 _SENTENCES_SQL = (
     "WITH "
     + _TOKENS_SQL
@@ -109,9 +120,16 @@ SELECT document_id, CAST(s AS INTEGER) AS sentence_no, min(i) AS start_tok, max(
 
 @query(_SENTENCES_SQL)
 def q_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The part of q_sentences_all that the test data give tokens for."""
     return tokens.sentences_of(_tokenized(spark, d), "document_id")
 
 
+@query()
+def q_sentences_all(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of all documents under the sentence rule."""
+    return tokens.sentences_of(_texts(spark, d), "document_id")
+
+
 @query()
 def q_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all documents under the budget of their profile."""
