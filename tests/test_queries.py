@@ -1,4 +1,6 @@
+import re
 import unicodedata
+from collections import Counter, defaultdict
 
 import __spark_entry__
 from textlode.core.session import table
@@ -90,3 +92,48 @@ def test_sentences_of_all_documents(spark):
         assert all((a, b) == (own[i][1], own[j - 1][2]) for _, i, j, a, b in rows)
     part = grouped(run(spark, "q_sentences").collect(), "sentence_no", "start_tok", "end_tok", "start_pos", "end_pos")
     assert part and {k: got[k] for k in part} == part
+
+
+def fold(w):
+    w = w.lower()
+    return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+
+
+def slow_issue(source, text):
+    """How an example fails the alignment, every run of words tried; none where it stands in its source, case aside."""
+    x = text.strip()
+    if not x:
+        return "failed"
+    if x.lower() in source.lower():
+        return None
+    bare = re.sub("[^A-Za-z0-9]", "", x).lower()
+    if bare and bare in re.sub("[^A-Za-z0-9]", "", source).lower():
+        return "non_exact"
+    words, want = [fold(w) for w in re.findall("[A-Za-z0-9]+", source)], Counter(fold(w) for w in re.findall("[A-Za-z0-9]+", x))
+    n = want.total()
+    sizes = range(max(1, n - 2), n + 3) if n else []
+    hit = any((want & Counter(words[k : k + m])).total() / max(n, m) >= 0.75 for m in sizes for k in range(len(words) - m + 1))
+    return "non_exact" if hit else "failed"
+
+
+def test_all_examples_are_aligned(spark, tmp_path):
+    source = "Open AI builds large models in Paris."
+    texts = ["Paris", "openai", "builds big large models in", "Rome", "--", " ", "large models"]
+    rows = [(k, 1, x, " Org " if k % 2 else "verb") for k, x in enumerate(texts)]
+    spark.createDataFrame([*rows, rows[0]], "extraction_id bigint, resolve_id bigint, text string, label string").write.parquet(f"{tmp_path}/extractions.parquet")
+    spark.createDataFrame([(1, source)], "resolve_id bigint, source_text string").write.parquet(f"{tmp_path}/resolve_inputs.parquet")
+    got = {r.label: (r.n, r.n_failed, r.n_non_exact) for r in run(spark, "q_example_alignment_all", tmp_path).collect()}
+    assert got == {"verb": (4, 1, 1), "org": (3, 2, 1)}
+
+
+def test_all_examples_of_the_test_data(spark):
+    sources = {r.resolve_id: r.source_text for r in table(spark, SMALL, "resolve_inputs").collect()}
+    slow = defaultdict(Counter)
+    for r in table(spark, SMALL, "extractions").select("extraction_id", "resolve_id", "text", "label").distinct().collect():
+        if r.resolve_id in sources:
+            slow[r.label.strip(" ").lower()].update(["n", slow_issue(sources[r.resolve_id], r.text)])
+    got = {r.label: (r.n, r.n_failed, r.n_non_exact) for r in run(spark, "q_example_alignment_all").collect()}
+    assert got == {k: (c["n"], c["failed"], c["non_exact"]) for k, c in slow.items()}
+    assert sum(x[2] for x in got.values()) > 0
+    part = {r.label: r.n_failed for r in run(spark, "q_example_alignment").collect()}
+    assert all(got[k][1] >= n for k, n in part.items())

@@ -621,8 +621,21 @@ WHERE NOT contains(upper(source_text), upper(text)) AND length(regexp_replace(te
 """
 )
 def q_example_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Extractions as examples of their chunk: those without a Latin letter or digit that fail to align, by label."""
-    e = table(spark, d, "extractions").select("extraction_id", "resolve_id", "text", "label").dropDuplicates(["extraction_id"])
-    rows = e.join(_chunks(spark, d).select("resolve_id", "source_text"), "resolve_id").filter(~F.col("text").rlike("[A-Za-z0-9]"))
+    """The part of q_example_alignment_all that the SQL can align: extractions without a Latin letter or digit that fail, by label."""
+    rows = _examples(spark, d).filter(~F.col("text").rlike("[A-Za-z0-9]"))
     out = align.align_columns(rows, "source_text", "text").filter("alignment.start < 0")
     return out.groupBy(F.lower(F.trim("label")).alias("label")).agg(F.count("*").alias("n_failed"))
+
+
+@query()
+def q_example_alignment_all(spark: SparkSession, d: str) -> DataFrame:
+    """All extractions as examples of their chunk: how many there are, fail to align and align inexactly, by label."""
+    out = align.align_columns(_examples(spark, d), "source_text", "text")
+    failed = F.coalesce((F.col("alignment.start") < 0) | (F.col("alignment.end") <= F.col("alignment.start")), F.lit(True))
+    inexact = ~failed & (F.col("alignment.status") != "exact")
+    return out.groupBy(F.lower(F.trim("label")).alias("label")).agg(F.count("*").alias("n"), F.count_if(failed).alias("n_failed"), F.count_if(inexact).alias("n_non_exact"))
+
+
+def _examples(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "extractions").select("extraction_id", "resolve_id", "text", "label").dropDuplicates(["extraction_id"])
+    return e.join(_chunks(spark, d).select("resolve_id", "source_text"), "resolve_id")
