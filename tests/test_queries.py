@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import __spark_entry__
 from textlode.core.session import table
+from textlode.sources.jsonl import is_url_text
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -137,3 +138,18 @@ def test_all_examples_of_the_test_data(spark):
     assert sum(x[2] for x in got.values()) > 0
     part = {r.label: r.n_failed for r in run(spark, "q_example_alignment").collect()}
     assert all(got[k][1] >= n for k, n in part.items())
+
+
+def test_all_words_are_judged(spark, tmp_path):
+    text = "See HTTP://A.B/c and ftp://a.b or https://bücher.de/x, a/b, 12:30, http://nodot/x and http://localhost:80/ twice 12:30"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.word, r.is_url) for r in run(spark, "q_is_url_all", tmp_path).collect())
+    assert got == sorted([("HTTP://A.B/c", True), ("ftp://a.b", False), ("https://bücher.de/x,", True), ("a/b,", False), ("12:30,", False), ("12:30", False), ("http://nodot/x", False), ("http://localhost:80/", True)])
+
+
+def test_all_words_of_the_test_data(spark):
+    texts = [r.text for r in table(spark, SMALL, "documents").select("text").collect()]
+    words = {w for t in texts if t for w in re.findall(r"[^ \t\n\x0b\f\r]*[:/][^ \t\n\x0b\f\r]*", t)}
+    got = [(r.word, r.is_url) for r in run(spark, "q_is_url_all").collect()]
+    assert sorted(got) == sorted((w, is_url_text(w)) for w in words)
+    assert any(not w.startswith("http") for w, _ in got)

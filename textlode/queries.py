@@ -376,9 +376,15 @@ SELECT word, regexp_matches(word, '{_HOST}') AND (contains(regexp_extract(word,
 """
 )
 def q_is_url(spark: SparkSession, d: str) -> DataFrame:
-    """Words of documents that begin like an address, and whether they are one."""
+    """The part of q_is_url_all that the SQL can judge: ASCII words that begin like an address."""
+    return q_is_url_all(spark, d).filter(F.col("word").rlike(r"\A[!-~]+\z") & F.col("word").rlike(r"\Ahttps?://"))
+
+
+@query()
+def q_is_url_all(spark: SparkSession, d: str) -> DataFrame:
+    """All words of documents that hold a colon or slash, and whether they are an address."""
     words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\S*[:/]\S*"), F.lit(0))).alias("word")).distinct()
-    return words.filter(F.col("word").rlike(r"\A[!-~]+\z") & F.col("word").rlike(r"\Ahttps?://")).select("word", jsonl.is_url("word").alias("is_url"))
+    return words.select("word", jsonl.is_url("word").alias("is_url"))
 
 
 @query("SELECT id, count(*) AS n FROM input_docs GROUP BY id HAVING count(*) > 1")
