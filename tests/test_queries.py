@@ -153,3 +153,18 @@ def test_all_words_of_the_test_data(spark):
     got = [(r.word, r.is_url) for r in run(spark, "q_is_url_all").collect()]
     assert sorted(got) == sorted((w, is_url_text(w)) for w in words)
     assert any(not w.startswith("http") for w, _ in got)
+
+
+def test_dates_are_records_of_the_pipeline(spark, tmp_path):
+    far = "On 2024-01-02 it began. " + "Nothing else was written down. " * 60 + "On 2024-01-02 it ended."
+    rows = [("far", far), ("near", "From 2024-01-02 to 2024-01-02."), ("two", "2024-01-02, 2024-03-04"), ("none", None)]
+    df = spark.createDataFrame([(k, t, {}) for k, t in rows], "id string, text string, metadata map<string,string>")
+    df.write.parquet(f"{tmp_path}/input_docs.parquet")
+    got = sorted(tuple(r) for r in run(spark, "q_extract_dates", tmp_path).collect())
+    assert got == [("far", "2024-01-02"), ("far", "2024-01-02"), ("near", "2024-01-02"), ("two", "2024-01-02"), ("two", "2024-03-04")]
+
+
+def test_dates_of_the_test_data(spark):
+    texts = {r.id: r.text for r in table(spark, SMALL, "input_docs").select("id", "text").collect()}
+    want = sorted((k, x) for k, t in texts.items() if t for x in re.findall(r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", t, re.ASCII))
+    assert sorted(tuple(r) for r in run(spark, "q_extract_dates").collect()) == want

@@ -544,13 +544,9 @@ SELECT id AS document_id, unnest(regexp_extract_all(text, '{_DATE}')) AS text FR
 """
 )
 def q_extract_dates(spark: SparkSession, d: str) -> DataFrame:
-    """Dates that the pipeline finds: as many of each as the document holds."""
+    """The pipeline's own records of dates. It merges those of one chunk that have one text, so a date repeated there would show as a difference from the SQL."""
     chain = model.Chain([model.Model("rules", "dates", model.RuleModel((("date", _DATE),)))])
-    found = pipeline.extract(_pipeline_docs(spark, d), chain, pipeline.PipelineOptions(max_char_buffer=1_000_000, resolver=candidates.Resolver()))
-    # records of one chunk align to the first place of their text; each distinct date counts as often as it stands there
-    dates = found.select("document_id", "text").distinct().join(_pipeline_docs(spark, d).select(F.col("document_id").alias("_d"), F.col("text").alias("_t")), F.col("document_id") == F.col("_d"))
-    times = F.size(F.filter(F.regexp_extract_all("_t", F.lit(_DATE), F.lit(0)), lambda x: x == F.col("text")))
-    return dates.select("document_id", F.explode(F.array_repeat("text", times)).alias("text"))
+    return pipeline.extract(_pipeline_docs(spark, d), chain).select("document_id", "text")
 
 
 @query()
