@@ -101,6 +101,13 @@ def token_sizes(documents: DataFrame, vocabulary: str = f"{TOKENIZER_DIR}/{BYTE_
     return count_tokens(rows, "_d", "text", "n_tokens", vocabulary).select("_d.doc_id", "_d.source", "n_tokens")
 
 
+def held_tokens(sizes: DataFrame, targets: DataFrame) -> dict[str, float]:
+    """The tokens that the sources of each mix hold together, each document once."""
+    named = targets.filter("mix_name is not null and target_share > 0 and max_repeats > 0").select("mix_name", "source").distinct()
+    held = sizes.join(F.broadcast(named.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    return {r["mix_name"]: float(r["n"] or 0) for r in named.join(held, "source").groupBy("mix_name").agg(F.sum("n").alias("n")).collect()}
+
+
 @dataclass(frozen=True)
 class Mixture:
     rows: DataFrame

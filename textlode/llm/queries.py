@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlode.core.session import table
+from textlode.core.session import materialize, table
 from textlode.llm import bpe, lookalikes, mixing, mojibake, pieces, quantiles, sentences, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,3 +153,22 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares that each mix reached."""
     return _mixture(spark, d).shares
+
+
+def _sized_mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    """Each mix as large as what its sources hold: where targets and repeats don't give that, the bisected exponent decides."""
+    sizes = materialize(mixing.token_sizes(table(spark, d, "documents")))
+    targets = table(spark, d, "mix_targets")
+    return mixing.mix_sources(sizes, targets, mixing.held_tokens(sizes, targets))
+
+
+@query()
+def p8_sized(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of a document in each mix of a given size."""
+    return _sized_mixture(spark, d).rows
+
+
+@query()
+def p8_sized_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that each mix of a given size reached, and its exponent."""
+    return _sized_mixture(spark, d).shares
