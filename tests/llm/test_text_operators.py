@@ -1,6 +1,8 @@
 import random
+import time
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +12,7 @@ from textlode.llm import lookalikes as L
 from textlode.llm import mojibake as M
 from textlode.llm import pieces as P
 from textlode.llm import sentences as S
+from textlode.llm.sentence_text import Block, key, stop_key
 
 CLEAN = [
     "Plain text.", "«Já não há lã», disse ela. SÃO OBRIGAÇÕES: INFORMAÇÃO E DOAÇÃO. «ATÉ AMANHû!", "Größe, Übermaß und Ärger: „Ist das gefährlich?“, 24,0 °C, 5 µg ± 3", "« Est-ce grave ? » À côté, l’été dernier. ÂGE ET ANTÉCÉDENTS",
@@ -222,24 +225,37 @@ def test_units_hold_every_character(text):
     assert all(c in WS_CHARS for k, c in enumerate(text) if k not in held)
 
 
-def test_posteriors_of_every_path():
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(-9, 9), st.floats(0.01, 1), st.floats(0.5, 2)), min_size=1, max_size=9), st.sampled_from([1, 3, 64]))
+def test_posteriors_of_every_path(gaps, width):
     """Forward-backward against the sum over all sequences of events."""
-    text = "A one. B. Two three. Four"
-    found = S.gaps(text)
-    p = [MODEL.score(g) for g in found]
-    n = len(found)
-    total, yes = 0.0, [0.0] * n
+    odds, link, after = (np.array(x) for x in zip(*gaps, strict=True))
+    p, n = 1 / (1 + np.exp(-odds)), len(gaps)
+    total, yes = 0.0, np.zeros(n)
     for bits in range(1 << n):
         e = [(bits >> k) & 1 for k in range(n)]
         w = 1.0
         for k in range(n):
             w *= p[k] if e[k] else 1 - p[k]
-            if k and e[k] and e[k - 1] and found[k].at - found[k - 1].at < 6 and len(text[found[k - 1].at : found[k].at].split()) < 2:
-                w *= S.SHORT
+            if k and e[k - 1]:
+                w *= link[k] if e[k] else after[k]
         total += w
-        for k in range(n):
-            yes[k] += w * e[k]
-    assert S.posteriors(text, found, MODEL) == pytest.approx([y / total for y in yes])
+        yes += w * np.array(e)
+    assert S.posteriors(odds, link, after, width) == pytest.approx(yes / total)
+
+
+def fitted(spark, rows):
+    return S.fit(spark.createDataFrame(list(enumerate(rows)), "id int, text string"))
+
+
+def stop_odds(model, word):
+    k = model.index("stop").find(np.array([stop_key(word)], np.uint64))[0]
+    return model.stop_odds[k]
+
+
+def end_odds(model, word):
+    k = model.index("end").find(np.array([key(word)], np.uint64))[0]
+    return model.end_odds[k]
 
 
 def test_the_model_learns_abbreviations_and_headings(spark):
@@ -252,14 +268,55 @@ def test_the_model_learns_abbreviations_and_headings(spark):
         rows.append((k, "Zusammen\n" + "".join(x + r.choice([" ", " ", "\n"]) for x in parts)))
     df = spark.createDataFrame(rows, "id int, text string")
     model = S.fit(df)
-    assert model.lam[S.slot("xyz.")] < 0.1 and model.lam[S.slot("gut.")] > 0.5
-    assert model.head[S.slot("zusammen")] > 0.9 > 0.5 > model.head[S.slot("war")]
+    assert stop_odds(model, "xyz") < -2 and stop_odds(model, "gut") > 0
+    assert end_odds(model, "zusammen") > 2 and model.index("end").find(np.array([key("war")], np.uint64))[0] < 0
     for x in rows[:20]:
         out = units(x[1], model)
         assert out[0] == "Zusammen" and len(out) == 4 and any(u.startswith("Herr Xyz. ") for u in out)
     assert S.split_documents(df, model).filter("id = 0").count() == 4
 
 
+# Sentences of a corpus with stops or line ends; the texts to split have neither.
+RUNS = {
+    "english": (["The dog barked at night", "We ate dinner at home", "He came home late", "She left the house early", "They sold the old boat", "Nobody knew the answer", "It rained all day"], " ", ". "),
+    "chinese": (["我们昨天去了北京", "他今天没有来上班", "你们明天再来看吧", "医生建议病人休息", "她买了三本新书"], "", "。"),
+    "japanese": (["私は昨日病院に行きました", "彼は今日来ませんでした", "先生は本を読みます", "明日は雨が降るでしょう", "誰も答えを知りません"], "", "。"),
+    "lao": (["ຂ້ອຍໄປຕະຫຼາດ", "ລາວກິນເຂົ້າແລ້ວ", "ພວກເຮົາຮຽນພາສາລາວ", "ມື້ນີ້ຝົນຕົກໜັກ", "ເຈົ້າຢູ່ບ້ານບໍ່"], "", "\n\n"),
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_text_without_stops(spark, name):
+    """Units come from the words around a gap where a text has no stops at all."""
+    sentences, blank, stop = RUNS[name]
+    r = random.Random(3)
+    model = fitted(spark, ["".join(x + stop for x in r.choices(sentences, k=6)) for _ in range(150)])
+    parts = [sentences[k % len(sentences)] for k in range(14)]
+    assert units(blank.join(parts), model) == parts
+    # with its stops a text is cut at these alone
+    if stop.strip():
+        assert [u.rstrip("。.") for u in units("".join(x + stop for x in parts), model)] == parts
+
+
+def test_neighbouring_events_decide_together():
+    """Forward-backward turns the decision of the gap alone: a letter by itself is no unit."""
+    text = "He told them so! R. Minor agreed."
+    b = Block([text])
+    s = S.score(b, MODEL)
+    alone, together = s.odds > 0, S.posteriors(s.odds, s.link, s.after_first) > 0.5
+    assert (alone != together).sum() == 1 and units(text) == ["He told them so!", "R. Minor agreed."]
+
+
+def test_unclosed_brackets_cost_no_more_than_their_number():
+    def seconds(n):
+        t0 = time.process_time()
+        Block(["(a b. " * n]).quotations
+        return time.process_time() - t0
+
+    seconds(1000)
+    assert seconds(80_000) < 30 * max(seconds(8_000), 0.02)
+
+
 def test_sentence_tables(spark):
     df = spark.createDataFrame([("a", "One. Two.", 1), ("b", None, 1), ("c", "  ", 1), ("a", "One. Two.", 1), ("d", "word " * 50_000, 1)], "id string, text string, start_pos int")
     got = S.split_documents(df, S.fit(df)).groupBy("id").count().collect()

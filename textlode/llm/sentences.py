@@ -1,505 +1,708 @@
 """Sentence units of texts in any script by a hidden-event language model.
 
-Between the words of a text stand hidden events: a boundary or none. The model
-is an n-gram model over words and events: P(event | word before), P(kind of gap
-| event), P(class and identity of the word after | event). Nobody has labelled
-the boundaries, so expectation maximisation fits the tables to counts over all
-texts: a word like an abbreviation is known by never standing before the end of
-a line, a heading by nearly always standing there. Forward-backward posteriors
-over the gaps of a paragraph decide; what is certain by form (an empty line, a
-gap inside a quotation, a blank between Thai letters) enters as an event with
-probability one or zero.
-
-Words are hashed into a fixed number of slots, so the model has a fixed size,
-whatever the corpus: it may be sent to every executor. Counting is one pass
-with aggregation inside each partition, deciding another; neither shuffles text.
+Between the words of a text stand hidden events: a boundary or none. Every gap
+between two words (and between two characters of scripts without blanks) is
+offered to the model, an n-gram model over words and events: P(event | word
+before with its stop), P(what stands in the gap | event), P(word after |
+boundary), and P(word after | word before, none) by classes of words, of which
+every frequent word is one. Nobody has labelled the boundaries, so expectation
+maximisation fits the tables to counts over all texts: a word like an
+abbreviation is known by never standing before the end of a line, a heading by
+nearly always standing there. A first pass counts stops, line ends and words; a
+second runs forward-backward and counts the words around boundaries by their
+posteriors; the last decides. Forms that tell nearly surely (an empty line, a
+gap inside a quotation, a blank between Thai letters) are features with heavy
+weights. Whether a paragraph uses stops at all is a hidden style, told by its
+length and its stops, so that a gap without a stop can end a sentence only where
+stops are lacking.
+
+Chains are run over arrays (see sentence_text). The tables hold the words with
+at least ``SHARE`` of all occurrences, so their size is bounded whatever the
+corpus; other words count by their class. Counting aggregates inside each
+partition, and no step shuffles text.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from bisect import bisect_left
-from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import accumulate
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlode.core.jstext import WS_CHARS
+from textlode.core.session import discard, materialize
+from textlode.llm.sentence_text import (
+    CASELESS, CLOSERS, DENSE, DIGIT, LENGTHS, LINE, LOWER, MIXED, NOTHING, NUMBER, OPENERS, PARAGRAPH, SIGN, SPACE, SURE_STOPS, UPPER, WIDE_STOPS, Block, mix, stop_key,
+)
 
-#: Slots that words are hashed into. It bounds the model to five numbers a slot, 10 MB in all.
-SLOTS = 1 << 18
+#: Share of all occurrences that a word, a stop's context or a line's last word needs for an entry of its own: at most 2^18 entries a table.
+SHARE = 2.0**-18
+#: Share of all words that makes a word a class of its own: at most 512 classes.
+CLASS_SHARE = 2.0**-9
 ROUNDS = 80
-LONGEST_ABBREVIATION = 8
-
-# Characters that end sentences, close them, and open them.
-STOPS = ".!?…。！？।॥۔؟።፧．｡"
-WIDE_STOPS = "。！？｡"
-CLOSERS = "\"'”’»›)]}」』》）】］〉“‘"
-OPENERS = "\"'“‘«‹„‚([{「『《（【［〈¿¡"
-QUOTE_PAIRS = {"“": "”", "„": "“”", "‚": "‘’", "«": "»", "‹": "›", "「": "」", "『": "』", "《": "》", "(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "［": "］", "〈": "〉", "‘": "’"}
-BRACKETS = "([{（【［"
-
-SPACE, LINE, PARAGRAPH, NOTHING = range(4)
-LOWER, UPPER, DIGIT, MIXED, OPEN, CASELESS, SIGN = range(7)
-
-_WS = "[" + "".join(f"\\u{ord(c):04x}" for c in WS_CHARS) + "]"
-# a run of stops with what closes behind it, then a gap that may be nothing
-_STOP = regex.compile(rf"(?P<stop>[{regex.escape(STOPS)}]+|(?<=\p{{Greek}});)(?P<close>(?:{_WS}?[»›]|[{regex.escape(CLOSERS)}])*)(?P<gap>{_WS}*)")
-_BREAK = regex.compile(rf"{_WS}*[\r\n]{_WS}*")
-_THAI = regex.compile(r"(?<=[\u0e01-\u0e3a\u0e40-\u0e4e])(?:(?![\r\n])" + _WS + r")+(?=[\u0e01-\u0e3a\u0e40-\u0e4e])")
-_MARKER = regex.compile(r"(?:[-*•·▪‣◦○●■□–—](?:[ \t\xa0]+)(?=[\p{Lu}\p{Lo}\p{N}])|[-*•·▪‣◦○●■□][ \t\xa0]+|\p{N}{1,2}[.)](?:[ \t\xa0]+)|\p{L}\)[ \t\xa0]+|\([\p{L}\p{N}]{1,3}\)[ \t\xa0]+)")
-_WORD = regex.compile(r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{N}\s]")
-# read backwards from the gap
-_LEFT = regex.compile(r"(?r)(?:(?:\p{L}\.)+\p{L}|°[CF]|[\p{L}\p{M}\p{Cf}]+|\p{N}+|[^\p{L}\p{N}\s])")
-_RIGHT = regex.compile(r"[\p{L}\p{M}]+|\p{N}+")
-_SKIP = regex.compile(rf"(?:[{regex.escape(OPENERS)}–—―-]|{_WS})*")
-# a string without a blank that no word of any language is, to the end of its line
-_UNBROKEN = regex.compile(r"[!-~]{60,}[ \t\xa0]*(?=[\r\n]|$)")
-_SIGNS_ONLY = regex.compile(r"[^\p{L}\p{N}\r\n]*(?:ツ[^\p{L}\p{N}\r\n]*)?(?=[\r\n]|$)")
-
-
-_HIDDEN = regex.compile(r"[\p{Cf}\N{VARIATION SELECTOR-16}]")
-_BEFORE_NUMBER = regex.compile(r"(?r)([\p{L}\p{M}]+|[^\p{L}\p{N}\s.])[.\s]*")
-
-
-def slot(word: str) -> int:
-    """The slot of a word; odd ones are those of words of three letters at most and their stop, which are likelier abbreviations."""
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % (SLOTS // 2) * 2 + (len(word) <= 4)
-
-
-def quotations(text: str) -> list[tuple[int, int, bool, bool]]:
-    """(start, end, is bracket, opens a unit) of the quotations and bracketed remarks; none reaches across an empty line."""
-    out: list[tuple[int, int, bool, bool]] = []
-    stack: list[tuple[str, int]] = []
-
-    def close(k: int, ch: str) -> bool:
-        for depth in range(len(stack) - 1, -1, -1):
-            o, at = stack[depth]
-            if (o == ch and o in "\"'") or (o != ch and ch in QUOTE_PAIRS.get(o, "")):
-                del stack[depth:]
-                head = text[max(0, at - 12) : at]
-                stripped = head.rstrip(WS_CHARS)
-                broken = "\n" in head[len(stripped) :] or "\r" in head[len(stripped) :]
-                opens = not stripped and (at < 12 or broken) or bool(stripped) and (stripped[-1] in STOPS + CLOSERS or broken and stripped[-1] not in ",:;")
-                out.append((at, k + 1, o in BRACKETS, opens))
-                return True
-        return False
-
-    for m in _MARKS.finditer(text):
-        k, ch = m.start(), m[0][0]
-        if ch == "\n" or ch == "\r":
-            stack.clear()
-            continue
-        before, after = text[k - 1 : k], text[k + 1 : k + 2]
-        if ch in "\"'":
-            inside = any(o == ch for o, _ in stack)
-            opening = (not before or before in WS_CHARS or before in OPENERS + "—–-/" or (ch == '"' and not inside and before in STOPS)) and after and after not in WS_CHARS
-            if ch == "'" and not opening and (not before or before in WS_CHARS or after[:1].isalnum()):
-                continue  # an apostrophe
-            if opening and not inside:
-                stack.append((ch, k))
-            elif inside:
-                close(k, ch)
-            continue
-        if ch == "’" and after[:1].isalpha() and before.isalpha():
-            continue
-        if close(k, ch):
-            continue
-        if ch in QUOTE_PAIRS:
-            stack.append((ch, k))
-    return sorted(out)
-
-
-_MARKS = regex.compile(r"(?:\r\n|\r|\n)[ \t\xa0]*(?:\r\n|\r|\n)|[" + regex.escape("\"'“”‘’„‚«»‹›()[]{}「」『』《》（）【】［］〈〉", special_only=False) + "]")
-
-
-@dataclass
-class Gap:
-    """A place where a unit may end: ``at`` is the end of the text before it."""
-
-    at: int
-    left: str
-    kind: int
-    right: int
-    word: str
-    stop: bool
-    fixed: float | None = None
-    tokens: int = 0  # words of the line before a gap without a stop
-    quoted: bool = False  # an opening mark stands between the gap and the word
-
-
-def _right_of(text: str, at: int) -> tuple[int, str, int]:
-    """(class, word, where it starts) of what follows a gap, opening marks and dashes skipped."""
-    k = _SKIP.match(text, at).end()
-    m = _RIGHT.match(text, k)
-    if not m:
-        return (SIGN if k < len(text) else SIGN), text[k : k + 1], k
-    w = m[0]
-    if w[0].isdigit() or w.isnumeric():
-        return DIGIT, "#" + str(min(5, len(w))), k
-    if w[0].islower():
-        return (MIXED if any(c.isupper() for c in w) else LOWER), w, k
-    return (UPPER if w[0].isupper() else CASELESS), w, k
-
-
-def _left_of(text: str, at: int) -> str:
-    m = _LEFT.match(text, max(0, at - 40), at)
-    if not m:
-        return ""
-    w = m[0]
-    if w[0].isnumeric():
-        # a number is known by what stands before it: the day of a month, a page, a year
-        b = _BEFORE_NUMBER.match(text, max(0, m.start() - 40), m.start())
-        return "#" + (b[1].lower() if b else "")
-    return _HIDDEN.sub("", w).lower()
-
-
-def gaps(text: str) -> list[Gap]:
-    """All gaps of a text where a unit could end, in order, those of certain outcome with it."""
-    spans = quotations(text)
-    starts = [s for s, *_ in spans]
-    cover_end = list(accumulate((e for _, e, *_ in spans), max))
-
-    def inside(at: int) -> bool:
-        """Whether a quotation opens before ``at`` and closes behind it."""
-        if not starts:
-            return False
-        k = bisect_left(starts, at)
-        return k > 0 and cover_end[k - 1] > at
-
-    closing = {e: (s, bracket, opens) for s, e, bracket, opens in spans}
-    found: dict[int, Gap] = {}
-    n = len(text)
-
-    line_marker: dict[int, int] = {}
-
-    def line_start(at: int) -> int:
-        return max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) + 1
-
-    def marker_end(start: int) -> int:
-        if start in line_marker:
-            return line_marker[start]
-        k = start
-        while k < n and text[k] in WS_CHARS:
-            k += 1
-        m = _MARKER.match(text, k)
-        end = m.end() if m else -1
-        if m and m[0][0].isdigit() and m[0][:2] not in ("1.", "1)"):
-            # a number that a wrapped sentence goes on with is no marker: markers stand behind a stop or another marker
-            before = text[:start].rstrip(WS_CHARS) if start < 200 else text[start - 200 : start].rstrip(WS_CHARS)
-            if before and before[-1] not in STOPS + CLOSERS:
-                last = line_start(start - (1 if text[start - 1 : start] in ("\n", "\r") else 0) - (1 if text[start - 2 : start] == "\r\n" else 0))
-                if last == start or line_marker.get(last, -1 if last else None) in (-1, None) and not _MARKER.match(text, last):
-                    end = -1
-        line_marker[start] = end
-        return end
-
-    for m in _BREAK.finditer(text):
-        a, b = m.span()
-        if a == 0 or b >= n:
-            continue
-        gap_text = m[0].replace("\r\n", "\n").replace("\r", "\n")
-        kind = PARAGRAPH if gap_text.count("\n") > 1 else LINE
-        right, word, _ = _right_of(text, b)
-        g = Gap(a, _left_of(text, a), kind, right, word, False)
-        g.tokens = sum(1 for _ in _RIGHT.finditer(text, line_start(a), a))
-        if kind == PARAGRAPH:
-            g.fixed = 1.0
-        elif inside(a):
-            g.fixed = 0.0
-        elif marker_end(b) >= 0:
-            g.fixed = 1.0
-        elif right == LOWER or text[a - 1] in ",;–—(" or text[a - 1] in CLOSERS and text[a - 2 : a - 1] == "," or text[a - 1] == ":" and text[b] in OPENERS:
-            g.fixed = 0.0
-        elif marker_end(line_start(a)) >= 0:
-            g.fixed = 1.0
-        elif right == SIGN:
-            g.fixed = 1.0 if _SIGNS_ONLY.match(text, b) else 0.0
-        elif _SIGNS_ONLY.match(text, line_start(a)):
-            g.fixed = 1.0
-        found[a] = g
-    for m in _STOP.finditer(text):
-        end, after = m.end("close"), m.end()
-        if after >= n:
-            continue
-        stop, close, gap = m["stop"], m["close"], m["gap"]
-        if gap and ("\n" in gap or "\r" in gap):
-            kind = PARAGRAPH if len(regex.findall(r"\r\n|\r|\n", gap)) > 1 else LINE
-        else:
-            kind = SPACE if gap else NOTHING
-        right, word, first = _right_of(text, after)
-        at = end
-        g = Gap(at, _left_of(text, m.start()) + stop[-1:].replace("．", "."), kind, right, word, True)
-        g.quoted = any(c in OPENERS for c in text[after:first])
-        wide = stop[-1] in WIDE_STOPS
-        start = m.start()
-        if kind == NOTHING:
-            nxt = text[after]
-            if nxt in STOPS or inside(at) or stop[-1] == "…" and not close:
-                g.fixed = 0.0
-            elif wide:
-                if close and _HIRAGANA.match(nxt):
-                    g.fixed = 0.0
-                elif right == SIGN and not _SIGNS_ONLY.match(text, after):
-                    g.fixed = 0.0
-                else:
-                    g.fixed = 1.0
-            elif right not in (UPPER, CASELESS) or not _may_adjoin(text, start, after, stop, close):
-                g.fixed = 0.0
-        # a marker at the head of its line is no sentence
-        if marker_end(line_start(start)) > start:
-            g.fixed = 0.0
-        elif kind == PARAGRAPH:
-            g.fixed = 1.0
-        elif inside(at):
-            g.fixed = 0.0
-        elif kind == LINE and marker_end(after) >= 0:
-            g.fixed = 1.0
-        elif kind in (SPACE, LINE) and _UNBROKEN.match(text, after):
-            g.fixed = 1.0
-        if g.fixed is None or g.fixed == 1.0:
-            own = closing.get(end)
-            if own is None and close:
-                own = next((closing[e] for e in range(end, m.start("close"), -1) if e in closing), None)
-            if own and own[0] < start and not own[1] and own[2] and kind in (SPACE, NOTHING, LINE):
-                # a quotation that opens its sentence: what follows on the line tells who said it
-                if right in (UPPER, LOWER, MIXED, CASELESS) and text[after] not in OPENERS + "—–-":
-                    g.fixed = 0.0
-            elif kind in (SPACE, NOTHING) and _SIGNS_ONLY.match(text, after):
-                g.fixed = 1.0
-            elif kind in (SPACE, LINE) and right == LOWER:
-                g.fixed = 0.0
-            elif stop[-1] in "!?？！।॥۔؟።፧" and right in (UPPER, CASELESS, DIGIT, MIXED) and kind != NOTHING:
-                g.fixed = 1.0
-        old = found.pop(at, None)
-        if old is not None and g.fixed is None and old.fixed == 1.0:
-            g.fixed = 1.0
-        found[at] = g
-    for m in _THAI.finditer(text):
-        if not inside(m.start()):
-            found[m.start()] = Gap(m.start(), "", SPACE, CASELESS, "", False, 1.0)
-    out = sorted(found.values(), key=lambda g: g.at)
-    return out
-
-
-_HIRAGANA = regex.compile(r"[ぁ-ゟ]")
-_URL = regex.compile(r"(?:https?://|www\.)\S*$|\S+@\S*$")
-
-
-def _may_adjoin(text: str, start: int, after: int, stop: str, close: str) -> bool:
-    """Whether a stop that no blank follows may end a sentence: a whole word before it, a capitalised or caseless word behind."""
-    head = text[max(0, start - 60) : start]
-    if _URL.search(head):
-        return False
-    if stop[-1] in "!?" or close:
-        return True
-    left = regex.search(r"[\p{L}\p{M}\p{N}°%]+$", head)
-    if not left or not regex.match(r"[\p{Lu}\p{Lo}][\p{Ll}\p{Lo}\p{M}]|[\p{Lu}\p{Lo}][’ ]|[" + regex.escape(OPENERS) + "—]", text[after : after + 2]):
-        return False
-    w = left[0]
-    if regex.search(r"\p{N}[ \xa0]?\p{Ll}$", head):
-        return True
-    return len(w) > 1 and not (w[-1].isupper() and len(w) <= 2 and w[0] != "°") or w[-1] in "%" or bool(regex.search(r"\p{L}\.\p{L}$", head))
-
+#: Code points in a block that arrays are made of; texts are never divided.
+BLOCK_CHARS = 1 << 17
+#: Log-odds of a feature that tells nearly surely, and of evidence beside it at most.
+HEAVY, LIGHT = 16.0, 7.0
+#: Factor of a boundary that leaves a unit of one word, by which neighbouring gaps depend on each other: a letter or number, another short word.
+MARK_ALONE, SHORT = 0.02, 0.3
+#: Prior odds of a paragraph that lacks stops, what each stop or line end does to them, and how often a stop is left out elsewhere.
+BARE, KEPT, OMITTED = 0.002, 0.02, 1e-6
+#: How often a text without stops leaves out capitals too.
+UNCASED = 0.5
 
 # Words that a stop follows without ending a sentence, by which the tables start.
-ABBREVIATIONS = frozenset(
+ABBREVIATIONS = (
     "dr mr mrs ms prof st vs vol pp fig no sec para ver approx incl cf al e.g i.e etc jr sr hon rev gen col lt capt sgt "
     "bzw ca nr abs vgl usw evtl ggf inkl zzgl str hr fr dipl ing "
     "mme mlle m mm art av éd p ej sra srta dra d ee uu núm pág "
     "tj ul ok np itd godz im ks mgr inż "
     "г т е см стр тыс руб им ул д-р р гл "
     "κ π.χ δρ κα σελ bs ts ths pgs "
-    "ड\N{DEVANAGARI VOWEL SIGN CANDRA O} श\N{DEVANAGARI SIGN VIRAMA}र\N{DEVANAGARI VOWEL SIGN II} د أ ص jan feb mar apr jun jul aug sep sept oct nov dec".split()
+    "ड\N{DEVANAGARI VOWEL SIGN CANDRA O} श\N{DEVANAGARI SIGN VIRAMA}र\N{DEVANAGARI VOWEL SIGN II} د أ ص jan feb mar apr jun jul aug sep sept oct nov dec"
 )
 
 
+class Index:
+    """Where keys stand in an array of distinct ones, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        size = 1 << max(4, int(4 * len(keys)).bit_length())
+        self.keys = keys
+        self.mask = np.uint64(size - 1)
+        self.slots = np.full(size, -1, np.int32)
+        left = np.arange(len(keys), dtype=np.int32)
+        at = self._home(keys)
+        self.reach = 0
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]  # of several that meet in a slot the last stays
+            out = self.slots[at] != left
+            left, at = left[out], (at[out] + 1) & int(self.mask)
+            self.reach += 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(20)) & self.mask).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it isn't there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = self._home(keys)
+        out = self.slots[at]
+        hit = (out >= 0) & (self.keys[out] == keys)
+        left = np.flatnonzero(~hit & (out >= 0))
+        out = np.where(hit, out, -1)
+        for _ in range(self.reach - 1):
+            if not len(left):
+                break
+            at = (at[left] + 1) & int(self.mask) if len(at) == len(keys) else (at + 1) & int(self.mask)
+            found = self.slots[at]
+            hit = (found >= 0) & (self.keys[found] == keys[left])
+            out[left[hit]] = found[hit]
+            on = ~hit & (found >= 0)
+            left, at = left[on], at[on]
+        return out.astype(np.int64)
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    return np.log(p) - np.log1p(-p)
+
+
+def _abbreviation_keys() -> np.ndarray:
+    from textlode.llm.sentence_text import DOTTED, key
+
+    out = []
+    for a in ABBREVIATIONS.split():
+        if len(a) == 3 and a[1] == ".":
+            dotted = int(mix(mix(np.uint64(DOTTED), np.uint64(key(a[0]))), np.uint64(key(a[2]))))
+            out.append(int(mix(np.uint64(dotted), ord("."))))
+        else:
+            out.append(stop_key(a))
+    return np.unique(np.array(out, np.uint64))
+
+
+_OTHER_LOW, _OTHER_CAP, _OTHER_NUMBER, _OTHER_DENSE = range(4)
+
+
 @dataclass
 class Model:
-    """Tables of probabilities; ``lam`` P(boundary | left word) before stops, ``head`` the same before a line's end without one."""
+    """Tables of log-odds by key.
+
+    ``stop_*``: P(boundary | word and its stop). ``gap``: P(kind of gap | event).
+    ``word_*``: the words with entries of their own, whose ``first`` is the
+    log-odds of standing first after a stop. ``end_*``: P(boundary | last word of
+    a line without a stop). ``length``: log-odds by the words of such a line. The
+    rest is filled by the second pass: ``last`` P(boundary | word) and ``begin``
+    (as ``first``, small letter and capital) for gaps without a stop; ``pair``,
+    the log-ratio of P(class after | class before, none) to P(class after | none);
+    and ``follow``, the ratio of the former behind a boundary to elsewhere.
+    """
 
-    lam: np.ndarray
-    gap: np.ndarray  # [event, kind]
-    start: np.ndarray  # log P(word | boundary) - log P(word | none)
-    head: np.ndarray
-    head_seen: np.ndarray
+    stop_keys: np.ndarray
+    stop_odds: np.ndarray
+    gap: np.ndarray
+    word_keys: np.ndarray
+    first: np.ndarray  # [word, small | capital]
+    end_keys: np.ndarray
+    end_odds: np.ndarray
+    length: np.ndarray
+    span: np.ndarray = field(default_factory=lambda: np.array([12.0, 25.0]))  # words of a sentence in scripts with and without blanks
+    classes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # class of each word
+    last: np.ndarray | None = None
+    begin: np.ndarray | None = None
+    pair: np.ndarray | None = None
+    follow: np.ndarray | None = None
+    _indexes: dict[str, Index] = field(default_factory=dict, repr=False)
 
     @classmethod
     def prior(cls) -> Model:
-        lam = np.full(SLOTS, 0.97)
-        for a in ABBREVIATIONS:
-            lam[slot(a + ".")] = 0.04
+        none = np.zeros(0, np.uint64)
+        abbreviations = _abbreviation_keys()
         gap = np.array([[0.98, 0.018, 0.001, 0.001], [0.6, 0.25, 0.1, 0.05]])
-        return cls(lam, gap, np.zeros(SLOTS), np.full(SLOTS, 0.3), np.zeros(SLOTS))
+        length = np.where(np.arange(LENGTHS) <= 4, 1.0, np.where(np.arange(LENGTHS) <= 6, -1.0, -3.0))
+        return cls(abbreviations, np.full(len(abbreviations), _logit(np.array(0.04))), gap, none, np.zeros((0, 2)), none, np.zeros(0), length)
 
     @classmethod
-    def fit(cls, stops: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Model:
-        """Expectation maximisation from rows of counts: stops (slot, kind, n), starts (slot, 0 inside | 1 first, n), ends (slot, 0 inside | 1 at a line's end, n)."""
+    def fit(cls, stops: np.ndarray, words: np.ndarray, ends: np.ndarray, lengths: np.ndarray, total: int) -> Model:
+        """The tables of the first pass.
+
+        Rows of counts: stops (key, kind of gap and whether its word is short, n), words (key, 0 or 1 small inside or first,
+        2 or 3 capital inside or first, n), ends (key, 0 inside | 1 at a line's end, n), lengths (words of a line, event, n);
+        ``total``: all occurrences of words.
+        """
         m = cls.prior()
-        prior, weight = m.lam.copy(), np.where(np.arange(SLOTS) % 2, 4.0, 12.0)
+        prior = m
         if len(stops):
             # a small letter behind decides by itself; elsewhere the kind of gap tells, as no line ends behind an abbreviation
-            s, k, n = stops[:, 0], stops[:, 1], stops[:, 2].astype(float)
+            keys, s = np.unique(np.concatenate([stops["key"], prior.stop_keys]), return_inverse=True)
+            s = s[: len(stops)]
+            k, n = stops["kind"] % 4, stops["n"].astype(float)
+            base = np.where(np.isin(keys, prior.stop_keys), 0.04, 0.97)
+            short = np.zeros(len(keys), bool)
+            short[s[stops["kind"] >= 4]] = True
+            weight = np.where(short, 4.0, 12.0)
+            lam, gap = base.copy(), prior.gap.copy()
+            total_n = np.bincount(s, n, len(keys))
             for _ in range(ROUNDS):
-                p1 = m.lam[s] * m.gap[1, k]
-                p0 = (1 - m.lam[s]) * m.gap[0, k]
+                p1, p0 = lam[s] * gap[1, k], (1 - lam[s]) * gap[0, k]
                 q = n * p1 / (p1 + p0)
-                total, yes = np.bincount(s, n, SLOTS), np.bincount(s, q, SLOTS)
-                m.lam = np.clip((yes + prior * weight) / (total + weight), 1e-4, 1 - 1e-4)
-                m.gap[1] = (np.bincount(k, q, 4) + 50 * cls.prior().gap[1]) / (q.sum() + 50)
-        if len(starts):
-            a = starts
-            first = np.bincount(a[:, 0], np.where(a[:, 1] == 1, a[:, 2], 0), SLOTS)
-            inner = np.bincount(a[:, 0], np.where(a[:, 1] == 0, a[:, 2], 0), SLOTS)
-            f, i = (first + 0.5) / (first.sum() + SLOTS / 2), (inner + 0.5) / (inner.sum() + SLOTS / 2)
-            seen = first + inner
-            m.start = np.where(seen >= 2, np.clip(np.log(f) - np.log(i), -3, 3), 0.0)
+                lam = np.clip((np.bincount(s, q, len(keys)) + base * weight) / (total_n + weight), 1e-4, 1 - 1e-4)
+                gap[1] = (np.bincount(k, q, 4) + 50 * prior.gap[1]) / (q.sum() + 50)
+            m.stop_keys, m.stop_odds, m.gap = keys, _logit(lam), gap
+        if len(words):
+            keys, s = np.unique(words["key"], return_inverse=True)
+            n = np.zeros((4, len(keys)))
+            np.add.at(n, (words["kind"], s), words["n"])
+            inner, first = n[[0, 2]], n[[1, 3]]
+            odds = np.log((first + 0.5) / (first.sum() + len(keys) / 2)) - np.log((inner + 0.5) / (inner.sum() + len(keys) / 2))
+            m.first = np.where(inner + first >= 2, np.clip(odds, -3, 3), 0.0).T
+            m.word_keys = keys
+            share = n.sum(0) / max(1, total)
+            own = np.flatnonzero(share >= CLASS_SHARE)
+            m.classes = np.full(len(keys), -1, np.int64)
+            m.classes[own] = np.arange(len(own)) + 4
+            sentences = max(1.0, first.sum())
+            m.span = np.array([np.clip(total / sentences, 5, 40), 25.0])
         if len(ends):
-            a = ends
-            at_end = np.bincount(a[:, 0], np.where(a[:, 1] == 1, a[:, 2], 0), SLOTS)
-            inner = np.bincount(a[:, 0], np.where(a[:, 1] == 0, a[:, 2], 0), SLOTS)
-            total = at_end + inner
-            # a wrapped line may end behind any word alike, so that words which are no headings share one small rate
-            usual = total[total > 0]
-            wrap = float(np.clip(np.median((at_end[total >= 20] / total[total >= 20])) if (total >= 20).any() else 0.02, 0.005, 0.1)) if len(usual) else 0.02
-            m.head = np.clip(1 - (wrap * total + 0.3) / (at_end + 0.5), 0.02, 0.995)
-            m.head_seen = total
+            keys, s = np.unique(ends["key"], return_inverse=True)
+            at_end, inner = (np.bincount(s, np.where(ends["kind"] == k, ends["n"], 0), len(keys)) for k in (1, 0))
+            seen = at_end + inner
+            # a wrapped line may end behind any word alike: at a small rate, that which nine in ten words keep to
+            often = seen >= 20
+            wrap = float(np.clip(np.quantile(at_end[often] / seen[often], 0.9), 0.01, 0.1)) if often.any() else 0.02
+            p = np.clip(1 - (wrap * seen + 0.3) / (at_end + 0.5), 0.02, 0.995)
+            m.end_keys, m.end_odds = keys, np.where(seen >= 3, _logit(p), 0.0)
+        if len(lengths):
+            n = np.zeros((2, LENGTHS))
+            np.add.at(n, (lengths["kind"], (lengths["key"] // np.uint64(8)).astype(np.int64)), lengths["n"])
+            weight = min(n[0].sum(), n[1].sum())
+            odds = np.log((n[1] + 1) / (n[1].sum() + LENGTHS)) - np.log((n[0] + 1) / (n[0].sum() + LENGTHS))
+            m.length = np.clip((weight * odds + 50 * prior.length) / (weight + 50), -4, 4)
         return m
 
-    def score(self, g: Gap) -> float:
-        """P(boundary) at a gap from what stands around it."""
-        if g.fixed is not None:
-            return g.fixed
-        if not g.stop:
-            h = slot(g.left)
-            p = self.head[h] if self.head_seen[h] >= 3 else 0.5
-            o = math.log(p / (1 - p)) + 0.5 * self.start[slot(g.word)] + (1.0 if g.right in (UPPER, CASELESS, OPEN) else -1.0)
-            o += 1.0 if g.tokens <= 4 else -1.0 if g.tokens <= 6 else -3.0  # headings are short
-            return 1 / (1 + math.exp(-o))
-        lam = self.lam[slot(g.left)]
-        if len(g.left) > LONGEST_ABBREVIATION and g.left.count(".") == 1 and g.left[0] != "#":
-            lam = max(lam, 0.97)  # a long word is no abbreviation, whatever shares its slot
-        kind = SPACE if g.kind == NOTHING else g.kind
-        o = math.log(lam / (1 - lam)) + math.log(self.gap[1, kind] / self.gap[0, kind])
-        if g.word and not g.quoted:
-            # a word behind an abbreviation at a wrapped line counts as a first word too, so it's no sign for a boundary there
-            o += max(min(self.start[slot(g.word)], 0.0 if lam < 0.1 else 1.5), -3.0 if g.left[:1] == "#" else -1.0 if lam > 0.8 else -2.0)
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, o))))
-
-
-#: Factor of a boundary that leaves a unit of fewer than two words, by which neighbouring gaps depend on each other.
-SHORT = 0.3
-
-
-def posteriors(text: str, found: list[Gap], model: Model) -> list[float]:
-    """Forward-backward over the gaps: P(boundary) of each given the whole text."""
-    n = len(found)
+    def index(self, table: str) -> Index:
+        if table not in self._indexes:
+            self._indexes[table] = Index(getattr(self, f"{table}_keys"))
+        return self._indexes[table]
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_indexes": {}}
+
+    def refit(self, words: np.ndarray, pairs: np.ndarray, openings: np.ndarray) -> Model:
+        """With the tables of the second pass. words: (place, kind 0 last | 1 not last | 2..5 inside and first, small and capital, n), places behind
+        the last word being those of the classes of other words; pairs (class before, class after, n) without a boundary between, openings the same of the first two words behind one."""
+        v = len(self.word_keys) + 4
+        n = np.zeros((6, v))
+        np.add.at(n, (words["kind"], words["key"].astype(np.int64)), words["n"])
+        ended, going = n[0], n[1]
+        rate = (ended.sum() + 1) / (ended.sum() + going.sum() + 2)
+        self.last = _logit(np.clip((ended + 20 * rate) / (ended + going + 20), 1e-5, 1 - 1e-5))
+        inner, first = n[[2, 4]], n[[3, 5]]
+        loose = np.stack([UNCASED * first[1] + first[0], first[1]])  # small letters may stand for capitals
+        f, i = (loose + 0.2) / (first.sum() + v / 5), (inner + 0.2) / (inner.sum() + v / 5)
+        self.begin = np.clip(np.log(f) - np.log(i), -6, 6).T
+        c = max([3, *self.classes.tolist()]) + 1
+        t = np.zeros((c, c))
+        np.add.at(t, (pairs["key"].astype(np.int64), pairs["kind"]), pairs["n"])
+        row, col, total = t.sum(1, keepdims=True), t.sum(0, keepdims=True), max(1.0, t.sum())
+        # the class bigram backs off to the class by itself, by the row's weight
+        alone = (col + 1) / (total + c)
+        usual = (t + 50 * alone) / (row + 50)
+        self.pair = np.clip(np.log(usual) - np.log(alone), -5, 5)
+        t = np.zeros((c, c))
+        np.add.at(t, (openings["key"].astype(np.int64), openings["kind"]), openings["n"])
+        self.follow = np.clip((t + 50 * usual) / (t.sum(1, keepdims=True) + 50) / usual, 0.6, 1.7)
+        return self
+
+
+# From a block to log-odds
+
+
+@dataclass
+class Scored:
+    """Log-odds of a boundary at each gap of a block, and what the counts need."""
+
+    odds: np.ndarray
+    link: np.ndarray  # factor where this gap and the one before are boundaries
+    after_first: np.ndarray  # factor where the one before is a boundary and this is none
+    sure: np.ndarray  # 1 and -1 where a heavy feature stands
+    is_line: np.ndarray
+    is_thai: np.ndarray
+    after: np.ndarray  # the places of each word, as a word after a gap and before one
+    before: np.ndarray
+
+
+def _thai(cp: np.ndarray) -> np.ndarray:
+    return ((cp >= 0x0E01) & (cp <= 0x0E3A)) | ((cp >= 0x0E40) & (cp <= 0x0E4E))
+
+
+def _features(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(1, 0 or -1 for what form tells nearly surely, whether a line ends without a stop, whether a Thai blank stands there)."""
+    gap, kind, right = b.gap, b.gap_kind, b.right_kind
+    n = len(gap)
+    at_stop = b.stop >= 0
+    nxt = b.head[np.minimum(gap + 1, b.n - 1)] if n else gap
+    last = b.cp[b.te[gap] - 1] if n else gap
+    line = ~at_stop & ((kind == LINE) | (kind == PARAGRAPH))
+    inside, caseful = b.inside, (right == UPPER) | (right == CASELESS)
+    among = lambda chars, cp: np.isin(cp, [ord(c) for c in chars])
+    closing_before = np.concatenate([[0], b.cp])[b.te[gap] - 1] if n else gap
+    marked = b.markers[np.minimum(gap + 1, b.n)] >= 0
+    line_start = b.line_start(gap)
+    only = b.signs_only(gap + 1) if n else np.zeros(0, bool)
+    sure = np.zeros(n, np.int8)
+    # lines that end without a stop
+    no = inside | ((right == LOWER) & ~marked) | among(",;–—(", last) & ~marked | (among(CLOSERS, last) & (closing_before == ord(",")) | (last == ord(":")) & among(OPENERS, nxt)) & ~marked
+    yes = marked | (b.markers[line_start] >= 0) | (right == SIGN) & only | (right != SIGN) & (b.signs_only(line_start) if n else only)
+    sure = np.where(line, np.where(no & ~((marked) & ~inside), -1, np.where(yes, 1, np.where(right == SIGN, -1, 0))), sure)
+    sure = np.where(line & (kind == PARAGRAPH), 1, sure)
+    # stops
+    s = np.flatnonzero(at_stop)
+    if len(s):
+        run, g, k, r = b.stop[s], gap[s], kind[s], right[s]
+        stop = b.cp[b.te[b.last_stop[run]] - 1]
+        closed = g > b.last_stop[run]
+        wide = among(WIDE_STOPS, stop)
+        nx, on, ins = nxt[s], only[s], inside[s]
+        from_stop = among(".!?…", nx)
+        bare = k == NOTHING
+        tells = np.zeros(len(s), np.int8)
+        adjoin = np.zeros(len(s), bool)
+        for j in np.flatnonzero(bare & ~wide & ((r == UPPER) | (r == CASELESS)) & ~ins & ~from_stop).tolist():
+            adjoin[j] = b.may_adjoin(int(run[j]), int(g[j]))
+        kana = (nx >= 0x3041) & (nx <= 0x309F)
+        tight = np.where(from_stop | ins | (stop == ord("…")) & ~closed, -1, np.where(wide, np.where((closed & kana) | (r == SIGN) & ~on, -1, 1), np.where(adjoin, 0, -1)))
+        tells = np.where(bare, tight, tells)
+        in_marker = b.markers[line_start[s]] > b.ts[b.first_stop[run]]
+        breaks = (k == LINE) & marked[s]
+        tells = np.where(in_marker, -1, np.where(k == PARAGRAPH, 1, np.where(ins, -1, np.where(breaks, 1, tells))))
+        opened = np.full(b.n + 1, -1, np.int64)
+        q = b.quotations
+        opened[q[:, 1]] = np.arange(len(q))
+        own, look = np.full(len(s), -1, np.int64), g.copy()
+        active = np.arange(len(s))
+        while len(active):
+            hit = opened[look[active]]
+            own[active] = hit
+            active = active[(hit < 0) & (look[active] - 1 > b.last_stop[run[active]])]
+            look[active] -= 1
+        has = own >= 0
+        qo = q[own] if len(q) else np.zeros((len(s), 4), np.int64)
+        speaker = has & (qo[:, 0] < b.first_stop[run]) & (qo[:, 2] == 0) & (qo[:, 3] == 1) & (k != PARAGRAPH)
+        told = speaker & np.isin(r, (UPPER, LOWER, MIXED, CASELESS)) & ~among(OPENERS + "—–-", nx)
+        rest = np.where(
+            told, -1,
+            np.where(speaker, tells,
+            np.where(((k == SPACE) | bare) & on, 1,
+            np.where(((k == SPACE) | (k == LINE)) & (r == LOWER), -1,
+            np.where(among(SURE_STOPS, stop) & np.isin(r, (UPPER, CASELESS, DIGIT, MIXED)) & ~bare, 1, tells)))),
+        )
+        tells = np.where(tells >= 0, rest, tells)
+        # a line that would end there by itself, too
+        below = (k == LINE) & (tells == 0) & ~ins & ~marked[s] & (r != SIGN) & b.signs_only(line_start[s])
+        sure[s] = np.where(below, 1, tells)
+    here = b.cp[b.te[gap] - 1] if n else gap
+    thai = ~at_stop & ((kind == SPACE) | (kind == LINE)) & _thai(here) & _thai(nxt) & ~inside
+    sure = np.where(thai, 1, sure)
+    line = line & ~thai
+    return sure, line, thai
+
+
+def _keys(b: Block) -> np.ndarray:
+    """The number of each word as an n-gram's part: characters of scripts without blanks by two, numbers as one."""
+    out = np.where(b.tc == DIGIT, np.uint64(NUMBER), b.h)
+    i = np.flatnonzero(b.tc[:-1] == DENSE) if b.n else np.zeros(0, np.int64)
+    i = i[b.tc[i + 1] == DENSE]
+    out[i] = mix(b.h[i], b.h[i + 1])
+    return out
+
+
+def _places(b: Block, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(place as a word after, place as a word before) of each word; other words have the places of their classes."""
+    v = len(model.word_keys)
+    other = np.where(b.tc == DIGIT, v + _OTHER_NUMBER, np.where(b.tc == DENSE, v + _OTHER_DENSE, np.where(b.tc == UPPER, v + _OTHER_CAP, v + _OTHER_LOW)))
+    after = model.index("word").find(_keys(b))
+    after = np.where(after >= 0, after, other)
+    before = after.copy()
+    i = np.flatnonzero(b.tc == DENSE)
+    i = i[i > 0]
+    i = i[b.tc[i - 1] == DENSE]
+    before[i] = after[i - 1]  # the pair of characters that ends there
+    return after, before
+
+
+def _classes(model: Model, place: np.ndarray, capital: np.ndarray) -> np.ndarray:
+    """The class of the word at each place; a word without one of its own has that of its case."""
+    c = np.append(model.classes, np.arange(4))[place]
+    return np.where(c >= 0, c, np.where(capital, _OTHER_CAP, _OTHER_LOW))
+
+
+def score(b: Block, model: Model) -> Scored:
+    gap, kind = b.gap, b.gap_kind
+    sure, line, thai = _features(b)
+    n = len(gap)
+    at_stop = b.stop >= 0
+    right = np.minimum(b.right, max(b.n - 1, 0))
+    odds = np.full(n, math.log(OMITTED) - 2)
+    after_first = np.ones(n)
+    words_after, words_before = _places(b, model)
+    v = len(model.word_keys)
+    capital = (b.tc == UPPER).astype(np.int64)
+    s = np.flatnonzero(at_stop)
+    if len(s):
+        run = b.stop[s]
+        stop = b.cp[b.te[b.last_stop[run]] - 1]
+        before = np.maximum(b.first_stop[run] - 1, 0)
+        touching = (b.first_stop[run] > 0) & (b.te[before] == b.ts[b.first_stop[run]])
+        keys = mix(np.where(touching, b.left[before], np.uint64(0)), np.where(stop == 0xFF0E, 0x2E, stop).astype(np.uint64))
+        place = model.index("stop").find(keys)
+        lam = np.where(place >= 0, np.append(model.stop_odds, 0.0)[place], _logit(np.array(0.97)))
+        k = np.where(kind[s] == NOTHING, SPACE, kind[s])
+        o = lam + np.log(model.gap[1, k] / model.gap[0, k])
+        r = right[s]
+        known = (words_after[r] < v) & (b.tc[r] != SIGN) & (b.tc[r] != DIGIT)
+        first = np.where(known, np.append(model.first, np.zeros((4, 2)), 0)[words_after[r], capital[r]], 0.0)
+        opening = np.concatenate([[0], np.cumsum(b._is(OPENERS))])
+        quoted = opening[b.right[s]] > opening[gap[s] + 1]
+        number = touching & (b.tc[before] == DIGIT)
+        low = np.where(number, -3.0, np.where(lam > _logit(np.array(0.8)), -1.0, -2.0))
+        # a word behind an abbreviation at a wrapped line counts as a first word too, so it's no sign for a boundary there
+        high = np.where(lam < _logit(np.array(0.1)), 0.0, 1.5)
+        o += np.where(quoted, 0.0, np.clip(first, low, high))
+        loose = ((kind[s] == SPACE) | (kind[s] == LINE)) & (b.unbroken[s] > 0)
+        o += np.where(loose, np.clip(b.unbroken[s] / 8 - 4, 0, 12), 0.0)  # no word of any language is so long
+        odds[s] = o
+    s = np.flatnonzero(line & (kind != PARAGRAPH))
+    if len(s):
+        g, r = gap[s], right[s]
+        keys = np.where(b.tc[g] == DIGIT, b.left[g], b.h[g])
+        place = model.index("end").find(keys)
+        o = np.where(place >= 0, np.append(model.end_odds, 0.0)[place], 0.0)
+        known = (words_after[r] < v) & (b.tc[r] != SIGN) & (b.tc[r] != DIGIT)
+        o += 0.5 * np.where(known, np.append(model.first, np.zeros((4, 2)), 0)[words_after[r], capital[r]], 0.0)
+        o += np.where((b.right_kind[s] == UPPER) | (b.right_kind[s] == CASELESS), 1.0, -1.0)
+        o += model.length[b.line_words[s]]
+        odds[s] = o
+    if model.last is not None:
+        plain = np.flatnonzero(~at_stop & ~line & ~thai & (sure == 0))
+        g = gap[plain]
+        nxt = g + 1
+        fit = b.wordy[g] & b.wordy[nxt] & ~b.inside[plain]
+        plain, g, nxt = plain[fit], g[fit], nxt[fit]
+        # the style of a paragraph: how likely it lacks stops, by its length in sentences and by its stops and line ends
+        ends = np.flatnonzero(b.kinds == PARAGRAPH)
+        where = np.searchsorted(ends, g)
+        length = np.where(b.wordy, np.where(b.tc == DENSE, 1 / model.span[1], 1 / model.span[0]), 0.0)
+        length = np.concatenate([[0.0], np.cumsum(length)])
+        marks = np.concatenate([[0.0], np.cumsum(np.isin(np.arange(b.n), gap[at_stop & (sure >= 0) | line | thai]))])
+        start, end = np.concatenate([[0], ends[:-1] + 1]), ends + 1
+        sentences, seen = length[end] - length[start], marks[end - 1] - marks[start]
+        style = math.log(BARE) + sentences / 2 + seen * math.log(KEPT)
+        bare = 1 / (1 + np.exp(-np.clip(style, -40, 40)))
+        omitted = np.log(bare + (1 - bare) * OMITTED)
+        ca, cb = _classes(model, words_after[nxt], capital[nxt] == 1), _classes(model, words_before[g], capital[g] == 1)
+        both_dense = (b.tc[g] == DENSE) | (b.tc[nxt] == DENSE)
+        bigram = np.where(both_dense, 0.0, model.pair[cb, ca])
+        bound = np.flatnonzero((np.concatenate([[-1], gap[:-1]]) == gap - 1)[plain] & ~both_dense)  # the first word's own gap stands right before
+        after_first[plain[bound]] = model.follow[cb[bound], ca[bound]]
+        odds[plain] = model.last[words_before[g]] + model.begin[words_after[nxt], capital[nxt]] - bigram + omitted[where]
+    odds = np.where(sure == 0, odds, np.clip(odds, -LIGHT, LIGHT) + HEAVY * sure)
+    odds = np.where(kind == PARAGRAPH, 40.0, odds)
+    link = np.ones(n)
+    if n > 1:
+        alone = at_stop[1:] & (b.words_before[gap[1:] + 1] - b.words_before[gap[:-1] + 1] == 1)
+        w = np.minimum(gap[:-1] + 1, b.n - 1)
+        w = np.where(b.wordy[w], w, np.minimum(w + 1, b.n - 1))
+        size = b.te[w] - b.ts[w]
+        mark = (b.tc[w] == DIGIT) | (size == 1) & (b.tc[w] == UPPER)
+        plain = ~at_stop[1:] & (kind[1:] != LINE) & (kind[1:] != PARAGRAPH)
+        link[1:] = np.where(alone & mark | plain, MARK_ALONE, np.where(alone & (size <= 3), SHORT, 1.0))
+    return Scored(odds, link, after_first, sure, line, thai, words_after, words_before)
+
+
+def posteriors(odds: np.ndarray, link: np.ndarray, after_first: np.ndarray, width: int = 64) -> np.ndarray:
+    """Forward-backward: P(boundary) of each gap of a chain.
+
+    A path's weight is the product of each event's own probability, times
+    ``link`` where a gap and the one before it are boundaries both, times
+    ``after_first`` where only the one before is. The chain is cut into rows of
+    ``width`` gaps; the rows' transfer matrices are multiplied out side by side,
+    chained once, and then each row is filled, side by side again, so that the
+    result is exact.
+    """
+    n = len(odds)
     if not n:
-        return []
-    p = [min(1.0, max(0.0, model.score(g))) for g in found]
-    link = [1.0] * n  # factor where both this gap and the one before are boundaries
-    for i in range(1, n):
-        a, b = found[i - 1].at, found[i].at
-        if found[i].stop and b - a < 6 and sum(1 for _ in _RIGHT.finditer(text, a, b)) < 2:
-            link[i] = SHORT
-    f = [(0.0, 0.0)] * n
-    no, yes = 1 - p[0], p[0]
-    f[0] = (no, yes)
-    for i in range(1, n):
-        no, yes = (no + yes) * (1 - p[i]), (no + yes * link[i]) * p[i]
-        z = no + yes or 1.0
-        no, yes = no / z, yes / z
-        f[i] = (no, yes)
-    out = [0.0] * n
+        return np.zeros(0)
+    rows = -(-n // width)
+
+    def table(x: np.ndarray | float, fill: float) -> np.ndarray:
+        out = np.full(rows * width, fill)
+        out[:n] = x
+        return np.ascontiguousarray(out.reshape(rows, width).T)  # a step of all rows lies together
+
+    yes = table(1 / (1 + np.exp(-np.clip(odds, -700, 700))), 0.0)
+    no = 1 - yes
+    # steps [[no, yes], [no_b, yes_b]], the second row behind a boundary
+    yes_b, no_b = yes * table(link, 1.0), no * table(after_first, 1.0)
+    m = [np.ones(rows), np.zeros(rows), np.zeros(rows), np.ones(rows)]
+    for k in range(width):
+        m = [m[0] * no[k] + m[1] * no_b[k], m[0] * yes[k] + m[1] * yes_b[k], m[2] * no[k] + m[3] * no_b[k], m[2] * yes[k] + m[3] * yes_b[k]]
+        if k % 8 == 7:
+            size = m[0] + m[1] + m[2] + m[3]
+            m = [x / size for x in m]
+    m0, m1, m2, m3 = (x.tolist() for x in m)
+    enter, leave = np.empty((2, rows)), np.empty((2, rows))
+    f0, f1 = 1.0, 0.0
+    for r in range(rows):
+        enter[:, r] = f0, f1
+        f0, f1 = f0 * m0[r] + f1 * m2[r], f0 * m1[r] + f1 * m3[r]
+        z = f0 + f1
+        f0, f1 = f0 / z, f1 / z
     b0 = b1 = 1.0
-    for i in range(n - 1, -1, -1):
-        x0, x1 = f[i][0] * b0, f[i][1] * b1
-        out[i] = x1 / (x0 + x1) if x0 + x1 else 0.0
-        b0, b1 = (1 - p[i]) * b0 + p[i] * b1, (1 - p[i]) * b0 + p[i] * link[i] * b1
-        z = b0 + b1 or 1.0
+    for r in range(rows - 1, -1, -1):
+        leave[:, r] = b0, b1
+        b0, b1 = m0[r] * b0 + m1[r] * b1, m2[r] * b0 + m3[r] * b1
+        z = b0 + b1
         b0, b1 = b0 / z, b1 / z
-    return out
+    forward = np.empty((width, 2, rows))
+    f0, f1 = enter
+    for k in range(width):
+        f0, f1 = f0 * no[k] + f1 * no_b[k], f0 * yes[k] + f1 * yes_b[k]
+        z = f0 + f1
+        f0, f1 = f0 / z, f1 / z
+        forward[k, 0], forward[k, 1] = f0, f1
+    out = np.empty((width, rows))
+    b0, b1 = leave
+    for k in range(width - 1, -1, -1):
+        x0, x1 = forward[k, 0] * b0, forward[k, 1] * b1
+        out[k] = x1 / (x0 + x1)
+        b0, b1 = no[k] * b0 + yes[k] * b1, no_b[k] * b0 + yes_b[k] * b1
+        z = b0 + b1
+        b0, b1 = b0 / z, b1 / z
+    return out.T.reshape(-1)[:n]
 
 
 def split(text: str, model: Model) -> list[tuple[int, int]]:
     """Spans of the units of a text, without white space at their ends; together they hold every other character."""
-    found = gaps(text)
-    cuts = [g.at for g, q in zip(found, posteriors(text, found, model), strict=True) if q > 0.5]
-    out, a = [], 0
-    for b in [*cuts, len(text)]:
-        s, e = a, b
-        while s < e and text[s] in WS_CHARS:
-            s += 1
-        while e > s and text[e - 1] in WS_CHARS:
-            e -= 1
-        if s < e:
-            out.append((s, e))
-        a = b
-    return out
-
+    b = Block([text])
+    s = score(b, model)
+    _, start, end = b.spans(np.flatnonzero(posteriors(s.odds, s.link, s.after_first) > 0.5))
+    return list(zip(start.tolist(), end.tolist(), strict=True))
+
+
+# Counting
+
+_COUNT = np.dtype([("key", np.uint64), ("kind", np.int64), ("n", np.float64)])
+_STOPS, _WORDS, _ENDS, _LENGTHS, _AROUND, _PAIRS, _OPENINGS = range(7)
+
+
+class Counter:
+    """Counts by (table, key, kind): a key's low bits are free (see ``mix``) and hold the kind."""
+
+    def __init__(self) -> None:
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def add(self, tab: int, key: np.ndarray, kind: np.ndarray) -> None:
+        self.parts.setdefault(tab, []).append(np.unique(key | kind.astype(np.uint64), return_counts=True))
+        if len(self.parts[tab]) > 64:
+            self.parts[tab] = [self._sum(tab)]
+
+    def _sum(self, tab: int) -> tuple[np.ndarray, np.ndarray]:
+        codes, n = (np.concatenate(x) for x in zip(*self.parts[tab], strict=True))
+        order = np.argsort(codes)
+        codes, n = codes[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+        return codes[at], np.add.reduceat(n, at) if len(at) else n
+
+    def rows(self, tab: int) -> np.ndarray:
+        codes, n = self._sum(tab) if tab in self.parts else (np.zeros(0, np.uint64), np.zeros(0))
+        out = np.empty(len(codes), _COUNT)
+        out["key"], out["kind"], out["n"] = codes & ~np.uint64(7), codes & np.uint64(7), n
+        return out
+
+    def batch(self) -> pa.RecordBatch:
+        tables = [(tab, self.rows(tab)) for tab in sorted(self.parts)]
+        r = np.concatenate([np.empty(0, _COUNT), *(rows for _, rows in tables)])
+        tab = np.concatenate([np.empty(0, np.int32), *(np.full(len(rows), t, np.int32) for t, rows in tables)])
+        return pa.RecordBatch.from_arrays([pa.array(tab), pa.array(r["key"].view(np.int64)), pa.array(r["kind"].astype(np.int32)), pa.array(r["n"])], names=["tab", "key", "kind", "n"])
+
+
+def _count_forms(b: Block, out: Counter) -> None:
+    """The counts of the first pass: stops, first words, line ends and the lengths of lines."""
+    sure, line, _ = _features(b)
+    gap, kind = b.gap, b.gap_kind
+    at_stop = b.stop >= 0
+    s = np.flatnonzero(at_stop & (kind != NOTHING) & (sure >= 0) & (b.right_kind != LOWER))
+    run = b.stop[s]
+    stop = b.cp[b.te[b.last_stop[run]] - 1] if len(s) else run
+    before = np.maximum(b.first_stop[run] - 1, 0)
+    touching = (b.first_stop[run] > 0) & (b.te[before] == b.ts[b.first_stop[run]]) if len(s) else np.zeros(0, bool)
+    keys = mix(np.where(touching, b.left[before], np.uint64(0)), np.where(stop == 0xFF0E, 0x2E, stop).astype(np.uint64)) if len(s) else np.zeros(0, np.uint64)
+    short = touching & b.is_short[before] if len(s) else touching
+    out.add(_STOPS, keys, kind[s] + 4 * short)
+    first = np.zeros(b.n + 1, bool)
+    first[b.right[(at_stop & ((sure > 0) | (kind == LINE) | (kind == PARAGRAPH))) | (line & (sure > 0))]] = True
+    first[0] = True
+    unsure = np.zeros(b.n + 1, bool)
+    unsure[b.right[at_stop]] = True
+    use = np.flatnonzero(b.wordy & (first[:-1] | ~unsure[:-1]))
+    out.add(_WORDS, _keys(b)[use], 2 * (b.tc[use] == UPPER) + first[use])
+    w = np.flatnonzero(b.wordy)
+    ends = np.zeros(b.n + 1, bool)
+    ends[gap[line]] = True
+    out.add(_ENDS, np.where(b.tc[w] == DIGIT, b.left[w], b.h[w]), ends[w].astype(np.int64))
+    t = np.flatnonzero(line & ((kind == PARAGRAPH) & ~b.ends_text | (b.right_kind == LOWER) & (sure < 0)))
+    length = b.line_words[t]
+    out.add(_LENGTHS, length.astype(np.uint64) * np.uint64(8), (kind[t] == PARAGRAPH).astype(np.int64))
+
+
+class AroundCounter:
+    """Counts of the second pass by place and class, whose number the model bounds, as dense arrays."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.classes = np.append(model.classes, np.arange(4))
+        self.words = np.zeros((6, len(model.word_keys) + 4))
+        self.pairs = np.zeros((int(max(3, self.classes.max())) + 1,) * 2)
+        self.openings = np.zeros_like(self.pairs)
+
+    def add(self, b: Block) -> None:
+        """Words last before and first after a boundary, and pairs of classes without one between, by posterior."""
+        w = np.flatnonzero(b.wordy)
+        if not len(w):
+            return
+        s = score(b, self.model)
+        q = np.zeros(b.n)
+        q[b.gap] = posteriors(s.odds, s.link, s.after_first)
+        v, c = self.words.shape[1], len(self.pairs)
+        edge = np.maximum.reduceat(q, w)  # the likeliest boundary before the next word
+        edge[-1] = 1.0
+        last = s.before[w]
+        self.words[0] += np.bincount(last, edge, v)
+        self.words[1] += np.bincount(last, 1 - edge, v)
+        x, e = w[1:], edge[:-1]
+        first, capital = s.after[x], b.tc[x] == UPPER
+        for k, rows in ((2, ~capital), (4, capital)):
+            self.words[k] += np.bincount(first[rows], 1 - e[rows], v)
+            self.words[k + 1] += np.bincount(first[rows], e[rows], v)
+        ca, cb = _classes(self.model, first, capital), _classes(self.model, last[:-1], b.tc[w[:-1]] == UPPER)
+        near = (np.diff(w) == 1) & (b.tc[x] != DENSE) & (b.tc[w[:-1]] != DENSE)
+        both = cb[near] * c + ca[near]
+        self.pairs += np.bincount(both, (1 - e)[near], c * c).reshape(c, c)
+        self.openings += np.bincount(both, ((1 - e) * np.concatenate([[1.0], e[:-1]]))[near], c * c).reshape(c, c)
+
+    def batch(self) -> pa.RecordBatch:
+        out = []
+        for tab, table in ((_AROUND, self.words), (_PAIRS, self.pairs), (_OPENINGS, self.openings)):
+            i, j = np.nonzero(table)
+            key, kind = (j, i) if tab == _AROUND else (i, j)
+            out.append((np.full(len(i), tab, np.int32), key.astype(np.int64), kind.astype(np.int32), table[i, j]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["tab", "key", "kind", "n"])
+
+
+def _blocks(texts: Sequence[str | None]) -> Iterator[tuple[list[int], Block]]:
+    """(rows, block) of the texts of a batch."""
+    rows: list[int] = []
+    size = 0
+    for k, t in enumerate(texts):
+        if not t:
+            continue
+        rows.append(k)
+        size += len(t)
+        if size >= BLOCK_CHARS:
+            yield rows, Block([texts[r] for r in rows])
+            rows, size = [], 0
+    if rows:
+        yield rows, Block([texts[r] for r in rows])
 
-def _counts(text: str, stops: dict, starts: dict, ends: dict) -> None:
-    found = gaps(text)
-    first: set[int] = set()
-    at_line_end: set[int] = set()
-    for g in found:
-        if g.stop:
-            if g.kind != NOTHING and g.fixed != 0.0 and g.right != LOWER:
-                stops[slot(g.left), g.kind] += 1
-            if g.fixed == 1.0 or g.kind in (LINE, PARAGRAPH):
-                first.add(_right_of(text, g.at)[2])
-        else:
-            at_line_end.add(g.at)
-            if g.fixed == 1.0:
-                first.add(_right_of(text, g.at)[2])
-    after_stop = {_right_of(text, g.at)[2] for g in found if g.stop} - first
-    for m in _RIGHT.finditer(text):
-        w = m[0]
-        if m.start() in first:
-            starts[slot(w), 1] += 1
-        elif m.start() not in after_stop:
-            starts[slot(w), 0] += 1
-        e = m.end()
-        key = slot(_left_of(text, e) if w[0].isnumeric() else w.lower())
-        if e in at_line_end:
-            ends[key, 1] += 1
-        elif e < len(text):
-            ends[key, 0] += 1
-
-
-def count_events(df: DataFrame, text: str = "text") -> DataFrame:
-    """(tab, slot, kind, n): the counts over all texts that the model is fitted to; at most SLOTS * 7 rows."""
 
+def _count(df: DataFrame, text: str, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stops: dict = defaultdict(int)
-        starts: dict = defaultdict(int)
-        ends: dict = defaultdict(int)
+        forms, around = Counter(), None if model is None else AroundCounter(model)
         for batch in batches:
-            for t in batch.column(0):
-                t = t.as_py()
-                if t:
-                    _counts(t, stops, starts, ends)
-        rows = [(tab, s, k, n) for tab, counts in enumerate((stops, starts, ends)) for (s, k), n in counts.items()]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns[:3]] + [pa.array(columns[3], pa.int64())], names=["tab", "slot", "kind", "n"])
+            for _, block in _blocks(batch.column(0).to_pylist()):
+                if around is None:
+                    _count_forms(block, forms)
+                else:
+                    around.add(block)
+        yield forms.batch() if around is None else around.batch()
+
+    counted = df.select(text).mapInArrow(run, "tab int, key bigint, kind int, n double")
+    return counted.groupBy("tab", "key", "kind").agg(F.sum("n").alias("n"))
+
 
-    counted = df.select(text).mapInArrow(run, "tab int, slot int, kind int, n bigint")
-    return counted.groupBy("tab", "slot", "kind").agg(F.sum("n").alias("n"))
+def _tables_of(counts: DataFrame) -> dict[int, np.ndarray]:
+    t = counts.select("tab", "key", "kind", "n").toArrow()
+    tab = t.column("tab").to_numpy()
+    rows = np.empty(len(tab), _COUNT)
+    rows["key"] = t.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    rows["kind"], rows["n"] = t.column("kind").to_numpy(), t.column("n").to_numpy()
+    return {k: rows[tab == k] for k in range(7)}
 
 
 def fit(df: DataFrame, text: str = "text") -> Model:
-    """The model of a corpus. What comes to the driver, as one Arrow table, is bounded by SLOTS and not by the corpus."""
-    t = count_events(df, text).toArrow()
-    tab, *rest = (t.column(c).to_numpy() for c in ("tab", "slot", "kind", "n"))
-    rows = np.stack([c.astype(np.int64) for c in rest], axis=1) if len(tab) else np.zeros((0, 3), np.int64)
-    return Model.fit(*(rows[tab == k] for k in range(3)))
+    """The model of a corpus, from counts over all texts.
+
+    Of each table the driver gets the keys with at least ``SHARE`` of its
+    occurrences (of its events at stops, of all words, of all line ends), at most
+    2^18 of them; the second pass counts by places and classes, whose number is
+    bounded by the same.
+    """
+    counts = materialize(_count(df, text, None))
+    weight = F.when((F.col("tab") == _ENDS) & (F.col("kind") == 0), 0.0).otherwise(F.col("n"))
+    totals = {r["tab"]: (r["n"], r["all"]) for r in counts.groupBy("tab").agg(F.sum(weight).alias("n"), F.sum("n").alias("all")).collect()}
+    own = counts.groupBy("tab", "key").agg(F.sum(weight).alias("n"))
+    least = F.element_at(F.map_from_arrays(F.array(*(F.lit(k) for k in range(4))), F.array(*(F.lit(SHARE * float(totals.get(k, (0.0, 0.0))[0] or 0.0)) for k in range(4)))), F.col("tab"))
+    kept = own.filter((F.col("tab") == _LENGTHS) | (F.col("n") > 0) & (F.col("n") >= least)).select("tab", "key")
+    tables = _tables_of(counts.join(kept, ["tab", "key"], "left_semi"))
+    discard(counts)
+    model = Model.fit(tables[_STOPS], tables[_WORDS], tables[_ENDS], tables[_LENGTHS], int(totals.get(_WORDS, (0, 0))[1] or 0))
+    around = _tables_of(_count(df, text, model))
+    return model.refit(around[_AROUND], around[_PAIRS], around[_OPENINGS])
 
 
 def split_documents(df: DataFrame, model: Model, key: str = "id", text: str = "text") -> DataFrame:
@@ -512,19 +715,14 @@ def split_documents(df: DataFrame, model: Model, key: str = "id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, no, starts, ends = [], [], [], []
-            for k, t in enumerate(batch.column(1)):
-                t = t.as_py()
-                if not t:
-                    continue
-                for i, (a, b) in enumerate(split(t, model)):
-                    keys.append(k)
-                    no.append(i)
-                    starts.append(a)
-                    ends.append(b)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keys, pa.int64())), pa.array(no, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
-                names=[key, "sentence_no", "start_pos", "end_pos"],
-            )
+            for rows, b in _blocks(batch.column(1).to_pylist()):
+                s = score(b, model)
+                which, start, end = b.spans(np.flatnonzero(posteriors(s.odds, s.link, s.after_first) > 0.5))
+                new = np.concatenate([[True], which[1:] != which[:-1]]) if len(which) else np.zeros(0, bool)
+                begin = np.maximum.accumulate(np.where(new, np.arange(len(which)), 0)) if len(which) else which
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(np.array(rows, np.int64)[which])), pa.array((np.arange(len(which)) - begin).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))],
+                    names=[key, "sentence_no", "start_pos", "end_pos"],
+                )
 
     return df.select(key, text).filter(F.col(text).isNotNull()).mapInArrow(run, f"`{key}` {kind}, sentence_no int, start_pos int, end_pos int")
