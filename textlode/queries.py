@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import Window as W
 
 from textlode.control import registry
 from textlode.core import jstext
-from textlode.core.session import shared_dir, table
+from textlode.core.session import scratch, table
 from textlode.operators import align, candidates, formats, merge, model, prompts, tokens, viz
 from textlode.plans import pipeline
 from textlode.sources import jsonl
@@ -360,7 +359,7 @@ def q_jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Annotated documents written as JSON Lines and loaded again."""
     docs = _distinct_docs(spark, d).select(F.col("id").alias("document_id"), "text")
     records = jsonl.annotated_records(docs, table(spark, d, "extractions").dropDuplicates(["extraction_id"]))
-    path = f"{shared_dir(spark).rstrip('/')}/textlode/jsonl-{uuid.uuid4().hex}"
+    path = scratch(spark, "jsonl")
     jsonl.save_annotated(records, path)
     back = jsonl.load_annotated(spark, path).filter("label is not null")
     return back.groupBy("document_id", "label", "text", "start", "end", "alignment_status", "alignment_score", "pass").agg(F.count("*").alias("n"))
@@ -552,7 +551,7 @@ def q_extract_dates(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_stream_extract(spark: SparkSession, d: str) -> DataFrame:
     """The pipeline over a stream of the documents."""
-    base = f"{shared_dir(spark).rstrip('/')}/textlode/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     source = table(spark, d, "input_docs").select(F.col("id").alias("document_id"), "text")
     source.dropDuplicates(["document_id"]).write.parquet(f"{base}/in")
     docs = stream.stream_documents(spark, f"{base}/in", "document_id string, text string")
