@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from textlode.llm import survivors as S
@@ -82,6 +83,33 @@ def test_components(spark):
     assert got == {(k, find(k)) for k in linked}
 
 
+def test_components_of_a_hub(spark):
+    """A node with 100 000 links is spread over tasks, and no task gets the most of them."""
+    edges = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    got = S.components(edges)
+    assert got.count() == 100_001 and got.filter("root <> 0").isEmpty()
+    links = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).repartition(8)
+    parts = links.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(S.SALTS))).groupBy("s").count()
+    assert parts.count() == S.SALTS and parts.agg(F.max("count")).first()[0] < 2 * 100_000 / S.SALTS
+    least = S._with_least(links.union(links.select("v", "u")))
+    assert least.count() == 200_000 and {r.m for r in least.filter("u = 0").select("m").distinct().collect()} == {1}
+
+
+def test_components_that_do_not_settle(spark, monkeypatch):
+    monkeypatch.setattr(S, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        S.components(spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long"))
+
+
+def test_levels_of_trust(spark):
+    """Levels are compared one after the other, whatever their sizes; a group keeps its aggregates."""
+    df = spark.createDataFrame([(1, "a", 1.0, 500.0), (1, "b", 2.0, None), (1, "c", 2.0, -3.0), (None, "d", 9.0, 9.0)], "g int, x string, hi double, lo double")
+    out = S.assemble(df, "g", [S.Bundle("all", ("x",), ("hi", "lo"))], keep=[F.count("*").alias("n")]).collect()
+    assert [(r.g, r.x, r.trust.l0, r.trust.l1, r.n) for r in out] == [(1, "b", 2.0, 0.0, 3)]
+    with pytest.raises(ValueError):
+        S.assemble(df, "g", [S.Bundle("one", ("x",), ("hi", "lo")), S.Bundle("two", ("lo",), "lo")])
+
+
 def slow_assemble(records):
     best = None
     for m, b, o in itertools.product(records, records, records):

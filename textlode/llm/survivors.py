@@ -10,7 +10,8 @@ over the bundles maximises the summed trust under functional dependencies
 between them: the best whole record of a group is the incumbent, the best
 values of the bundles still open bound a branch from above, and branches below
 the incumbent are cut. Branches follow the pairs of values that records attest,
-never the product of a group with itself.
+never the product of a group with itself. Trust has levels that are compared one
+after the other; sums and bounds are taken level by level, which keeps the order.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from textlode.core.jstext import js_trim
-from textlode.core.session import materialize
+from textlode.core.session import discard, materialize
 
-MAX_ROUNDS = 100
+#: Rounds of contraction at most. The number of rounds grows with the logarithm of the longest chain, so that more than this is a fault.
+MAX_ROUNDS = 200
+#: Parts that the links of one node are spread over.
+SALTS = 64
 
 
 def status_rank(status: Column | str) -> Column:
@@ -35,30 +39,40 @@ def status_rank(status: Column | str) -> Column:
     return F.when(s.isin("exact", "match_exact"), 3).when(s.isin("lesser", "match_lesser", "match_greater"), 2).otherwise(1)
 
 
+def _with_least(links: DataFrame) -> DataFrame:
+    """``links`` (u, v) with ``m``, the least v of each u.
+
+    The links of a node lie in up to SALTS parts, by v; each part is aggregated
+    by itself, and the least of a node is handed out to the parts that it has,
+    so that a node with very many links is never in one task.
+    """
+    salted = links.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))
+    return salted.join(least.select("u", "m", F.explode("s").alias("s")), ["u", "s"]).drop("s")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for each node of ``edges`` (a, b): the smallest node of its component.
 
-    Alternates large-star and small-star contraction, with an aggregation and a
-    join for each so that a node with very many neighbours is spread over tasks.
-    Each round is written to the shared folder.
+    Alternates large-star and small-star contraction until every node hangs on a
+    root alone. Each round is written to the shared folder, the one before is
+    removed.
     """
-    both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    links = materialize(both)
+    links = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     for _ in range(MAX_ROUNDS):
-        around = links.union(links.select("v", "u"))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(least.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        new = materialize(small.filter("u <> v").distinct())
-        # stable once every node hangs on a root and no root hangs on anything
-        done = new.select("u").join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and new.groupBy("u").count().filter("count > 1").isEmpty()
+        around = _with_least(links.union(links.select("v", "u")))
+        m = F.least("m", "u")
+        large = around.select(F.when(F.col("v") > F.col("u"), F.col("v")).otherwise(F.col("u")).alias("u"), m.alias("v")).filter("u <> v").distinct()
+        down = _with_least(large)
+        new = materialize(down.select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        discard(links)
         links = new
-        if done:
-            break
-    return links.select(F.col("u").alias("v"), F.col("v").alias("root")).union(links.select("v", F.col("v").alias("root")).distinct())
+        # stable once no root hangs on anything, and no node on two
+        roots = links.select(F.col("v").alias("u")).distinct()
+        if links.join(roots, "u", "left_semi").isEmpty() and links.groupBy("u").count().filter("count > 1").isEmpty():
+            return links.select(F.col("u").alias("v"), F.col("v").alias("root")).union(links.select("v", F.col("v").alias("root")).distinct())
+    raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
 
 
 def mention_groups(df: DataFrame, keep: Sequence[Column] = ()) -> tuple[DataFrame, DataFrame]:
@@ -104,13 +118,14 @@ def mention_groups(df: DataFrame, keep: Sequence[Column] = ()) -> tuple[DataFram
 def best_records(df: DataFrame) -> DataFrame:
     """(first_id, survivor_id) of each group of two or more records of one mention.
 
-    The record is one bundle here, so the bound of a branch is the preference of
-    its record and the first branch is the best: the largest preference.
+    The record is one bundle here, whose trust has the levels of the preference;
+    a node of the graph stands for its records by the preferred one.
     """
     spans, texts = mention_groups(df)
-    nodes = spans.select("root", "first_id", "last_id", "pref").unionByName(texts.select("root", "first_id", "last_id", "pref"))
-    groups = nodes.groupBy("root").agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.max("pref").alias("pref"))
-    return groups.filter("first_id < last_id").select("first_id", (-F.col("pref.neg_id")).alias("survivor_id"))
+    columns = ("root", "first_id", "last_id", "pref")
+    nodes = spans.select(*columns).unionByName(texts.select(*columns)).select("root", "first_id", "last_id", "pref.*", (-F.col("pref.neg_id")).alias("survivor_id"))
+    best = assemble(nodes, "root", [RECORD], keep=(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")))
+    return best.filter("first_id < last_id").select("first_id", "survivor_id")
 
 
 def group_of_records(df: DataFrame) -> DataFrame:
@@ -127,11 +142,15 @@ def group_of_records(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Bundle:
-    """Fields that are taken together, with their trust (a number; null counts as 0) as a SQL expression over the record."""
+    """Fields that are taken together, with their trust: a number (null counts as 0) for each level, as SQL expressions over the record."""
 
     name: str
     fields: tuple[str, ...]
-    trust: str
+    trust: str | tuple[str, ...]
+
+    @property
+    def levels(self) -> tuple[str, ...]:
+        return (self.trust,) if isinstance(self.trust, str) else self.trust
 
 
 @dataclass(frozen=True)
@@ -144,57 +163,77 @@ class Dependency:
     right_fields: tuple[str, ...]
 
 
-def assemble(records: DataFrame, group: str, bundles: Sequence[Bundle], dependencies: Sequence[Dependency] = ()) -> DataFrame:
-    """(group, fields of all bundles, trust): the most trusted consistent combination of bundles for each group.
+def _level_sum(parts: Sequence[str], levels: int, signs: Sequence[int] | None = None) -> Column:
+    """The sum of trusts, level by level, rounded to nine digits so that order doesn't matter. Structs compare level by level."""
+    signs = signs or [1] * len(parts)
+    each = (reduce(lambda a, b: a + b, (F.col(p)[f"l{k}"] * F.lit(float(s)) for p, s in zip(parts, signs, strict=True)), F.lit(0.0)) for k in range(levels))
+    return F.struct(*(F.round(x, 9).alias(f"l{k}") for k, x in enumerate(each)))
+
+
+def assemble(records: DataFrame, group: str, bundles: Sequence[Bundle], dependencies: Sequence[Dependency] = (), keep: Sequence[Column] = ()) -> DataFrame:
+    """(group, fields of all bundles, trust, keep...): the most trusted consistent combination of bundles for each group.
 
     Ties go to the smallest values, field by field. Rows of a null group are
     left out. Every group keeps a result: its best whole record is consistent.
-    Sums of trust are rounded to nine digits so that order doesn't matter.
+    ``trust`` is a number, or a struct where bundles have several levels;
+    ``keep`` are aggregates over all rows of the group.
     """
-    t = {b.name: F.coalesce(F.expr(b.trust).cast("double"), F.lit(0.0)) for b in bundles}
-    r = records.filter(F.col(group).isNotNull()).withColumns({f"_t_{k}": v for k, v in t.items()})
-    r = materialize(r.select(group, *dict.fromkeys(f for b in bundles for f in b.fields), *(f"_t_{b.name}" for b in bundles)).distinct())
-    total = F.round(reduce(lambda a, b: a + b, (F.col(f"_t_{b.name}") for b in bundles)), 9)
-    bounds = r.groupBy(F.col(group).alias("_g")).agg(F.max(total).alias("_incumbent"), *(F.max(f"_t_{b.name}").alias(f"_max_{b.name}") for b in bundles))
-    r = r.join(bounds, F.col(group) == F.col("_g")).drop("_g")
-    slack = reduce(lambda a, b: a + b, (F.col(f"_max_{b.name}") for b in bundles))
+    n = len(bundles[0].levels)
+    if any(len(b.levels) != n for b in bundles):
+        raise ValueError("bundles differ in their levels of trust")
+    trusts = {f"_t_{b.name}": F.struct(*(F.coalesce(F.expr(x).cast("double"), F.lit(0.0)).alias(f"l{k}") for k, x in enumerate(b.levels))) for b in bundles}
+    r = records.filter(F.col(group).isNotNull()).withColumns(trusts)
 
     def signature(b: Bundle) -> list[str]:
         return sorted({f for d in dependencies for name, fields in ((d.left, d.left_fields), (d.right, d.right_fields)) if name == b.name for f in fields})
 
-    # a value that can't reach the incumbent even beside the best of all other bundles is cut;
-    # of values that no dependency tells apart only the most trusted stays
-    kept: dict[str, DataFrame] = {}
-    for b in bundles:
-        alive = r.filter(F.round(slack - F.col(f"_max_{b.name}") + F.col(f"_t_{b.name}"), 9) >= F.col("_incumbent"))
-        order = F.struct((-F.col(f"_t_{b.name}")).alias("_o"), *(F.col(f).cast("string") for f in b.fields), F.struct(*b.fields).alias("v"))
-        best = alive.groupBy(group, *(F.col(f).alias(f"_k_{b.name}_{f}") for f in signature(b))).agg(F.min(order).alias("o"))
-        kept[b.name] = best.select(group, *(c for c in best.columns if c.startswith("_k_")), F.col("o.v").alias(f"_v_{b.name}"), (-F.col("o._o")).alias(f"_t_{b.name}"))
-    first, *others = bundles
-    branch = kept[first.name].join(bounds.withColumnRenamed("_g", group), group).withColumn("_sum", F.col(f"_t_{first.name}"))
-    open_ = list(others)
-    while open_:
-        b = open_.pop(0)
-        to = [d for d in dependencies if d.right == b.name]
-        on = branch
-        if to:
-            d = to[0]
-            attested = r.select(group, *(F.col(f).alias(f"_k_{d.left}_{f}") for f in d.left_fields), *(F.col(f).alias(f"_k_{d.right}_{f}") for f in d.right_fields)).distinct()
-            on = _join_null_safe(branch, attested, [group, *(f"_k_{d.left}_{f}" for f in d.left_fields)])
-            on = _join_null_safe(on, kept[b.name], [group, *(f"_k_{d.right}_{f}" for f in d.right_fields)])
-            for d in to[1:]:
-                keys = [group, *(f"_k_{d.left}_{f}" for f in d.left_fields), *(f"_k_{d.right}_{f}" for f in d.right_fields)]
+    def order(b: Bundle) -> Column:
+        return F.struct(_level_sum([f"_t_{b.name}"], n, [-1]).alias("o"), F.struct(*b.fields).alias("v"))
+
+    total = _level_sum(list(trusts), n)
+    # bundles that no dependency touches are decided along with the bounds: their best value is best for all branches
+    free = [b for b in bundles if not signature(b)]
+    stats = [total_max for b in bundles for total_max in [F.max(f"_t_{b.name}").alias(f"_max_{b.name}")]]
+    stats += [F.min(order(b)).alias(f"_best_{b.name}") for b in free] + [F.max(total).alias("_incumbent")]
+    tied = [b for b in bundles if signature(b)]
+    if tied:
+        r = materialize(r)
+    bounds = r.groupBy(group).agg(*stats, *keep)
+    kept_names = [c for c in bounds.columns if c not in (group, "_incumbent") and not c.startswith(("_max_", "_best_"))]
+    branch = bounds
+    if tied:
+        bounds = materialize(bounds)
+        limits = bounds.select(F.col(group).alias("_g"), "_incumbent", *(f"_max_{b.name}" for b in bundles))
+        alive = r.join(limits, F.col(group) == F.col("_g")).drop("_g")
+        # a value that can't reach the incumbent even beside the best of all other bundles is cut;
+        # of values that no dependency tells apart only the most trusted stays
+        kept: dict[str, DataFrame] = {}
+        for b in tied:
+            reach = _level_sum([f"_t_{b.name}", *(f"_max_{o.name}" for o in bundles if o is not b)], n)
+            best = alive.filter(reach >= F.col("_incumbent")).groupBy(group, *(F.col(f).alias(f"_k_{b.name}_{f}") for f in signature(b))).agg(F.min(order(b)).alias("o"))
+            kept[b.name] = best.select(group, *(c for c in best.columns if c.startswith("_k_")), F.col("o.v").alias(f"_v_{b.name}"), _level_sum(["o.o"], n, [-1]).alias(f"_t_{b.name}"))
+        branch = bounds.join(kept[tied[0].name], group)
+        for at, b in enumerate(tied[1:], 1):
+            to = [d for d in dependencies if d.right == b.name]
+            on = branch
+            for k, d in enumerate(to):
                 attested = r.select(group, *(F.col(f).alias(f"_k_{d.left}_{f}") for f in d.left_fields), *(F.col(f).alias(f"_k_{d.right}_{f}") for f in d.right_fields)).distinct()
-                on = _join_null_safe(on, attested, keys)
-        else:
-            on = on.join(kept[b.name], group)
-        on = on.withColumn("_sum", F.round(F.col("_sum") + F.col(f"_t_{b.name}"), 9)).drop(f"_t_{b.name}")
-        rest = reduce(lambda a, c: a + c, (F.col(f"_max_{o.name}") for o in open_), F.lit(0.0))
-        branch = on.filter(F.round(F.col("_sum") + rest, 9) >= F.col("_incumbent"))
-    values = [F.col(f"_v_{b.name}") for b in bundles]
-    order = F.struct((-F.col("_sum")).alias("_o"), *(F.to_json(v) for v in values), F.struct(*(v.alias(b.name) for v, b in zip(values, bundles, strict=True))).alias("v"))
-    best = branch.groupBy(group).agg(F.min(order).alias("o"))
-    return best.select(group, *(F.col(f"o.v.{b.name}.{f}").alias(f) for b in bundles for f in b.fields), (-F.col("o._o")).alias("trust"))
+                keys = [group, *(f"_k_{d.left}_{f}" for f in d.left_fields)]
+                on = _join_null_safe(on, attested, keys if k == 0 else keys + [f"_k_{d.right}_{f}" for f in d.right_fields])
+                if k == 0:
+                    on = _join_null_safe(on, kept[b.name], [group, *(f"_k_{d.right}_{f}" for f in d.right_fields)])
+            if not to:
+                on = on.join(kept[b.name], group)
+            done = [f"_t_{o.name}" for o in tied[: at + 1]] + [f"_max_{o.name}" for o in [*tied[at + 1 :], *free]]
+            branch = on.filter(_level_sum(done, n) >= F.col("_incumbent"))
+    values = {b.name: F.col(f"_v_{b.name}") if b in tied else F.col(f"_best_{b.name}.v") for b in bundles}
+    reached = _level_sum([f"_t_{b.name}" if b in tied else f"_max_{b.name}" for b in bundles], n)
+    out = branch.withColumn("trust", reached).withColumns({f"_v_{k}": v for k, v in values.items()})
+    if tied:
+        first = F.struct(_level_sum(["trust"], n, [-1]).alias("o"), *(F.col(f"_v_{b.name}") for b in bundles))
+        columns = ["trust", *(f"_v_{b.name}" for b in bundles), *kept_names]
+        out = out.groupBy(group).agg(F.min_by(F.struct(*columns), first).alias("o")).select(group, "o.*")
+    return out.select(group, *(F.col(f"_v_{b.name}")[f].alias(f) for b in bundles for f in b.fields), (F.col("trust.l0") if n == 1 else F.col("trust")).alias("trust"), *kept_names)
 
 
 def _join_null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -203,10 +242,13 @@ def _join_null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(c, on).drop(*(f"_r{k}" for k in keys))
 
 
-# The bundles of an extraction. Alignment decides first, then confidence, then the earlier pass.
-MENTION = Bundle("mention", ("text", "start_pos", "end_pos", "alignment_status", "alignment_score"), "100 * (CASE WHEN alignment_status IN ('exact', 'match_exact') THEN 3 WHEN alignment_status IN ('lesser', 'match_lesser', 'match_greater') THEN 2 ELSE 1 END) + 10 * coalesce(alignment_score, 0)")
-BELIEF = Bundle("belief", ("confidence",), "confidence")
-ORIGIN = Bundle("origin", ("resolve_id", "pass", "raw", "extracted_at"), "0.001 / (1 + coalesce(pass, 1000))")
+# The bundles of an extraction. Trust has the levels of the preference: status, alignment score, confidence, earlier pass.
+_STATUS = "CASE WHEN alignment_status IN ('exact', 'match_exact') THEN 3 WHEN alignment_status IN ('lesser', 'match_lesser', 'match_greater') THEN 2 ELSE 1 END"
+MENTION = Bundle("mention", ("text", "start_pos", "end_pos", "alignment_status", "alignment_score"), (_STATUS, "nanvl(alignment_score, 0)", "0", "0"))
+BELIEF = Bundle("belief", ("confidence",), ("0", "0", "nanvl(confidence, 0)", "0"))
+ORIGIN = Bundle("origin", ("resolve_id", "pass", "raw", "extracted_at"), ("0", "0", "0", "-coalesce(pass, 2147483647)"))
+#: A record as a whole, by the fields of ``pref`` in mention_groups.
+RECORD = Bundle("record", ("survivor_id",), ("status", "score", "confidence", "early"))
 #: The chunk that a record comes from decides where its mention stands.
 WHERE = Dependency("mention", ("start_pos", "end_pos"), "origin", ("resolve_id",))
 
