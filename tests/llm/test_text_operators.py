@@ -18,6 +18,7 @@ CLEAN = [
     "Plain text.", "«Já não há lã», disse ela. SÃO OBRIGAÇÕES: INFORMAÇÃO E DOAÇÃO. «ATÉ AMANHû!", "Größe, Übermaß und Ärger: „Ist das gefährlich?“, 24,0 °C, 5 µg ± 3", "« Est-ce grave ? » À côté, l’été dernier. ÂGE ET ANTÉCÉDENTS",
     "«Болит. Не сплю», — сказала она. «Группа В» и СССР, 5 °C", "Είχε π.χ. πόνο, ζάλη και αδυναμία;", "这份样本昨天才送到。“很疼。”", "この標本は「痛い。」と訴えた。", "누가 계약했습니까? \"아파요.\"라고", "قال د. سادينا: «لم أعد أشعر بالألم»", "क\N{DEVANAGARI SIGN VIRAMA}य\N{DEVANAGARI VOWEL SIGN AA} क\N{DEVANAGARI VOWEL SIGN O}ई लक\N{DEVANAGARI SIGN VIRAMA}षण थ\N{DEVANAGARI VOWEL SIGN E}? ५०",
     "ใครเป\N{THAI CHARACTER MAITAIKHU}นผ\N{THAI CHARACTER SARA UU}\N{THAI CHARACTER MAI THO}ลงนาม ขนาด 7.4 มก.", "Nhiệt độ là 90,5 °C. ÂM THANH CỦA MÁY ĐÃ ĐƯỢC GHI LẠI", "Każdy sąsiad już „przyszedł”, źródło", "Það er ekki sárt lengur, þýðing staðá íþrótt", "🙂 👩\N{ZERO WIDTH JOINER}⚕\N{VARIATION SELECTOR-16} ¯\\_(ツ)_/¯ SpO₂ € ½", "ማን ፈረመ? ሄደ።", "Mr. O’Neil—“yes”", "α-blocker β2 Ω", "кг/м² Δt", "FICA À DIREITA",
+    "Die Umlaute ÄÖÜäöüß sind", "Buchstaben: éèêë", "McÉlroy", "The SoundÉcole app", "x≤y and a≠b", "foo→bar a±b c°d", "price5€each a€b", "10 kΩ, x≤y und z≥w", "foo±bar", "die Buchstaben éèêëàâîïôùûç", "cm³per", "áéíóöőúüű",
 ]
 
 

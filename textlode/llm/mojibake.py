@@ -9,7 +9,9 @@ tried against the double-byte encodings with their own automata. Single-byte
 text read as another single-byte encoding has no byte structure at all; there
 the shapes that no script spells (a capital inside a small-letter word, a
 graphic sign between letters, letters of two alphabets in a word, inverted
-case) show the garbling and choose the pair of encodings that removes them.
+case) only nominate a text: it counts as garbled where one pair of encodings
+reads the nominated stretches as words of the letters that its scripts use most.
+Characters that no text is written with (U+FFFD, C1 controls) tell by themselves.
 
 Every document is read once, in Arrow batches, without a shuffle.
 """
@@ -25,9 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Times a text is decoded again at most; each round shortens the text, so this only bounds a loop.
-MAX_ROUNDS = 8
-
 # The decoders that wrong text comes through, by Python's names. latin: cp1252 with the C1 controls of latin-1.
 WRONG_DECODERS = ("latin", "cp1250", "cp1251", "cp1253", "cp437", "cp850", "cp866", "koi8_r", "mac_roman")
 # Lead characters that letters of real text never stand behind, so that one two-byte sequence suffices.
@@ -222,27 +221,26 @@ def shapes(text: str, held: str | None = None) -> list[str]:
     return [k for k, need in _NEEDS.items() if need.search(have) and _SHAPES[k].search(text)]
 
 
-_PLAIN_RUN = re.compile(r"[\x00-\x7f]{8,}")
-
-
-def _condensed(text: str) -> str:
-    """A text with its long ASCII runs cut to the three characters at either end, which is as far as any rule looks."""
-    if len(text.encode("utf-8", "surrogatepass")) > 1.4 * len(text):
-        return text
-    return _PLAIN_RUN.sub(lambda m: f"{m[0][:3]}\n{m[0][-3:]}", text)
-
-
-def diagnose(text: str | None) -> str | None:
-    """Why a text counts as garbled (``utf-8 read as cp850``, or a shape), or None. Null and empty texts are sound."""
+def reason(text: str | None) -> tuple[str, str] | None:
+    """(way, why) a text counts as garbled: ``span`` for a span of UTF-8 bytes, ``lost`` for characters that stand for lost ones,
+    ``shape`` for impossible shapes that a pair of encodings explains. None for a sound text; null, empty and ASCII ones are sound."""
     if not text or text.isascii():
         return None
     held = _outside_ascii(text)
-    text = _condensed(text)
     wrong, spans = utf8_spans(text, held)
     if spans:
-        return f"utf-8 read as {wrong}"
+        return "span", f"utf-8 read as {wrong}"
     found = shapes(text, held)
-    return ", ".join(found) if found else None
+    if "lost" in found:
+        return "lost", ", ".join(found)
+    pair = confirmed_pair(text) if found else None
+    return ("shape", f"{pair[1]} read as {pair[0]}") if pair else None
+
+
+def diagnose(text: str | None) -> str | None:
+    """Why a text counts as garbled, or None."""
+    why = reason(text)
+    return why[1] if why else None
 
 
 _WORDS = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*(?:[ \xa0]+[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*)*")
@@ -287,22 +285,94 @@ def _readings(part: str) -> Iterator[tuple[tuple[str, str], str, float]]:
             yield (wrong, true), d, weight * len(re.findall(common, pairs)) / max(1, len(pairs)) - len(shapes(d))
 
 
-def _legacy(text: str) -> str:
-    """A text with impossible shapes, its garbled stretches read by the one pair of encodings that explains them best."""
-    parts = list(_WORDS.finditer(text))
-    bad = [m[0] for m in parts if shapes(m[0]) and "\N{REPLACEMENT CHARACTER}" not in m[0]]
+_SENTENCE = re.compile(r"(?<=[.!?…»])[ \xa0]+")
+_NARROW = re.compile(r"[\x00-\xff]+")
+
+
+def _bad_parts(text: str) -> list[str]:
+    """The stretches with impossible shapes: sentences, and within those that hold letters of other scripts too, what could be single bytes."""
+    out = []
+    for m in _WORDS.finditer(text):
+        if not shapes(m[0]):
+            continue
+        for part in _SENTENCE.split(m[0]):
+            found = shapes(part)
+            if found and "\N{REPLACEMENT CHARACTER}" not in part:
+                out += _NARROW.findall(part) if "letters" in found else [part]
+    return [p for p in out if shapes(p)]
+
+
+def _best_pair(bad: list[str]) -> tuple[str, str] | None:
+    """The pair of encodings that explains the stretches best."""
     votes: dict[tuple[str, str], float] = {}
     for part in bad:
         for pair, _, score in _readings(part):
             votes[pair] = votes.get(pair, 0.0) + score * len(part)
     best = max(votes, key=lambda k: votes[k], default=None)
-    if best is None or votes[best] <= 0:
+    return None if best is None or votes[best] <= 0 else best
+
+
+#: Letters, or letters within words of at least WORD letters, that a reading must restore, and the share of them that the script uses most.
+OWN_SCRIPT, ACCENTED, WORD, SHARE = 6, 2, 4, 0.5
+_FOREIGN = re.compile("[─-■Ͱ-ӿ]|[a-z]{3}[\xa2\xa3\xa5\xa7\xa8\xac\xaf\xb3\xb6\xb8\xb9\xbfˆ˜†‡][a-z]")
+_READ_WORD = re.compile(r"[^\W\d_]+")
+
+
+def confirmed_pair(text: str) -> tuple[str, str] | None:
+    """The pair of encodings that a text's impossible shapes come from, or None where no reading is better text than the shapes are.
+
+    A reading is free of such shapes. In scripts of their own it restores at
+    least six letters, half of them the most frequent; among Latin letters at
+    least two accented ones in words of four letters or more, half of them the
+    most frequent, or one frequent letter in a word of five; in double-byte
+    encodings at least three characters, most of them common.
+    """
+    bad = _bad_parts(text)
+    pair = _best_pair(bad)
+    if pair is None:
+        return None
+    wrong, true = pair
+    letters: list[str] = []
+    words: list[tuple[int, str, str]] = []
+    pairs = common = 0
+    for part in bad:
+        raw = _to_bytes(part, wrong)
+        try:
+            read = raw.decode(true) if raw is not None else None
+        except UnicodeDecodeError:
+            read = None
+        if read is None or shapes(read):
+            continue
+        if true in DOUBLE_BYTE:
+            form, usual = DOUBLE_BYTE[true]
+            runs = b"".join(re.findall(form, raw))
+            pairs += len(runs) // 2
+            common += len(re.findall(usual, runs))
+            continue
+        letters += [n for o, n in zip(part, read, strict=True) if o > "\x7f" and n.isalpha()]
+        for m in _READ_WORD.finditer(read):
+            words += [(len(m[0]), part[m.start() : m.end()], n) for o, n in zip(part[m.start() : m.end()], m[0], strict=True) if o > "\x7f" and len(m[0]) >= WORD]
+    if true in DOUBLE_BYTE:
+        return pair if pairs >= 3 and common >= 0.6 * pairs else None
+    usual_letters = _FREQUENT[_script(true)]
+    if _script(true) != "latin":
+        return pair if len(letters) >= OWN_SCRIPT and sum(n.lower() in usual_letters for n in letters) >= SHARE * len(letters) else None
+    frequent = [size for size, _, n in words if n.lower() in usual_letters]
+    if len(words) >= ACCENTED:
+        return pair if len(frequent) >= SHARE * len(words) else None
+    return pair if frequent and frequent[0] > WORD and _FOREIGN.search(words[0][1]) else None
+
+
+def _legacy(text: str) -> str:
+    """A text with impossible shapes, its garbled stretches read by the one pair of encodings that explains them best."""
+    bad = _bad_parts(text)
+    best = _best_pair(bad)
+    if best is None:
         return text
     wrong, true = best
     marks = {c for part in bad for c in part if c > "\x7f"}
 
-    def read(m: re.Match[str]) -> str:
-        part = m[0]
+    def read(part: str) -> str:
         raw = None if marks.isdisjoint(part) else _to_bytes(part, wrong)
         if raw is None:
             return part
@@ -312,24 +382,50 @@ def _legacy(text: str) -> str:
             return part
         return d if len(shapes(d)) <= len(shapes(part)) else part
 
-    return _WORDS.sub(read, text)
+    def read_stretch(m: re.Match[str]) -> str:
+        whole = read(m[0])
+        if whole != m[0] or not shapes(whole):
+            return whole
+        out, at = [], 0
+        for part in bad:
+            k = m[0].find(part, at)
+            if k >= 0:
+                out += [m[0][at:k], read(part)]
+                at = k + len(part)
+        return "".join([*out, m[0][at:]])
+
+    return _WORDS.sub(read_stretch, text)
 
 
 # The most frequent small letters of the scripts that several encodings share.
-_FREQUENT = {"cyrillic": "оеаинтсрвл", "latin": "\xe9\xe4\xf6\xfc\xdf\xe8\xe0\xe1\xed\xf3\xf1\xe7\xe3\xeałęążś"}
+_FREQUENT = {
+    "cyrillic": "оеаинтсрвл",
+    "latin": "\xe9\xe4\xf6\xfc\xdf\xe8\xe0\xe1\xed\xf3\xf1\xe7\xe3\xeałęążś",
+    "greek": "αοιετσνηυρ",
+    "arabic": "ايلمونرتبة",
+    "thai": "านรอกเงมยลวดทสต",
+}
+_SCRIPTS = {"cp1251": "cyrillic", "koi8_r": "cyrillic", "cp866": "cyrillic", "iso8859_5": "cyrillic", "mac_cyrillic": "cyrillic", "cp1253": "greek", "cp1256": "arabic", "tis_620": "thai"}
+
+
+def _script(true: str) -> str:
+    return _SCRIPTS.get(true, "latin")
 
 
 def _frequent(text: str, true: str) -> float:
-    kind = "cyrillic" if true in ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic") else "latin"
+    script = _script(true)
+    if script in ("arabic", "thai") or script == "greek" and re.search("[a-z]", text):
+        return 0.0
+    usual = _FREQUENT[script]
     high = [c for c in text if c > "\x7f" and c.isalpha()]
-    return sum(c in _FREQUENT[kind] for c in high) / max(1, len(high))
+    return sum(c in usual for c in high) / max(1, len(high))
 
 
 def repair(text: str | None) -> str | None:
     """What a text was meant to be; the text itself where nothing is garbled or nothing can be restored."""
     if not text or text.isascii():
         return text
-    for _ in range(MAX_ROUNDS):
+    while True:  # a span is longer than what it decodes to, so that each round shortens the text
         wrong, spans = utf8_spans(text, all_spans=True)
         if not spans:
             break
@@ -341,7 +437,8 @@ def repair(text: str | None) -> str | None:
             out += [text[at:s], d]
             at = e
         text = "".join([*out, text[at:]])
-    return _legacy(text) if shapes(text) else text
+    found = shapes(text)
+    return _legacy(text) if "lost" in found or found and confirmed_pair(text) else text
 
 
 def _run(df: DataFrame, key: str, text: str, with_text: bool) -> DataFrame:
