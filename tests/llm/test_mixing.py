@@ -50,6 +50,30 @@ def test_shares_and_repeats(spark, monkeypatch):
     assert again.exceptAll(m.rows).count() == 0
 
 
+def test_every_epoch_has_an_order_of_its_own(spark):
+    docs = [(k, "a", 5, 0) for k in range(400)] + [(1000 + k, "b", 20, 0) for k in range(400)]
+    rows = mixture(spark, docs, [("m", "a", 0.5, 4), ("m", "b", 0.5, 1)], blocks=40).rows.collect()
+    first, second = ({r.doc_id: r.block % 10 for r in rows if r.source == "a" and r.epoch == e} for e in (0, 1))
+    same = sum(first[k] == second[k] for k in first)
+    assert len(first) == len(second) == 400 and same < 100  # about a tenth by chance
+    for block in range(40):  # every block holds both sources in their weight, mixed
+        inside = sorted((r.draw, r.source, r.n_tokens) for r in rows if r.block == block)
+        tokens = {x: sum(n for _, y, n in inside if y == x) for x in "ab"}
+        assert 0.15 < tokens["a"] / sum(tokens.values()) < 0.85
+        assert sum(x[1] != y[1] for x, y in zip(inside, inside[1:], strict=False)) > 4
+
+
+def test_a_sized_mix_reports_the_exponent_of_its_shares(spark):
+    docs = [(k, "a", 10, 0) for k in range(900)] + [(1000 + k, "b", 10, 0) for k in range(100)]
+    targets = [("m", "a", 0.5, 1), ("m", "b", 0.5, 3)]
+    shares = {r.source: r for r in mixture(spark, docs, targets, total={"m": 10_000.0}).shares.collect()}
+    a = shares["a"].exponent
+    assert 0 < a < 1
+    weight = {"a": 0.9 ** (1 - a) * 0.5**a, "b": 0.1 ** (1 - a) * 0.5**a}
+    for k, r in shares.items():
+        assert r.reached_share == pytest.approx(weight[k] / sum(weight.values()), abs=0.01)
+
+
 def test_uneven_last_epoch(spark):
     docs = [(k, "a", 7, 0) for k in range(40)] + [(100 + k, "b", 11, 0) for k in range(50)]
     m = mixture(spark, docs, [("m", "a", 0.5, 9), ("m", "b", 0.5, 1)])

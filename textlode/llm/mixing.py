@@ -3,11 +3,12 @@
 Weights: source shares are exponentiated towards their targets and the exponent
 is bisected to the last point that the repetition limits (or a wanted entropy)
 allow. Realisation: a source that has to give more than it holds is read in
-whole epochs and a last part of one; each epoch is a permutation by hash, and
-the last part ends where its budget is used up. That place is found from token
-sums of hash buckets, then within one bucket, so no source is ever sorted as a
-whole and a source that holds a third of all rows is spread like any other.
-Blocks of the mixture hold every source in its weight.
+whole epochs and a last part of one; each epoch is a permutation of its own, by
+hash, and the last part ends where its budget is used up. That place is found
+from token sums of hash buckets, then within one bucket, so no source is ever
+sorted as a whole and a source that holds a third of all rows is spread like any
+other. Blocks of the mixture hold every source in its weight, its documents
+permuted within the block.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -117,9 +118,10 @@ class Mixture:
 def mix_sources(sizes: DataFrame, targets: DataFrame, total: Mapping[str, float] | None = None, seed: int = 17, blocks: int = 64) -> Mixture:
     """The mixtures of all mixes in ``targets`` (mix_name, source, target_share, max_repeats) over ``sizes`` (doc_id, source, n_tokens).
 
-    ``rows``: (mix_name, source, doc_id, epoch, block, n_tokens), a row for each
-    use of a document, at most max_repeats of one document in a mix, and all
-    uses of an epoch before any of the next. ``shares``: for each target what it
+    ``rows``: (mix_name, source, doc_id, epoch, block, draw, n_tokens), a row for
+    each use of a document, at most max_repeats of one document in a mix, and all
+    uses of an epoch before any of the next; sorted by (block, draw) they are the
+    mixture. ``shares``: for each target what it
     reached. Documents of a null source, or of one that a mix doesn't name, take
     no part; a target whose source has no documents reports a share of 0. Null
     shares or repeats count as 0; a source named twice in a mix counts once, by
@@ -145,9 +147,13 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total: Mapping[str, float]
             settings.append((mix, k, r["target_share"], r["max_repeats"], plan.exponent, float(budget), whole, float(rest), budget / size if size else 0.0, max(1, math.ceil(n / BUCKET_DOCS))))
     schema = "mix_name string, source string, target_share double, max_repeats int, exponent double, budget double, whole int, rest double, epochs double, buckets int"
     plan_df = spark.createDataFrame(settings, schema)
-    h = F.xxhash64("doc_id", "mix_name", F.lit(seed))
-    u = F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
-    placed = docs.join(F.broadcast(plan_df.filter("budget > 0")), "source").withColumn("u", u)
+
+    def unit(epoch: str) -> Column:
+        """Where a document stands in an epoch of a mix, in [0, 1)."""
+        return F.shiftrightunsigned(F.xxhash64("doc_id", "mix_name", epoch, F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
+
+    # the part of a last epoch comes behind the whole ones
+    placed = docs.join(F.broadcast(plan_df.filter("budget > 0")), "source").withColumn("u", unit("whole"))
     placed = placed.withColumn("bucket", F.floor(F.col("u") * F.col("buckets")).cast("int"))
     # the bucket in which the rest of a source runs out
     sums = placed.filter("rest > 0").groupBy("mix_name", "source", "bucket").agg(F.sum("n_tokens").alias("c"), F.first("rest").alias("rest"))
@@ -163,9 +169,11 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total: Mapping[str, float]
     at_edge = at_edge.withColumn("extra", (F.col("before") + F.sum("n_tokens").over(inner) - F.col("n_tokens") / 2 < F.col("rest")).cast("int"))
     others = placed.filter("not (rest > 0 and last_bucket is not null and bucket = last_bucket)").withColumn("extra", F.when(F.col("rest") > 0, (F.col("bucket") < F.coalesce("last_bucket", F.lit(2**31 - 1))).cast("int")).otherwise(0))
     uses = at_edge.unionByName(others).withColumn("n", F.col("whole") + F.col("extra")).filter("n > 0")
-    rows = uses.select("mix_name", "source", "doc_id", "n_tokens", "u", "epochs", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("epoch"))
-    position = (F.col("epoch") + F.col("u")) / F.col("epochs")
-    rows = rows.withColumn("block", F.least(F.floor(position * blocks), F.lit(blocks - 1)).cast("int")).select("mix_name", "source", "doc_id", "epoch", "block", "n_tokens")
+    rows = uses.select("mix_name", "source", "doc_id", "n_tokens", "epochs", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("epoch"))
+    position = (F.col("epoch") + unit("epoch")) / F.col("epochs")
+    rows = rows.withColumn("block", F.least(F.floor(position * blocks), F.lit(blocks - 1)).cast("int"))
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "mix_name", "epoch", "block", F.lit(seed)))
+    rows = rows.select("mix_name", "source", "doc_id", "epoch", "block", "draw", "n_tokens")
     reached = uses.groupBy("mix_name", "source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("tokens"), F.count("*").alias("n_docs"), F.max("n").alias("most_repeats"))
     report = plan_df.select("mix_name", "source", "target_share", "max_repeats", "exponent", "budget").join(reached, ["mix_name", "source"], "left").fillna(0, ["tokens", "n_docs", "most_repeats"])
     all_ = W.partitionBy("mix_name")
