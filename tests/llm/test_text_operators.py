@@ -50,6 +50,13 @@ def test_utf8_read_wrongly_comes_back(text, wrong):
     assert M.repair(bad) == "Before. " + text + " After."
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abZ .,!\n" * 3 + "éÉ³Ã¼Â±Θ▄ÐðЀцКЮМ…\N{REPLACEMENT CHARACTER}", max_size=60))
+def test_cutting_plain_runs_changes_no_finding(text):
+    near = M._condensed(text)
+    assert M.utf8_spans(near)[0] == M.utf8_spans(text)[0] and M.shapes(near) == M.shapes(text)
+
+
 def test_wrong_more_than_once():
     twice = garble(garble("sp\xe4ter f\xfcr 5 \xb5g", "cp1252"), "cp1252")
     assert M.diagnose(twice) and M.repair(twice) == "sp\xe4ter f\xfcr 5 \xb5g"

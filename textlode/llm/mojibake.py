@@ -221,16 +221,26 @@ def shapes(text: str, held: str | None = None) -> list[str]:
     return [k for k, need in _NEEDS.items() if need.search(have) and _SHAPES[k].search(text)]
 
 
+#: ASCII characters beside another one that any rule looks at, at most.
+REACH = 3
+_PLAIN_RUN = re.compile(r"([\x00-\x7f]{3})[\x00-\x7f]{2,}(?=[\x00-\x7f]{3})")
+
+
+def _condensed(text: str) -> str:
+    """A text with its ASCII runs cut to the characters at either end that rules can reach, which changes no finding."""
+    return _PLAIN_RUN.sub(r"\1\n", text)
+
+
 def reason(text: str | None) -> tuple[str, str] | None:
     """(way, why) a text counts as garbled: ``span`` for a span of UTF-8 bytes, ``lost`` for characters that stand for lost ones,
     ``shape`` for impossible shapes that a pair of encodings explains. None for a sound text; null, empty and ASCII ones are sound."""
     if not text or text.isascii():
         return None
-    held = _outside_ascii(text)
-    wrong, spans = utf8_spans(text, held)
+    held, near = _outside_ascii(text), _condensed(text)
+    wrong, spans = utf8_spans(near, held)
     if spans:
         return "span", f"utf-8 read as {wrong}"
-    found = shapes(text, held)
+    found = shapes(near, held)
     if "lost" in found:
         return "lost", ", ".join(found)
     pair = confirmed_pair(text) if found else None

@@ -52,10 +52,10 @@ SELECT scope, provider, model_id, day, q, n, v AS value FROM r, q WHERE k = grea
 @query(_P6_SQL)
 def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of each model over all its calls (scope all) and over those of each day (scope day)."""
-    calls = table(spark, d, "model_calls").select("provider", "model_id", F.to_date("called_at").alias("_day"), "duration_ms")
-    scopes = F.array(F.struct(F.lit("all").alias("scope"), F.lit(None).cast("date").alias("day")), F.struct(F.lit("day").alias("scope"), F.col("_day").alias("day")))
-    rows = calls.select("provider", "model_id", "duration_ms", F.inline(scopes))
-    return quantiles.percentiles(rows, ["scope", "provider", "model_id", "day"], "duration_ms")
+    calls = table(spark, d, "model_calls").select("provider", "model_id", F.to_date("called_at").alias("day"), "duration_ms")
+    over_all = quantiles.percentiles(calls, ["provider", "model_id"], "duration_ms").withColumns({"scope": F.lit("all"), "day": F.lit(None).cast("date")})
+    by_day = quantiles.percentiles(calls, ["provider", "model_id", "day"], "duration_ms").withColumn("scope", F.lit("day"))
+    return over_all.unionByName(by_day).select("scope", "provider", "model_id", "day", "q", "n", "value")
 
 
 @query()
