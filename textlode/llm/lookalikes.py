@@ -2,11 +2,14 @@
 
 A weighted edit automaton reads characters against the tries of a vocabulary:
 look-alikes, widths, composed and decomposed accents, and kinds of blank cost
-nothing, ignorable characters cost nothing to skip, and any other edit costs
-one. With no budget for edits the automaton is deterministic: it is run as a
-translation into classes of look-alikes followed by a traversal of the trie of
-class strings, both of which leave the interpreter. Tokens that the vocabulary
-knows get its canonical spelling; others are normalized by the table.
+nothing, ignorable characters cost nothing to skip, an accent more or less costs
+one, and any other edit two. With no budget for edits the automaton is
+deterministic: it is run as a translation into classes of look-alikes followed by
+a traversal of the trie of class strings, both of which leave the interpreter.
+Tokens that the vocabulary knows get its canonical spelling; others are
+normalized by the table. What looks the same must come out the same wherever it
+stands, so that a token's spelling depends on its class string alone, never on
+the text or language around it.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -23,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlode.core.jstext import WS_CHARS
+from textlode.core.session import materialize
 
 # Letters of other scripts that look like a Latin letter.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХԚԜаеѕіјорсухһԁԛԝӏүҮӀ", "ABESIJKMHOPCTYXQWaesijopcyxhdqwlyYI", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳ", "ABEZHIKMNOPTYXovj", strict=True))
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏒᏕᏞᏟᏢᏤᏦᏧᏴ", "DRTAJEWMHYGZbRSLCPVKdB", strict=True))
 OTHER = {"ɡ": "g", "ɑ": "a", "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "‐": "-", "‑": "-", "⁄": "/", "∕": "/", "․": ".", "ꞌ": "'", "ʼ": "’", "ʹ": "′"}
-LOOKALIKES = {**CYRILLIC, **GREEK, **OTHER}
+LOOKALIKES = {**CYRILLIC, **GREEK, **CHEROKEE, **OTHER}
 # Kinds of compatibility mapping that only change a character's width, font or form.
 SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 _LIGATURES = ((0xFB00, 0xFB07), (0xFB13, 0xFB18), (0x2160, 0x2180), (0xB5, 0xB6), (0x2F00, 0x2FD6))
@@ -87,6 +93,14 @@ def class_string(text: str) -> str:
     return _translate(text, _CLASSES)
 
 
+#: Costs of the edits that a reader sees; look-alikes and ignorables cost nothing.
+ACCENT, VISIBLE = 1, 2
+
+
+def _cost(c: str) -> int:
+    return ACCENT if unicodedata.combining(c) else VISIBLE
+
+
 class LookalikeTrie:
     """A vocabulary as a trie of class strings.
 
@@ -99,13 +113,17 @@ class LookalikeTrie:
         self.canonical: dict[str, str] = {}
         for e in entries:
             self.canonical.setdefault(class_string(e), e)
-        self.trie = ahocorasick.Automaton()
         self.nodes: dict | None = None
+
+    @cached_property
+    def trie(self) -> ahocorasick.Automaton:
+        trie = ahocorasick.Automaton()
         for k, e in self.canonical.items():
             if k:
-                self.trie.add_word(k, e)
-        if len(self.trie):
-            self.trie.make_automaton()
+                trie.add_word(k, e)
+        if len(trie):
+            trie.make_automaton()
+        return trie
 
     def scan(self, text: str) -> Iterator[str]:
         if len(self.trie):
@@ -130,8 +148,9 @@ class LookalikeTrie:
                     node = node.setdefault(c, {})
                 node[None] = e
         best: list[tuple[int, str]] = []
-        first = list(range(len(key) + 1))
-        stack = [(self.nodes, first)]
+        skip = [_cost(c) for c in key]
+        # a state of the automaton: the cost of each place in the token for one node
+        stack = [(self.nodes, [0, *accumulate(skip)])]
         while stack:
             node, row = stack.pop()
             for c, child in node.items():
@@ -139,9 +158,10 @@ class LookalikeTrie:
                     if row[-1] <= budget:
                         best.append((row[-1], child))
                     continue
-                new = [row[0] + 1]
+                insert = _cost(c)
+                new = [row[0] + insert]
                 for k, x in enumerate(key):
-                    new.append(min(new[-1] + 1, row[k + 1] + 1, row[k] + (x != c)))
+                    new.append(min(new[-1] + skip[k], row[k + 1] + insert, row[k] + (x != c) * max(insert, skip[k])))
                 if min(new) <= budget:
                     stack.append((child, new))
         return (min(best)[1], min(best)[0]) if best else None
@@ -173,20 +193,24 @@ def _by_table(m: re.Match[str]) -> str:
     return "".join(back.get(c, c) for c in t)
 
 
-def canonical(text: str | None, spellings: dict[str, str] | None = None) -> str | None:
+_ODD_BLANK = re.compile(r"[\t-\r\x1c-\x1f]|  ")
+
+
+def canonical(text: str | None, vocabulary: LookalikeTrie | None = None) -> str | None:
     """The one form of all texts that look like ``text``: composed, in plain width, each token in one script.
 
-    ``spellings``: the vocabulary's spelling of tokens whose letters are all ambiguous, by class string.
+    ``vocabulary``: spellings of tokens whose letters are all ambiguous.
     """
     if text is None:
         return None
-    if text.isascii() and not any(c in text for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f") and "  " not in text and not spellings:
+    known = vocabulary is not None and len(vocabulary.canonical) > 0
+    if text.isascii() and not known and not _ODD_BLANK.search(text):
         return text
     out = class_string(text)
     if not out.isascii():
         out = _TOKEN.sub(_by_table, out)
-    if spellings:
-        out = _TOKEN.sub(lambda m: spellings.get(m[0], m[0]), out)
+    if known:
+        out = _TOKEN.sub(lambda m: hit[0] if (hit := vocabulary.search(m[0])) else m[0], out)
     return unicodedata.normalize("NFC", out)
 
 
@@ -231,51 +255,100 @@ def find_lookalikes(extractions: DataFrame, sources: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"extraction_id {kind}").distinct()
 
 
+#: Letters of a Latin token that may be of another script.
+_LATIN = "".join(sorted(c for c in _AMBIGUOUS if c.isascii() and c.isalpha()))
+
+
 def vocabulary(texts: DataFrame, column: str) -> DataFrame:
     """(key, spelling) of the ambiguous tokens that the corpus spells mostly in another way than the table does.
 
-    Counts cover all rows. Ties go to the table's Latin spelling, then to the smallest.
+    Counts cover all rows. Ties go to the table's Latin spelling, then to the
+    smallest. Only text beyond ASCII leaves the JVM: an ASCII text spells its
+    tokens as the table does, and these are counted by expression. Counts are
+    summed inside each partition, so a token that most rows share is a row of
+    each partition when it's shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], int] = defaultdict(int)
         for batch in batches:
-            counts: dict[tuple[str, str], int] = defaultdict(int)
             for t in batch.column(0).to_pylist():
                 for pair in ambiguous_tokens(t):
                     counts[pair] += 1
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["key", "spelling", "c"])
+            if len(counts) > MAX_COUNTS:
+                yield _count_batch(counts)
+                counts.clear()
+        yield _count_batch(counts)
 
-    spelt = texts.select(column).filter(F.col(column).rlike(r"[^\x00-\x7f]") | F.col(column).isNotNull()).mapInArrow(run, "key string, spelling string, c bigint")
+    beyond = F.col(column).rlike(r"[^\x00-\x7f]")
+    spelt = texts.select(column).filter(beyond).mapInArrow(run, "key string, spelling string, c bigint")
     totals = spelt.groupBy("key", "spelling").agg(F.sum("c").alias("c"))
+    tokens = F.explode(F.regexp_extract_all(column, F.lit(rf"(?<![A-Za-z])([{_LATIN}]+)(?![A-Za-z])"), F.lit(1)))
+    plain = texts.select(column).filter(~beyond).select(tokens.alias("key")).groupBy("key").agg(F.count("*").alias("c"))
+    totals = totals.unionByName(plain.select("key", F.col("key").alias("spelling"), "c")).groupBy("key", "spelling").agg(F.sum("c").alias("c"))
     order = F.struct((-F.col("c")).alias("c"), (F.col("key") != F.col("spelling")).alias("other"), F.col("spelling").alias("s"))
     return totals.groupBy("key").agg(F.min(order).alias("o")).select("key", F.col("o.s").alias("spelling")).filter("key <> spelling")
 
 
+#: Different tokens that a task counts before it hands them on.
+MAX_COUNTS = 500_000
+#: Entries of a vocabulary that is sent to all executors at most; a larger one is joined.
+MAX_BROADCAST_WORDS = 100_000
+
+
+def _count_batch(counts: dict[tuple[str, str], int]) -> pa.RecordBatch:
+    keys = list(counts)
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["key", "spelling", "c"])
+
+
 def canonical_texts(df: DataFrame, key: str, column: str, words: DataFrame) -> DataFrame:
-    """(key, text, canonical) of each row; null texts stay null. ``words``: the (key, spelling) vocabulary.
+    """(key, text, canonical) of each row; null texts stay null, repeated rows stay repeated. ``words``: the (key, spelling) vocabulary.
 
-    Texts with tokens that the vocabulary respells fetch those spellings by a
-    join on the token, so the vocabulary is never broadcast whatever its size.
+    A vocabulary of at most MAX_BROADCAST_WORDS entries goes to the executors as
+    a trie, and the texts are gone through once, without a shuffle. A larger one
+    is joined by token: texts are known there by a fingerprint of 128 bits, and
+    the pairs of text and token are spread by both, so that neither a text nor a
+    token that many rows share comes into one task.
     """
     kind = dict(df.dtypes)[key]
+    rows = df.select(F.col(key), F.col(column).alias("text"))
+    schema = f"`{key}` {kind}, text string, canonical string"
+    words = materialize(words)
+    if words.count() <= MAX_BROADCAST_WORDS:
+        spellings = [r["spelling"] for r in words.select("spelling").collect()]
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie = LookalikeTrie(spellings)
+            for batch in batches:
+                texts = batch.column(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array([canonical(t, trie) for t in texts.to_pylist()], pa.string())], names=[key, "text", "canonical"])
+
+        return rows.mapInArrow(spell, schema)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: set[tuple[str, str]] = set()
-            for t in batch.column(0).to_pylist():
-                out.update((t, k) for k, _ in ambiguous_tokens(t))
+            out: set[tuple[bytes, str]] = set()
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out.update((h, k) for k, _ in ambiguous_tokens(t))
             pairs = sorted(out)
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in pairs], pa.string()), pa.array([k for _, k in pairs], pa.string())], names=["_text", "_token"])
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in pairs], pa.binary()), pa.array([k for _, k in pairs], pa.string())], names=["_h", "_token"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, maps = batch.column(1), batch.column(2).to_pylist()
-            new = [canonical(t, dict(m) if m else None) for t, m in zip(texts.to_pylist(), maps, strict=True)]
+            texts = batch.column(1)
+            new = [canonical(t, LookalikeTrie(own) if own else None) for t, own in zip(texts.to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(new, pa.string())], names=[key, "text", "canonical"])
 
-    rows = df.select(F.col(key), F.col(column).alias("text"))
-    wanted = rows.select(F.col("text").alias("_t")).filter("_t is not null").distinct().mapInArrow(tokens, "_text string, _token string")
-    known = wanted.join(words.select(F.col("key").alias("_token"), F.col("spelling").alias("_spelling")), "_token")
-    maps = known.groupBy("_text").agg(F.map_from_entries(F.collect_set(F.struct("_token", "_spelling"))).alias("_map"))
-    return rows.join(maps, F.col("text") == F.col("_text"), "left").select(key, "text", "_map").mapInArrow(write, f"`{key}` {kind}, text string, canonical string")
+    salt = F.pmod(F.xxhash64("_h"), F.lit(SALTS)).cast("int")
+    hashed = rows.withColumn("_h", F.unhex(F.md5("text")))
+    wanted = hashed.filter("text is not null").select("_h", "text").mapInArrow(tokens, "_h binary, _token string").distinct().withColumn("_salt", salt)
+    salted = words.select(F.col("key").alias("_token"), F.col("spelling").alias("_spelling"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    own = wanted.join(salted, ["_token", "_salt"]).groupBy("_h").agg(F.collect_set("_spelling").alias("_own"))
+    # rows of a text that very many share lie in several parts, each with its tokens
+    spread = hashed.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    own = own.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(own, ["_h", "_part"], "left").select(key, "text", "_own").mapInArrow(write, schema)
+
+
+#: Parts that the rows of one text or token are spread over.
+SALTS = 16

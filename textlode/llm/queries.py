@@ -119,9 +119,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
-    """Both text columns in one form, spelt by the vocabulary of all of them."""
-    e = table(spark, d, "extractions").select(F.lit("extractions").alias("source_table"), F.col("extraction_id").alias("record_id"), "text").distinct()
-    r = table(spark, d, "resolve_inputs").select(F.lit("resolve_inputs").alias("source_table"), F.col("resolve_id").alias("record_id"), F.col("source_text").alias("text")).distinct()
+    """Both text columns in one form, spelt by the vocabulary of all of them; repeated rows stay repeated."""
+    e = table(spark, d, "extractions").select(F.lit("extractions").alias("source_table"), F.col("extraction_id").alias("record_id"), "text")
+    r = table(spark, d, "resolve_inputs").select(F.lit("resolve_inputs").alias("source_table"), F.col("resolve_id").alias("record_id"), F.col("source_text").alias("text"))
     both = e.unionByName(r).withColumn("record", F.struct("source_table", "record_id"))
     out = lookalikes.canonical_texts(both, "record", "text", lookalikes.vocabulary(both, "text"))
     return out.select("record.source_table", "record.record_id", "text", "canonical")
