@@ -36,7 +36,6 @@ MIXED = 10
 LENGTHS = 64
 
 _MARKER = regex.compile(r"(?:[-*•·▪‣◦○●■□–—](?:[ \t\xa0]+)(?=[\p{Lu}\p{Lo}\p{N}])|[-*•·▪‣◦○●■□][ \t\xa0]+|\p{N}{1,2}[.)](?:[ \t\xa0]+)|\p{L}\)[ \t\xa0]+|\([\p{L}\p{N}]{1,3}\)[ \t\xa0]+)")
-_ADDRESS = regex.compile(r"https?://|www\.|(?<=\S)@")
 _SENTENCE_WORD = regex.compile(r"[\p{Lu}\p{Lo}][\p{Ll}\p{Lo}\p{M}]|[\p{Lu}\p{Lo}][’ ]|[" + regex.escape(OPENERS) + "—]")
 _UNIT_LETTER = regex.compile(r"\p{N}[ \xa0]?\p{Ll}")
 
@@ -76,7 +75,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=None)
-def _among(chars: str) -> np.ndarray:
+def among(chars: str) -> np.ndarray:
     out = np.zeros(0x110000, bool)
     out[[ord(c) for c in chars]] = True
     return out
@@ -169,15 +168,15 @@ class Block:
 
     # words
 
-    def _is(self, chars: str) -> np.ndarray:
-        return _among(chars)[self.head] & (self.tc == SIGN)
+    def is_sign(self, chars: str) -> np.ndarray:
+        return among(chars)[self.head] & (self.tc == SIGN)
 
     @cached_property
     def left(self) -> np.ndarray:
         """What each word counts as before a gap: numbers by the word before them, dotted letters and degrees as one."""
         h, tc, n = self.h, self.tc, self.n
         out = h.copy()
-        dot = self._is(".")
+        dot = self.is_sign(".")
         real = np.where(dot, -1, np.arange(n))
         shifted = np.concatenate([[-1], np.maximum.accumulate(real)[:-1]]) if n else real
         number = np.flatnonzero(tc == DIGIT)
@@ -189,7 +188,7 @@ class Block:
         i = i[i >= 2]
         i = i[dot[i - 1] & (self.te[i - 1] == self.ts[i]) & one[i - 2] & (self.te[i - 2] == self.ts[i - 1])]
         out[i] = mix(mix(DOTTED, h[i - 2]), h[i])
-        i = np.flatnonzero(one & _among("CF")[self.head])
+        i = np.flatnonzero(one & among("CF")[self.head])
         i = i[i >= 1]
         i = i[(self.head[i - 1] == 0xB0) & (self.te[i - 1] == self.ts[i])]
         out[i] = mix(DEGREE, h[i])
@@ -203,8 +202,8 @@ class Block:
 
     def _stops(self) -> None:
         n = self.n
-        stop = self._is(STOPS)
-        odd = np.flatnonzero(self._is(";\N{GREEK QUESTION MARK}"))
+        stop = self.is_sign(STOPS)
+        odd = np.flatnonzero(self.is_sign(";\N{GREEK QUESTION MARK}"))
         odd = odd[odd > 0]
         odd = odd[self.te[odd - 1] == self.ts[odd]]
         greek = self.cp[self.ts[odd] - 1]
@@ -213,7 +212,7 @@ class Block:
         run_on = stop & np.concatenate([stop[1:], [False]]) & touching
         self.first_stop = np.flatnonzero(stop & ~np.concatenate([[False], run_on[:-1]])) if n else np.zeros(0, np.int64)
         self.last_stop = np.flatnonzero(stop & ~run_on)
-        closer, outer = self._is(CLOSERS), self._is("»›")
+        closer, outer = self.is_sign(CLOSERS), self.is_sign("»›")
         end = self.last_stop.copy()
         moving = np.arange(len(end))
         while len(moving):
@@ -237,58 +236,73 @@ class Block:
         self.stop = at_stop[self.gap]  # which run of stops ends there, -1 for none
         self.gap_kind = self.kinds[self.gap]
 
-    @cached_property
-    def ends_text(self) -> np.ndarray:
+    def ends_text(self, gap: np.ndarray) -> np.ndarray:
         """Whether a text ends behind each gap."""
-        after = np.append(self.ts, len(self.cp))[self.gap + 1]
-        start = self.te[self.gap]
+        after, start = np.append(self.ts, len(self.cp))[gap + 1], self.te[gap]
         if self.pos is not None:
             raw = np.append(self.pos, self.n_raw)
             after, start = raw[after], raw[start]
         return np.searchsorted(self.text_at, after, "right") > np.searchsorted(self.text_at, start - 1, "right")
 
     @cached_property
-    def right(self) -> np.ndarray:
+    def _firm(self) -> np.ndarray:
+        firm = ~(among(OPENERS + DASHES)[self.head] & (self.tc == SIGN))
+        return np.minimum.accumulate(np.append(np.where(firm, np.arange(self.n), self.n), self.n)[::-1])[::-1]
+
+    def right(self, gap: np.ndarray) -> np.ndarray:
         """The word behind each gap, opening marks and dashes skipped; the number of words where there's none."""
-        firm = np.flatnonzero(~(_among(OPENERS + DASHES)[self.head] & (self.tc == SIGN)))
-        return np.append(firm, self.n)[np.searchsorted(firm, self.gap + 1)]
+        return self._firm[gap + 1]
 
-    @cached_property
-    def right_kind(self) -> np.ndarray:
-        k = np.append(self.tc, SIGN)[self.right]
+    def right_kind(self, right: np.ndarray) -> np.ndarray:
+        k = np.append(self.tc, SIGN)[right]
         return np.where(k == DENSE, CASELESS, k)
 
     @cached_property
     def line_ends(self) -> np.ndarray:
         return np.flatnonzero((self.kinds == LINE) | (self.kinds == PARAGRAPH))
 
-    def line_start(self, word: np.ndarray) -> np.ndarray:
-        return np.concatenate([[-1], self.line_ends])[np.searchsorted(self.line_ends, word)] + 1
+    @cached_property
+    def line_start(self) -> np.ndarray:
+        """The first word of each word's line."""
+        out = np.zeros(self.n + 1, np.int64)
+        out[self.line_ends + 1] = self.line_ends + 1
+        return np.maximum.accumulate(out)[: self.n]
+
+    @cached_property
+    def line_end(self) -> np.ndarray:
+        """The word behind the last one of each word's line."""
+        out = np.full(self.n, self.n, np.int64)
+        out[self.line_ends] = self.line_ends + 1
+        return np.minimum.accumulate(out[::-1])[::-1]
 
     @cached_property
     def words_before(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.wordy)])
 
     @cached_property
-    def line_words(self) -> np.ndarray:
+    def _widths(self) -> np.ndarray:
+        return np.concatenate([[0.0], np.cumsum(np.where(self.tc == DENSE, 0.5, self.wordy))])
+
+    def line_words(self, gap: np.ndarray) -> np.ndarray:
         """Words of the line up to each gap, two characters of a script without blanks counting as one."""
-        size = np.concatenate([[0.0], np.cumsum(np.where(self.tc == DENSE, 0.5, self.wordy))])
-        return np.minimum(size[self.gap + 1] - size[self.line_start(self.gap)], LENGTHS - 1).astype(np.int64)
+        return np.minimum(self._widths[gap + 1] - self._widths[self.line_start[gap]], LENGTHS - 1).astype(np.int64)
+
+    @cached_property
+    def _smiles(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.wordy & (self.head == ord("ツ")))])
 
     def signs_only(self, word: np.ndarray) -> np.ndarray:
         """Whether no letter or number stands between a word and the end of its line (a lone smiling kana aside)."""
-        word = np.minimum(word, max(self.n - 1, 0))
-        end = self.line_ends[np.minimum(np.searchsorted(self.line_ends, word), len(self.line_ends) - 1)] + 1
-        smile = self.wordy & (self.head == ord("ツ"))
-        smiles = np.concatenate([[0], np.cumsum(smile)])
-        k = smiles[end] - smiles[word]
+        word = np.minimum(word, self.n - 1)
+        end = self.line_end[word]
+        k = self._smiles[end] - self._smiles[word]
         return (self.words_before[end] - self.words_before[word] == k) & (k <= 1)
 
     @cached_property
     def quotations(self) -> np.ndarray:
         """Rows (first mark, last mark, is bracket, opens a unit), by words; none reaches across an empty line."""
         marks = "\"'" + "".join(QUOTE_PAIRS) + "".join(QUOTE_PAIRS.values())
-        t = np.flatnonzero(self._is(marks))
+        t = np.flatnonzero(self.is_sign(marks))
         if not len(t):
             return np.zeros((0, 4), np.int64)
         cp = np.concatenate([[10], self.cp, [10, 10]])
@@ -305,13 +319,13 @@ class Block:
         section = np.searchsorted(paragraphs, t)
         blank_b = kb <= BREAK
         straight = (ch == 0x22) | (ch == 0x27)
-        may_open = blank_b | _among(OPENERS + "—–-/")[before]
-        after_stop = _among(STOPS)[before] & (ch == 0x22)
+        may_open = blank_b | among(OPENERS + "—–-/")[before]
+        after_stop = among(STOPS)[before] & (ch == 0x22)
         inner = ka > BREAK
         gap = self.kinds[np.maximum(t - 1, 0)]
         last = np.where(t > 0, self.cp[self.te[np.maximum(t - 1, 0)] - 1], 0)
         parted = (gap == LINE) | (gap == PARAGRAPH) | (t == 0)
-        opens = _among(STOPS + CLOSERS)[last] | (parted & ~_among(",:;")[last]) | (gap == PARAGRAPH) | (t == 0)
+        opens = among(STOPS + CLOSERS)[last] | (parted & ~among(",:;")[last]) | (gap == PARAGRAPH) | (t == 0)
         return self._pair(t.tolist(), ch.tolist(), section.tolist(), straight.tolist(), may_open.tolist(), after_stop.tolist(), inner.tolist(), blank_b.tolist(), letter_a.tolist(), opens.tolist())
 
     @staticmethod
@@ -364,13 +378,15 @@ class Block:
         return np.array(out, np.int64).reshape(-1, 4)
 
     @cached_property
-    def inside(self) -> np.ndarray:
-        """Whether each gap lies within a quotation or bracketed remark."""
+    def _reach(self) -> np.ndarray:
+        out = np.full(self.n, -1, np.int64)
         q = self.quotations
-        if not len(q):
-            return np.zeros(len(self.gap), bool)
-        reach = np.concatenate([[-1], np.maximum.accumulate(q[:, 1])])
-        return reach[np.searchsorted(q[:, 0], self.gap, "right")] > self.gap
+        out[q[:, 0]] = q[:, 1]
+        return np.maximum.accumulate(out)
+
+    def inside(self, gap: np.ndarray) -> np.ndarray:
+        """Whether each gap lies within a quotation or bracketed remark."""
+        return self._reach[gap] > gap
 
     @cached_property
     def markers(self) -> np.ndarray:
@@ -382,7 +398,7 @@ class Block:
         starts = starts[starts < self.n]
         ch, tc = self.head[starts], self.tc[starts]
         after = self.cp[np.minimum(self.te[starts], len(self.cp) - 1)]
-        may = _among("-*•·▪‣◦○●■□–—(")[ch] | (tc == DIGIT) | ((after == ord(")")) & (self.te[starts] - self.ts[starts] == 1))
+        may = among("-*•·▪‣◦○●■□–—(")[ch] | (tc == DIGIT) | ((after == ord(")")) & (self.te[starts] - self.ts[starts] == 1))
         ends = set(map(ord, STOPS + CLOSERS))
         for t in starts[may].tolist():
             m = _MARKER.match(self.text, int(self.ts[t]))
@@ -391,27 +407,35 @@ class Block:
             end = m.end()
             if m[0][0].isnumeric() and m[0][:2] not in ("1.", "1)") and t and self.kinds[t - 1] == LINE and int(self.cp[self.te[t - 1] - 1]) not in ends:
                 # a number that a wrapped sentence goes on with is no mark: marks stand behind a stop or another mark
-                above = int(self.line_start(np.array([t - 1]))[0])
+                above = int(self.line_start[t - 1])
                 if out[above] < 0 and not _MARKER.match(self.text, int(self.ts[above])):
                     continue
             out[t] = end
         return out
 
-    @cached_property
-    def unbroken(self) -> np.ndarray:
+    def unbroken(self, gap: np.ndarray) -> np.ndarray:
         """Length of the string of ASCII signs without a blank that reaches from each gap to the end of its line; 0 for none."""
-        n = self.n
-        first = np.minimum(self.gap + 1, max(n - 1, 0))
-        blanks = np.flatnonzero(self.kinds != NOTHING)
-        stop = blanks[np.minimum(np.searchsorted(blanks, first), len(blanks) - 1)] if len(blanks) else first
+        first = np.minimum(gap + 1, self.n - 1)
+        blanks = self._blank_gaps
+        stop = blanks[np.minimum(np.searchsorted(blanks, first), len(blanks) - 1)]
         whole = self.kinds[stop] != SPACE
-        strange = np.concatenate([[0], np.cumsum(self.cp > 0x7F)])
-        plain = strange[self.te[stop]] == strange[self.ts[first]]
-        return np.where(whole & plain, self.te[stop] - self.ts[first], 0)
+        k = np.flatnonzero(whole)
+        size = np.zeros(len(gap), np.int64)
+        strange = np.concatenate([[0], np.cumsum(self.cp > 0x7F)]) if len(k) else np.zeros(1)
+        a, b = self.ts[first[k]], self.te[stop[k]]
+        size[k] = np.where(strange[b] == strange[a], b - a, 0)
+        return size
 
     @cached_property
     def _addresses(self) -> np.ndarray:
-        return np.array([m.start() for m in _ADDRESS.finditer(self.text)], np.int64)
+        """Where addresses show, by words: a scheme, ``www.``, or an @ within a string."""
+        n, h = self.n, self.h
+        i = np.flatnonzero(((h == np.uint64(key("http"))) | (h == np.uint64(key("https"))) | (h == np.uint64(key("www")))))
+        i = i[i + 1 < n]
+        scheme = i[(self.head[i + 1] == ord(":")) | (self.head[i + 1] == ord("."))]
+        at = np.flatnonzero(self.is_sign("@"))
+        at = at[at > 0]
+        return np.union1d(self.ts[scheme], self.ts[at[self.te[at - 1] == self.ts[at]]])
 
     def may_adjoin(self, run: int, gap: int) -> bool:
         """Whether a stop that no blank follows may end a sentence: a whole word before it, a capitalised or caseless word behind."""

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from textlode.core.session import discard, materialize
 from textlode.llm.sentence_text import (
-    CASELESS, CLOSERS, DENSE, DIGIT, LENGTHS, LINE, LOWER, MIXED, NOTHING, NUMBER, OPENERS, PARAGRAPH, SIGN, SPACE, SURE_STOPS, UPPER, WIDE_STOPS, Block, mix, stop_key,
+    CASELESS, CLOSERS, DENSE, DIGIT, LENGTHS, LINE, LOWER, MIXED, NOTHING, NUMBER, OPENERS, PARAGRAPH, SIGN, SPACE, SURE_STOPS, UPPER, WIDE_STOPS, Block, among, mix, stop_key,
 )
 
 #: Share of all occurrences that a word, a stop's context or a line's last word needs for an entry of its own: at most 2^18 entries a table.
@@ -269,9 +269,8 @@ class Scored:
     odds: np.ndarray
     link: np.ndarray  # factor where this gap and the one before are boundaries
     after_first: np.ndarray  # factor where the one before is a boundary and this is none
-    sure: np.ndarray  # 1 and -1 where a heavy feature stands
-    is_line: np.ndarray
-    is_thai: np.ndarray
+    marked: Marked | None
+    is_marked: np.ndarray
     after: np.ndarray  # the places of each word, as a word after a gap and before one
     before: np.ndarray
 
@@ -280,46 +279,63 @@ def _thai(cp: np.ndarray) -> np.ndarray:
     return ((cp >= 0x0E01) & (cp <= 0x0E3A)) | ((cp >= 0x0E40) & (cp <= 0x0E4E))
 
 
-def _features(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(1, 0 or -1 for what form tells nearly surely, whether a line ends without a stop, whether a Thai blank stands there)."""
-    gap, kind, right = b.gap, b.gap_kind, b.right_kind
-    n = len(gap)
-    at_stop = b.stop >= 0
-    nxt = b.head[np.minimum(gap + 1, b.n - 1)] if n else gap
-    last = b.cp[b.te[gap] - 1] if n else gap
-    line = ~at_stop & ((kind == LINE) | (kind == PARAGRAPH))
-    inside, caseful = b.inside, (right == UPPER) | (right == CASELESS)
-    among = lambda chars, cp: np.isin(cp, [ord(c) for c in chars])
-    closing_before = np.concatenate([[0], b.cp])[b.te[gap] - 1] if n else gap
+def _among(chars: str, cp: np.ndarray) -> np.ndarray:
+    return among(chars)[cp]
+
+
+@dataclass
+class Marked:
+    """The gaps that something marks (a stop, the end of a line, a Thai blank), by their place among all gaps, and what stands around them."""
+
+    at: np.ndarray
+    gap: np.ndarray
+    right: np.ndarray
+    right_kind: np.ndarray
+    sure: np.ndarray  # 1, 0 or -1: what form tells nearly surely
+    stop: np.ndarray  # masks of the three kinds
+    line: np.ndarray
+    thai: np.ndarray
+
+
+def _features(b: Block) -> Marked:
+    kinds, last_cp = b.gap_kind, b.cp[b.te[b.gap] - 1]
+    thai = (b.stop < 0) & ((kinds == SPACE) | (kinds == LINE)) & (last_cp >= 0x0E01) & (last_cp <= 0x0E4E)
+    at = np.flatnonzero((b.stop >= 0) | (kinds == LINE) | (kinds == PARAGRAPH) | thai)
+    gap, kind, run, last = b.gap[at], kinds[at], b.stop[at], last_cp[at]
+    n = len(at)
+    at_stop = run >= 0
+    right = b.right(gap)
+    right_kind = b.right_kind(right)
+    nxt = b.head[np.minimum(gap + 1, b.n - 1)]
+    inside = b.inside(gap)
+    thai = thai[at] & _thai(last) & _thai(nxt) & ~inside
+    line = ~at_stop & ((kind == LINE) | (kind == PARAGRAPH)) & ~thai
     marked = b.markers[np.minimum(gap + 1, b.n)] >= 0
-    line_start = b.line_start(gap)
-    only = b.signs_only(gap + 1) if n else np.zeros(0, bool)
-    sure = np.zeros(n, np.int8)
+    line_start = b.line_start[gap]
+    only = b.signs_only(gap + 1)
     # lines that end without a stop
-    no = inside | ((right == LOWER) & ~marked) | among(",;–—(", last) & ~marked | (among(CLOSERS, last) & (closing_before == ord(",")) | (last == ord(":")) & among(OPENERS, nxt)) & ~marked
-    yes = marked | (b.markers[line_start] >= 0) | (right == SIGN) & only | (right != SIGN) & (b.signs_only(line_start) if n else only)
-    sure = np.where(line, np.where(no & ~((marked) & ~inside), -1, np.where(yes, 1, np.where(right == SIGN, -1, 0))), sure)
-    sure = np.where(line & (kind == PARAGRAPH), 1, sure)
+    before_last = np.concatenate([[0], b.cp])[b.te[gap] - 1]
+    goes_on = (right_kind == LOWER) | _among(",;–—(", last) | _among(CLOSERS, last) & (before_last == ord(",")) | (last == ord(":")) & _among(OPENERS, nxt)
+    alone = np.where(right_kind == SIGN, only, b.signs_only(line_start))
+    told = np.where(marked, 1, np.where(goes_on, -1, np.where((b.markers[line_start] >= 0) | alone, 1, np.where(right_kind == SIGN, -1, 0))))
+    sure = np.where(line, np.where(kind == PARAGRAPH, 1, np.where(inside, -1, told)), 0).astype(np.int8)
     # stops
     s = np.flatnonzero(at_stop)
     if len(s):
-        run, g, k, r = b.stop[s], gap[s], kind[s], right[s]
+        run, g, k, r = run[s], gap[s], kind[s], right_kind[s]
         stop = b.cp[b.te[b.last_stop[run]] - 1]
         closed = g > b.last_stop[run]
-        wide = among(WIDE_STOPS, stop)
+        wide = _among(WIDE_STOPS, stop)
         nx, on, ins = nxt[s], only[s], inside[s]
-        from_stop = among(".!?…", nx)
+        from_stop = _among(".!?…", nx)
         bare = k == NOTHING
-        tells = np.zeros(len(s), np.int8)
         adjoin = np.zeros(len(s), bool)
         for j in np.flatnonzero(bare & ~wide & ((r == UPPER) | (r == CASELESS)) & ~ins & ~from_stop).tolist():
             adjoin[j] = b.may_adjoin(int(run[j]), int(g[j]))
         kana = (nx >= 0x3041) & (nx <= 0x309F)
         tight = np.where(from_stop | ins | (stop == ord("…")) & ~closed, -1, np.where(wide, np.where((closed & kana) | (r == SIGN) & ~on, -1, 1), np.where(adjoin, 0, -1)))
-        tells = np.where(bare, tight, tells)
         in_marker = b.markers[line_start[s]] > b.ts[b.first_stop[run]]
-        breaks = (k == LINE) & marked[s]
-        tells = np.where(in_marker, -1, np.where(k == PARAGRAPH, 1, np.where(ins, -1, np.where(breaks, 1, tells))))
+        tells = np.where(in_marker, -1, np.where(k == PARAGRAPH, 1, np.where(ins, -1, np.where((k == LINE) & marked[s], 1, np.where(bare, tight, 0)))))
         opened = np.full(b.n + 1, -1, np.int64)
         q = b.quotations
         opened[q[:, 1]] = np.arange(len(q))
@@ -330,26 +346,32 @@ def _features(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             own[active] = hit
             active = active[(hit < 0) & (look[active] - 1 > b.last_stop[run[active]])]
             look[active] -= 1
-        has = own >= 0
         qo = q[own] if len(q) else np.zeros((len(s), 4), np.int64)
-        speaker = has & (qo[:, 0] < b.first_stop[run]) & (qo[:, 2] == 0) & (qo[:, 3] == 1) & (k != PARAGRAPH)
-        told = speaker & np.isin(r, (UPPER, LOWER, MIXED, CASELESS)) & ~among(OPENERS + "—–-", nx)
+        speaker = (own >= 0) & (qo[:, 0] < b.first_stop[run]) & (qo[:, 2] == 0) & (qo[:, 3] == 1) & (k != PARAGRAPH)
+        cased = (r == UPPER) | (r == MIXED) | (r == CASELESS)
+        names = speaker & (cased | (r == LOWER)) & ~_among(OPENERS + "—–-", nx)
         rest = np.where(
-            told, -1,
+            names, -1,
             np.where(speaker, tells,
             np.where(((k == SPACE) | bare) & on, 1,
             np.where(((k == SPACE) | (k == LINE)) & (r == LOWER), -1,
-            np.where(among(SURE_STOPS, stop) & np.isin(r, (UPPER, CASELESS, DIGIT, MIXED)) & ~bare, 1, tells)))),
+            np.where(_among(SURE_STOPS, stop) & (cased | (r == DIGIT)) & ~bare, 1, tells)))),
         )
         tells = np.where(tells >= 0, rest, tells)
         # a line that would end there by itself, too
         below = (k == LINE) & (tells == 0) & ~ins & ~marked[s] & (r != SIGN) & b.signs_only(line_start[s])
         sure[s] = np.where(below, 1, tells)
-    here = b.cp[b.te[gap] - 1] if n else gap
-    thai = ~at_stop & ((kind == SPACE) | (kind == LINE)) & _thai(here) & _thai(nxt) & ~inside
-    sure = np.where(thai, 1, sure)
-    line = line & ~thai
-    return sure, line, thai
+    sure[thai] = 1
+    return Marked(at, gap, right, right_kind, sure, at_stop, line, thai)
+
+
+def _stop_keys(b: Block, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, word before, whether it touches) of the word and stop that each run of stops ends."""
+    stop = b.cp[b.te[b.last_stop[run]] - 1]
+    before = np.maximum(b.first_stop[run] - 1, 0)
+    touching = (b.first_stop[run] > 0) & (b.te[before] == b.ts[b.first_stop[run]])
+    keys = mix(np.where(touching, b.left[before], np.uint64(0)), np.where(stop == 0xFF0E, 0x2E, stop).astype(np.uint64))
+    return keys, before, touching
 
 
 def _keys(b: Block) -> np.ndarray:
@@ -383,85 +405,77 @@ def _classes(model: Model, place: np.ndarray, capital: np.ndarray) -> np.ndarray
 
 def score(b: Block, model: Model) -> Scored:
     gap, kind = b.gap, b.gap_kind
-    sure, line, thai = _features(b)
     n = len(gap)
-    at_stop = b.stop >= 0
-    right = np.minimum(b.right, max(b.n - 1, 0))
-    odds = np.full(n, math.log(OMITTED) - 2)
-    after_first = np.ones(n)
     words_after, words_before = _places(b, model)
+    if not n:
+        none = np.zeros(0)
+        return Scored(none, none, none, None, none, words_after, words_before)
+    m = _features(b)
     v = len(model.word_keys)
     capital = (b.tc == UPPER).astype(np.int64)
-    s = np.flatnonzero(at_stop)
+    right = np.minimum(m.right, b.n - 1)
+    known = (words_after[right] < v) & (b.tc[right] != SIGN) & (b.tc[right] != DIGIT)
+    first = np.where(known, np.append(model.first, np.zeros((4, 2)), 0)[words_after[right], capital[right]], 0.0)
+    told = np.zeros(len(m.at))
+    s = np.flatnonzero(m.stop)
     if len(s):
-        run = b.stop[s]
-        stop = b.cp[b.te[b.last_stop[run]] - 1]
-        before = np.maximum(b.first_stop[run] - 1, 0)
-        touching = (b.first_stop[run] > 0) & (b.te[before] == b.ts[b.first_stop[run]])
-        keys = mix(np.where(touching, b.left[before], np.uint64(0)), np.where(stop == 0xFF0E, 0x2E, stop).astype(np.uint64))
+        k = kind[m.at[s]]
+        keys, before, touching = _stop_keys(b, b.stop[m.at[s]])
         place = model.index("stop").find(keys)
         lam = np.where(place >= 0, np.append(model.stop_odds, 0.0)[place], _logit(np.array(0.97)))
-        k = np.where(kind[s] == NOTHING, SPACE, kind[s])
-        o = lam + np.log(model.gap[1, k] / model.gap[0, k])
-        r = right[s]
-        known = (words_after[r] < v) & (b.tc[r] != SIGN) & (b.tc[r] != DIGIT)
-        first = np.where(known, np.append(model.first, np.zeros((4, 2)), 0)[words_after[r], capital[r]], 0.0)
-        opening = np.concatenate([[0], np.cumsum(b._is(OPENERS))])
-        quoted = opening[b.right[s]] > opening[gap[s] + 1]
+        as_blank = np.where(k == NOTHING, SPACE, k)
+        o = lam + np.log(model.gap[1] / model.gap[0])[as_blank]
+        opening = np.concatenate([[0], np.cumsum(b.is_sign(OPENERS))])
+        quoted = opening[m.right[s]] > opening[m.gap[s] + 1]
         number = touching & (b.tc[before] == DIGIT)
         low = np.where(number, -3.0, np.where(lam > _logit(np.array(0.8)), -1.0, -2.0))
         # a word behind an abbreviation at a wrapped line counts as a first word too, so it's no sign for a boundary there
         high = np.where(lam < _logit(np.array(0.1)), 0.0, 1.5)
-        o += np.where(quoted, 0.0, np.clip(first, low, high))
-        loose = ((kind[s] == SPACE) | (kind[s] == LINE)) & (b.unbroken[s] > 0)
-        o += np.where(loose, np.clip(b.unbroken[s] / 8 - 4, 0, 12), 0.0)  # no word of any language is so long
-        odds[s] = o
-    s = np.flatnonzero(line & (kind != PARAGRAPH))
+        o += np.where(quoted, 0.0, np.clip(first[s], low, high))
+        string = np.where((k == SPACE) | (k == LINE), b.unbroken(m.gap[s]), 0)
+        told[s] = o + np.where(string > 0, np.clip(string / 8 - 4, 0, 12), 0.0)  # no word of any language is so long
+    s = np.flatnonzero(m.line)
     if len(s):
-        g, r = gap[s], right[s]
-        keys = np.where(b.tc[g] == DIGIT, b.left[g], b.h[g])
-        place = model.index("end").find(keys)
-        o = np.where(place >= 0, np.append(model.end_odds, 0.0)[place], 0.0)
-        known = (words_after[r] < v) & (b.tc[r] != SIGN) & (b.tc[r] != DIGIT)
-        o += 0.5 * np.where(known, np.append(model.first, np.zeros((4, 2)), 0)[words_after[r], capital[r]], 0.0)
-        o += np.where((b.right_kind[s] == UPPER) | (b.right_kind[s] == CASELESS), 1.0, -1.0)
-        o += model.length[b.line_words[s]]
-        odds[s] = o
+        g = m.gap[s]
+        place = model.index("end").find(np.where(b.tc[g] == DIGIT, b.left[g], b.h[g]))
+        o = np.where(place >= 0, np.append(model.end_odds, 0.0)[place], 0.0) + 0.5 * first[s]
+        o += np.where((m.right_kind[s] == UPPER) | (m.right_kind[s] == CASELESS), 1.0, -1.0)
+        told[s] = o + model.length[b.line_words(g)]
+    told = np.where(m.sure == 0, told, np.clip(told, -LIGHT, LIGHT) + HEAVY * m.sure)
+    told[kind[m.at] == PARAGRAPH] = 40.0
+    odds, after_first = np.full(n, math.log(OMITTED) - 2), np.ones(n)
+    odds[m.at] = told
+    is_marked = np.zeros(n, bool)
+    is_marked[m.at[m.stop | m.line | m.thai]] = True
     if model.last is not None:
-        plain = np.flatnonzero(~at_stop & ~line & ~thai & (sure == 0))
+        plain = np.flatnonzero(~is_marked & b.wordy[gap] & b.wordy[gap + 1] & ~b.inside(gap))
         g = gap[plain]
         nxt = g + 1
-        fit = b.wordy[g] & b.wordy[nxt] & ~b.inside[plain]
-        plain, g, nxt = plain[fit], g[fit], nxt[fit]
         # the style of a paragraph: how likely it lacks stops, by its length in sentences and by its stops and line ends
         ends = np.flatnonzero(b.kinds == PARAGRAPH)
-        where = np.searchsorted(ends, g)
-        length = np.where(b.wordy, np.where(b.tc == DENSE, 1 / model.span[1], 1 / model.span[0]), 0.0)
-        length = np.concatenate([[0.0], np.cumsum(length)])
-        marks = np.concatenate([[0.0], np.cumsum(np.isin(np.arange(b.n), gap[at_stop & (sure >= 0) | line | thai]))])
         start, end = np.concatenate([[0], ends[:-1] + 1]), ends + 1
-        sentences, seen = length[end] - length[start], marks[end - 1] - marks[start]
-        style = math.log(BARE) + sentences / 2 + seen * math.log(KEPT)
+        length = np.concatenate([[0.0], np.cumsum(np.where(b.wordy, np.where(b.tc == DENSE, 1 / model.span[1], 1 / model.span[0]), 0.0))])
+        marks = np.zeros(b.n + 1)
+        marks[m.gap[m.stop & (m.sure >= 0) | m.line | m.thai] + 1] = 1.0
+        marks = np.cumsum(marks)
+        style = math.log(BARE) + (length[end] - length[start]) / 2 + (marks[end - 1] - marks[start]) * math.log(KEPT)
         bare = 1 / (1 + np.exp(-np.clip(style, -40, 40)))
-        omitted = np.log(bare + (1 - bare) * OMITTED)
+        omitted = np.repeat(np.log(bare + (1 - bare) * OMITTED), end - start)
         ca, cb = _classes(model, words_after[nxt], capital[nxt] == 1), _classes(model, words_before[g], capital[g] == 1)
-        both_dense = (b.tc[g] == DENSE) | (b.tc[nxt] == DENSE)
-        bigram = np.where(both_dense, 0.0, model.pair[cb, ca])
-        bound = np.flatnonzero((np.concatenate([[-1], gap[:-1]]) == gap - 1)[plain] & ~both_dense)  # the first word's own gap stands right before
-        after_first[plain[bound]] = model.follow[cb[bound], ca[bound]]
-        odds[plain] = model.last[words_before[g]] + model.begin[words_after[nxt], capital[nxt]] - bigram + omitted[where]
-    odds = np.where(sure == 0, odds, np.clip(odds, -LIGHT, LIGHT) + HEAVY * sure)
-    odds = np.where(kind == PARAGRAPH, 40.0, odds)
+        spaced = (b.tc[g] != DENSE) & (b.tc[nxt] != DENSE)
+        odds[plain] = model.last[words_before[g]] + model.begin[words_after[nxt], capital[nxt]] - np.where(spaced, model.pair[cb, ca], 0.0) + omitted[g]
+        second = np.flatnonzero(spaced & (np.concatenate([[-1], gap[:-1]])[plain] == g - 1))  # the first word's own gap stands right before
+        after_first[plain[second]] = model.follow[cb[second], ca[second]]
     link = np.ones(n)
-    if n > 1:
-        alone = at_stop[1:] & (b.words_before[gap[1:] + 1] - b.words_before[gap[:-1] + 1] == 1)
-        w = np.minimum(gap[:-1] + 1, b.n - 1)
-        w = np.where(b.wordy[w], w, np.minimum(w + 1, b.n - 1))
-        size = b.te[w] - b.ts[w]
-        mark = (b.tc[w] == DIGIT) | (size == 1) & (b.tc[w] == UPPER)
-        plain = ~at_stop[1:] & (kind[1:] != LINE) & (kind[1:] != PARAGRAPH)
-        link[1:] = np.where(alone & mark | plain, MARK_ALONE, np.where(alone & (size <= 3), SHORT, 1.0))
-    return Scored(odds, link, after_first, sure, line, thai, words_after, words_before)
+    link[1:][~is_marked[1:]] = MARK_ALONE
+    s = m.at[m.stop]
+    s = s[s > 0]
+    s = s[b.words_before[gap[s] + 1] - b.words_before[gap[s - 1] + 1] == 1]
+    w = np.minimum(gap[s - 1] + 1, b.n - 1)
+    w = np.where(b.wordy[w], w, np.minimum(w + 1, b.n - 1))
+    size = b.te[w] - b.ts[w]
+    link[s] = np.where((b.tc[w] == DIGIT) | (size == 1) & (b.tc[w] == UPPER), MARK_ALONE, np.where(size <= 3, SHORT, 1.0))
+    return Scored(odds, link, after_first, m, is_marked, words_after, words_before)
 
 
 def posteriors(odds: np.ndarray, link: np.ndarray, after_first: np.ndarray, width: int = 64) -> np.ndarray:
@@ -573,31 +587,26 @@ class Counter:
 
 def _count_forms(b: Block, out: Counter) -> None:
     """The counts of the first pass: stops, first words, line ends and the lengths of lines."""
-    sure, line, _ = _features(b)
-    gap, kind = b.gap, b.gap_kind
-    at_stop = b.stop >= 0
-    s = np.flatnonzero(at_stop & (kind != NOTHING) & (sure >= 0) & (b.right_kind != LOWER))
-    run = b.stop[s]
-    stop = b.cp[b.te[b.last_stop[run]] - 1] if len(s) else run
-    before = np.maximum(b.first_stop[run] - 1, 0)
-    touching = (b.first_stop[run] > 0) & (b.te[before] == b.ts[b.first_stop[run]]) if len(s) else np.zeros(0, bool)
-    keys = mix(np.where(touching, b.left[before], np.uint64(0)), np.where(stop == 0xFF0E, 0x2E, stop).astype(np.uint64)) if len(s) else np.zeros(0, np.uint64)
-    short = touching & b.is_short[before] if len(s) else touching
-    out.add(_STOPS, keys, kind[s] + 4 * short)
+    if not b.n:
+        return
     first = np.zeros(b.n + 1, bool)
-    first[b.right[(at_stop & ((sure > 0) | (kind == LINE) | (kind == PARAGRAPH))) | (line & (sure > 0))]] = True
     first[0] = True
-    unsure = np.zeros(b.n + 1, bool)
-    unsure[b.right[at_stop]] = True
+    unsure, ends = np.zeros(b.n + 1, bool), np.zeros(b.n + 1, bool)
+    if len(b.gap):
+        m = _features(b)
+        kind = b.gap_kind[m.at]
+        s = np.flatnonzero(m.stop & (kind != NOTHING) & (m.sure >= 0) & (m.right_kind != LOWER))
+        keys, before, touching = _stop_keys(b, b.stop[m.at[s]])
+        out.add(_STOPS, keys, kind[s] + 4 * (touching & b.is_short[before]))
+        first[m.right[m.stop & ((m.sure > 0) | (kind == LINE) | (kind == PARAGRAPH)) | m.line & (m.sure > 0)]] = True
+        unsure[m.right[m.stop]] = True
+        ends[m.gap[m.line]] = True
+        t = m.gap[m.line & ((kind == PARAGRAPH) & ~b.ends_text(m.gap) | (m.right_kind == LOWER) & (m.sure < 0))]
+        out.add(_LENGTHS, b.line_words(t).astype(np.uint64) * np.uint64(8), (b.kinds[t] == PARAGRAPH).astype(np.int64))
     use = np.flatnonzero(b.wordy & (first[:-1] | ~unsure[:-1]))
     out.add(_WORDS, _keys(b)[use], 2 * (b.tc[use] == UPPER) + first[use])
     w = np.flatnonzero(b.wordy)
-    ends = np.zeros(b.n + 1, bool)
-    ends[gap[line]] = True
     out.add(_ENDS, np.where(b.tc[w] == DIGIT, b.left[w], b.h[w]), ends[w].astype(np.int64))
-    t = np.flatnonzero(line & ((kind == PARAGRAPH) & ~b.ends_text | (b.right_kind == LOWER) & (sure < 0)))
-    length = b.line_words[t]
-    out.add(_LENGTHS, length.astype(np.uint64) * np.uint64(8), (kind[t] == PARAGRAPH).astype(np.int64))
 
 
 class AroundCounter:
