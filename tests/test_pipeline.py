@@ -1,4 +1,7 @@
+import io
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +13,10 @@ from textlode.operators import model as models
 from textlode.operators import prompts as P
 from textlode.operators import viz as V
 from textlode.operators.candidates import Resolver
+from textlode.operators.tokens import document_id, random_document_id
 from textlode.plans import pipeline as pl
+from textlode.plans.progress import Watch, wants_line
+from textlode.sources import jsonl
 from textlode.streaming.extract import extract_stream, stream_documents
 
 FIELDS = "document_id string, label string, text string, start_pos int, end_pos int, confidence double, alignment_status string, pass int, seq int"
@@ -212,3 +218,85 @@ def test_extract_call(spark):
     assert {w.code for w in said} == {"batch_length_below_max_workers", "schema_constraints_ignored_with_explicit_model"}
     with pytest.raises(InferenceConfigError):
         extract(spark, "x", model=find().models[0].generate)
+
+
+def test_a_run_gives_events_and_errors(spark):
+    def generate(prompt, settings):
+        if "Bad" in prompt:
+            raise models.ModelError("down", 400)
+        return models.Answer("no json" if "Odd" in prompt else '{"extractions": [{"text": "Bob", "label": "p"}]}', {"total": 7})
+
+    chain = models.Chain([models.Model("mock", "m", generate)], debug=True)
+    d = docs(spark, ("a", "Bob  came. Then Bob\nleft."), ("b", "Bad day."), ("c", "Odd day."), ("n", None))
+    run = pl.run(d, chain, pl.PipelineOptions(max_char_buffer=20, passes=2, fail_fast=False))
+    events = {(r.document_id, r.pass_index, r.chunk_index): r for r in run.events.collect()}
+    assert set(events) == {("a", p, c) for p in (0, 1) for c in (0, 1)} | {(x, p, 0) for x in "bc" for p in (0, 1)}
+    one = events["a", 0, 0]
+    assert one.success and json.loads(one.usage_json) == {"total": 7} and one.prompt_chars > 0 and len(one.prompt_preview) <= 160 and "\n" not in one.prompt_preview and one.output_preview.startswith('{"extractions"')
+    assert not events["b", 0, 0].success and events["b", 0, 0].error_message == "down" and events["b", 0, 0].output_preview is None
+    assert {(r.document_id, r["pass"]) for r in run.errors.collect()} == {(x, p) for x in "bc" for p in (0, 1)}
+    assert {(r.document_id, r.start_pos) for r in run.records.collect()} == {("a", 0), ("a", 16)}
+    quiet = pl.run(docs(spark, ("a", "Bob.")), models.Chain([models.Model("mock", "m", generate)])).events.first()
+    assert quiet.prompt_preview is None and quiet.prompt_chars is None and quiet.usage_json is not None
+
+
+def test_duplicate_ids_are_refused_before_any_call(spark):
+    def never(prompt, settings):
+        raise AssertionError("called")
+
+    with pytest.raises(InvalidDocumentError):
+        pl.extract(docs(spark, ("a", "x"), ("a", "y")), models.Chain([models.Model("m", "m", never)]))
+
+
+def test_progress(spark):
+    seen, out = [], io.StringIO()
+    d = docs(spark, *((f"d{k}", "Bob came. Bob left.") for k in range(40)))
+    pl.extract(d.repartition(4), find(("Bob", "p")), pl.PipelineOptions(max_char_buffer=9, passes=2, on_progress=seen.append)).count()
+    last = seen[-1]
+    assert (last.completed_chunks, last.total_chunks) == (160, 160) and last.processed_chars == last.total_chars == 40 * 2 * 18
+    assert all(a.completed_chunks <= b.completed_chunks for a, b in zip(seen, seen[1:], strict=False))
+    with Watch(spark, 2, 10, model="m", stream=out, every=9) as w:
+        w.reporter()(2, 10)
+    assert out.getvalue() == "\r" + V.progress_line("m", 10, 10) + "\n"
+    assert not wants_line(out)
+
+
+def test_context_comes_with_the_chunk(spark):
+    d = spark.createDataFrame([("a", "First part here. Second part. Third.", {"additionalContext": "own"}), ("b", "One.", None)], "document_id string, text string, metadata map<string,string>")
+    chunks = pl.plan_chunks(d, pl.PipelineOptions(max_char_buffer=17, context_window_chars=6))
+    got = {(r.document_id, r.chunk_no): r.chunk_context for r in chunks.collect()}
+    assert got == {("a", 0): "own", ("a", 1): "own\n\nPrevious chunk context:\nhere.", ("a", 2): "own\n\nPrevious chunk context:\npart.", ("b", 0): None}
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_overlaps_across_buckets_against_brute_force(spark):
+    r = random.Random(8)
+    span = lambda: (a := r.randint(0, 700), a + r.choice([0, 1, 3, 63, 64, 65, 200]))
+    kept = [("d" if k % 3 else "e", *span()) for k in range(25)]
+    new = [("d" if k % 2 else "e", *span()) for k in range(200)] + [("d", -1, -1), (None, 1, 5), ("d", None, None)]
+    schema = "document_id string, start_pos int, end_pos int"
+    got = sorted(map(tuple, M.without_overlaps(spark.createDataFrame(new, schema), spark.createDataFrame(kept, schema)).collect()), key=str)
+    free = lambda x: x[1] is None or x[1] < 0 or x[2] <= x[1] or not any(k[0] == x[0] and k[2] > k[1] and k[1] < x[2] and x[1] < k[2] for k in kept)
+    assert got == sorted((x for x in new if free(x)), key=str)
+
+
+def test_a_document_delivered_again_in_a_later_batch_is_taken_once(spark, tmp_path):
+    for k in range(2):
+        docs(spark, ("a", "Bob."), (f"x{k}", "Bob.")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = stream_documents(spark, str(tmp_path / "in"), "document_id string, text string", files_per_batch=1)
+    extract_stream(s, str(tmp_path / "out"), str(tmp_path / "cp"), find(("Bob", "p"))).awaitTermination()
+    assert sorted(r.document_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "x0", "x1"]
+
+
+def test_ids_and_pages(spark, tmp_path):
+    ids = spark.createDataFrame([("x",), ("x",), ("",), (None,)], "t string").select(document_id("t").alias("i")).collect()
+    assert all(re.fullmatch("doc_[0-9a-f]{8}", r.i) for r in ids) and ids[0] == ids[1] != ids[2]
+    assert re.fullmatch("doc_[0-9a-f]{8}", random_document_id()) and random_document_id() != random_document_id()
+    d = docs(spark, ("a", "Bob <came>."))
+    jsonl.save_annotated(jsonl.annotated_records(d, pl.extract(d, find(("Bob", "person")))), str(tmp_path / "out"))
+    html = V.visualize(str(tmp_path / "out"), "a", spark=spark)
+    assert ">Bob</span> &lt;came&gt;." in html and "person" in html
+    labels = spark.createDataFrame([(f"l{k:03}",) for k in range(35)] * 2 + [(None,)], "label string")
+    colors = {r.label: r.color for r in V.label_colors(labels).collect()}
+    assert len(colors) == 36 and colors["l000"] == V.PALETTE[0] and colors["l034"] == V.PALETTE[4] and colors["unknown"] == V.PALETTE[5]

@@ -1,3 +1,5 @@
+from email.message import Message
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +136,33 @@ def test_urls_are_fetched(spark):
     got = {r.k: r.text for r in J.resolve_input_text(df, fetcher=lambda u: "body of " + u).collect()}
     assert got == {1: "body of http://a.b", 2: "plain", 3: None}
     assert J.resolve_input_text(df, fetch_urls=False) is df
+
+
+def test_several_csv_files_have_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text\n1,one\n2,two\n")
+    (tmp_path / "b.csv").write_text("\ntext,id\nthree,3\n")
+    got = {(r.id, r.text) for r in J.load_csv(spark, str(tmp_path / "*.csv"), "id", "text").collect()}
+    assert got == {("1", "one"), ("2", "two"), ("3", "three")}
+
+
+def test_fetched_text_has_its_status(monkeypatch):
+    class Reply:
+        status, headers = 200, Message()
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def read(self):
+            return "gr\xfcn".encode("latin-1")
+
+    Reply.headers["content-type"] = "text/plain; charset=latin-1"
+    seen = {}
+    monkeypatch.setattr(J, "urlopen", lambda url, timeout: seen.update(url=url, timeout=timeout) or Reply())
+    got = J.fetch_text("http://x.example/a", 3)
+    assert got == J.Fetched("http://x.example/a", 200, "text/plain; charset=latin-1", "gr\xfcn") and seen["timeout"] == 3
+    Reply.status = 404
+    with pytest.raises(OSError, match="HTTP 404"):
+        J.fetch_text("http://x.example/a")

@@ -10,10 +10,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,7 +152,6 @@ def align(source: str, excerpt: str, hint: tuple[int, int] | None = None, option
 
 
 ALIGNMENT_TYPE = "struct<status:string,start:int,end:int,text:string,score:double>"
-_ARROW = pa.struct([("status", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("score", pa.float64())])
 
 
 def exact_span(source: Column, excerpt: Column) -> Column:
@@ -175,30 +173,24 @@ def exact_span(source: Column, excerpt: Column) -> Column:
 def align_columns(df: DataFrame, source: str, excerpt: str, hint_start: str | None = None, hint_end: str | None = None, options: AlignOptions = AlignOptions(), out: str = "alignment") -> DataFrame:
     """``df`` with an alignment struct in ``out``; null where source or excerpt is null.
 
-    Rows with a usable hint and rows without an exact hit go to Python in Arrow
-    batches with nothing but their texts; the others never leave the JVM.
+    The table is read once. Rows with a usable hint and rows without an exact hit
+    are aligned in Arrow batches that get nothing but their texts; of the others
+    only nulls leave the JVM.
     """
-    has_hint = F.lit(False)
-    if hint_start and hint_end:
-        a, b = F.col(hint_start), F.col(hint_end)
-        has_hint = F.coalesce((a >= 0) & (b > a) & (b <= F.length(source)), F.lit(False))
+    a, b = (F.col(hint_start), F.col(hint_end)) if hint_start and hint_end else (F.lit(None).cast("int"), F.lit(None).cast("int"))
+    has_hint = F.coalesce((a >= 0) & (b > a) & (b <= F.length(source)), F.lit(False))
     present = F.col(source).isNotNull() & F.col(excerpt).isNotNull()
     ready = df.withColumn("_exact", F.when(present & ~has_hint, exact_span(F.col(source), F.col(excerpt))))
-    done = ready.filter(F.col("_exact").isNotNull() | ~present).withColumn(out, F.col("_exact")).drop("_exact")
-    open_ = ready.filter(F.col("_exact").isNull() & present).drop("_exact")
-    names = open_.columns
-    schema = open_.schema
-    at_source, at_excerpt = names.index(source), names.index(excerpt)
-    at_hint = (names.index(hint_start), names.index(hint_end)) if hint_start and hint_end else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hints = list(zip(*(batch.column(k).to_pylist() for k in at_hint), strict=True)) if at_hint else [None] * batch.num_rows
-            hits = []
-            for s, x, h in zip(batch.column(at_source).to_pylist(), batch.column(at_excerpt).to_pylist(), hints, strict=True):
-                r = align(s, x, (int(h[0]), int(h[1])) if h and None not in h else None, options)
-                hits.append({"status": r.status, "start": r.start, "end": r.end, "text": r.text, "score": r.score})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, _ARROW)], names=[*names, out])
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + f", `{out}` {ALIGNMENT_TYPE}"
-    return done.unionByName(open_.mapInArrow(run, ddl))
+    open_ = present & F.col("_exact").isNull()
+
+    @F.pandas_udf(ALIGNMENT_TYPE)
+    def search(sources: pd.Series, excerpts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        hits = []
+        for s, x, h0, h1 in zip(sources, excerpts, starts, ends, strict=True):
+            r = None if s is None else align(s, x, None if pd.isna(h0) or pd.isna(h1) else (int(h0), int(h1)), options)
+            hits.append((None,) * 5 if r is None else (r.status, r.start, r.end, r.text, r.score))
+        out = pd.DataFrame(hits, columns=["status", "start", "end", "text", "score"])
+        return out.astype({"start": "Int32", "end": "Int32"})
+
+    found = search(F.when(open_, F.col(source)), F.when(open_, F.col(excerpt)), F.when(open_, a).cast("int"), F.when(open_, b).cast("int"))
+    return ready.withColumn("_found", found).withColumn(out, F.when(open_, F.col("_found")).otherwise(F.col("_exact"))).drop("_exact", "_found")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from textlode.core.session import materialize
 
-#: Characters in a bucket of the range join. A span falls into each bucket it touches.
-BUCKET = 256
+#: Characters in a bucket of the range join, as many as a whole number has bits. A span falls into each bucket it touches.
+BUCKET = 64
 KEY = ("document_id", "label", "start_pos", "end_pos", "text")
 
 
@@ -41,21 +41,28 @@ def has_span() -> Column:
     return (F.col("start_pos") >= 0) & (F.col("end_pos") > F.col("start_pos"))
 
 
+def _covered(df: DataFrame) -> DataFrame:
+    """(document_id, start_pos, end_pos, bucket, mask): the characters of each span as bits of the buckets that it touches."""
+    bucket = F.explode(F.sequence(F.floor(F.col("start_pos") / BUCKET), F.floor((F.col("end_pos") - 1) / BUCKET)))
+    parts = df.filter(has_span()).select("document_id", "start_pos", "end_pos", bucket.alias("bucket"))
+    low = F.greatest(F.col("start_pos") - F.col("bucket") * BUCKET, F.lit(0)).cast("int")
+    high = F.least(F.col("end_pos") - F.col("bucket") * BUCKET, F.lit(BUCKET)).cast("int")
+    ones = F.lit(-1).cast("bigint")
+    mask = F.call_function("shiftleft", ones, low).bitwiseAND(F.call_function("shiftrightunsigned", ones, F.lit(BUCKET) - high))
+    return parts.withColumn("mask", mask)
+
+
 def without_overlaps(new: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``new`` whose span overlaps no span of ``kept`` in the same document; rows without a span stay.
 
-    A range anti-join as an equi-join on (document, bucket): only rows that meet
-    in a bucket are compared. Spans of ``kept`` are made disjoint per bucket by
-    taking distinct ones first. Documents with very many spans are spread by bucket.
+    A range anti-join as an equi-join on (document, bucket). What ``kept`` covers
+    of a bucket is one bit mask, so a bucket is one row whatever spans lie in it,
+    and a document with very many spans is spread by bucket.
     """
-    buckets = lambda a, b: F.sequence(F.floor(F.col(a) / BUCKET), F.floor((F.col(b) - 1) / BUCKET))
-    ids = new.withColumn("_row", F.monotonically_increasing_id())
-    ids = materialize(ids)
-    spans = kept.filter(has_span()).select("document_id", "start_pos", "end_pos").distinct()
-    right = spans.select(F.col("document_id").alias("_d"), F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e"), F.explode(buckets("start_pos", "end_pos")).alias("_b"))
-    left = ids.filter(has_span()).select("_row", "document_id", "start_pos", "end_pos", F.explode(buckets("start_pos", "end_pos")).alias("b"))
-    hit = left.join(right, (F.col("document_id") == F.col("_d")) & (F.col("b") == F.col("_b")) & (F.col("_s") < F.col("end_pos")) & (F.col("start_pos") < F.col("_e")), "left_semi")
-    return ids.join(hit.select("_row").distinct(), "_row", "left_anti").drop("_row")
+    cover = _covered(kept).groupBy("document_id", "bucket").agg(F.bit_or("mask").alias("cover"))
+    spans = _covered(new.select("document_id", "start_pos", "end_pos").distinct())
+    hit = spans.join(cover, ["document_id", "bucket"]).filter(F.col("mask").bitwiseAND(F.col("cover")) != 0)
+    return new.join(hit.select("document_id", "start_pos", "end_pos").distinct(), ["document_id", "start_pos", "end_pos"], "left_anti").select(*new.columns)
 
 
 def merge_passes(df: DataFrame, seq: str, passes: Iterable[int] | None = None) -> DataFrame:
@@ -63,17 +70,21 @@ def merge_passes(df: DataFrame, seq: str, passes: Iterable[int] | None = None) -
 
     Pass by pass: rows that overlap a kept span of an earlier pass go, then of
     each key the preferred row stays. Only kept rows suppress others. Passes are
-    few, so the loop is on the driver; each round is written to the shared
-    folder. Rows of a null pass count as the last pass.
+    few, so the loop is on the driver; what is kept is written to the shared
+    folder after each but the last. Rows of a null pass count as the last pass.
     """
-    df = materialize(df.withColumn("_pass", F.coalesce("pass", F.lit(2**31 - 1))))
+    df = df.withColumn("_pass", F.coalesce("pass", F.lit(2**31 - 1)))
+    passes = None if passes is None else list(passes)
+    if passes is None or len(passes) > 1:
+        df = materialize(df)
     if passes is None:
         passes = sorted(r["_pass"] for r in df.select("_pass").distinct().collect())
     kept: DataFrame | None = None
     for p in passes:
         new = dedup(df.filter(F.col("_pass") == p).drop("_pass"), seq)
-        kept = materialize(new if kept is None else dedup(kept.unionByName(without_overlaps(new, kept)), seq))
-    return kept if kept is not None else df.drop("_pass")
+        kept = new if kept is None else dedup(kept.unionByName(without_overlaps(new, kept)), seq)
+        kept = kept if p == passes[-1] else materialize(kept)
+    return kept if kept is not None else df.drop("_pass").limit(0)
 
 
 def ordered(df: DataFrame, seq: str) -> DataFrame:

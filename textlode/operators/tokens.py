@@ -11,6 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Collection, Iterator, Sequence
 from dataclasses import dataclass
+from secrets import token_hex
 
 import pyarrow as pa
 import regex
@@ -177,20 +178,23 @@ Tokenizer = Callable[[str], list[Token]]
 TOKEN_TYPE = "struct<idx:int,token_type:int,start_pos:int,end_pos:int,after_newline:boolean>"
 
 
-def _flat_map(df: DataFrame, key: str, columns: Sequence[str], schema: str, names: Sequence[str], types: Sequence[pa.DataType], rows: Callable[..., Iterator[tuple]]) -> DataFrame:
-    """One output row per tuple that ``rows`` yields for the columns of an input row, the key carried along."""
+def _flat_map(df: DataFrame, keys: str | Sequence[str], columns: Sequence[str], schema: str, names: Sequence[str], types: Sequence[pa.DataType], rows: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """One output row per tuple that ``rows`` yields for the columns of an input row, the keys carried along."""
+    kept = [keys] if isinstance(keys, str) else list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             take, out = [], [[] for _ in names]
-            for k, values in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+            for k, values in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(kept) :]), strict=True)):
                 for row in rows(*values):
                     take.append(k)
                     for cell, x in zip(out, row, strict=True):
                         cell.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=[key, *names])
+            ids = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(ids) for k in range(len(kept))), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=[*kept, *names])
 
-    return df.select(key, *columns).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, {schema}")
+    kinds = dict(df.dtypes)
+    return df.select(*kept, *columns).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in kept) + f", {schema}")
 
 
 def tokens_of(df: DataFrame, key: str, text: str = "text", tokenizer: Tokenizer = tokenize) -> DataFrame:
@@ -215,15 +219,17 @@ def sentences_of(df: DataFrame, key: str, text: str = "text", tokenizer: Tokeniz
     return _flat_map(df, key, [text], ", ".join(f"{n} int" for n in names), names, (pa.int32(),) * 5, rows)
 
 
-def chunks_of(df: DataFrame, key: str, limit: int | Column = 1000, text: str = "text", tokenizer: Tokenizer = tokenize) -> DataFrame:
-    """(key, chunk_no, start_tok, end_tok, char_offset, chunk_text).
+def chunks_of(df: DataFrame, key: str, limit: int | Column = 1000, text: str = "text", tokenizer: Tokenizer = tokenize, keep: Sequence[str] = (), tail_chars: int | None = None) -> DataFrame:
+    """(key, keep..., chunk_no, start_tok, end_tok, char_offset, chunk_text[, chunk_tail]).
 
     ``limit`` may be a column. A text without tokens (empty or blank) is one
-    chunk of itself with no tokens; a null text has none.
+    chunk of itself with no tokens; a null text has none. With ``tail_chars``
+    ``chunk_tail`` is the end of the chunk before within the text, without white
+    space at its ends; null where there's none.
     """
-    source = df.select(key, text, (limit if isinstance(limit, Column) else F.lit(limit)).cast("int").alias("_limit"))
+    source = df.select(key, *keep, text, (limit if isinstance(limit, Column) else F.lit(limit)).cast("int").alias("_limit"))
 
-    def rows(t: str | None, most: int | None) -> Iterator[tuple]:
+    def chunks(t: str | None, most: int | None) -> Iterator[tuple]:
         if t is None:
             return
         tokens = tokenizer(t)
@@ -232,25 +238,47 @@ def chunks_of(df: DataFrame, key: str, limit: int | Column = 1000, text: str = "
         for n, (a, b) in enumerate(chunk_ranges(tokens, Sentences(t, tokens), max(1, most if most is not None else 1000))):
             yield n, a, b, tokens[a].start_pos, t[tokens[a].start_pos : tokens[b - 1].end_pos]
 
-    names = ("chunk_no", "start_tok", "end_tok", "char_offset", "chunk_text")
-    schema = "chunk_no int, start_tok int, end_tok int, char_offset int, chunk_text string"
-    return _flat_map(source, key, [text, "_limit"], schema, names, (pa.int32(),) * 4 + (pa.string(),), rows)
+    def with_tails(t: str | None, most: int | None) -> Iterator[tuple]:
+        tail = None
+        for row in chunks(t, most):
+            yield *row, tail
+            tail = strip(row[4][-tail_chars:]) or None
 
+    names = ["chunk_no", "start_tok", "end_tok", "char_offset", "chunk_text"]
+    schema, types = "chunk_no int, start_tok int, end_tok int, char_offset int, chunk_text string", (pa.int32(),) * 4 + (pa.string(),)
+    if tail_chars:
+        return _flat_map(source, [key, *keep], [text, "_limit"], f"{schema}, chunk_tail string", [*names, "chunk_tail"], (*types, pa.string()), with_tails)
+    return _flat_map(source, [key, *keep], [text, "_limit"], schema, names, types, chunks)
 
-def batches_of(df: DataFrame, size: int, order: Sequence[str]) -> DataFrame:
-    """``df`` with ``batch_no``: consecutive batches of ``size`` rows in a given order.
 
-    The order is total over the table; rows are numbered per range partition and
-    offset by the counts before it, so no single task sees all rows.
+def document_id(text: Column | str) -> Column:
+    """An id for a document that has none: ``doc_`` and eight hexadecimal digits of its text's hash, so that a retry gives the same."""
+    return F.concat(F.lit("doc_"), F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(text), 32))), 8, "0"))
+
+
+def random_document_id() -> str:
+    """The same form, at random, for documents made on the driver."""
+    return f"doc_{token_hex(4)}"
+
+
+def numbered(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
+    """``df`` with the rank of each row, from 0, in a total order of the table.
+
+    Rows are numbered per range partition and offset by the counts before it, so
+    that no single task sees all rows.
     """
-    if size <= 0:
-        raise ValueError(f"batch size must be > 0, not {size}")
     ranged = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbered = ranged.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    out = numbered.join(before, "_part").withColumn("batch_no", F.floor((F.col("_before") + F.col("_row") - 1) / size).cast("bigint"))
-    return out.drop("_part", "_row", "_before")
+    rows = ranged.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    return rows.join(before, "_part").withColumn(out, F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before")
+
+
+def batches_of(df: DataFrame, size: int, order: Sequence[str]) -> DataFrame:
+    """``df`` with ``batch_no``: consecutive batches of ``size`` rows in a given order."""
+    if size <= 0:
+        raise ValueError(f"batch size must be > 0, not {size}")
+    return numbered(df, order, "_rank").withColumn("batch_no", F.floor(F.col("_rank") / size).cast("bigint")).drop("_rank")
 
 
 def token_tiles(text: Column | str) -> Column:

@@ -10,11 +10,12 @@ from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from textlode.core.session import materialize
+from textlode.operators.tokens import numbered
 
 # Colours of labels, and the page's style.
 PALETTE = ("#D2E3FC", "#C8E6C9", "#FEF0C3", "#F9DEDC", "#FFDDBE", "#EADDFF", "#C4E9E4", "#FCE4EC", "#E8EAED", "#DDE8E8")
@@ -45,8 +46,8 @@ def escape_html(c: Column | str) -> Column:
 def label_colors(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, color): distinct labels in dictionary order, the palette in turn; null counts as unknown."""
     labels = df.select(F.coalesce(label, F.lit(UNLABELLED)).alias("label")).distinct()
-    rank = F.row_number().over(W.orderBy(F.collate("label", "UNICODE"), "label")) - 1
-    return labels.select("label", F.element_at(F.array(*map(F.lit, PALETTE)), (rank % len(PALETTE) + 1).cast("int")).alias("color"))
+    ranked = numbered(labels, [F.collate("label", "UNICODE"), "label"], "_rank")
+    return ranked.select("label", F.element_at(F.array(*map(F.lit, PALETTE)), (F.col("_rank") % len(PALETTE) + 1).cast("int")).alias("color"))
 
 
 @dataclass(frozen=True)
@@ -114,8 +115,16 @@ def pages(documents: DataFrame, key: str = "document_id", text: str = "text", ex
     return source.mapInArrow(run, f"`{key}` {dict(documents.dtypes)[key]}, html string")
 
 
-def visualize(documents: DataFrame, document_id: str | None = None, options: PageOptions = PageOptions()) -> str:
-    """The page of one document: the one with the id, else the one with the smallest."""
+def visualize(documents: DataFrame | str, document_id: str | None = None, options: PageOptions = PageOptions(), spark: SparkSession | None = None) -> str:
+    """The page of one document: the one with the id, else the one with the smallest.
+
+    ``documents`` have an array of extractions, or are the path of a file of
+    annotated documents.
+    """
+    if isinstance(documents, str):
+        from textlode.sources.jsonl import annotated_documents
+
+        documents = annotated_documents(spark or SparkSession.active(), documents)
     chosen = documents.filter(F.col("document_id") == document_id) if document_id is not None else documents.orderBy("document_id")
     rows = pages(chosen.limit(1), options=options).collect()
     if not rows:

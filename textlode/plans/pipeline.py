@@ -1,7 +1,14 @@
-"""The extraction pipeline as one lazy plan: documents, chunks, prompts, model, records, merge."""
+"""The extraction pipeline: documents, chunks, prompts, model, records, merge.
+
+Everything up to the prompts is one narrow plan: a chunk carries its document's
+context and the end of the chunk before it, so nothing is shuffled for them. The
+model stage runs while the pipeline is being called, as its output is written
+once; what follows is lazy again, but for the writes between passes.
+"""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -12,9 +19,10 @@ from textlode.core.errors import InvalidDocumentError
 from textlode.core.session import materialize
 from textlode.operators.candidates import Resolver, resolve_answers
 from textlode.operators.merge import merge_passes
-from textlode.operators.model import Chain, Model, RuleModel, generate
+from textlode.operators.model import Chain, Model, RuleModel, call_events, generate
 from textlode.operators.prompts import PromptOptions, enforce_lint, prompt
-from textlode.operators.tokens import Tokenizer, chunks_of, compose_context, tokenize, with_context
+from textlode.operators.tokens import Tokenizer, chunks_of, compose_context, tokenize
+from textlode.plans.progress import Step, Watch, wants_line
 
 
 @dataclass(frozen=True)
@@ -33,6 +41,8 @@ class PipelineOptions:
     tokenizer: Tokenizer = tokenize
     fail_fast: bool = True
     batch_length: int = 10
+    on_progress: Callable[[Step], object] | None = None
+    show_progress: bool = False
 
 
 def rule_chain() -> Chain:
@@ -49,13 +59,12 @@ def check_unique(documents: DataFrame, key: str) -> DataFrame:
 
 def plan_chunks(documents: DataFrame, o: PipelineOptions, key: str = "document_id", text: str = "text", metadata: str | None = "metadata") -> DataFrame:
     """(document_id, chunk_no, char_offset, chunk_text, chunk_context) of all chunks."""
-    chunks = chunks_of(documents, key, o.max_char_buffer, text, o.tokenizer)
-    if metadata and metadata in documents.columns:
-        own = documents.select(F.col(key).alias("_key"), F.try_element_at(metadata, F.lit("additionalContext")).alias("_own"))
-        chunks = chunks.join(own, F.col(key) == F.col("_key"), "left").drop("_key")
-    else:
-        chunks = chunks.withColumn("_own", F.lit(None).cast("string"))
-    return with_context(chunks, key, "chunk_no", "chunk_text", o.context_window_chars, F.col("_own")).drop("_own", "start_tok", "end_tok")
+    own = F.try_element_at(metadata, F.lit("additionalContext")) if metadata and metadata in documents.columns else F.lit(None)
+    source = documents.select(key, text, own.cast("string").alias("_own"))
+    tail = o.context_window_chars if o.context_window_chars and o.context_window_chars > 0 else None
+    chunks = chunks_of(source, key, o.max_char_buffer, text, o.tokenizer, keep=["_own"], tail_chars=tail)
+    before = F.concat(F.lit("Previous chunk context:\n"), F.col("chunk_tail")) if tail else F.lit(None).cast("string")
+    return chunks.select(key, "chunk_no", "char_offset", "chunk_text", compose_context(F.col("_own"), before).alias("chunk_context"))
 
 
 def plan_prompts(chunks: DataFrame, o: PipelineOptions) -> DataFrame:
@@ -69,20 +78,54 @@ def plan_prompts(chunks: DataFrame, o: PipelineOptions) -> DataFrame:
     return df.withColumn("pass", F.explode(passes)).withColumn("pass", F.col("pass").cast("int"))
 
 
-def extract(documents: DataFrame, chain: Chain | None = None, options: PipelineOptions | None = None, key: str = "document_id", text: str = "text") -> DataFrame:
-    """(document_id, pass, label, text, start_pos, end_pos, confidence, alignment_status, alignment_score, raw) of all documents.
+@dataclass(frozen=True)
+class Run:
+    """What a run of the pipeline gives.
 
-    Offsets are those of the document; unaligned records have -1. The model's
-    output is written to the shared folder once, so later actions and retries
-    don't call it again. Documents of a null text have no records.
+    ``records``: see ``extract``. ``events``: an attempt of a model call each, with
+    document, pass and chunk. ``errors``: the chunks that gave no records, with
+    what the model or the parser said.
+    """
+
+    records: DataFrame
+    events: DataFrame
+    errors: DataFrame
+
+
+def run(documents: DataFrame, chain: Chain | None = None, options: PipelineOptions | None = None, key: str = "document_id", text: str = "text") -> Run:
+    """Run the model over all documents.
+
+    The model's output is written to the shared folder once, so later actions and
+    retries don't call it again. Documents of a null text have no records; an id
+    that occurs twice is refused before any call.
     """
     o = options or PipelineOptions()
-    prompts = plan_prompts(plan_chunks(documents, o, key, text), o)
-    outputs = materialize(generate(prompts, chain or rule_chain(), workers=o.workers, fail_fast=o.fail_fast))
+    chain = chain or rule_chain()
+    prompts = plan_prompts(plan_chunks(check_unique(documents, key), o, key, text), o)
+    prompts = prompts.withColumn("chunk_chars", F.length("chunk_text"))
+    line = sys.stderr if o.show_progress and wants_line() else None
+    if o.on_progress or line:
+        totals = prompts.agg(F.count("*").alias("n"), F.coalesce(F.sum("chunk_chars"), F.lit(0)).alias("c")).first()
+        with Watch(documents.sparkSession, totals["n"], totals["c"], o.on_progress, chain.models[0].model_id, line) as watch:
+            outputs = materialize(generate(prompts, chain, workers=o.workers, fail_fast=o.fail_fast, done=watch.reporter(), size="chunk_chars"))
+    else:
+        outputs = materialize(generate(prompts, chain, workers=o.workers, fail_fast=o.fail_fast))
     keys = [key, "pass", "chunk_no", "char_offset"]
     on_error = "drop" if o.resolver.suppress_parse_errors else "raise" if o.fail_fast else "keep"
     records = resolve_answers(outputs, keys, "chunk_text", "output", o.resolver, on_error)
-    return merged(records, o.passes, key)
+    unread = records.filter("parse_error is not null").select(key, "pass", "chunk_no", F.col("parse_error").alias("error"))
+    uncalled = outputs.filter("call_error is not null").select(key, "pass", "chunk_no", F.col("call_error").alias("error"))
+    events = call_events(outputs, key, F.col("pass").alias("pass_index"), F.col("chunk_no").alias("chunk_index"))
+    return Run(merged(records, o.passes, key), events, uncalled.unionByName(unread))
+
+
+def extract(documents: DataFrame, chain: Chain | None = None, options: PipelineOptions | None = None, key: str = "document_id", text: str = "text") -> DataFrame:
+    """(document_id, pass, label, text, start_pos, end_pos, confidence, alignment_status, alignment_score, raw) of all documents.
+
+    Offsets are those of the document; unaligned records have -1. See ``run``,
+    which gives the events of the model calls too.
+    """
+    return run(documents, chain, options, key, text).records
 
 
 def merged(records: DataFrame, passes: int, key: str = "document_id") -> DataFrame:

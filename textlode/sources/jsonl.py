@@ -7,9 +7,11 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 from urllib.request import urlopen
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,19 +109,23 @@ def dataset_rows(lines: DataFrame, header: Column, delimiter: Column, id_key: Co
 
 
 def load_csv(spark: SparkSession, path: str, id_key: str, text_key: str, delimiter: str = ",") -> DataFrame:
-    """(id, text) of a CSV file with a header; an empty file and a missing column are errors."""
-    lines = spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "line").filter(not_blank("line"))
-    head = lines.limit(1).collect()
-    if not head:
-        raise ValueError(f"Empty dataset: {path}")
-    first = head[0]["line"]
-    header = csv_fields(re.sub(f"{PY_WS}+\\Z", "", first), delimiter)
-    if id_key not in header or text_key not in header:
+    """(id, text) of CSV files, each with its own header; no file with lines and a missing column are errors."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = lines.filter(not_blank("line")).withColumn("_at", F.monotonically_increasing_id())
+    heads = lines.filter("_block = 0").groupBy(F.col("_file").alias("_f")).agg(F.min(F.struct("_at", "line")).alias("h"))
+
+    @F.pandas_udf("array<string>")
+    def fields(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: csv_fields(re.sub(f"{PY_WS}+\\Z", "", t), delimiter))
+
+    heads = heads.select("_f", F.col("h._at").alias("_first"), fields("h.line").alias("_header"))
+    lacking = heads.filter(~(F.array_contains("_header", id_key) & F.array_contains("_header", text_key))).limit(1).collect()
+    if lacking:
         raise ValueError(f"CSV missing required columns. idKey={id_key}, textKey={text_key}")
-    body = lines.withColumn("_at", F.monotonically_increasing_id())
-    top = body.agg(F.min("_at").alias("_first"))
-    rows = body.join(F.broadcast(top), F.col("_at") > F.col("_first"))
-    return dataset_rows(rows, F.array(*map(F.lit, header)), F.lit(delimiter), F.lit(id_key), F.lit(text_key), [])
+    if heads.isEmpty():
+        raise ValueError(f"Empty dataset: {path}")
+    rows = lines.join(heads, F.col("_file") == F.col("_f")).filter(F.col("_at") != F.col("_first"))
+    return dataset_rows(rows, F.col("_header"), F.lit(delimiter), F.lit(id_key), F.lit(text_key), [])
 
 
 def attributes_json(raw: Column) -> Column:
@@ -160,6 +166,12 @@ def save_annotated(records: DataFrame, path: str, append: bool = False) -> None:
     write_jsonl(records, path, append)
 
 
+def annotated_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(document_id, text, extractions) of a file of annotated documents, spans named start_pos and end_pos."""
+    spans = F.transform("extractions", lambda x: F.struct(x["start"].alias("start_pos"), x["end"].alias("end_pos"), x["label"].alias("label"), x["text"].alias("text")))
+    return read_jsonl(spark, path, ANNOTATED).select("document_id", "text", spans.alias("extractions"))
+
+
 def load_annotated(spark: SparkSession, path: str) -> DataFrame:
     """(document_id, text, extraction fields) with status names normalised, score and pass 0 where missing; one row per extraction, outer for documents without any."""
     docs = read_jsonl(spark, path, ANNOTATED)
@@ -210,25 +222,38 @@ def is_url_text(text: str) -> bool:
         return "." in host and not re.fullmatch(r"[0-9.]+", host)
 
 
-def fetch(url: str) -> str:
-    with urlopen(url) as r:  # noqa: S310 - the scheme was checked
+@dataclass(frozen=True)
+class Fetched:
+    """What an address gave."""
+
+    url: str
+    status: int
+    content_type: str | None
+    text: str
+
+
+def fetch_text(url: str, timeout: float = 30.0) -> Fetched:
+    """The text behind an address; an answer other than 2xx is an error."""
+    with urlopen(url, timeout=timeout) as r:  # noqa: S310 - the scheme was checked
         if not 200 <= r.status < 300:
             raise OSError(f"Failed to fetch URL {url}. HTTP {r.status}")
-        return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
+        text = r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
+        return Fetched(url, r.status, r.headers.get("content-type"), text)
+
+
+def fetch(url: str) -> str:
+    return fetch_text(url).text
 
 
 def resolve_input_text(df: DataFrame, text: str = "text", fetch_urls: bool = True, fetcher: Callable[[str], str] = fetch) -> DataFrame:
-    """``df`` with texts that are URLs replaced by what they point to. Only those rows go through Python."""
+    """``df`` with texts that are URLs replaced by what they point to. The table is read once; only addresses leave the JVM."""
     if not fetch_urls:
         return df
-    names = df.columns
-    at = names.index(text)
-    flag = is_url(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = pa.array([fetcher(strip(t)) for t in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], new, *batch.columns[at + 1 :]], names=names)
+    @F.pandas_udf("string")
+    def body(urls: pd.Series) -> pd.Series:
+        return pd.Series([None if u is None else fetcher(strip(u)) for u in urls], dtype=object)
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.filter(~flag).unionByName(df.filter(flag).mapInArrow(run, ddl))
+    c = F.col(f"`{text}`")
+    there = F.coalesce(is_url(text), F.lit(False))
+    return df.withColumn(text, F.when(there, body(F.when(there, c))).otherwise(c))

@@ -14,16 +14,22 @@ def stream_documents(spark: SparkSession, folder: str, schema: str, files_per_ba
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def extract_stream(documents: DataFrame, out: str, checkpoint: str, chain: Chain | None = None, options: PipelineOptions | None = None, key: str = "document_id", text: str = "text", once: bool = True) -> StreamingQuery:
+def extract_stream(documents: DataFrame, out: str, checkpoint: str, chain: Chain | None = None, options: PipelineOptions | None = None, key: str = "document_id", text: str = "text", once: bool = True, arrival: str | None = None, remember: str = "7 days") -> StreamingQuery:
     """Extract from a stream of documents into parquet at ``out``, a folder for each batch, so that a repeated batch replaces itself.
 
-    A document delivered again within a batch is taken once; merging over passes
-    needs only the document's own records, so no state is kept between batches.
+    A document delivered again is taken once, in the batch that first brought it:
+    ids are kept as the stream's state, for ``remember`` behind the newest arrival
+    where documents carry the time of it in ``arrival`` (for good without one), so
+    only later repeats than that are extracted again. Merging over passes needs
+    only the document's own records.
     """
+    if arrival:
+        first = documents.withWatermark(arrival, remember).dropDuplicatesWithinWatermark([key])
+    else:
+        first = documents.dropDuplicates([key])
 
     def write(batch: DataFrame, number: int) -> None:
-        unique = batch.dropDuplicates([key])
-        extract(unique, chain, options, key, text).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        extract(batch, chain, options, key, text).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    writer = documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = first.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
