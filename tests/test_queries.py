@@ -36,16 +36,15 @@ def test_all_lines_of_datasets(spark, tmp_path):
     rows = [(k, "f", line) for k, line in enumerate(lines)]
     spark.createDataFrame([*rows, rows[1]], "row_id bigint, file_name string, line string").write.parquet(f"{tmp_path}/csv_rows.parquet")
     spark.createDataFrame([("f", None, "id", "text", ["id", "text"])], "file_name string, delimiter string, id_key string, text_key string, header_cols array<string>").write.parquet(f"{tmp_path}/csv_sources.parquet")
-    got = {r.row_id: (r.id, r.text) for r in run(spark, "q_csv_dataset_all", tmp_path).collect()}
+    got = {r.row_id: (r.id, r.text) for r in run(spark, "q_csv_dataset", tmp_path).collect()}
     assert got == {0: ("a", "x"), 1: ("b", 'x, "y"'), 2: ("c,1", "z"), 3: ("d", "blank"), 6: ("f", "open, to the end"), 7: ("g", "")}
 
 
 def test_all_lines_of_the_test_data(spark):
     sources = {r.file_name: (r.delimiter or ",", r.header_cols, r.id_key, r.text_key) for r in table(spark, SMALL, "csv_sources").collect()}
     slow = {r.row_id: csv_row(r.line, *sources[r.file_name]) for r in table(spark, SMALL, "csv_rows").collect()}
-    got = sorted((r.row_id, (r.id, r.text)) for r in run(spark, "q_csv_dataset_all").collect())
+    got = sorted((r.row_id, (r.id, r.text)) for r in run(spark, "q_csv_dataset").collect())
     assert got == sorted((k, v) for k, v in slow.items() if v)
-    assert {r.row_id for r in run(spark, "q_csv_dataset").collect()} < {k for k, _ in got}
 
 
 def kind(c):
@@ -76,23 +75,21 @@ def grouped(rows, *columns):
 
 def test_tokens_of_all_documents(spark):
     texts = {r.id: r.text for r in table(spark, SMALL, "input_docs").collect()}
-    got = grouped(run(spark, "q_tokens_all").collect(), "idx", "token_type", "start_pos", "end_pos", "after_newline")
+    got = grouped(run(spark, "q_tokens").collect(), "idx", "token_type", "start_pos", "end_pos", "after_newline")
     assert got == {k: [(n, *x) for n, x in enumerate(slow_tokens(t))] for k, t in texts.items() if t and t.strip("\ufeff \n\t\r\xa0\u3000")}
     given = {r.document_id: [tuple(x) for x in r.tokens] for r in table(spark, SMALL, "tokenized_texts").filter("size(tokens) > 0").collect()}
     assert given and {k: got[k] for k in given} == given and len(got) > 2 * len(given)
 
 
 def test_sentences_of_all_documents(spark):
-    tokens = grouped(run(spark, "q_tokens_all").collect(), "idx", "start_pos", "end_pos")
-    got = grouped(run(spark, "q_sentences_all").collect(), "sentence_no", "start_tok", "end_tok", "start_pos", "end_pos")
+    tokens = grouped(run(spark, "q_tokens").collect(), "idx", "start_pos", "end_pos")
+    got = grouped(run(spark, "q_sentences").collect(), "sentence_no", "start_tok", "end_tok", "start_pos", "end_pos")
     assert got.keys() == tokens.keys()
     for k, rows in got.items():
         own = tokens[k]
         assert [r[0] for r in rows] == list(range(len(rows)))
         assert [r[1] for r in rows] == [0, *(r[2] for r in rows[:-1])] and rows[-1][2] == len(own)
         assert all((a, b) == (own[i][1], own[j - 1][2]) for _, i, j, a, b in rows)
-    part = grouped(run(spark, "q_sentences").collect(), "sentence_no", "start_tok", "end_tok", "start_pos", "end_pos")
-    assert part and {k: got[k] for k in part} == part
 
 
 def fold(w):
@@ -123,7 +120,7 @@ def test_all_examples_are_aligned(spark, tmp_path):
     rows = [(k, 1, x, " Org " if k % 2 else "verb") for k, x in enumerate(texts)]
     spark.createDataFrame([*rows, rows[0]], "extraction_id bigint, resolve_id bigint, text string, label string").write.parquet(f"{tmp_path}/extractions.parquet")
     spark.createDataFrame([(1, source)], "resolve_id bigint, source_text string").write.parquet(f"{tmp_path}/resolve_inputs.parquet")
-    got = {r.label: (r.n, r.n_failed, r.n_non_exact) for r in run(spark, "q_example_alignment_all", tmp_path).collect()}
+    got = {r.label: (r.n, r.n_failed, r.n_non_exact) for r in run(spark, "q_example_alignment", tmp_path).collect()}
     assert got == {"verb": (4, 1, 1), "org": (3, 2, 1)}
 
 
@@ -133,24 +130,22 @@ def test_all_examples_of_the_test_data(spark):
     for r in table(spark, SMALL, "extractions").select("extraction_id", "resolve_id", "text", "label").distinct().collect():
         if r.resolve_id in sources:
             slow[r.label.strip(" ").lower()].update(["n", slow_issue(sources[r.resolve_id], r.text)])
-    got = {r.label: (r.n, r.n_failed, r.n_non_exact) for r in run(spark, "q_example_alignment_all").collect()}
+    got = {r.label: (r.n, r.n_failed, r.n_non_exact) for r in run(spark, "q_example_alignment").collect()}
     assert got == {k: (c["n"], c["failed"], c["non_exact"]) for k, c in slow.items()}
     assert sum(x[2] for x in got.values()) > 0
-    part = {r.label: r.n_failed for r in run(spark, "q_example_alignment").collect()}
-    assert all(got[k][1] >= n for k, n in part.items())
 
 
 def test_all_words_are_judged(spark, tmp_path):
     text = "See HTTP://A.B/c and ftp://a.b or https://bücher.de/x, a/b, 12:30, http://nodot/x and http://localhost:80/ twice 12:30"
     spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((r.word, r.is_url) for r in run(spark, "q_is_url_all", tmp_path).collect())
+    got = sorted((r.word, r.is_url) for r in run(spark, "q_is_url", tmp_path).collect())
     assert got == sorted([("HTTP://A.B/c", True), ("ftp://a.b", False), ("https://bücher.de/x,", True), ("a/b,", False), ("12:30,", False), ("12:30", False), ("http://nodot/x", False), ("http://localhost:80/", True)])
 
 
 def test_all_words_of_the_test_data(spark):
     texts = [r.text for r in table(spark, SMALL, "documents").select("text").collect()]
     words = {w for t in texts if t for w in re.findall(r"[^ \t\n\x0b\f\r]*[:/][^ \t\n\x0b\f\r]*", t)}
-    got = [(r.word, r.is_url) for r in run(spark, "q_is_url_all").collect()]
+    got = [(r.word, r.is_url) for r in run(spark, "q_is_url").collect()]
     assert sorted(got) == sorted((w, is_url_text(w)) for w in words)
     assert any(not w.startswith("http") for w, _ in got)
 

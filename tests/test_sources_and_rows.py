@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlode.sources import jsonl as J
-from textlode.sources.strict_rows import check_answers, check_lines, split_rows
+from textlode.sources import strict_rows as R
+from textlode.sources.strict_rows import FieldRule, check_answers, check_lines, split_rows
 
 COLS = ["id", "text", "label", "start_pos", "end_pos", "confidence", "recorded_at"]
 OK = 'a1,"x, ""y""",l,1,2,0.5,2024-02-29T00:00:00Z'
@@ -68,6 +69,17 @@ def test_odd_sources(spark):
     assert checked(spark, [OK], "::").collect()[0].errors in (["column_count"], ["broken_quoting"])
 
 
+def test_rules_of_other_files(spark, monkeypatch):
+    fields = (FieldRule("n", lambda c: c.rlike(r"\A-?[0-9]+\z"), lambda c: c.try_cast("int")), FieldRule("absent", lambda c: c.isNotNull()))
+    df = spark.createDataFrame([(1, "f", "7;a;\"b;c\";z"), (2, "f", "x;a;b;z"), (3, "f", "1;;;")], "row_id int, file_name string, line string")
+    src = spark.createDataFrame([("f", ";", ["n", "extra", "more", "extra"])], "file_name string, delimiter string, header_cols array<string>")
+    for bound in (32, 0):  # patterns compiled once, and built row by row
+        monkeypatch.setattr(R, "MAX_DELIMITERS", bound)
+        rows = {r.row_id: r for r in check_lines(df, src, fields).collect()}
+        assert (rows[1].errors, rows[1].v_n, rows[1].v_absent, rows[1].v_other) == ([], 7, None, {"extra": "z", "more": "b;c"})
+        assert rows[2].errors == ["bad_value:n"] and rows[2].v_other is None and rows[3].v_other == {"extra": "", "more": ""}
+
+
 def test_a_very_long_quoted_field(spark):
     line = 'a1,"' + 'x""' * 300_000 + '",l,1,2,,2024-01-01T00:00:00Z'
     row = checked(spark, [line]).select("errors", F.length("v_text").alias("n")).collect()[0]

@@ -48,6 +48,33 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    r"""
+WITH l AS (SELECT DISTINCT row_id, file_name, regexp_replace(line, chr(13) || '$', '') AS line FROM csv_rows),
+s AS (SELECT row_id, header_cols, coalesce(delimiter, ',') AS dl, line FROM l JOIN csv_sources USING (file_name) WHERE regexp_matches(line, '[^\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]')),
+c AS (SELECT row_id, dl, unnest(string_split(line || dl, '')) AS ch, generate_subscripts(string_split(line || dl, ''), 1) AS p FROM s),
+q AS (SELECT *, sum(CASE WHEN ch = '"' THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY p) AS quotes FROM c),
+n AS (SELECT *, ch = dl AND quotes % 2 = 0 AS parts FROM q),
+i AS (SELECT *, sum(CASE WHEN parts THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY p) - CASE WHEN parts THEN 1 ELSE 0 END AS k FROM n),
+f AS (SELECT row_id, k, coalesce(string_agg(ch, '' ORDER BY p) FILTER (NOT parts), '') AS raw FROM i GROUP BY row_id, k),
+u AS (SELECT row_id, k, CASE WHEN raw LIKE '"%' THEN replace(substr(raw, 2, length(raw) - 2), '""', '"') ELSE raw END AS v,
+  NOT contains(raw, '"') OR regexp_full_match(raw, '(?s:"([^"]|"")*")') AS sound FROM f),
+m AS (SELECT row_id, list(v ORDER BY k) AS vs, bool_and(sound) AS sound FROM u GROUP BY row_id),
+r AS (SELECT row_id, sound AND len(vs) = len(header_cols) AS fits, vs[list_position(header_cols, 'id')] AS id, vs[list_position(header_cols, 'text')] AS text, vs[list_position(header_cols, 'label')] AS label,
+  vs[list_position(header_cols, 'start_pos')] AS sp, vs[list_position(header_cols, 'end_pos')] AS ep, vs[list_position(header_cols, 'confidence')] AS cf, vs[list_position(header_cols, 'recorded_at')] AS ra FROM m JOIN s USING (row_id))
+SELECT row_id, id, text, label, TRY_CAST(sp AS BIGINT) AS start_pos, TRY_CAST(ep AS BIGINT) AS end_pos, TRY_CAST(cf AS DOUBLE) AS confidence, TRY_CAST(replace(replace(ra, 'T', ' '), 'Z', '') AS TIMESTAMP) AS recorded_at
+FROM r WHERE fits AND coalesce(regexp_matches(id, '[^\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]'), true) AND coalesce(regexp_full_match(sp, '[0-9]+'), true) AND coalesce(regexp_full_match(ep, '[0-9]+'), true)
+AND coalesce(cf = '' OR regexp_full_match(cf, '[0-9]+(\.[0-9]+)?') AND TRY_CAST(cf AS DOUBLE) <= 1, true)
+AND coalesce(regexp_full_match(ra, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z') AND TRY_CAST(replace(replace(ra, 'T', ' '), 'Z', '') AS TIMESTAMP) IS NOT NULL AND substr(ra, 12, 2) < '24', true)
+"""
+)
+def p5_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that load, each distinct one once, with their typed values."""
+    rows = split_rows(_checked_lines(spark, d))[0]
+    names = [c for c in rows.columns if c.startswith("v_") and c != "v_other"]
+    return rows.select("row_id", *(F.col(c).alias(c[2:]) for c in names)).distinct()
+
+
 # Tokens and sentences
 
 
@@ -75,61 +102,76 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return _distinct_docs(spark, d).select(F.col("id").alias("document_id"), "text")
 
 
-def _tokenized(spark: SparkSession, d: str) -> DataFrame:
-    """The documents that the test data give tokens for."""
-    given = table(spark, d, "tokenized_texts").filter("tokens is not null").select("document_id").distinct()
-    return _texts(spark, d).join(given, "document_id", "left_semi")
-
+_TILE = rf"[\p{{L}}\p{{M}}]+|\p{{N}}+|[{_WS}]+|(?s:.)"
+# tok: the tokens of every text, white space dropped and equal symbols in a row joined
+_TOKENS_SQL = rf"""
+d AS (SELECT id AS document_id, any_value(text) AS text, any_value(metadata) AS metadata FROM input_docs WHERE text IS NOT NULL GROUP BY id),
+tl AS (SELECT document_id, unnest(l) AS x, generate_subscripts(l, 1) AS p FROM (SELECT document_id, regexp_extract_all(text, '{_TILE}') AS l FROM d)),
+tk AS (SELECT *, sum(length(x)) OVER (PARTITION BY document_id ORDER BY p) AS e,
+  CASE WHEN regexp_full_match(x, '[\p{{L}}\p{{M}}]+') THEN 0 WHEN regexp_full_match(x, '\p{{N}}+') THEN 1 WHEN regexp_full_match(x, '[{_WS}]+') THEN 3 ELSE 2 END AS ty FROM tl),
+tr AS (SELECT *, sum(CASE WHEN ty = 2 AND same THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY p) AS r
+  FROM (SELECT *, coalesce(lag(x) OVER (PARTITION BY document_id ORDER BY p) = x, false) AS same FROM tk)),
+tg AS (SELECT document_id, r, min(ty) AS ty, min(e - length(x)) AS a, max(e) AS b, string_agg(x, '' ORDER BY p) AS tok FROM tr GROUP BY document_id, r),
+tn AS (SELECT *, coalesce(lag(ty) OVER o = 3 AND regexp_matches(lag(tok) OVER o, '[\r\n]'), false) AS broken FROM tg WINDOW o AS (PARTITION BY document_id ORDER BY r)),
+tok AS (SELECT document_id, CAST(i AS INTEGER) AS i, ty, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, broken AND i > 0 AS nl, tok FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY r) - 1 AS i FROM tn WHERE ty <> 3))"""
 
-_TOKENS_SQL = """
-t AS (SELECT DISTINCT document_id, tokens FROM tokenized_texts WHERE tokens IS NOT NULL),
-k AS (SELECT document_id, unnest(tokens) AS x FROM t)"""
 
-
-@query(f"WITH {_TOKENS_SQL} SELECT document_id, x.idx AS idx, x.token_type AS token_type, x.start_pos AS start_pos, x.end_pos AS end_pos, x.after_newline AS after_newline FROM k")
+@query(f"WITH {_TOKENS_SQL} SELECT document_id, i AS idx, ty AS token_type, a AS start_pos, b AS end_pos, nl AS after_newline FROM tok")
 def q_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """The part of q_tokens_all that the test data give tokens for."""
-    return tokens.tokens_of(_tokenized(spark, d), "document_id")
-
-
-@query()
-def q_tokens_all(spark: SparkSession, d: str) -> DataFrame:
     """The tokens of all documents."""
     return tokens.tokens_of(_texts(spark, d), "document_id")
 
 
-_SENTENCES_SQL = (
-    "WITH "
-    + _TOKENS_SQL
+# mk: the tokens at which a sentence may end, and where it ends then
+_MARKS_SQL = (
+    _TOKENS_SQL
     + r""",
-w AS (SELECT k.document_id, x.idx AS i, x.token_type AS ty, x.start_pos AS a, x.end_pos AS b, x.after_newline AS nl, substr(d.text, x.start_pos + 1, x.end_pos - x.start_pos) AS tok
-  FROM k JOIN (SELECT DISTINCT id, text FROM input_docs) d ON d.id = k.document_id),
-f AS (SELECT *, lag(tok) OVER o AS prev, lead(nl) OVER o AS nnl, substr(lead(tok) OVER o, 1, 1) AS nc, ty = 2 AND tok IN ('"', '''', '”', '’', '»', ')', ']', '}') AS closer, lead(i) OVER o IS NULL AS last
-  FROM w WINDOW o AS (PARTITION BY document_id ORDER BY i)),
+f AS (SELECT *, lag(tok) OVER o AS prev, lead(nl) OVER o AS nnl, substr(lead(tok) OVER o, 1, 1) AS nc, ty = 2 AND tok IN ('"', '''', '”', '’', '»', ')', ']', '}') AS closer
+  FROM tok WINDOW o AS (PARTITION BY document_id ORDER BY i)),
 g AS (SELECT *, ty = 2 AND right(tok, 1) IN ('.', '?', '!', '。', '！', '？', '।') AND coalesce(prev, '') || tok NOT IN ('Mr.', 'Mrs.', 'Ms.', 'Dr.', 'Prof.', 'St.') AS stop,
   coalesce(nnl, false) AND NOT (lower(nc) = nc AND upper(nc) <> nc) AS brk FROM f),
-h AS (SELECT *, sum(CASE WHEN closer THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY i) AS island FROM g),
-e AS (SELECT *, bool_or(stop) OVER (PARTITION BY document_id, island) AS stopped, max(i) OVER (PARTITION BY document_id, island) AS island_end FROM h),
-c AS (SELECT document_id, i, CASE WHEN stopped THEN i = island_end ELSE brk END OR last AS ends, a, b FROM e),
-n AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM c)
-SELECT document_id, CAST(s AS INTEGER) AS sentence_no, min(i) AS start_tok, max(i) + 1 AS end_tok, min(a) AS start_pos, max(b) AS end_pos FROM n GROUP BY document_id, s
-"""
+h AS (SELECT *, sum(CASE WHEN closer THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY i) AS island, max(i) OVER (PARTITION BY document_id) + 1 AS n FROM g),
+mk AS (SELECT *, CASE WHEN stop THEN max(i) OVER (PARTITION BY document_id, island) + 1 WHEN brk THEN i + 1 END AS leads FROM h),
+-- se: where the sentence ends that begins at a token
+se AS (SELECT document_id, i, a, b, nl, n, CAST(coalesce(first_value(leads IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n) AS INTEGER) AS e FROM mk)"""
 )
 
 
-@query(_SENTENCES_SQL)
+@query(
+    f"""WITH RECURSIVE {_MARKS_SQL},
+sn AS (SELECT document_id, 0 AS sentence_no, i AS s, e, a, n FROM se WHERE i = 0
+  UNION ALL SELECT se.document_id, sn.sentence_no + 1, se.i, se.e, se.a, se.n FROM sn JOIN se ON se.document_id = sn.document_id AND se.i = sn.e)
+SELECT sn.document_id, sentence_no, s AS start_tok, sn.e AS end_tok, sn.a AS start_pos, t.b AS end_pos FROM sn JOIN se t ON t.document_id = sn.document_id AND t.i = sn.e - 1
+"""
+)
 def q_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """The part of q_sentences_all that the test data give tokens for."""
-    return tokens.sentences_of(_tokenized(spark, d), "document_id")
-
-
-@query()
-def q_sentences_all(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of all documents under the sentence rule."""
     return tokens.sentences_of(_texts(spark, d), "document_id")
 
 
-@query()
+def _chunks_sql(budget: str) -> str:
+    """ck: the chunks of all documents as token intervals; a step either adds a sentence to a chunk or begins the next one."""
+    return f"""{_MARKS_SQL},
+bu AS (SELECT document_id, text, greatest(1, coalesce({budget}, 1000)) AS most FROM d LEFT JOIN chunk_options o ON o.profile = coalesce(d.metadata['chunkProfile'], 'default')),
+s1 AS (SELECT se.*, most, max(CASE WHEN nl THEN i END) OVER (PARTITION BY se.document_id ORDER BY i) AS line FROM se JOIN bu ON bu.document_id = se.document_id),
+s2 AS (SELECT s1.*, CAST(coalesce(u.i + 1, 0) AS INTEGER) AS fits FROM s1 ASOF LEFT JOIN se u ON u.document_id = s1.document_id AND u.b <= s1.a + s1.most),
+s3 AS (SELECT s2.*, coalesce(l.line, -1) AS line_at FROM s2 LEFT JOIN s1 l ON l.document_id = s2.document_id AND l.i = s2.fits),
+-- what a chunk that begins at a token holds: behind a broken sentence, or elsewhere
+s4 AS (SELECT *, CASE WHEN fits <= i THEN i + 1 WHEN fits < e THEN CASE WHEN line_at > i THEN line_at ELSE fits END ELSE e END AS ce,
+  CASE WHEN fits <= i THEN i + 1 < e ELSE fits < e END AS breaks, fits > i AND fits >= e AS whole FROM s3),
+st AS (SELECT document_id, 0 AS chunk_no, i AS s, ce, breaks, whole AS open, fits, n FROM s4 WHERE i = 0
+  UNION ALL
+  SELECT st.document_id, CASE WHEN st.open AND x.e <= st.fits THEN st.chunk_no ELSE st.chunk_no + 1 END, CASE WHEN st.open AND x.e <= st.fits THEN st.s ELSE x.i END,
+    CASE WHEN st.open AND x.e <= st.fits THEN x.e ELSE x.ce END, CASE WHEN st.open AND x.e <= st.fits THEN false ELSE x.breaks END,
+    CASE WHEN st.open AND x.e <= st.fits THEN true ELSE x.whole AND NOT st.breaks END, CASE WHEN st.open AND x.e <= st.fits THEN st.fits ELSE x.fits END, st.n
+  FROM st JOIN s4 x ON x.document_id = st.document_id AND x.i = st.ce),
+cn AS (SELECT document_id, chunk_no, s, max(ce) AS e FROM st GROUP BY document_id, chunk_no, s),
+ck AS (SELECT cn.document_id, chunk_no, s AS start_tok, CAST(cn.e AS INTEGER) AS end_tok, f.a AS char_offset, substr(bu.text, f.a + 1, l.b - f.a) AS chunk_text
+  FROM cn JOIN se f ON f.document_id = cn.document_id AND f.i = s JOIN se l ON l.document_id = cn.document_id AND l.i = cn.e - 1 JOIN bu ON bu.document_id = cn.document_id
+  UNION ALL SELECT document_id, 0, 0, 0, 0, text FROM bu WHERE document_id NOT IN (SELECT document_id FROM tok))"""
+
+
+@query(f"WITH RECURSIVE {_chunks_sql('o.max_char_buffer')} SELECT document_id AS id, chunk_no, start_tok, end_tok, char_offset, chunk_text FROM ck")
 def q_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all documents under the budget of their profile."""
     budget = table(spark, d, "chunk_options").select(F.col("profile").alias("_p"), "max_char_buffer")
@@ -159,6 +201,11 @@ def _trim(x: str) -> str:
     return f"regexp_replace({x}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
 
 
+def _lower(x: str) -> str:
+    """Small letters, a sigma at a word's end in its final form."""
+    return rf"regexp_replace(lower({x}), '(\p{{L}})σ(\P{{L}}|$)', '\1ς\2', 'g')"
+
+
 def _blank(x: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '[^{_WS}]') THEN {x} END"
 
@@ -233,17 +280,17 @@ def q_parse_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """
+    f"""
 WITH e AS (SELECT DISTINCT extraction_id, resolve_id, text FROM extractions), r AS (SELECT DISTINCT resolve_id, source_text FROM resolve_inputs),
-p AS (SELECT extraction_id, text, strpos(source_text, text) - 1 AS a, source_text FROM e JOIN r USING (resolve_id) WHERE length(trim(text)) > 0)
-SELECT extraction_id, 'exact' AS status, CAST(a AS INTEGER) AS start_pos, CAST(a + length(text) AS INTEGER) AS end_pos FROM p WHERE a >= 0
+p AS (SELECT extraction_id, {_trim("text")} AS x, source_text AS s FROM e JOIN r USING (resolve_id)),
+h AS (SELECT extraction_id, x, CASE WHEN contains(s, x) THEN strpos(s, x) ELSE strpos({_lower("s")}, {_lower("x")}) END - 1 AS a FROM p WHERE length(x) > 0)
+SELECT extraction_id, 'exact' AS status, CAST(a AS INTEGER) AS start_pos, CAST(a + length(x) AS INTEGER) AS end_pos FROM h WHERE a >= 0
 """
 )
 def q_align_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Extractions that stand in their chunk character for character."""
-    rows = _extraction_sources(spark, d).filter(F.contains("source_text", "text") & (F.length(F.trim("text")) > 0))
-    out = rows.select("extraction_id", align.exact_span(F.col("source_text"), F.col("text")).alias("a"))
-    return out.select("extraction_id", "a.status", F.col("a.start").alias("start_pos"), F.col("a.end").alias("end_pos"))
+    """Extractions that stand in their chunk as they are, or case aside."""
+    out = _extraction_sources(spark, d).select("extraction_id", align.exact_span(F.col("source_text"), F.col("text")).alias("a"))
+    return out.filter("a is not null").select("extraction_id", "a.status", F.col("a.start").alias("start_pos"), F.col("a.end").alias("end_pos"))
 
 
 def _extraction_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -306,15 +353,15 @@ def q_merge_passes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_RANKED}, x AS (SELECT * FROM k WHERE rn = 1)
-SELECT d.id AS document_id, CAST(count(x.extraction_id) AS INTEGER) AS n, string_agg(x.text, '|' ORDER BY x.start_pos, x.end_pos, x.extraction_id) AS texts
+SELECT d.id AS document_id, CAST(count(x.extraction_id) AS INTEGER) AS n, string_agg(x.label || ':' || x.text, '|' ORDER BY x.start_pos, x.end_pos, icu_sort_key(x.label, 'und'), x.extraction_id) AS texts
 FROM (SELECT DISTINCT id FROM input_docs) d LEFT JOIN x ON x.document_id = d.id GROUP BY d.id"""
 )
 def q_by_document(spark: SparkSession, d: str) -> DataFrame:
     """Each document with its extractions in order, those without any too."""
     docs = _distinct_docs(spark, d).select(F.col("id").alias("document_id"))
-    kept = merge.dedup(_records(spark, d), "extraction_id").withColumn("label", F.lit("x"))  # label order differs between engines
+    kept = merge.dedup(_records(spark, d), "extraction_id")
     out = merge.by_document(docs, kept, "extraction_id")
-    texts = F.array_join(F.transform("extractions", lambda x: x["text"]), "|")
+    texts = F.array_join(F.transform("extractions", lambda x: F.concat(x["label"], F.lit(":"), x["text"])), "|")
     return out.select("document_id", F.size("extractions").alias("n"), F.when(F.size("extractions") > 0, texts).alias("texts"))
 
 
@@ -322,22 +369,19 @@ def q_by_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""
-WITH l AS (SELECT DISTINCT row_id, file_name, rtrim(line, chr(13)) AS line FROM csv_rows),
-p AS (SELECT row_id, header_cols, id_key, text_key, string_split(line, coalesce(delimiter, ',')) AS f FROM l JOIN csv_sources USING (file_name) WHERE NOT contains(line, '"') AND regexp_matches(line, '[^\s]')),
-q AS (SELECT row_id, list_position(header_cols, id_key) AS i, list_position(header_cols, text_key) AS t, f FROM p)
-SELECT row_id, f[i] AS id FROM q WHERE len(f) >= greatest(i, t) AND NOT regexp_matches(array_to_string(f, ' '), '[\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}\x{feff}]$')
+    rf"""
+WITH l AS (SELECT row_id, any_value(file_name) AS file_name, regexp_replace(any_value(line), '[{_WS}]+$', '') AS line FROM csv_rows GROUP BY row_id),
+s AS (SELECT row_id, list_position(header_cols, id_key) AS i, list_position(header_cols, text_key) AS t, coalesce(delimiter, ',') AS dl, line FROM l JOIN csv_sources USING (file_name) WHERE line <> ''),
+c AS (SELECT row_id, i, t, dl, unnest(string_split(line, '')) AS ch, generate_subscripts(string_split(line, ''), 1) AS p FROM s),
+q AS (SELECT *, lead(ch) OVER o AS nx, sum(CASE WHEN ch = '"' THEN 1 ELSE 0 END) OVER o - CASE WHEN ch = '"' THEN 1 ELSE 0 END AS quotes FROM c WINDOW o AS (PARTITION BY row_id ORDER BY p)),
+-- a delimiter behind an even number of quotes parts fields; a quote counts as text where it's the first of two within quotes
+k AS (SELECT *, ch = dl AND quotes % 2 = 0 AS parts, CASE WHEN ch = '"' THEN coalesce(quotes % 2 = 1 AND nx = '"', false) ELSE NOT (ch = dl AND quotes % 2 = 0) END AS kept FROM q),
+f AS (SELECT row_id, i, t, p, ch, kept, 1 + sum(CASE WHEN parts THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY p) AS n FROM k),
+w AS (SELECT row_id, max(n) AS n, coalesce(string_agg(ch, '' ORDER BY p) FILTER (kept AND n = i), '') AS id, coalesce(string_agg(ch, '' ORDER BY p) FILTER (kept AND n = t), '') AS text, any_value(greatest(i, t)) AS need FROM f GROUP BY row_id)
+SELECT row_id, id, text FROM w WHERE n >= need
 """
 )
 def q_csv_dataset(spark: SparkSession, d: str) -> DataFrame:
-    """The part of q_csv_dataset_all that the SQL can split: ids of lines without quotes."""
-    rows = _csv_lines(spark, d)
-    quoted = rows.filter(F.contains("line", F.lit('"')) | F.col("line").rlike("[\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{3000}\\x{feff}]\\r?$")).select(F.col("row_id").alias("_q"))
-    return q_csv_dataset_all(spark, d).join(quoted, F.col("row_id") == F.col("_q"), "left_anti").select("row_id", "id")
-
-
-@query()
-def q_csv_dataset_all(spark: SparkSession, d: str) -> DataFrame:
     """Id and text of every dataset row, those of quoted fields too."""
     return jsonl.dataset_rows(_csv_lines(spark, d), F.col("header_cols"), F.col("delimiter"), F.col("id_key"), F.col("text_key"), ["row_id"])
 
@@ -365,32 +409,25 @@ def q_jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("document_id", "label", "text", "start", "end", "alignment_status", "alignment_score", "pass").agg(F.count("*").alias("n"))
 
 
-_HOST = r"(?i)^https?://([A-Za-z0-9.-]+)(/[^\s]*)?$"
+_OCTET = "(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2}|0[0-9]{2})"
 
 
 @query(
     rf"""
-WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\S*[:/]\S*')) AS word FROM documents WHERE text IS NOT NULL)
-SELECT word, regexp_matches(word, '{_HOST}') AND (contains(regexp_extract(word, '{_HOST}', 1), '.')) AS is_url FROM w WHERE regexp_matches(word, '^[!-~]+$') AND regexp_matches(word, '^https?://')
-"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\S*[:/]\S*')) AS word FROM documents WHERE text IS NOT NULL),
+p AS (SELECT word, lower(regexp_extract({{t}}, '^(?i:https?)://([^/?#@]*@)?(\[[0-9a-fA-F:.]+\]|[^/?#:@\[\]]+)(:[0-9]*)?([/?#](?s:.*))?$', 2)) AS host, {{t}} AS t FROM w)
+SELECT word, NOT regexp_matches(t, '[{_WS}]') AND length(host) > 0 AND CASE WHEN host = 'localhost' THEN true
+  WHEN host[1] = '[' THEN regexp_matches(host, '^\[[0-9a-f:]*:[0-9a-f:.]*\]$')
+  WHEN regexp_matches(host, '^[0-9.]+$') THEN regexp_matches(host, '^{_OCTET}(\.{_OCTET}){{3}}$')
+  ELSE contains(host, '.') AND NOT regexp_matches(host, '[\s<>^|%\\"`{{}}]') END AS is_url FROM p
+""".replace("{t}", _trim("word"))
 )
 def q_is_url(spark: SparkSession, d: str) -> DataFrame:
-    """The part of q_is_url_all that the SQL can judge: ASCII words that begin like an address."""
-    return q_is_url_all(spark, d).filter(F.col("word").rlike(r"\A[!-~]+\z") & F.col("word").rlike(r"\Ahttps?://"))
-
-
-@query()
-def q_is_url_all(spark: SparkSession, d: str) -> DataFrame:
     """All words of documents that hold a colon or slash, and whether they are an address."""
     words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\S*[:/]\S*"), F.lit(0))).alias("word")).distinct()
     return words.select("word", jsonl.is_url("word").alias("is_url"))
 
 
-@query("SELECT id, count(*) AS n FROM input_docs GROUP BY id HAVING count(*) > 1")
-def q_duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "input_docs").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
-
-
 @query(
     """
 WITH e AS (SELECT DISTINCT extraction_id, raw FROM extractions WHERE raw IS NOT NULL)
@@ -412,20 +449,6 @@ def q_call_errors(spark: SparkSession, d: str) -> DataFrame:
     return calls.select("call_id", prompts.redact(F.col("error_message")).alias("message"), F.col("error_message").rlike(model.RETRIABLE_SQL).alias("retriable"))
 
 
-@query(
-    """
-WITH c AS (SELECT DISTINCT call_id, document_id, provider, model_id, attempt, fallback_used, success FROM model_calls)
-SELECT provider, model_id, count(*) AS n_calls, CAST(sum(CAST(success AS INTEGER)) AS BIGINT) AS n_ok, CAST(sum(CAST(fallback_used AS INTEGER)) AS BIGINT) AS n_fallback, max(attempt) AS max_attempt, count(DISTINCT document_id) AS n_docs FROM c GROUP BY 1, 2
-"""
-)
-def q_model_events(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "model_calls").select("call_id", "document_id", "provider", "model_id", "attempt", "fallback_used", "success").distinct()
-    return c.groupBy("provider", "model_id").agg(
-        F.count("*").alias("n_calls"), F.sum(F.col("success").cast("int")).alias("n_ok"), F.sum(F.col("fallback_used").cast("int")).alias("n_fallback"),
-        F.max("attempt").alias("max_attempt"), F.countDistinct("document_id").alias("n_docs"),
-    )
-
-
 @query(
     f"""
 WITH {_CHUNK_SQL} SELECT resolve_id, CASE WHEN length(p) <= 160 THEN p ELSE left(p, 157) || '...' END AS preview, CAST(length(source_text) AS INTEGER) AS chars
@@ -527,10 +550,33 @@ def _pipeline_docs(spark: SparkSession, d: str) -> DataFrame:
     return _distinct_docs(spark, d).select(F.col("id").alias("document_id"), "text", "metadata")
 
 
-@query()
+_RULES = model.RuleModel().rules
+
+
+def _rules_sql() -> str:
+    each = " UNION ALL ".join(f"SELECT document_id, char_offset, chunk_text, '{label}' AS label, unnest(regexp_extract_all(chunk_text, '{pattern}')) AS text FROM ck" for label, pattern in _RULES)
+    return f"""WITH RECURSIVE {_chunks_sql("1000")}, hit AS ({each}),
+rec AS (SELECT DISTINCT document_id, label, text, CAST(strpos(chunk_text, text) - 1 + char_offset AS INTEGER) AS start_pos FROM hit)
+SELECT document_id, 0 AS pass, label, text, start_pos, CAST(start_pos + length(text) AS INTEGER) AS end_pos, 0.9::DOUBLE AS confidence, 'exact' AS alignment_status, 1.0::DOUBLE AS alignment_score,
+'{{"text": "' || text || '", "label": "' || label || '", "confidence": 0.9}}' AS raw FROM rec"""
+
+
+@query(_rules_sql())
 def q_extract(spark: SparkSession, d: str) -> DataFrame:
-    """The whole pipeline over all documents with the rule model, in two passes."""
-    return pipeline.extract(_pipeline_docs(spark, d), options=pipeline.PipelineOptions(passes=2, context_window_chars=100))
+    """The whole pipeline over all documents with the rule model (words of ASCII), in two passes."""
+    chain = model.Chain([model.Model("rules", "rules-1", model.RuleModel(tuple((label, "(?a)" + pattern) for label, pattern in _RULES)))])
+    return pipeline.extract(_pipeline_docs(spark, d), chain, pipeline.PipelineOptions(passes=2, context_window_chars=100))
+
+
+@query(_rules_sql())
+def q_stream_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The pipeline over a stream of all deliveries, repeated ones too; the records are those of q_extract."""
+    base = scratch(spark, "stream")
+    table(spark, d, "input_docs").select(F.col("id").alias("document_id"), "text").write.parquet(f"{base}/in")
+    docs = stream.stream_documents(spark, f"{base}/in", "document_id string, text string")
+    chain = model.Chain([model.Model("rules", "rules-1", model.RuleModel(tuple((label, "(?a)" + pattern) for label, pattern in _RULES)))])
+    stream.extract_stream(docs, f"{base}/out", f"{base}/checkpoint", chain).awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
 
 
 _DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"
@@ -548,24 +594,6 @@ def q_extract_dates(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.extract(_pipeline_docs(spark, d), chain).select("document_id", "text")
 
 
-@query()
-def q_stream_extract(spark: SparkSession, d: str) -> DataFrame:
-    """The pipeline over a stream of the documents."""
-    base = scratch(spark, "stream")
-    source = table(spark, d, "input_docs").select(F.col("id").alias("document_id"), "text")
-    source.dropDuplicates(["document_id"]).write.parquet(f"{base}/in")
-    docs = stream.stream_documents(spark, f"{base}/in", "document_id string, text string")
-    stream.extract_stream(docs, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("batch")
-
-
-@query("WITH e AS (SELECT DISTINCT extraction_id, document_id, lower(trim(label)) AS label FROM extractions), n AS (SELECT document_id, label, count(*) AS n FROM e GROUP BY 1, 2) SELECT label, document_id, n FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, document_id) AS k FROM n) WHERE k <= 3")
-def q_topk_label(spark: SparkSession, d: str) -> DataFrame:
-    """The three documents with most extractions of each label."""
-    n = table(spark, d, "extractions").select("extraction_id", "document_id", F.lower(F.trim("label")).alias("label")).distinct().groupBy("document_id", "label").agg(F.count("*").alias("n"))
-    return n.withColumn("k", F.row_number().over(W.partitionBy("label").orderBy(F.desc("n"), "document_id"))).filter("k <= 3").select("label", "document_id", "n")
-
-
 # Answers made from the tables of known content
 
 
@@ -614,22 +642,8 @@ def q_align_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", F.col("alignment.start").alias("start_pos"), F.col("alignment.end").alias("end_pos"), "alignment.score")
 
 
-@query(
-    """
-WITH e AS (SELECT DISTINCT extraction_id, resolve_id, text, label FROM extractions), r AS (SELECT DISTINCT resolve_id, source_text FROM resolve_inputs)
-SELECT lower(trim(label)) AS label, count(*) AS n_failed FROM e JOIN r USING (resolve_id)
-WHERE NOT contains(upper(source_text), upper(text)) AND length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) = 0 AND length(trim(text)) > 0 GROUP BY 1
-"""
-)
-def q_example_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """The part of q_example_alignment_all that the SQL can align: extractions without a Latin letter or digit that fail, by label."""
-    rows = _examples(spark, d).filter(~F.col("text").rlike("[A-Za-z0-9]"))
-    out = align.align_columns(rows, "source_text", "text").filter("alignment.start < 0")
-    return out.groupBy(F.lower(F.trim("label")).alias("label")).agg(F.count("*").alias("n_failed"))
-
-
 @query()
-def q_example_alignment_all(spark: SparkSession, d: str) -> DataFrame:
+def q_example_alignment(spark: SparkSession, d: str) -> DataFrame:
     """All extractions as examples of their chunk: how many there are, fail to align and align inexactly, by label."""
     out = align.align_columns(_examples(spark, d), "source_text", "text")
     failed = F.coalesce((F.col("alignment.start") < 0) | (F.col("alignment.end") <= F.col("alignment.start")), F.lit(True))
