@@ -184,6 +184,11 @@ def test_natural_cuts():
     assert P.cut("x" * 25, 10, 2)[0] == (0, 10, "hard")
     assert [k for *_, k in P.cut("aaa bbb ccc", 5, 0)] == ["natural", "natural", "end"]
     check_pieces("word " * 100_000, 1000, 100)
+    accented = "e\N{COMBINING ACUTE ACCENT}" * 20
+    assert all(b % 2 == 0 for _, b, _ in P.cut(accented, 9, 0)) and P.cut(accented, 9, 0)[0] == (0, 8, "hard")
+    marks = "e" + "\N{COMBINING ACUTE ACCENT}" * 30
+    check_pieces(marks, 8, 2)
+    assert P.cut(marks, 8, 0)[0] == (0, 8, "hard")
 
 
 def test_piece_tables(spark):

@@ -42,13 +42,14 @@ class Boundaries:
     """Sorted offsets at which a text may be cut, by kind, the most natural first."""
 
     kinds: list[np.ndarray]
+    joined: np.ndarray
 
     @classmethod
     def of(cls, text: str) -> Boundaries:
         ends = [np.fromiter((m.end() for m in p.finditer(text)), np.int64) for p in (_SENTENCE_END, _LINE_END, _WORD_END, _TOKEN)]
         joined = np.fromiter((m.start() for m in _JOINED.finditer(text)), np.int64)
         ends[0] = np.union1d(ends[0], ends[1])
-        return cls([np.setdiff1d(e, joined, assume_unique=False) for e in (ends[0], ends[2], ends[3])])
+        return cls([np.setdiff1d(e, joined, assume_unique=False) for e in (ends[0], ends[2], ends[3])], joined)
 
     def last(self, low: int, high: int) -> int | None:
         """The last boundary in (low, high] of the most natural kind that has one."""
@@ -59,13 +60,24 @@ class Boundaries:
         return None
 
 
+    def hard(self, low: int, high: int) -> int:
+        """The last place in (low, high] that parts no character from what belongs to it; ``high`` where there's none."""
+        at = high
+        k = int(np.searchsorted(self.joined, high, "right")) - 1
+        while k >= 0 and self.joined[k] == at and at - 1 > low:
+            at, k = at - 1, k - 1
+        return at if k < 0 or self.joined[k] != at else high
+
+
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """(start, end, kind of cut) of the pieces of ``text`` from its first to its last character that isn't white space.
 
     Every piece but the first starts exactly ``overlap`` characters before the
     end of the one before. An overlap of the limit or more is taken as one less
     than the limit, so that pieces advance; a limit under 1 counts as 1. A text
-    within the limit is one piece, a blank one none.
+    within the limit is one piece, a blank one none. Pieces hold limit / (limit -
+    overlap) times the text, so an overlap near the limit makes very many. A hard
+    cut keeps a letter with its marks unless these alone are over the limit.
     """
     limit = max(1, limit)
     overlap = max(0, min(overlap, limit - 1))
@@ -86,7 +98,7 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
         at = found.last(max(fresh, start + overlap), high)
         kind = "natural"
         if at is None:
-            at, kind = high, "hard"
+            at, kind = found.hard(max(fresh, start + overlap), high), "hard"
         out.append((start, at, kind))
         fresh, start = at, at - overlap
 
@@ -107,8 +119,8 @@ def trimmed_length(c: str) -> Column:
     return F.length(F.regexp_replace(F.regexp_replace(c, rf"\A{_WS}++", ""), rf"{_WS}++\z", ""))
 
 
-def cut_documents(docs: DataFrame, options: DataFrame, key: str = "id", oversized_only: bool = False) -> DataFrame:
-    """(key, piece_no, start_pos, end_pos, cut, piece) of the pieces of each text.
+def cut_documents(docs: DataFrame, options: DataFrame, key: str = "id", oversized_only: bool = False, with_text: bool = True) -> DataFrame:
+    """(key, piece_no, start_pos, end_pos, cut[, piece]) of the pieces of each text; their text only ``with_text``.
 
     Null and blank texts have no pieces; repeated rows give their pieces again,
     so drop repeats first where they matter. With ``oversized_only`` texts within
@@ -118,7 +130,8 @@ def cut_documents(docs: DataFrame, options: DataFrame, key: str = "id", oversize
     if oversized_only:
         df = df.filter((F.length("text") > F.col("_limit")) & (trimmed_length("text") > F.col("_limit")))
     kind = dict(docs.dtypes)[key]
-    schema = f"`{key}` {kind}, piece_no int, start_pos int, end_pos int, cut string, piece string"
+    schema = f"`{key}` {kind}, piece_no int, start_pos int, end_pos int, cut string" + ", piece string" * with_text
+    names = [key, "piece_no", "start_pos", "end_pos", "cut"] + ["piece"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,10 +143,9 @@ def cut_documents(docs: DataFrame, options: DataFrame, key: str = "id", oversize
                     starts.append(a)
                     ends.append(b)
                     kinds.append(how)
-                    texts.append(t[a:b])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keys, pa.int64())), pa.array(no, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())],
-                names=[key, "piece_no", "start_pos", "end_pos", "cut", "piece"],
-            )
+                    if with_text:
+                        texts.append(t[a:b])
+            columns = [batch.column(0).take(pa.array(keys, pa.int64())), pa.array(no, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(kinds, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * with_text, names=names)
 
     return df.select(key, "text", "_limit", "_overlap").mapInArrow(run, schema)

@@ -102,7 +102,7 @@ WHERE length(regexp_replace(d.text, '^[\\t\\n\\x0b\\f\\r \\x{a0}\\x{1680}\\x{200
 )
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that come out in more than one piece."""
-    cut = pieces.cut_documents(table(spark, d, "input_docs"), table(spark, d, "chunk_options"), oversized_only=True)
+    cut = pieces.cut_documents(table(spark, d, "input_docs"), table(spark, d, "chunk_options"), oversized_only=True, with_text=False)
     return cut.filter("piece_no = 1").select(F.col("id").alias("document_id")).distinct()
 
 

@@ -126,8 +126,7 @@ class Block:
         self.n_raw = len(raw)
         lengths = np.array([len(t) + 2 for t in texts], np.int64)
         self.text_at = np.concatenate([[0], np.cumsum(lengths)])
-        raw_kind = kind[raw]
-        self.solid = np.flatnonzero(raw_kind > BREAK)  # what isn't white space, hidden signs too
+        raw_kind = self._raw_kind = kind[raw]
         if (raw_kind == HIDDEN).any():
             self.pos = np.flatnonzero(raw_kind != HIDDEN)
             self.cp = raw[self.pos]
@@ -153,15 +152,18 @@ class Block:
         self.head = self.cp[self.ts]  # first character of each word
         tc = c[self.ts]
         self.tc = np.where(tc == MARK, CASELESS, tc)
-        capitals = np.concatenate([[0], np.cumsum(c == UPPER)])
-        self.tc = np.where((self.tc == LOWER) & (capitals[self.te] > capitals[self.ts]), MIXED, self.tc)
+        if self.n:
+            within = np.flatnonzero((c[1:] == UPPER) & ((c[:-1] == LOWER) | (c[:-1] == MARK))) + 1  # a capital behind small letters
+            word = np.searchsorted(self.ts, within, "right") - 1
+            self.tc[word[self.tc[word] == LOWER]] = MIXED
         self.wordy = self.tc != SIGN
-        new_line = (c == BREAK) & ~((self.cp == 10) & np.concatenate([[False], self.cp[:-1] == 13]))
-        lines = np.concatenate([[0], np.cumsum(new_line)])
+        new_line = np.flatnonzero(c == BREAK)
+        new_line = new_line[~((self.cp[new_line] == 10) & (new_line > 0) & (self.cp[new_line - 1] == 13))]
         # what lies behind each word: the last one's text ends there
-        self.next = np.append(self.ts[1:], n)
-        broken = lines[self.next] - lines[self.te]
-        self.kinds = np.where(self.next == self.te, NOTHING, np.where(broken > 1, PARAGRAPH, np.where(broken == 1, LINE, SPACE)))
+        behind = np.searchsorted(self.te, new_line, "right") - 1
+        broken = np.bincount(behind[behind >= 0], minlength=self.n)
+        self.kinds = np.where(np.append(self.ts[1:], n) == self.te, NOTHING, SPACE)
+        self.kinds[broken == 1], self.kinds[broken > 1] = LINE, PARAGRAPH
         if self.n:
             self.kinds[-1] = PARAGRAPH
         self._stops()
@@ -289,13 +291,13 @@ class Block:
 
     @cached_property
     def _smiles(self) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(self.wordy & (self.head == ord("ツ")))])
+        return np.flatnonzero(self.wordy & (self.head == ord("ツ")))
 
     def signs_only(self, word: np.ndarray) -> np.ndarray:
         """Whether no letter or number stands between a word and the end of its line (a lone smiling kana aside)."""
         word = np.minimum(word, self.n - 1)
         end = self.line_end[word]
-        k = self._smiles[end] - self._smiles[word]
+        k = np.searchsorted(self._smiles, end) - np.searchsorted(self._smiles, word) if len(self._smiles) else 0
         return (self.words_before[end] - self.words_before[word] == k) & (k <= 1)
 
     @cached_property
@@ -326,7 +328,20 @@ class Block:
         last = np.where(t > 0, self.cp[self.te[np.maximum(t - 1, 0)] - 1], 0)
         parted = (gap == LINE) | (gap == PARAGRAPH) | (t == 0)
         opens = among(STOPS + CLOSERS)[last] | (parted & ~among(",:;")[last]) | (gap == PARAGRAPH) | (t == 0)
-        return self._pair(t.tolist(), ch.tolist(), section.tolist(), straight.tolist(), may_open.tolist(), after_stop.tolist(), inner.tolist(), blank_b.tolist(), letter_a.tolist(), opens.tolist())
+        # a mark that only opens, with one that closes it right behind among the marks, is a pair whatever stands around it
+        low = np.isin(section, section[among("„‚")[ch]])
+        sure_open = among("([{「『《（【［〈")[ch] | among("“‘")[ch] & ~low
+        closer = np.zeros(0x110000, np.uint32)
+        for o, c in QUOTE_PAIRS.items():
+            closer[ord(o)] = ord(c[0])
+        pairs = np.flatnonzero(sure_open[:-1] & (closer[ch[:-1]] == ch[1:]) & (section[:-1] == section[1:]))
+        quick = np.stack([t[pairs], t[pairs + 1], among(BRACKETS)[ch[pairs]], opens[pairs]], 1).astype(np.int64)
+        left = np.ones(len(t), bool)
+        left[pairs] = left[pairs + 1] = False
+        t, ch, section, straight, may_open, after_stop, inner, blank_b, letter_a, opens = (x[left] for x in (t, ch, section, straight, may_open, after_stop, inner, blank_b, letter_a, opens))
+        slow = self._pair(t.tolist(), ch.tolist(), section.tolist(), straight.tolist(), may_open.tolist(), after_stop.tolist(), inner.tolist(), blank_b.tolist(), letter_a.tolist(), opens.tolist())
+        out = np.concatenate([quick, slow])
+        return out[np.argsort(out[:, 0])]
 
     @staticmethod
     def _pair(words: list, chars: list, sections: list, straight: list, may_open: list, after_stop: list, inner: list, blank_before: list, letter_after: list, opens: list) -> np.ndarray:
@@ -471,6 +486,11 @@ class Block:
 
     # results
 
+    @cached_property
+    def solid(self) -> np.ndarray:
+        """Where characters stand that aren't white space, hidden signs too."""
+        return np.flatnonzero(self._raw_kind > BREAK)
+
     def spans(self, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, start, end) of the units that end behind the gaps of ``cut``, without white space at their ends."""
         if not len(self.solid):

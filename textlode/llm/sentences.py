@@ -44,7 +44,7 @@ SHARE = 2.0**-18
 CLASS_SHARE = 2.0**-9
 ROUNDS = 80
 #: Code points in a block that arrays are made of; texts are never divided.
-BLOCK_CHARS = 1 << 17
+BLOCK_CHARS = 1 << 18
 #: Log-odds of a feature that tells nearly surely, and of evidence beside it at most.
 HEAVY, LIGHT = 16.0, 7.0
 #: Factor of a boundary that leaves a unit of one word, by which neighbouring gaps depend on each other: a letter or number, another short word.
