@@ -67,6 +67,23 @@ def p6_from_days(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.summary_percentiles(merged, ["provider", "model_id"])
 
 
+@query(
+    """
+WITH v AS (SELECT provider, model_id, duration_ms AS v FROM model_calls WHERE duration_ms IS NOT NULL AND NOT isnan(duration_ms)),
+r AS (SELECT *, row_number() OVER (PARTITION BY provider, model_id ORDER BY v) AS k, count(*) OVER (PARTITION BY provider, model_id) AS n FROM v),
+q AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]::DOUBLE[]) AS q)
+SELECT provider, model_id, q, n, v AS exact, true AS within FROM r, q WHERE k = greatest(1, CAST(ceil(q * n) AS BIGINT))
+"""
+)
+def p6_days_within(spark: SparkSession, d: str) -> DataFrame:
+    """The percentiles put together from days beside the exact ones, and whether they keep their bound of half a percent."""
+    exact = quantiles.percentiles(table(spark, d, "model_calls"), ["provider", "model_id"], "duration_ms")
+    put = p6_from_days(spark, d).select(F.col("provider").alias("_p"), F.col("model_id").alias("_m"), F.col("q").alias("_q"), F.col("n").alias("_n"), F.col("value").alias("_v"))
+    both = exact.join(put, F.col("provider").eqNullSafe(F.col("_p")) & F.col("model_id").eqNullSafe(F.col("_m")) & (F.col("q") == F.col("_q")), "left")
+    near = (F.col("_n") == F.col("n")) & ((F.col("_v") == F.col("value")) | (F.abs(F.col("_v") - F.col("value")) <= 0.005 * F.abs("value") * (1 + 1e-9) + 1e-9))
+    return both.select("provider", "model_id", "q", "n", F.col("value").alias("exact"), F.coalesce(near, F.lit(False)).alias("within"))
+
+
 _P2_SQL = """
 WITH RECURSIVE r AS (
   SELECT DISTINCT extraction_id AS id, document_id AS doc, lower(trim(label)) AS lab, start_pos AS st, end_pos AS en, lower(upper(text)) AS lt,
