@@ -146,14 +146,10 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """The sentences of every distinct document, by a model fitted to all texts.
-
-    Repeated deliveries carry the same text, so their units are dropped as
-    repeats of rows, which are far smaller to shuffle than texts.
-    """
+    """The sentences of every distinct document, by a model fitted to all texts; repeated deliveries carry the same text."""
     docs = table(spark, d, "input_docs").select("id", "text").filter("text is not null")
-    units = sentences.split_documents(docs, sentences.fit(docs))
-    return units.select(F.col("id").alias("document_id"), "start_pos", "end_pos").distinct()
+    units = sentences.split_documents(docs, sentences.fit(docs), once=True)
+    return units.select(F.col("id").alias("document_id"), "start_pos", "end_pos")
 
 
 def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:

@@ -714,11 +714,13 @@ def fit(df: DataFrame, text: str = "text") -> Model:
     return model.refit(around[_AROUND], around[_PAIRS], around[_OPENINGS])
 
 
-def split_documents(df: DataFrame, model: Model, key: str = "id", text: str = "text") -> DataFrame:
+def split_documents(df: DataFrame, model: Model, key: str = "id", text: str = "text", once: bool = False) -> DataFrame:
     """(key, sentence_no, start_pos, end_pos) of the units of each text.
 
-    Null, empty and blank texts have none; repeated rows give theirs again;
-    further columns are left out, whatever their names.
+    Null, empty and blank texts have none; repeated rows give theirs again, or
+    with ``once`` the units of one of the texts of a key; further columns are
+    left out, whatever their names. For ``once`` a text's units travel as one
+    row of offsets, which is far smaller than the text.
     """
     kind = dict(df.dtypes)[key]
 
@@ -727,11 +729,13 @@ def split_documents(df: DataFrame, model: Model, key: str = "id", text: str = "t
             for rows, b in _blocks(batch.column(1).to_pylist()):
                 s = score(b, model)
                 which, start, end = b.spans(np.flatnonzero(posteriors(s.odds, s.link, s.after_first) > 0.5))
-                new = np.concatenate([[True], which[1:] != which[:-1]]) if len(which) else np.zeros(0, bool)
-                begin = np.maximum.accumulate(np.where(new, np.arange(len(which)), 0)) if len(which) else which
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.array(rows, np.int64)[which])), pa.array((np.arange(len(which)) - begin).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))],
-                    names=[key, "sentence_no", "start_pos", "end_pos"],
-                )
-
-    return df.select(key, text).filter(F.col(text).isNotNull()).mapInArrow(run, f"`{key}` {kind}, sentence_no int, start_pos int, end_pos int")
+                first = np.searchsorted(which, np.arange(len(rows) + 1)).astype(np.int32)
+                offsets = pa.array(first)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (start, end)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(rows, np.int64))), *lists], names=[key, "starts", "ends"])
+
+    units = df.select(key, text).filter(F.col(text).isNotNull()).mapInArrow(run, f"`{key}` {kind}, starts array<int>, ends array<int>")
+    if once:
+        units = units.groupBy(key).agg(F.any_value(F.struct("starts", "ends")).alias("u")).select(key, "u.*")
+    spans = units.select(key, F.posexplode(F.arrays_zip("starts", "ends")).alias("sentence_no", "s"))
+    return spans.select(key, "sentence_no", F.col("s.starts").alias("start_pos"), F.col("s.ends").alias("end_pos"))
