@@ -323,6 +323,19 @@ def test_neighbouring_events_decide_together():
     assert (alone != together).sum() == 1 and units(text) == ["He told them so!", "R. Minor agreed."]
 
 
+TEXTS = ["So. Then", "3. May", "1. Take", "Plan", "“Stop!” he said.", "'", "It broke", "(a b", "x.\n\n5 kg. No", "ไม\N{THAI CHARACTER MAI EK}พบ", "谁？", "A. B. C", "Yes!", "\n", "\N{ZERO WIDTH SPACE}", "a\N{ZERO WIDTH SPACE}. B"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(TEXTS), min_size=1, max_size=8))
+def test_a_text_comes_out_the_same_in_any_block(texts):
+    b = Block(texts)
+    s = S.score(b, MODEL)
+    which, start, end = b.spans(np.flatnonzero(S.posteriors(s.odds, s.link, s.after_first) > 0.5))
+    for k, t in enumerate(texts):
+        assert S.split(t, MODEL) == list(zip(start[which == k].tolist(), end[which == k].tolist(), strict=True))
+
+
 def test_unclosed_brackets_cost_no_more_than_their_number():
     def seconds(n):
         t0 = time.process_time()

@@ -117,14 +117,18 @@ def stop_key(word: str, stop: str = ".") -> int:
 
 
 class Block:
-    """Texts with their words (``ts``, ``te``: start and end among ``cp``) and gaps (``gap``: the word before each)."""
+    """Texts with their words (``ts``, ``te``: start and end among ``cp``) and gaps (``gap``: the word before each).
+
+    A sign stands before the first text, so that each text begins behind the end
+    of another and comes out the same in any block.
+    """
 
     def __init__(self, texts: Sequence[str]):
         kind, small = _tables()
-        joined = "\n\n".join(texts) + "\n\n"
+        joined = "\n\n".join(["\x03", *texts]) + "\n\n"
         raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.n_raw = len(raw)
-        lengths = np.array([len(t) + 2 for t in texts], np.int64)
+        lengths = np.array([3, *(len(t) + 2 for t in texts)], np.int64)
         self.text_at = np.concatenate([[0], np.cumsum(lengths)])
         raw_kind = self._raw_kind = kind[raw]
         if (raw_kind == HIDDEN).any():
@@ -183,7 +187,10 @@ class Block:
         shifted = np.concatenate([[-1], np.maximum.accumulate(real)[:-1]]) if n else real
         number = np.flatnonzero(tc == DIGIT)
         by = shifted[number]
-        ok = (by >= 0) & (tc[by] != DIGIT)
+        paragraph = np.zeros(n + 1, np.int64)
+        ends = np.flatnonzero(self.kinds == PARAGRAPH)
+        paragraph[ends + 1] = ends + 1
+        ok = (by >= np.maximum.accumulate(paragraph)[number]) & (tc[by] != DIGIT)
         out[number] = np.where(ok, mix(NUMBER, h[by]), NUMBER)
         one = (self.te - self.ts == 1) & (tc >= LOWER) & (tc <= CASELESS)
         i = np.flatnonzero(one)
@@ -504,4 +511,6 @@ class Block:
         some = k > k0
         a, b = self.solid[k0[some]], self.solid[k[some] - 1] + 1
         which = np.searchsorted(self.text_at, a, "right") - 1
-        return which, a - self.text_at[which], b - self.text_at[which]
+        real = which > 0
+        which, a, b = which[real], a[real], b[real]
+        return which - 1, a - self.text_at[which], b - self.text_at[which]
