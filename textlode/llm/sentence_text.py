@@ -126,7 +126,7 @@ class Block:
     def __init__(self, texts: Sequence[str]):
         kind, small = _tables()
         joined = "\n\n".join(["\x03", *texts]) + "\n\n"
-        raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.intp)
         self.n_raw = len(raw)
         lengths = np.array([3, *(len(t) + 2 for t in texts)], np.int64)
         self.text_at = np.concatenate([[0], np.cumsum(lengths)])
@@ -134,13 +134,14 @@ class Block:
         if (raw_kind == HIDDEN).any():
             self.pos = np.flatnonzero(raw_kind != HIDDEN)
             self.cp = raw[self.pos]
-            self.text = self.cp.tobytes().decode("utf-32-le", "surrogatepass")
+            self.text = self.cp.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
         else:
             self.pos, self.cp, self.text = None, raw, joined
         self.kind = c = kind[self.cp]
         n = len(c)
-        g = _GROUP[c]
-        before = np.concatenate([[0], g[:-1]])
+        g = _GROUP.take(c)
+        before = np.empty_like(g)
+        before[:1], before[1:] = 0, g[:-1]
         blank = c <= BREAK
         begin = ~blank & ((g != before) | (c == SIGN) | (c == DENSE))
         begin &= ~((c == MARK) & ((before == 4) | (before == 2)))
