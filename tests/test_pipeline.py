@@ -7,13 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlode.core.errors import InferenceConfigError, InvalidDocumentError, PromptAlignmentError, PromptTemplateError, error_code
+from textlode.core.session import small
 from textlode.functions.register import register
 from textlode.operators import merge as M
 from textlode.operators import model as models
 from textlode.operators import prompts as P
 from textlode.operators import viz as V
 from textlode.operators.candidates import Resolver
-from textlode.operators.tokens import document_id, random_document_id
+from textlode.operators.tokens import chunk_views, chunks_of, document_id, random_document_id
 from textlode.plans import pipeline as pl
 from textlode.plans.progress import Watch, wants_line
 from textlode.sources import jsonl
@@ -300,3 +301,21 @@ def test_ids_and_pages(spark, tmp_path):
     labels = spark.createDataFrame([(f"l{k:03}",) for k in range(35)] * 2 + [(None,)], "label string")
     colors = {r.label: r.color for r in V.label_colors(labels).collect()}
     assert len(colors) == 36 and colors["l000"] == V.PALETTE[0] and colors["l034"] == V.PALETTE[4] and colors["unknown"] == V.PALETTE[5]
+
+
+def test_documents_made_on_the_driver(spark):
+    made = pl.documents(spark, ["one", pl.Document("two", "b", "note", {"k": "v"}), None]).collect()
+    assert [r.text for r in made] == ["one", "two", None] and re.fullmatch("doc_[0-9a-f]{8}", made[0].document_id)
+    assert (made[1].document_id, made[1].metadata) == ("b", {"k": "v", "additionalContext": "note"})
+
+
+def test_views_of_chunks(spark):
+    d = docs(spark, ("a", "One  two.\n\nThree\tfour."), ("b", " "))
+    got = {(r.document_id, r.chunk_no): (r.sanitized_text, r.start_pos, r.end_pos) for r in chunk_views(chunks_of(d, "document_id", 10)).collect()}
+    assert got == {("a", 0): ("One two.", 0, 9), ("a", 1): ("Three four", 11, 21), ("a", 2): (".", 21, 22), ("b", 0): (None, 0, 1)}
+
+
+def test_small_tables_are_broadcast_and_large_ones_not(spark):
+    a, b = spark.range(5), spark.range(20)
+    plan = lambda most: a.join(small(b, most), "id")._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(21) and "broadcast" not in plan(20)

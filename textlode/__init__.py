@@ -22,9 +22,9 @@ _NAMES = {
     "textlode.operators.merge": ("by_document", "merge_passes", "normalize_status"),
     "textlode.operators.model": ("Answer", "Chain", "Model", "ModelError", "RuleModel", "generate"),
     "textlode.operators.prompts": ("PromptOptions", "prompt", "qa_prompt"),
-    "textlode.operators.tokens": ("chunks_of", "document_id", "random_document_id", "sentences_of", "tokenize", "tokens_of"),
+    "textlode.operators.tokens": ("chunk_views", "chunks_of", "document_id", "random_document_id", "sentences_of", "tokenize", "tokens_of"),
     "textlode.operators.viz": ("PageOptions", "Progress", "pages", "visualize"),
-    "textlode.plans.pipeline": ("PipelineOptions", "Run", "run"),
+    "textlode.plans.pipeline": ("Document", "PipelineOptions", "Run", "documents", "run"),
     "textlode.plans.progress": ("Step",),
     "textlode.sources.jsonl": ("Fetched", "fetch_text", "is_url", "load_annotated", "load_csv", "load_dataset", "read_jsonl", "save_annotated", "write_jsonl"),
     "textlode.sources.strict_rows": ("check_answers", "check_lines", "split_rows"),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,5 +63,10 @@ def discard_all(spark: SparkSession) -> None:
     _delete(spark, own_dir(spark))
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked to be sent to all executors if it has fewer than ``most`` rows, else as it is."""
+    return broadcast(df) if df.limit(most).count() < most else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from textlode.core.errors import InvalidTokenIntervalError, SentenceRangeError, TokenUtilError
-from textlode.core.jstext import PY_WS, WS_CLASS, blank_to_null, strip
+from textlode.core.jstext import PY_WS, WS_CLASS, blank_to_null, js_trim, strip
 from textlode.core.session import materialize
 
 WORD, NUMBER, PUNCTUATION = 0, 1, 2
@@ -251,6 +251,12 @@ def chunks_of(df: DataFrame, key: str, limit: int | Column = 1000, text: str = "
     return _flat_map(source, [key, *keep], [text, "_limit"], schema, names, types, chunks)
 
 
+def chunk_views(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with ``sanitized_text`` (blanks collapsed; null for a blank chunk) and the span of each in its document, ``start_pos`` and ``end_pos``."""
+    flat = js_trim(F.regexp_replace("chunk_text", f"[{WS_CLASS}]+", " "))
+    return chunks.withColumns({"sanitized_text": F.when(F.length(flat) > 0, flat), "start_pos": F.col("char_offset"), "end_pos": (F.col("char_offset") + F.length("chunk_text")).cast("int")})
+
+
 def document_id(text: Column | str) -> Column:
     """An id for a document that has none: ``doc_`` and eight hexadecimal digits of its text's hash, so that a retry gives the same."""
     return F.concat(F.lit("doc_"), F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(text), 32))), 8, "0"))

@@ -9,10 +9,10 @@ once; what follows is lazy again, but for the writes between passes.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.core.errors import InvalidDocumentError
@@ -21,7 +21,7 @@ from textlode.operators.candidates import Resolver, resolve_answers
 from textlode.operators.merge import merge_passes
 from textlode.operators.model import Chain, Model, RuleModel, call_events, generate
 from textlode.operators.prompts import PromptOptions, enforce_lint, prompt
-from textlode.operators.tokens import Tokenizer, chunks_of, compose_context, tokenize
+from textlode.operators.tokens import Tokenizer, chunks_of, compose_context, random_document_id, tokenize
 from textlode.plans.progress import Step, Watch, wants_line
 
 
@@ -49,6 +49,23 @@ def rule_chain() -> Chain:
     return Chain([Model("rules", "rules-1", RuleModel())])
 
 
+@dataclass(frozen=True)
+class Document:
+    """A document made on the driver; without an id it gets one at random."""
+
+    text: str | None
+    document_id: str = field(default_factory=random_document_id)
+    additional_context: str | None = None
+    metadata: Mapping[str, str] = field(default_factory=dict)
+
+
+def documents(spark: SparkSession, items: Iterable[Document | str | None]) -> DataFrame:
+    """(document_id, text, metadata) of documents, or of texts alone."""
+    made = [x if isinstance(x, Document) else Document(x) for x in items]
+    rows = [(x.document_id, x.text, {**x.metadata, **({"additionalContext": x.additional_context} if x.additional_context is not None else {})}) for x in made]
+    return spark.createDataFrame(rows, "document_id string, text string, metadata map<string,string>")
+
+
 def check_unique(documents: DataFrame, key: str) -> DataFrame:
     """``documents``, or InvalidDocumentError where an id occurs twice."""
     twice = documents.groupBy(key).count().filter("count > 1").limit(1).collect()

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from textlode.control import registry
 from textlode.core import jstext
-from textlode.core.session import scratch, table
+from textlode.core.session import scratch, small, table
 from textlode.operators import align, candidates, formats, merge, model, prompts, tokens, viz
 from textlode.plans import pipeline
 from textlode.sources import jsonl
@@ -176,7 +176,7 @@ def q_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all documents under the budget of their profile."""
     budget = table(spark, d, "chunk_options").select(F.col("profile").alias("_p"), "max_char_buffer")
     docs = _distinct_docs(spark, d).withColumn("_profile", F.coalesce(F.try_element_at("metadata", F.lit("chunkProfile")), F.lit("default")))
-    docs = docs.join(F.broadcast(budget), F.col("_profile") == F.col("_p"), "left")
+    docs = docs.join(small(budget), F.col("_profile") == F.col("_p"), "left")
     return tokens.chunks_of(docs, "id", F.coalesce("max_char_buffer", F.lit(1000)))
 
 
@@ -389,7 +389,7 @@ def q_csv_dataset(spark: SparkSession, d: str) -> DataFrame:
 def _csv_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "csv_rows").dropDuplicates(["row_id"])
     source = table(spark, d, "csv_sources").withColumnRenamed("file_name", "_f")
-    return lines.join(F.broadcast(source), F.col("file_name") == F.col("_f"))
+    return lines.join(small(source), F.col("file_name") == F.col("_f"))
 
 
 @query(
