@@ -36,21 +36,10 @@ def _checked_lines(spark: SparkSession, d: str) -> DataFrame:
     return check_lines(table(spark, d, "csv_rows"), table(spark, d, "csv_sources"))
 
 
-@query()
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Each distinct failing record of both tables."""
-    lines = split_rows(_checked_lines(spark, d).select("row_id", "errors"))[1]
-    answers = split_rows(check_answers(table(spark, d, "resolve_inputs").select("resolve_id", "model_output")))[1]
-    return (
-        lines.select(F.lit("csv_rows").alias("source_table"), F.col("row_id").alias("record_id"))
-        .unionByName(answers.select(F.lit("resolve_inputs").alias("source_table"), F.col("resolve_id").alias("record_id")))
-        .distinct()
-    )
-
-
-@query(
-    r"""
-WITH l AS (SELECT DISTINCT row_id, file_name, regexp_replace(line, chr(13) || '$', '') AS line FROM csv_rows),
+_WS = r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+# r: the fields of every line, and whether their number fits; the rules of a row that loads
+_LINES_SQL = r"""
+l AS (SELECT DISTINCT row_id, file_name, regexp_replace(line, chr(13) || '$', '') AS line FROM csv_rows),
 s AS (SELECT row_id, header_cols, coalesce(delimiter, ',') AS dl, line FROM l JOIN csv_sources USING (file_name) WHERE regexp_matches(line, '[^\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]')),
 c AS (SELECT row_id, dl, unnest(string_split(line || dl, '')) AS ch, generate_subscripts(string_split(line || dl, ''), 1) AS p FROM s),
 q AS (SELECT *, sum(CASE WHEN ch = '"' THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY p) AS quotes FROM c),
@@ -61,13 +50,46 @@ u AS (SELECT row_id, k, CASE WHEN raw LIKE '"%' THEN replace(substr(raw, 2, leng
   NOT contains(raw, '"') OR regexp_full_match(raw, '(?s:"([^"]|"")*")') AS sound FROM f),
 m AS (SELECT row_id, list(v ORDER BY k) AS vs, bool_and(sound) AS sound FROM u GROUP BY row_id),
 r AS (SELECT row_id, sound AND len(vs) = len(header_cols) AS fits, vs[list_position(header_cols, 'id')] AS id, vs[list_position(header_cols, 'text')] AS text, vs[list_position(header_cols, 'label')] AS label,
-  vs[list_position(header_cols, 'start_pos')] AS sp, vs[list_position(header_cols, 'end_pos')] AS ep, vs[list_position(header_cols, 'confidence')] AS cf, vs[list_position(header_cols, 'recorded_at')] AS ra FROM m JOIN s USING (row_id))
-SELECT row_id, id, text, label, TRY_CAST(sp AS BIGINT) AS start_pos, TRY_CAST(ep AS BIGINT) AS end_pos, TRY_CAST(cf AS DOUBLE) AS confidence, TRY_CAST(replace(replace(ra, 'T', ' '), 'Z', '') AS TIMESTAMP) AS recorded_at
-FROM r WHERE fits AND coalesce(regexp_matches(id, '[^\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]'), true) AND coalesce(regexp_full_match(sp, '[0-9]+'), true) AND coalesce(regexp_full_match(ep, '[0-9]+'), true)
+  vs[list_position(header_cols, 'start_pos')] AS sp, vs[list_position(header_cols, 'end_pos')] AS ep, vs[list_position(header_cols, 'confidence')] AS cf, vs[list_position(header_cols, 'recorded_at')] AS ra FROM m JOIN s USING (row_id))"""
+_LOADS_SQL = r"""fits AND coalesce(regexp_matches(id, '[^\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]'), true) AND coalesce(regexp_full_match(sp, '[0-9]+'), true) AND coalesce(regexp_full_match(ep, '[0-9]+'), true)
 AND coalesce(cf = '' OR regexp_full_match(cf, '[0-9]+(\.[0-9]+)?') AND TRY_CAST(cf AS DOUBLE) <= 1, true)
-AND coalesce(regexp_full_match(ra, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z') AND TRY_CAST(replace(replace(ra, 'T', ' '), 'Z', '') AS TIMESTAMP) IS NOT NULL AND substr(ra, 12, 2) < '24', true)
-"""
+AND coalesce(regexp_full_match(ra, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z') AND TRY_CAST(replace(replace(ra, 'T', ' '), 'Z', '') AS TIMESTAMP) IS NOT NULL AND substr(ra, 12, 2) < '24', true)"""
+
+
+def _strict(x: str) -> str:
+    """Whether a text is JSON without what DuckDB reads beyond the grammar: NaN, infinities and commas before a closing mark."""
+    bare = rf"""regexp_replace({x}, '"([^"\\]|\\.)*"', '""', 'g')"""
+    return rf"json_valid({x}) AND NOT regexp_matches({bare}, '(?i)nan|inf|,\s*[\]}}]')"
+
+
+# an: what every answer holds, by its fence or as it is, with and without its reasoning
+_ANSWERS_SQL = rf"""
+a0 AS (SELECT DISTINCT resolve_id, regexp_replace(model_output, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS body FROM resolve_inputs WHERE model_output IS NOT NULL),
+a1 AS (SELECT *, regexp_extract_all(body, '(?s)```([A-Za-z0-9_+-]+)?(?:[{_WS}]*\n)?(.*?)```', 1) AS tags, regexp_extract_all(body, '(?s)```([A-Za-z0-9_+-]+)?(?:[{_WS}]*\n)?(.*?)```', 2) AS blocks FROM a0),
+a2 AS (SELECT *, list_filter(generate_series(1, len(tags)), lambda i: coalesce(tags[i], '') = '' OR lower(tags[i]) = 'json') AS own FROM a1),
+a3 AS (SELECT resolve_id, CASE WHEN body = '' OR len(own) > 1 OR len(own) = 0 AND len(blocks) > 1 THEN NULL WHEN len(own) = 1 THEN blocks[own[1]] WHEN len(blocks) = 1 THEN blocks[1] ELSE body END AS content FROM a2),
+a4 AS (SELECT resolve_id, regexp_replace(content, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS c, regexp_replace(regexp_replace(content, '(?is)<think>.*?</think>[{_WS}]*', '', 'g'), '^[{_WS}]+|[{_WS}]+$', '', 'g') AS c2 FROM a3),
+a5 AS (SELECT resolve_id, CASE WHEN {_strict('c')} THEN c WHEN {_strict('c2')} THEN c2 END AS j FROM a4),
+an AS (SELECT resolve_id, CASE json_type(j) WHEN 'ARRAY' THEN json_extract(j, '$[*]') WHEN 'OBJECT' THEN CASE WHEN json_type(j, '$.extractions') = 'ARRAY' THEN json_extract(j, '$.extractions[*]') END END AS items FROM a5)"""
+
+
+@query(
+    f"""WITH {_LINES_SQL}, {_ANSWERS_SQL}
+SELECT 'csv_rows' AS source_table, row_id AS record_id FROM r WHERE NOT ({_LOADS_SQL})
+UNION SELECT 'resolve_inputs', resolve_id FROM an WHERE items IS NULL OR len(list_filter(items, lambda x: json_type(x) NOT IN ('OBJECT', 'ARRAY'))) > 0"""
 )
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct failing record of both tables."""
+    lines = split_rows(_checked_lines(spark, d).select("row_id", "errors"))[1]
+    answers = split_rows(check_answers(table(spark, d, "resolve_inputs").select("resolve_id", "model_output")))[1]
+    return (
+        lines.select(F.lit("csv_rows").alias("source_table"), F.col("row_id").alias("record_id"))
+        .unionByName(answers.select(F.lit("resolve_inputs").alias("source_table"), F.col("resolve_id").alias("record_id")))
+        .distinct()
+    )
+
+
+@query(f"""WITH {_LINES_SQL} SELECT row_id, id, text, label, TRY_CAST(sp AS BIGINT) AS start_pos, TRY_CAST(ep AS BIGINT) AS end_pos, TRY_CAST(cf AS DOUBLE) AS confidence, TRY_CAST(replace(replace(ra, 'T', ' '), 'Z', '') AS TIMESTAMP) AS recorded_at FROM r WHERE {_LOADS_SQL}""")
 def p5_rows(spark: SparkSession, d: str) -> DataFrame:
     """The rows that load, each distinct one once, with their typed values."""
     rows = split_rows(_checked_lines(spark, d))[0]
@@ -78,7 +100,6 @@ def p5_rows(spark: SparkSession, d: str) -> DataFrame:
 # Tokens and sentences
 
 
-_WS = r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 
 
 @query(
@@ -299,7 +320,39 @@ def _extraction_sources(spark: SparkSession, d: str) -> DataFrame:
     return e.join(r, "resolve_id")
 
 
-@query()
+_FOLD = "CASE WHEN length({0}) > 3 AND {0} LIKE '%s' AND {0} NOT LIKE '%ss' THEN left({0}, -1) ELSE {0} END"
+# al: every extraction aligned to its chunk: as it stands or case aside, by letters and digits, by shared words
+_ALIGN_SQL = f"""
+e AS (SELECT DISTINCT extraction_id, resolve_id, text, label FROM extractions), r AS (SELECT DISTINCT resolve_id, source_text FROM resolve_inputs),
+p AS (SELECT extraction_id, label, text, {_trim("text")} AS x, source_text AS s FROM e JOIN r USING (resolve_id)),
+h AS (SELECT *, CASE WHEN length(x) > 0 THEN CASE WHEN contains(s, x) THEN strpos(s, x) ELSE strpos({_lower("s")}, {_lower("x")}) END ELSE 0 END AS a,
+  lower(regexp_replace(x, '[^A-Za-z0-9]+', '', 'g')) AS want FROM p WHERE text IS NOT NULL AND s IS NOT NULL),
+-- by letters and digits
+b1 AS (SELECT extraction_id, want, strpos(lower(regexp_replace(s, '[^A-Za-z0-9]+', '', 'g')), want) AS k, string_split(s, '') AS l FROM h WHERE a = 0 AND want <> ''),
+b2 AS (SELECT extraction_id, k, length(want) AS n, list_filter(generate_series(1, len(l)), lambda i: regexp_full_match(l[i], '[A-Za-z0-9]')) AS at FROM b1 WHERE k > 0),
+-- by shared words
+m AS (SELECT h.* FROM h WHERE a = 0 AND length(x) > 0 AND extraction_id NOT IN (SELECT extraction_id FROM b2)),
+x1 AS (SELECT extraction_id, unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) AS w FROM m),
+x2 AS (SELECT extraction_id, {_FOLD.format("w")} AS w, count(*) AS c FROM x1 GROUP BY 1, 2),
+xn AS (SELECT extraction_id, CAST(sum(c) AS INTEGER) AS n FROM x2 GROUP BY 1),
+s1 AS (SELECT extraction_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT extraction_id, regexp_extract_all(s, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS l FROM m)),
+s2 AS (SELECT *, CAST(sum(length(t)) OVER (PARTITION BY extraction_id ORDER BY i) AS INTEGER) AS e FROM s1),
+s3 AS (SELECT extraction_id, lower(t) AS w, e - length(t) AS a, e, row_number() OVER (PARTITION BY extraction_id ORDER BY i) - 1 AS k FROM s2 WHERE regexp_matches(t, '^[A-Za-z0-9]')),
+s4 AS (SELECT extraction_id, {_FOLD.format("w")} AS w, a, e, k, count(*) OVER (PARTITION BY extraction_id) AS words FROM s3),
+hit AS (SELECT s4.extraction_id, s4.w, s4.k, x2.c FROM s4 JOIN x2 ON x2.extraction_id = s4.extraction_id AND x2.w = s4.w),
+win AS (SELECT s4.extraction_id, s4.k, unnest(generate_series(greatest(1, n - 2), n + 2)) AS size, words, n FROM s4 JOIN xn USING (extraction_id)),
+cnt AS (SELECT win.extraction_id, win.k, size, n, hit.w, least(count(*), any_value(c)) AS shared FROM win JOIN hit ON hit.extraction_id = win.extraction_id AND hit.k >= win.k AND hit.k < win.k + size WHERE win.k + size <= words GROUP BY ALL),
+sc AS (SELECT extraction_id, k, size, sum(shared) / greatest(any_value(n), size) AS score FROM cnt GROUP BY 1, 2, 3),
+best AS (SELECT extraction_id, k, size, score FROM sc WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY extraction_id ORDER BY score DESC, k, size) = 1),
+fz AS (SELECT best.extraction_id, f.a AS a, l.e AS b, score FROM best JOIN s4 f ON f.extraction_id = best.extraction_id AND f.k = best.k JOIN s4 l ON l.extraction_id = best.extraction_id AND l.k = best.k + size - 1),
+al AS (SELECT p.extraction_id, p.label, CASE WHEN p.text IS NULL OR p.s IS NULL THEN NULL WHEN h.a > 0 THEN 'exact' WHEN b2.k > 0 THEN 'lesser' ELSE 'fuzzy' END AS status,
+  CAST(CASE WHEN h.extraction_id IS NULL THEN NULL WHEN h.a > 0 THEN h.a - 1 WHEN b2.k > 0 THEN b2.at[b2.k] - 1 ELSE coalesce(fz.a, -1) END AS INTEGER) AS start_pos,
+  CAST(CASE WHEN h.extraction_id IS NULL THEN NULL WHEN h.a > 0 THEN h.a - 1 + length(h.x) WHEN b2.k > 0 THEN b2.at[b2.k + b2.n - 1] ELSE coalesce(fz.b, -1) END AS INTEGER) AS end_pos,
+  CASE WHEN h.extraction_id IS NULL THEN NULL WHEN h.a > 0 THEN 1.0 WHEN b2.k > 0 THEN 0.95 ELSE coalesce(fz.score, 0.0) END::DOUBLE AS score
+  FROM p LEFT JOIN h USING (extraction_id) LEFT JOIN b2 USING (extraction_id) LEFT JOIN fz USING (extraction_id))"""
+
+
+@query(f"WITH {_ALIGN_SQL} SELECT extraction_id, status, start_pos, end_pos, score FROM al")
 def q_align(spark: SparkSession, d: str) -> DataFrame:
     """All steps of the alignment for all extractions."""
     out = align.align_columns(_extraction_sources(spark, d), "source_text", "text")
@@ -532,7 +585,29 @@ def q_html_escape(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text is not null").select("doc_id", viz.escape_html("text").alias("html"))
 
 
-@query()
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+_PALETTE_SQL = "[" + ", ".join(f"'{c}'" for c in viz.PALETTE) + "]"
+_STYLE_SQL = "'" + viz.STYLE.replace("'", "''") + "'"
+
+
+@query(
+    f"""WITH {_RANKED}, d AS (SELECT id, any_value(text) AS text FROM input_docs WHERE text IS NOT NULL GROUP BY id),
+c AS (SELECT id, coalesce(label, '{viz.UNLABELLED}') AS label, greatest(0, least(start_pos, length(d.text))) AS s, greatest(0, least(end_pos, length(d.text))) AS e, start_pos, end_pos, extraction_id
+  FROM k JOIN d ON d.id = k.document_id WHERE rn = 1 AND start_pos IS NOT NULL AND end_pos IS NOT NULL),
+h AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, s - e, start_pos, end_pos, icu_sort_key(label, 'und'), extraction_id) - 1 AS n FROM c WHERE e > s),
+l AS (SELECT id, label, ({_PALETTE_SQL})[CAST((row_number() OVER (PARTITION BY id ORDER BY lower(label), label DESC) - 1) % {len(viz.PALETTE)} + 1 AS BIGINT)] AS color, lower(label) AS o FROM (SELECT DISTINCT id, label FROM h)),
+g AS (SELECT id, string_agg('<span class="lx-label" style="background-color:' || color || ';">' || {_escaped("label")} || '</span>', ' ' ORDER BY o, label DESC) AS legend FROM l GROUP BY id),
+v AS (SELECT id, e AS place, 0 AS opens, e - s AS size, n, '</span>' AS tag FROM h
+  UNION ALL SELECT id, s, 1, s - e, n, '<span class="lx-highlight' || CASE WHEN n = 0 THEN ' lx-current-highlight' ELSE '' END || '" data-idx="' || n || '" style="background-color:' || color || ';">' FROM h JOIN l USING (id, label)),
+w AS (SELECT v.*, coalesce(lag(place) OVER o, 0) AS before, row_number() OVER o AS i FROM v WINDOW o AS (PARTITION BY id ORDER BY place, opens, size, n)),
+b AS (SELECT id, string_agg({_escaped("substr(d.text, before + 1, place - before)")} || tag, '' ORDER BY i) AS body, max(place) AS last FROM w JOIN d USING (id) GROUP BY id)
+SELECT d.id AS document_id, {_STYLE_SQL} || CASE WHEN b.id IS NULL THEN '<div class="lx-animated-wrapper"><p>No valid extractions to animate.</p></div>'
+  ELSE '<div class="lx-animated-wrapper lx-gif-optimized"><div class="lx-legend">Highlights Legend: ' || legend || '</div><div class="lx-text-window">' || body || {_escaped("substr(d.text, last + 1)")} || '</div></div>' END AS html
+FROM d LEFT JOIN b ON b.id = d.id LEFT JOIN g ON g.id = d.id"""
+)
 def q_highlight_html(spark: SparkSession, d: str) -> DataFrame:
     docs = _distinct_docs(spark, d).select(F.col("id").alias("document_id"), "text")
     return viz.pages(merge.by_document(docs, merge.dedup(_records(spark, d), "extraction_id"), "extraction_id"))
@@ -642,7 +717,10 @@ def q_align_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", F.col("alignment.start").alias("start_pos"), F.col("alignment.end").alias("end_pos"), "alignment.score")
 
 
-@query()
+@query(
+    f"""WITH {_ALIGN_SQL} SELECT lower(trim(label)) AS label, count(*) AS n, count(*) FILTER (coalesce(start_pos < 0 OR end_pos <= start_pos, true)) AS n_failed,
+count(*) FILTER (start_pos >= 0 AND end_pos > start_pos AND status <> 'exact') AS n_non_exact FROM al GROUP BY 1"""
+)
 def q_example_alignment(spark: SparkSession, d: str) -> DataFrame:
     """All extractions as examples of their chunk: how many there are, fail to align and align inexactly, by label."""
     out = align.align_columns(_examples(spark, d), "source_text", "text")
