@@ -297,7 +297,8 @@ class Marked:
     thai: np.ndarray
 
 
-def _features(b: Block) -> Marked:
+def _features(b: Block, counting: bool = False) -> Marked:
+    """For ``counting`` stops without a blank behind them, which aren't counted, aren't looked at."""
     kinds, last_cp = b.gap_kind, b.cp[b.te[b.gap] - 1]
     thai = (b.stop < 0) & ((kinds == SPACE) | (kinds == LINE)) & (last_cp >= 0x0E01) & (last_cp <= 0x0E4E)
     at = np.flatnonzero((b.stop >= 0) | (kinds == LINE) | (kinds == PARAGRAPH) | thai)
@@ -330,7 +331,7 @@ def _features(b: Block) -> Marked:
         from_stop = _among(".!?…", nx)
         bare = k == NOTHING
         adjoin = np.zeros(len(s), bool)
-        for j in np.flatnonzero(bare & ~wide & ((r == UPPER) | (r == CASELESS)) & ~ins & ~from_stop).tolist():
+        for j in [] if counting else np.flatnonzero(bare & ~wide & ((r == UPPER) | (r == CASELESS)) & ~ins & ~from_stop).tolist():
             adjoin[j] = b.may_adjoin(int(run[j]), int(g[j]))
         kana = (nx >= 0x3041) & (nx <= 0x309F)
         tight = np.where(from_stop | ins | (stop == ord("…")) & ~closed, -1, np.where(wide, np.where((closed & kana) | (r == SIGN) & ~on, -1, 1), np.where(adjoin, 0, -1)))
@@ -593,7 +594,7 @@ def _count_forms(b: Block, out: Counter) -> None:
     first[0] = True
     unsure, ends = np.zeros(b.n + 1, bool), np.zeros(b.n + 1, bool)
     if len(b.gap):
-        m = _features(b)
+        m = _features(b, counting=True)
         kind = b.gap_kind[m.at]
         s = np.flatnonzero(m.stop & (kind != NOTHING) & (m.sure >= 0) & (m.right_kind != LOWER))
         keys, before, touching = _stop_keys(b, b.stop[m.at[s]])
