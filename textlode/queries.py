@@ -187,8 +187,10 @@ st AS (SELECT document_id, 0 AS chunk_no, i AS s, ce, breaks, whole AS open, fit
     CASE WHEN st.open AND x.e <= st.fits THEN true ELSE x.whole AND NOT st.breaks END, CASE WHEN st.open AND x.e <= st.fits THEN st.fits ELSE x.fits END, st.n
   FROM st JOIN s4 x ON x.document_id = st.document_id AND x.i = st.ce),
 cn AS (SELECT document_id, chunk_no, s, max(ce) AS e FROM st GROUP BY document_id, chunk_no, s),
-ck AS (SELECT cn.document_id, chunk_no, s AS start_tok, CAST(cn.e AS INTEGER) AS end_tok, f.a AS char_offset, substr(bu.text, f.a + 1, l.b - f.a) AS chunk_text
-  FROM cn JOIN se f ON f.document_id = cn.document_id AND f.i = s JOIN se l ON l.document_id = cn.document_id AND l.i = cn.e - 1 JOIN bu ON bu.document_id = cn.document_id
+-- one join at a time: the two ends of a chunk must not be joined with each other first
+c1 AS MATERIALIZED (SELECT cn.document_id, chunk_no, s, CAST(cn.e AS INTEGER) AS e, se.a FROM cn JOIN se ON se.document_id = cn.document_id AND se.i = s),
+co AS MATERIALIZED (SELECT c1.*, se.b FROM c1 JOIN se ON se.document_id = c1.document_id AND se.i = c1.e - 1),
+ck AS (SELECT document_id, chunk_no, s AS start_tok, e AS end_tok, a AS char_offset, substr(text, a + 1, b - a) AS chunk_text FROM co JOIN bu USING (document_id)
   UNION ALL SELECT document_id, 0, 0, 0, 0, text FROM bu WHERE document_id NOT IN (SELECT document_id FROM tok))"""
 
 
