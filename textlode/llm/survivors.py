@@ -198,13 +198,16 @@ def assemble(records: DataFrame, group: str, bundles: Sequence[Bundle], dependen
     tied = [b for b in bundles if signature(b)]
     if tied:
         r = materialize(r)
+        # a group of one record has one branch; it's done with its bounds
+        stats += [F.count("*").alias("_best_rows"), F.any_value(F.struct(*dict.fromkeys(f for b in bundles for f in b.fields))).alias("_best_only")]
     bounds = r.groupBy(group).agg(*stats, *keep)
     kept_names = [c for c in bounds.columns if c not in (group, "_incumbent") and not c.startswith(("_max_", "_best_"))]
     branch = bounds
     if tied:
-        bounds = materialize(bounds)
+        all_bounds = materialize(bounds)
+        single, bounds = all_bounds.filter("_best_rows = 1"), all_bounds.filter("_best_rows > 1")
         limits = bounds.select(F.col(group).alias("_g"), "_incumbent", *(f"_max_{b.name}" for b in bundles))
-        alive = r.join(limits, F.col(group) == F.col("_g")).drop("_g")
+        alive = r = materialize(r.join(limits, F.col(group) == F.col("_g")).drop("_g"))
         # a value that can't reach the incumbent even beside the best of all other bundles is cut;
         # of values that no dependency tells apart only the most trusted stays
         kept: dict[str, DataFrame] = {}
@@ -233,7 +236,12 @@ def assemble(records: DataFrame, group: str, bundles: Sequence[Bundle], dependen
         first = F.struct(_level_sum(["trust"], n, [-1]).alias("o"), *(F.col(f"_v_{b.name}") for b in bundles))
         columns = ["trust", *(f"_v_{b.name}" for b in bundles), *kept_names]
         out = out.groupBy(group).agg(F.min_by(F.struct(*columns), first).alias("o")).select(group, "o.*")
-    return out.select(group, *(F.col(f"_v_{b.name}")[f].alias(f) for b in bundles for f in b.fields), (F.col("trust.l0") if n == 1 else F.col("trust")).alias("trust"), *kept_names)
+    trust = (F.col("trust.l0") if n == 1 else F.col("trust")).alias("trust")
+    out = out.select(group, *(F.col(f"_v_{b.name}")[f].alias(f) for b in bundles for f in b.fields), trust, *kept_names)
+    if tied:
+        own = single.withColumn("trust", F.col("_incumbent"))
+        out = out.unionByName(own.select(group, *(F.col("_best_only")[f].alias(f) for b in bundles for f in b.fields), trust, *kept_names))
+    return out
 
 
 def _join_null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
