@@ -129,15 +129,21 @@ def best_records(df: DataFrame) -> DataFrame:
 
 
 def group_of_records(df: DataFrame) -> DataFrame:
-    """Each distinct record of ``df`` with the ``root`` of its group (null where it tells of no mention)."""
+    """Each distinct record of ``df`` with the ``root`` of its group (null where it tells of no mention).
+
+    Roots are looked up with what names a mention alone; whole records are
+    shuffled once, by their id.
+    """
     spans, texts = mention_groups(df)
-    r = df.dropDuplicates(["extraction_id"]).withColumns({"_lab": F.lower(js_trim("label")), "_lt": F.lower(F.upper("text"))})
+    r = df.select("extraction_id", F.col("document_id").alias("_doc"), F.lower(js_trim("label")).alias("_lab"), F.lower(F.upper("text")).alias("_lt"), "start_pos", "end_pos").dropDuplicates(["extraction_id"])
     s = spans.select(F.col("doc").alias("_d"), F.col("lab").alias("_l"), F.col("st").alias("_s"), F.col("en").alias("_e"), F.col("root").alias("_r1")).distinct()
     t = texts.select(F.col("doc").alias("_d2"), F.col("lab").alias("_l2"), F.col("lt").alias("_t2"), F.col("root").alias("_r2"))
-    r = r.join(s, (F.col("document_id") == F.col("_d")) & (F.col("_lab") == F.col("_l")) & (F.col("start_pos") == F.col("_s")) & (F.col("end_pos") == F.col("_e")), "left")
+    r = r.join(s, (F.col("_doc") == F.col("_d")) & (F.col("_lab") == F.col("_l")) & (F.col("start_pos") == F.col("_s")) & (F.col("end_pos") == F.col("_e")), "left")
     aligned = F.coalesce(F.col("start_pos") >= 0, F.lit(False))
-    r = r.join(t, (F.col("document_id") == F.col("_d2")) & (F.col("_lab") == F.col("_l2")) & (F.col("_lt") == F.col("_t2")) & ~aligned, "left")
-    return r.withColumn("root", F.coalesce("_r1", "_r2")).select("root", *df.columns)
+    r = r.join(t, (F.col("_doc") == F.col("_d2")) & (F.col("_lab") == F.col("_l2")) & (F.col("_lt") == F.col("_t2")) & ~aligned, "left")
+    roots = r.select(F.col("extraction_id").alias("_id"), F.coalesce("_r1", "_r2").alias("root"))
+    whole = df.dropDuplicates(["extraction_id"])
+    return whole.join(roots, F.col("extraction_id").eqNullSafe(F.col("_id"))).select("root", *df.columns)
 
 
 @dataclass(frozen=True)
@@ -263,7 +269,7 @@ WHERE = Dependency("mention", ("start_pos", "end_pos"), "origin", ("resolve_id",
 
 def merged_records(df: DataFrame) -> DataFrame:
     """One record built for each group of mentions, single ones included: (root, document_id, label and the bundles' fields)."""
-    grouped = materialize(group_of_records(df).filter("root is not null"))
-    best = assemble(grouped, "root", [MENTION, BELIEF, ORIGIN], [WHERE])
-    head = grouped.groupBy("root").agg(F.first("document_id").alias("document_id"), F.lower(js_trim(F.first("label"))).alias("label"), F.count("*").alias("n_records"))
-    return head.join(best, "root")
+    fields = dict.fromkeys(f for b in (MENTION, BELIEF, ORIGIN) for f in b.fields)
+    grouped = group_of_records(df).filter("root is not null").select("root", "document_id", F.lower(js_trim("label")).alias("label"), *fields)
+    keep = (F.any_value("document_id").alias("document_id"), F.any_value("label").alias("label"), F.count("*").alias("n_records"))
+    return assemble(grouped, "root", [MENTION, BELIEF, ORIGIN], [WHERE], keep).select("root", "document_id", "label", "n_records", *fields, "trust")
