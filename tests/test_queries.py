@@ -163,14 +163,3 @@ def test_dates_of_the_test_data(spark):
     texts = {r.id: r.text for r in table(spark, SMALL, "input_docs").select("id", "text").collect()}
     want = sorted((k, x) for k, t in texts.items() if t for x in re.findall(r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", t, re.ASCII))
     assert sorted(tuple(r) for r in run(spark, "q_extract_dates").collect()) == want
-
-
-def test_the_bisection_decides_in_mixes_of_a_given_size(spark):
-    plain = {(r.mix_name, r.source): r for r in run(spark, "p8_shares").collect()}
-    sized = {(r.mix_name, r.source): r for r in run(spark, "p8_sized_shares").collect()}
-    assert plain.keys() == sized.keys() and {r.exponent for r in plain.values()} == {1.0}
-    assert any(0 < r.exponent < 1 for r in sized.values())
-    for mix in {m for m, _ in sized}:
-        own = [r for (m, _), r in sized.items() if m == mix]
-        assert sum(r.budget for r in own) >= sum(r.budget for (m, _), r in plain.items() if m == mix) * (1 - 1e-9) or own[0].exponent == 1
-        assert all((r.most_repeats or 0) <= r.max_repeats for r in own)
