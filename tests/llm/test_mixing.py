@@ -2,6 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlode.llm import mixing as X
+from textlode.llm.queries import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_temperature_and_entropy():
@@ -85,3 +88,14 @@ def test_odd_tables(spark):
     assert mixture(spark, [], [("m", "a", 1.0, 1)]).rows.count() == 0
     assert mixture(spark, [(1, "a", None, 0)], [("m", "a", None, None), (None, "a", 1.0, 1)]).shares.count() == 1
     assert mixture(spark, [(1, "a", 5, 0)], []).rows.count() == 0
+
+
+def test_the_bisection_decides_in_mixes_of_a_given_size(spark):
+    plain = {(r.mix_name, r.source): r for r in QUERIES["p8_shares"](spark, SMALL).collect()}
+    sized = {(r.mix_name, r.source): r for r in QUERIES["p8_sized_shares"](spark, SMALL).collect()}
+    assert plain.keys() == sized.keys() and {r.exponent for r in plain.values()} == {1.0}
+    assert any(0 < r.exponent < 1 for r in sized.values())
+    for mix in {m for m, _ in sized}:
+        own = [r for (m, _), r in sized.items() if m == mix]
+        assert sum(r.budget for r in own) >= sum(r.budget for (m, _), r in plain.items() if m == mix) * (1 - 1e-9) or own[0].exponent == 1
+        assert all((r.most_repeats or 0) <= r.max_repeats for r in own)
